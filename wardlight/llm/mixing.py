@@ -4,8 +4,8 @@ Document rates r minimise sum(r ln r - r + 1) over documents, with 0 <= r <= cap
 constraint a source: sum(r * size) = target. The dual has one multiplier a source and the solution is
 an exponential tilt, r = min(cap, exp(lambda * size / mean_size)). Newton steps on the dual need two sums a
 source, taken by Spark over the (source, size) histogram; the driver holds the multipliers only, one a
-source. Rates become whole copies by systematic rounding in size order, so a source misses its target
-by at most half of its longest document.
+source. Rates become whole copies by systematic rounding in size order; the few words left over are
+spent on documents of fitting sizes, so a source misses its target by less than its shortest documents.
 """
 
 from __future__ import annotations
@@ -118,25 +118,48 @@ def mix_to_targets(docs: DataFrame, weights: list[float] | None = None, cap: int
     )
     rate = F.when(F.col("full"), F.when(F.col("size") > 0, float(cap)).otherwise(0.0)).otherwise(_rate(F.col("size"), F.col("lam"), F.col("mean"), cap))
     by_size = Window.partitionBy("sid").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)  # distinct sizes of a source
-    start = (
-        hist.join(F.broadcast(facts), "sid").withColumn("rate", rate)
-        .withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
-        .withColumn("start", F.coalesce(F.sum(F.col("part") * F.col("n")).over(by_size), F.lit(0.0)))
-        .select("sid", "size", "whole", "part", "start")
+    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
+    start = F.coalesce(F.sum(part * F.col("n")).over(by_size), F.lit(0.0))
+    plan = (
+        hist.join(F.broadcast(facts), "sid").withColumn("rate", rate).withColumn("start", start)
+        .select("sid", "size", "n", "target", F.least(cap * F.col("n"), F.col("n") * whole + F.floor(F.col("start") + F.col("n") * part + 0.5) - F.floor(F.col("start") + 0.5)).alias("v"))
     )
+    plan = scratch.save(plan, "plan")
+    plan = plan.join(_corrections(plan, cap), ["sid", "size"], "left").select("sid", "size", "n", (F.col("v") + F.coalesce("k", F.lit(0))).alias("v"))
     within = Window.partitionBy("sid", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most `spread` rows
-    begun = cells.join(start, ["sid", "size"]).withColumn("before", F.coalesce(F.sum("count").over(within), F.lit(0))).drop("count")
+    begun = cells.join(plan, ["sid", "size"]).withColumn("before", F.coalesce(F.sum("count").over(within), F.lit(0))).drop("count")
     begun = scratch.save(begun, "begun")
     order = Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
     at = F.col("before") + F.col("rn")
-    upto = lambda k: F.floor(F.col("start") + k * F.col("part") + 0.5)
+    upto = lambda k: F.floor(k * F.col("v") / F.col("n")).cast("long")
     return (
         rows.withColumn("rn", F.row_number().over(order)).join(begun, ["sid", "size", "cell"]).join(F.broadcast(facts.select("sid", "source_size", "target")), "sid")
-        .withColumn("copies", F.least(F.lit(cap), F.col("whole") + upto(at) - upto(at - 1)).cast("long"))
+        .withColumn("copies", upto(at) - upto(at - 1))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
+def _corrections(plan: DataFrame, cap: int) -> DataFrame:
+    """sid, size, k: copies to add to or take from the documents of a size so that the words meet the target.
+
+    What systematic rounding leaves over is spent from the largest size that fits down to the smallest; the
+    fold runs over the distinct sizes of a source, which its longest document bounds.
+    """
+    left = plan.groupBy("sid").agg(
+        F.first("target").alias("target"), F.sum(F.col("size") * F.col("v")).alias("got"),
+        F.sort_array(F.collect_list(F.when(F.col("size") > 0, F.struct("size", "n", "v"))), asc=False).alias("sizes"),
+    )
+
+    def spend(state, x):
+        fits = F.floor(F.abs(state["left"]) / x["size"]).cast("long")
+        k = F.when(state["left"] > 0, F.least(fits, cap * x["n"] - x["v"])).otherwise(-F.least(fits, x["v"]))
+        pick = F.array(F.struct(x["size"].alias("size"), k.alias("k")))
+        return F.struct((state["left"] - k * x["size"]).alias("left"), F.when(k != 0, F.concat(state["picks"], pick)).otherwise(state["picks"]).alias("picks"))
+
+    none = F.struct((F.col("target") - F.col("got")).alias("left"), F.expr("cast(array() as array<struct<size:bigint,k:bigint>>)").alias("picks"))
+    return left.select("sid", F.aggregate("sizes", none, spend, lambda s: s["picks"]).alias("p")).select("sid", F.inline("p"))
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix_to_targets(docs).select("doc_id", "size", "source_size", "target", "taken")
