@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from wardlight.llm import line_dedup, mixing, sharding
+from wardlight.llm import line_dedup, mixing, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_sharding": sharding.op6_sharding,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
 
