@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import line_dedup, mixing, quality_rules, sharding, toxicity
+from wardlight.llm import line_dedup, mixing, quality_rules, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_sharding": sharding.op6_sharding,
+        "op8_topk": topk.op8_topk,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op8_topk": topk.OP8_SQL}
