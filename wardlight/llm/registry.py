@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wardlight.llm import line_dedup, mixing, quality_rules, sharding, topk, toxicity
+from wardlight.llm import line_dedup, mixing, near_dups, quality_rules, sharding, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_jaccard_join": near_dups.op2_jaccard_join,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_sharding": sharding.op6_sharding,
         "op8_topk": topk.op8_topk,
