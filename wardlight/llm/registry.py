@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from wardlight.llm import line_dedup, mixing, near_dups, quality_rules, sharding, topk, toxicity
+from wardlight.llm import html_text, line_dedup, lm_score, mixing, near_dups, pieces, quality_rules, sharding, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_jaccard_join": near_dups.op2_jaccard_join,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_pieces": pieces.op5_pieces,
         "op6_sharding": sharding.op6_sharding,
+        "op7_html_text": html_text.op7_html_text,
         "op8_topk": topk.op8_topk,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
