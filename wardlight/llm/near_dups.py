@@ -16,7 +16,6 @@ components is missed, and no group is expanded into all of its pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,8 @@ ORDER_SAMPLE, ORDER_KEYS, COMMON = 20_000, 65_536, 4
 SMALL = 64
 #: Vertices a task remembers to pass over copies; copies beyond are removed after the shuffle.
 SEEN_ROWS = 200_000
+#: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, the texts are joined by id.
+BROADCAST_IDS = 1_000_000
 RAW_LEVEL = 63
 
 
@@ -252,12 +253,12 @@ class JaccardJoin:
                         keep.append(i)
                         dist.append(d)
                 at = pa.array(keep, pa.int64())
-                yield _batch(["a", "b", "d"], [b.column("a").take(at), b.column("b").take(at), pa.array(dist, pa.int32())])
+                yield _batch(["a", "b", "d"], [b.column("a").take(at), b.column("b").take(at), pa.array(dist, pa.int64())])
 
         left = sketched.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         right = sketched.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         fits = (F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num)
-        return pairs.join(left, "a").join(right, "b").filter(fits).mapInArrow(run, "a long, b long, d int")
+        return pairs.join(left, "a").join(right, "b").filter(fits).mapInArrow(run, "a long, b long, d long")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose exact Jaccard reaches the threshold."""
@@ -279,30 +280,66 @@ class JaccardJoin:
         left, right = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
         return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
-    def across(self, members: DataFrame, sketched: DataFrame) -> DataFrame:
-        """Pairs of one key's members in different components that their sketches do not rule out.
+    def across(self, members: DataFrame, sketched: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs (a, b, d) of one key's members in different components that their sketches do not rule out.
 
-        members: key, v, comp. Compared in blocks inside the key's task; only pairs that pass leave it.
+        members: key, v, comp. All keys of a batch advance together: rows are compared with the row o places
+        on in their key, for o = 1, 2, ... Only pairs that pass leave the task; with ``nearest`` only each
+        member's nearest one, which makes a round linear in the members.
         """
         num, den = self.num, self.den
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            n, comp, v = pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["v"].to_numpy()
-            raw = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
-            size = min(len(x) for x in raw)
-            bits = np.stack([fold(x, size) for x in raw])
-            a_out, b_out = [], []
-            for i in range(len(v)):
-                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * den >= np.maximum(n[i + 1 :], n[i]) * num)) + i + 1
-                for part in np.array_split(j, max(1, len(j) * size // (8 << 20))):
-                    d = np.bitwise_count(bits[part] ^ bits[i]).sum(axis=1)
-                    ok = part[d <= (n[part] + n[i]) * (den - num) // (den + num)]
-                    a_out.append(np.full(len(ok), v[i]))
-                    b_out.append(v[ok])
-            a, b = np.concatenate(a_out), np.concatenate(b_out)
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-        return members.join(sketched, "v").groupBy("key").applyInPandas(run, "a long, b long").distinct()
+        def pairs(k, v, comp, n, raw):
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.concatenate([first, [len(k)]]))
+            group = np.repeat(np.arange(len(first)), size)
+            bytes_of = np.array([len(x) for x in raw])
+            width = np.minimum.reduceat(bytes_of, first)[group]
+            found = []
+            for w in np.unique(width):
+                rows = np.flatnonzero(width == w)
+                bits = np.stack([fold(np.frombuffer(raw[i], np.uint8), w) for i in rows]).view(np.uint64)
+                g, vv, cc, nn = group[rows], v[rows], comp[rows], n[rows]
+                for o in range(1, int(size[g].max())):
+                    i = np.flatnonzero((g[o:] == g[:-o]) & (cc[o:] != cc[:-o]))
+                    i = i[np.minimum(nn[i], nn[i + o]) * den >= np.maximum(nn[i], nn[i + o]) * num]
+                    for part in np.array_split(i, max(1, len(i) * int(w) // (16 << 20))):
+                        d = np.bitwise_count(bits[part] ^ bits[part + o]).sum(axis=1)
+                        ok = d <= (nn[part] + nn[part + o]) * (den - num) // (den + num)
+                        if ok.any():
+                            at = part[ok]
+                            found.append(np.stack([vv[at], vv[at + o], d[ok].astype(np.int64)]))
+            if not found:
+                return None
+            a, b, d = np.concatenate(found, axis=1)
+            if nearest:
+                side, other, dd = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+                order = np.lexsort((other, dd, side))
+                head = order[np.concatenate([[True], side[order][1:] != side[order][:-1]])]
+                a, b, d = side[head], other[head], dd[head]
+            t = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), d], axis=1), axis=0)
+            return _batch(["a", "b", "d"], [pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(t[:, 2])])
+
+        def run(batches):
+            held = None
+            for batch in batches:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                if not held.num_rows:
+                    continue
+                k = held.column("key").to_numpy()
+                cut = int(np.searchsorted(k, k[-1]))
+                if cut and (out := solve(held.slice(0, cut))) is not None:
+                    yield out
+                held = held.slice(cut)
+            if held is not None and held.num_rows and (out := solve(held)) is not None:
+                yield out
+
+        def solve(t):
+            raw = [x.as_buffer() for x in t.column("bits").combine_chunks()]
+            return pairs(*(t.column(c).to_numpy() for c in ("key", "v", "comp", "n")), raw)
+
+        rows = members.join(sketched, "v").select("key", "v", "comp", "n", "bits").repartition("key").sortWithinPartitions("key", "v")
+        return rows.mapInArrow(run, "a long, b long, d long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -325,34 +362,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     near = scratch.save(join.near(cand, sketched), "near")
     heads = sized.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"))  # a row to read each text from
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        return scratch.save(join.exact_sets(heads.join(wanted, "v", "left_semi").select("id")), name)
-
-    # First the best partner of each vertex, then what still lies between components.
-    sets = sets_of(near, "sets")
-    best = Window.partitionBy("b").orderBy("d", "a")
-    first = scratch.save(near.withColumn("r", F.row_number().over(best)).filter("r = 1").select("a", "b"), "first")
-    found = scratch.save(join.links(first, sets), "links-0")
-    comps = connected_components(found, scratch)
-
-    def crossing(pairs: DataFrame) -> DataFrame:
+        ids = scratch.save(heads.join(wanted, "v", "left_semi").select("id"), f"ids-{name}")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        sets = scratch.save(join.exact_sets(ids), f"sets-{name}")
+        return scratch.save(join.links(pairs, sets), f"links-{name}")
+
+    def merged(comps: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+        """Labels after further links: components of the graph of the old labels."""
+        if comps is None:
+            return connected_components(links, scratch)
+        old = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
+        edges = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+        new = connected_components(edges, scratch)
+        moved = comps.join(new.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        fresh = new.join(comps.select("id"), "id", "left_anti")
+        return scratch.save(moved.unionByName(fresh), f"comps-{name}")
+
+    def crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
         both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return both.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-
-    more = scratch.save(crossing(near.join(first, ["a", "b"], "left_anti")), "more")
-    if not more.isEmpty():
-        found = scratch.save(found.unionByName(join.links(more, sets)), "links-1")
-        comps = connected_components(found, scratch)
-    members = keyed.filter("m > 2").select("key", "v").join(comps.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    members = scratch.save(members, "members")
-    split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = join.across(members.join(split, "key", "left_semi"), sketched)
-    rest = scratch.save(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        found = scratch.save(found.unionByName(join.links(rest, sets_of(rest, "sets-2"))), "links-2")
-        comps = connected_components(found, scratch)
+        return both.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b", "d")
+
+    def mixed_keys(comps: DataFrame, name: str) -> DataFrame:
+        members = keyed.filter("m > 2").select("key", "v").join(comps.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        members = scratch.save(members, f"members-{name}")
+        split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        return members.join(split, "key", "left_semi")
+
+    best = Window.partitionBy("side").orderBy("d", "a", "b")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Each vertex's nearest pair only."""
+        ends = pairs.withColumn("side", F.explode(F.array("a", "b")))
+        return ends.withColumn("r", F.row_number().over(best)).filter("r = 1").select("a", "b", "d").distinct()
+
+    # First each vertex's nearest candidate, then its nearest one in another component, then all that still lie
+    # between components.
+    tested = scratch.save(nearest(near), "pairs-0")
+    comps = merged(None, verified(tested, "0"), "0")
+    for name, only in (("1", True), ("2", False)):
+        more = join.across(mixed_keys(comps, name), sketched, only)
+        more = nearest(more) if only else more
+        rest = scratch.save(crossing(more.unionByName(near).distinct(), comps).join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{name}")
+        if not rest.isEmpty():
+            comps = merged(comps, verified(rest, name), name)
+            tested = tested.unionByName(rest)
 
     labels = scratch.save(sized.join(comps.withColumnRenamed("id", "v"), "v", "left").select("id", "n", F.coalesce("comp", "v").alias("comp")), "labels")
     least = scratch.save(labels.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("least")), "least")

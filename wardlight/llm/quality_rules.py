@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wardlight.llm.scratch import Scratch
+from wardlight.llm.scratch import Scratch, bounded_sample
 from wardlight.llm.textkernel import SPACE, Words, mix, text_chunks, windows
 
 #: Labelled rows the rules are learned from at most, taken by a hash of doc_id.
@@ -190,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     """docs plus COUNTS, base_failed and kept.
 
     labels: doc_id, quality (1 good, 0 bad; null is ignored). Rules are learned from at most sample_rows
-    labelled rows that pass the base rules; without labels of both kinds there are no rules and only the
+    labelled rows, those of them that pass the base rules; without labels of both kinds there are no rules and only the
     base rules reject. Null or empty texts count nothing and fail the base rules. Rows that repeat an id are judged
     each by its own text. An empty table gives an empty result; other columns pass through.
     """
@@ -198,10 +198,8 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     counted = scratch.save(with_counts(docs, text_col), "counted")
     marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).dropDuplicates(["__id"])
     shares = [c.alias(k) for k, c in features().items()]
-    rows = (
-        counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), *shares).join(marks, "__id")
-        .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).drop("__id").toPandas()
-    )
+    drawn = bounded_sample(marks, "__id", sample_rows)
+    rows = counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), *shares).join(F.broadcast(drawn), "__id").limit(sample_rows).toPandas().sort_values("__id")
     x, bad = rows[list(FEATURES)].to_numpy(float), rows["__q"].to_numpy() == 0
     rules = learn_rules(x, bad) if len(rows) and bad.any() and not bad.all() else []
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejects(rules))

@@ -12,7 +12,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20_260_101)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)

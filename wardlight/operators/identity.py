@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 WEIGHTS = {"ssn4": 0.35, "mrn": 0.30, "dob": 0.15, "last_name": 0.10, "first_name": 0.05, "zip": 0.05}
 
@@ -65,7 +66,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     known = {p: jaro_winkler(*p) for p in set(zip(a, b)) if p[0] is not None and p[1] is not None}
     return pd.Series([known.get(p) for p in zip(a, b)], dtype="float64")

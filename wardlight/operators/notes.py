@@ -27,8 +27,9 @@ def note_vitals(notes: DataFrame) -> DataFrame:
 
 
 def conditions(notes: DataFrame) -> DataFrame:
-    """document_id, condition, icd10, mentions."""
-    hits = F.array(*[F.struct(F.lit(k).alias("condition"), F.lit(c).alias("icd10"), F.size(F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(0))).cast("long").alias("mentions")) for k, (p, c) in rules.DISEASES.items()])
+    """document_id, condition, icd10, mentions. Accented Latin letters are letters at a word's edge."""
+    plain = F.regexp_replace("text", "[À-ÖØ-öø-ɏ]", "x")
+    hits = F.array(*[F.struct(F.lit(k).alias("condition"), F.lit(c).alias("icd10"), F.size(F.regexp_extract_all(plain, F.lit("(?i)" + p), F.lit(0))).cast("long").alias("mentions")) for k, (p, c) in rules.DISEASES.items()])
     return notes.select("document_id", F.inline(hits)).filter("mentions > 0")
 
 
@@ -128,6 +129,6 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.92, planes: int = 8, t
 def context_budget(items: DataFrame, budget: int, as_of) -> DataFrame:
     """items: patient_id, seq, at, severity, similarity, text. Highest priority first while the running token sum fits the budget."""
     hours = (F.unix_timestamp(as_of) - F.unix_timestamp("at")) / 3600.0
-    rows = items.withColumn("tokens", F.floor(F.length("text") / 4)).withColumn("priority", 0.40 * F.exp(-hours / 6) + 0.35 * F.col("severity") + 0.25 * F.col("similarity"))
+    rows = items.withColumn("tokens", F.floor(F.length("text") / 4)).withColumn("priority", F.round(0.40 * F.exp(-hours / 6) + 0.35 * F.col("severity") + 0.25 * F.col("similarity"), 9))
     w = Window.partitionBy("patient_id").orderBy(F.desc("priority"), "seq").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum("tokens").over(w)).filter(F.col("running") <= budget)

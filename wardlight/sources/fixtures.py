@@ -125,13 +125,13 @@ VIEWS: dict[str, str] = {
         (20 + o_custkey % 75)::INT AS age, o_orderkey % 5 = 0 AS prior_readmission, (o_orderkey % 8)::INT AS news2, (o_orderkey % 3)::INT AS n_pending, (o_orderkey % 4)::INT AS n_social FROM orders""",
     "medications": f"""SELECT o_custkey AS patient_id, l_orderkey AS encounter_id, {_sql_pick(DRUGS, "l_partkey")} AS drug, (10 + l_quantity)::DOUBLE AS gfr,
         {_sql_pick(["penicillin", "sulfa", "cephalosporin", "none"], "o_custkey")} AS allergy FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-    "audit": """SELECT l_suppkey AS actor_id, n_name AS department, l_partkey AS resource_id, l_shipdate::TIMESTAMP + to_hours(l_linenumber::INT) AS at,
+    "audit": """SELECT l_suppkey AS actor_id, n_name AS department, l_partkey AS resource_id, l_shipdate::TIMESTAMP + to_hours(l_linenumber::INT) AS "at",
         CASE l_returnflag WHEN 'R' THEN 'denied' ELSE 'success' END AS outcome, l_linestatus = 'O' AS phi, l_partkey % 7 <> 0 AS out_of_department
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "feedback": f"""SELECT event_id AS feedback_id, user_id AS encounter_id,
         CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'modified' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'thumbs_up' WHEN 'signup' THEN 'thumbs_down' END AS signal,
         {_sql_pick(["LOW", "MEDIUM", "HIGH", "CRITICAL"], "event_id")} AS risk_level, {_sql_pick(list_outputs(), "event_id")} AS output_type,
-        (props->>'$.k')::INT / 100.0 AS probability, value >= 40 AS occurred, event_id % 3 <> 0 AS treating, event_id % 10 <> 0 AS in_distribution, event_id % 2 = 0 AS outcome_linked, ts AS at,
+        (props->>'$.k')::INT / 100.0 AS probability, value >= 40 AS occurred, event_id % 3 <> 0 AS treating, event_id % 10 <> 0 AS in_distribution, event_id % 2 = 0 AS outcome_linked, ts AS "at",
         {_sql_pick(["<40", "40-64", "65+"], "user_id")} AS subgroup FROM events""",
     "notes": f"""SELECT doc_id AS document_id, {_sql_pick(PHRASES, "doc_id")} || ' ' || coalesce(text, '') AS text FROM documents""",
     "patients": f"""SELECT c_custkey AS patient_id, {_sql_pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], "c_custkey")} AS last_name,
