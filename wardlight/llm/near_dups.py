@@ -33,6 +33,8 @@ SEEN_ROWS = 200_000
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, the texts are joined by id.
 BROADCAST_IDS = 1_000_000
 RAW_LEVEL = 63
+#: A member carries its first so many keys, by which most pairs that share several keys leave from one key only.
+FIRST_KEYS = 16
 
 
 def _level(n: int) -> int:
@@ -113,6 +115,14 @@ def _blocks(h: np.ndarray, level: int) -> tuple[np.ndarray, bool]:
     return mix(value ^ mix(block[first].astype(U64), level)), False
 
 
+def _met_before(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the members with first keys a and b also share a key below ``key`` that both lists reach."""
+    last = np.iinfo(np.int64).max
+    reach = np.minimum(a[:, -1], b[:, -1])  # a list with fewer keys is padded with the largest number
+    limit = np.minimum(key, np.where(reach == last, last, reach + 1))
+    return ((a[:, :, None] == b[:, None, :]).any(axis=2) & (a < limit[:, None])).any(axis=1)
+
+
 def _batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -285,11 +295,11 @@ class JaccardJoin:
 
         members: key, v, comp. All keys of a batch advance together: rows are compared with the row o places
         on in their key, for o = 1, 2, ... Only pairs that pass leave the task; with ``nearest`` only each
-        member's nearest one, which makes a round linear in the members.
+        member's nearest one, which makes a round linear in the members. A pair leaves from the first key it shares.
         """
         num, den = self.num, self.den
 
-        def pairs(k, v, comp, n, raw):
+        def pairs(k, v, comp, n, early, raw):
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.concatenate([first, [len(k)]]))
             group = np.repeat(np.arange(len(first)), size)
@@ -299,16 +309,19 @@ class JaccardJoin:
             for w in np.unique(width):
                 rows = np.flatnonzero(width == w)
                 bits = np.stack([fold(np.frombuffer(raw[i], np.uint8), w) for i in rows]).view(np.uint64)
-                g, vv, cc, nn = group[rows], v[rows], comp[rows], n[rows]
+                g, cc, nn = group[rows], comp[rows], n[rows]
                 for o in range(1, int(size[g].max())):
                     i = np.flatnonzero((g[o:] == g[:-o]) & (cc[o:] != cc[:-o]))
                     i = i[np.minimum(nn[i], nn[i + o]) * den >= np.maximum(nn[i], nn[i + o]) * num]
                     for part in np.array_split(i, max(1, len(i) * int(w) // (16 << 20))):
                         d = np.bitwise_count(bits[part] ^ bits[part + o]).sum(axis=1)
                         ok = d <= (nn[part] + nn[part + o]) * (den - num) // (den + num)
-                        if ok.any():
-                            at = part[ok]
-                            found.append(np.stack([vv[at], vv[at + o], d[ok].astype(np.int64)]))
+                        at, d = part[ok], d[ok].astype(np.int64)
+                        for some in np.array_split(np.arange(len(at)), len(at) // 4096 + 1):
+                            x, y = rows[at[some]], rows[at[some] + o]
+                            new = ~_met_before(k[x], early[x], early[y])
+                            if new.any():
+                                found.append(np.stack([v[x[new]], v[y[new]], d[some[new]]]))
             if not found:
                 return None
             a, b, d = np.concatenate(found, axis=1)
@@ -336,9 +349,14 @@ class JaccardJoin:
 
         def solve(t):
             raw = [x.as_buffer() for x in t.column("bits").combine_chunks()]
-            return pairs(*(t.column(c).to_numpy() for c in ("key", "v", "comp", "n")), raw)
-
-        rows = members.join(sketched, "v").select("key", "v", "comp", "n", "bits").repartition("key").sortWithinPartitions("key", "v")
+            early = np.full((t.num_rows, FIRST_KEYS), np.iinfo(np.int64).max)
+            lists = t.column("early").combine_chunks()
+            held = np.diff(lists.offsets.to_numpy())
+            early[np.arange(FIRST_KEYS) < held[:, None]] = lists.flatten().to_numpy()
+            return pairs(*(t.column(c).to_numpy() for c in ("key", "v", "comp", "n")), early, raw)
+
+        first = members.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("early"))  # a document's keys
+        rows = members.join(first, "v").join(sketched, "v").select("key", "v", "comp", "n", "early", "bits").repartition("key").sortWithinPartitions("key", "v")
         return rows.mapInArrow(run, "a long, b long, d long").distinct()
 
 
