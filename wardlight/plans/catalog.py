@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wardlight.functions import privacy, rules, scores
 from wardlight.operators import agents, business, governance, identity, medication, monitoring, notes, vitals
 from wardlight.sources import fixtures as fx
+from wardlight.sources import hl7
+from wardlight.streaming import vitals as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,9 +77,9 @@ def vital_features(spark, sf_dir):
     return vitals.features(fx.vitals(spark, sf_dir)).select("patient_id", "parameter", "n", "min", "max", "last", *_r("mean", "sd", "slope", "z", "cv"))
 
 
-@query(f"{_BASE} SELECT patient_id, parameter, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(p10, 6) AS p10, round(median, 6) AS median, round(p90, 6) AS p90, mature FROM base", "vitals")
+@query(f"{_BASE} SELECT patient_id, parameter, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(p10, 8) AS p10, round(median, 6) AS median, round(p90, 8) AS p90, mature FROM base", "vitals")
 def vital_baseline(spark, sf_dir):
-    return vitals.baseline(fx.vitals(spark, sf_dir)).select("patient_id", "parameter", "n", "mature", *_r("mean", "sd", "p10", "median", "p90"))
+    return vitals.baseline(fx.vitals(spark, sf_dir)).select("patient_id", "parameter", "n", "mature", *_r("mean", "sd", "median"), *_r("p10", "p90", d=8))
 
 
 @query(
@@ -709,3 +711,27 @@ def update_eligibility(spark, sf_dir):
 @query("l AS (SELECT event_type, list_sort(list(value)) AS v, median(value) AS p50 FROM events GROUP BY event_type) SELECT event_type, len(v) AS n, round(p50, 6) AS p50, v[least(floor(len(v) * 0.95), len(v) - 1)::INT + 1] AS p95, v[least(floor(len(v) * 0.99), len(v) - 1)::INT + 1] AS p99 FROM l".replace("l AS", "WITH l AS", 1))
 def latency_percentiles(spark, sf_dir):
     return monitoring.latency(fx.table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "n", "p95", "p99", *_r("p50"))
+
+
+# ---- messages and streams ----------------------------------------------------------------------------------------
+@query("SELECT patient_id, parameter AS loinc_display, value AS value_numeric, 'final' AS status, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS observation_datetime FROM vitals", "vitals")
+def hl7_observations(spark, sf_dir):
+    """Readings written as HL7 messages, one a patient and day, and read back from them."""
+    obs = hl7.observations(hl7.messages(fx.vitals(spark, sf_dir)))
+    return obs.select(F.col("mrn").cast("long").alias("patient_id"), "loinc_display", "value_numeric", "status", "observation_datetime")
+
+
+@query("SELECT patient_id, parameter, date_trunc('hour', time)::TIMESTAMP AS hour, count(*) AS n, min(value) AS min, max(value) AS max, round(sum(value) / count(*), 6) AS mean FROM vitals GROUP BY ALL", "vitals")
+def stream_vitals_hourly(spark, sf_dir):
+    """The hourly rollup as a stream over the events files; a replay is in no time order, so nothing counts as late."""
+    rows = stream.replayed(spark, f"{sf_dir}/events.parquet", lambda e: stream.hourly(fx.vitals_of(e), delay="36500 days"), ["patient_id", "parameter", "hour"])
+    return rows.select("patient_id", "parameter", "hour", "n", "min", "max", *_r("mean"))
+
+
+_CRITICAL = " OR ".join(f"(parameter = '{p}' AND ({' OR '.join(x for x in (f'value < {lo}' if lo is not None else '', f'value > {hi}' if hi is not None else '') if x)}))" for p, (lo, hi) in rules.CRITICAL.items())
+
+
+@query(f"SELECT patient_id, seq, parameter, value FROM vitals WHERE {_CRITICAL}", "vitals")
+def stream_alerts(spark, sf_dir):
+    """Critical readings pass a stateless stream at once, without waiting for a window."""
+    return stream.replayed(spark, f"{sf_dir}/events.parquet", lambda e: stream.critical(fx.vitals_of(e)), ["seq"]).select("patient_id", "seq", "parameter", "value")

@@ -30,7 +30,12 @@ def pick(values: list, index) -> F.Column:
 
 def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patient_id, time, seq, parameter, value."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin(*PARAMETER))
+    return vitals_of(table(spark, sf_dir, "events"))
+
+
+def vitals_of(events: DataFrame) -> DataFrame:
+    """Readings of an events table or stream."""
+    e = events.filter(F.col("event_type").isin(*PARAMETER))
     q = F.floor(F.least(F.col("value"), F.lit(200.0))).cast("int")
     value = (
         F.when(F.col("event_type") == "view", F.expr("60 + q div 2")).when(F.col("event_type") == "click", F.expr("12 + q div 8"))
