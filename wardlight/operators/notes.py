@@ -92,7 +92,8 @@ def exact_dedup(notes: DataFrame) -> DataFrame:
 def cosine_pairs(vectors: DataFrame, threshold: float = 0.92, planes: int = 8, tables: int = 12, seed: int = 11) -> DataFrame:
     """Pairs (a, b, cosine) of vectors at least as similar as the threshold that share a random-hyperplane bucket of some table.
 
-    Buckets are blocks compared inside their task by one matrix product; only pairs that pass leave it.
+    Buckets are blocks compared inside their task by one matrix product; only pairs that pass leave it. A pair that
+    shares no bucket is missed. Vectors have one length; null or empty ones and those with a null component take no part.
     """
 
     def codes(batches):
@@ -122,7 +123,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float = 0.92, planes: int = 8, t
             c.append(s[i[ok], j[ok]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "cosine": np.concatenate(c)})
 
-    coded = vectors.select("vec_id", "embedding").mapInPandas(codes, "vec_id long, bucket long, embedding array<float>")
+    whole = vectors.select("vec_id", "embedding").filter((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+    coded = whole.mapInPandas(codes, "vec_id long, bucket long, embedding array<float>")
     return coded.groupBy("bucket").applyInPandas(compare, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
