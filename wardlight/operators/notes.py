@@ -27,10 +27,17 @@ def note_vitals(notes: DataFrame) -> DataFrame:
 
 
 def conditions(notes: DataFrame) -> DataFrame:
-    """document_id, condition, icd10, mentions. Accented Latin letters are letters at a word's edge."""
+    """document_id, condition, icd10, mentions. Accented Latin letters are letters at a word's edge.
+
+    One pass finds the terms of all conditions, which holds as no term of one overlaps a term of another.
+    """
+    terms = {k: [t.replace(r"\b", "") for t in p.split("|")] for k, (p, _) in rules.DISEASES.items()}
+    every = r"(?i)\b(?:" + "|".join(t for ts in terms.values() for t in ts) + r")\b"
     plain = F.regexp_replace("text", "[À-ÖØ-öø-ɏ]", "x")
-    hits = F.array(*[F.struct(F.lit(k).alias("condition"), F.lit(c).alias("icd10"), F.size(F.regexp_extract_all(plain, F.lit("(?i)" + p), F.lit(0))).cast("long").alias("mentions")) for k, (p, c) in rules.DISEASES.items()])
-    return notes.select("document_id", F.inline(hits)).filter("mentions > 0")
+    found = notes.select("document_id", F.transform(F.regexp_extract_all(plain, F.lit(every), F.lit(0)), F.lower).alias("found"))
+    count = lambda ts: F.size(F.filter("found", lambda x: x.isin([t.lower() for t in ts]))).cast("long")
+    hits = F.array(*[F.struct(F.lit(k).alias("condition"), F.lit(c).alias("icd10"), count(terms[k]).alias("mentions")) for k, (_, c) in rules.DISEASES.items()])
+    return found.select("document_id", F.inline(hits)).filter("mentions > 0")
 
 
 def sentiment(notes: DataFrame) -> DataFrame:
