@@ -269,3 +269,20 @@ def test_mixing(docs, none, rows):
 def test_capped_targets():
     assert mixing.capped_targets([10, 90], [1, 1]) == [30.0, 70.0]
     assert mixing.capped_targets([], []) == []
+
+
+def test_pieces_are_the_librarys(docs, spark, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(7)
+    odd = ["▁▁▁ a  b   c", " x", "y \n\t z ", "ﬁ Ａ é \x00 日本語", "<s> </s> <0x0A>", "Elle parle des modèles", "aaaaaaa" * 60, "".join(rng.choice("etaoin shrdlu,.é日") for _ in range(3000)), "".join(rng.choice("abcdest") for _ in range(2000)), " " * 700 + "x"]
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    texts = [t for t in [*odd, *real, *(r["text"] for r in docs.select("text").collect())] if t]
+    v = pieces.Vocabulary.load()
+    for chars in (pieces.MERGE_CHARS, 2):  # rows in batches, and every row from the heap
+        monkeypatch.setattr(pieces, "MERGE_CHARS", chars)
+        ids, counts = pieces.Encoder(v)(texts)
+        ends = np.cumsum(counts)
+        for t, end, n in zip(texts, ends, counts):
+            assert ids[end - n : end].tolist() == sp.encode(t), t[:80]

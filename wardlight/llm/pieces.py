@@ -1,16 +1,19 @@
-"""SentencePiece encoding and decoding by batched numpy Viterbi.
+"""SentencePiece encoding and decoding by batched numpy merges (BPE models) or Viterbi (unigram models).
 
 A text is escaped (a leading space, spaces as U+2581) and cut where a run of U+2581 begins; no piece reaches over
-such a cut. Segments new to a task are grouped by length, and all segments of one length advance together:
-for each end and piece length their substring hashes probe the sorted hashes of the vocabulary, and the
-maxima of the path scores leave backpointers. Characters that no piece covers become byte pieces. Decoding
-joins the pieces' bytes.
+such a cut. Segments new to a task are grouped by length, and all segments of one length advance together.
+In a BPE model each round merges the best-scored adjacent pair of every row, the leftmost of equal ones, until no
+pair is a piece; a row of more than MERGE_CHARS characters takes its pairs from a heap in the same order. In a
+unigram model the maxima of the path scores leave backpointers. Both probe the sorted hashes of the vocabulary.
+Characters that no piece covers become byte pieces. Decoding joins the pieces' bytes.
 
-The result is the segmentation of the highest score sum, as the library finds it for a unigram model.
+The ids are those of the library's encode for the same model.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -24,6 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile("▁*[^▁]+|▁+")
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 GROUP_CHARS, CACHE_SEGMENTS, CELLS = 1 << 20, 200_000, 1 << 20
+MERGE_CHARS = 256
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -46,6 +50,7 @@ class Vocabulary:
     unknown: float
     bytes_of: np.ndarray
     bytes_at: np.ndarray
+    bpe: bool
 
     @classmethod
     def load(cls, path: str = MODEL) -> "Vocabulary":
@@ -56,6 +61,8 @@ class Vocabulary:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         bad = [p for i in normal if "▁" in (p := pieces[i]).lstrip("▁")]
+        if any(sp.is_unused(i) for i in range(n)):
+            raise ValueError("unused pieces, which split again after a merge, are not handled")
         if bad or any(not sp.is_byte(sp.piece_to_id(f"<0x{b:02X}>")) for b in range(256)):
             raise ValueError("a model with byte fallback and leading spaces is needed")
         hashes = np.array([_hash(np.array([[ord(c) for c in pieces[i]]]))[0, -1] for i in normal], np.uint64)
@@ -70,8 +77,13 @@ class Vocabulary:
         return cls(
             hashes[order], np.array(normal, np.int32)[order], scores[order], max(len(pieces[i]) for i in normal), byte_ids, float(scores.min()) - 10.0,
             np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]),
+            bool((scores == np.round(scores)).all()),  # merge ranks, not log probabilities
         )
 
+    @functools.cached_property
+    def score_of(self) -> dict[int, float]:
+        return dict(zip(self.keys.tolist(), self.scores.tolist()))
+
     def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of code points; all rows have one length and advance together."""
         n, length = codes.shape
@@ -105,14 +117,100 @@ class Vocabulary:
             at -= int(step[at])
         return np.array(out[::-1], np.int32)
 
+    def _find(self, h: np.ndarray, power: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (-inf where the span is no piece) and ids (-1 there) of spans of the rows."""
+        size = end - start
+        sub = h[rows, end] - h[rows, start] * power[np.minimum(size, self.longest)]
+        at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
+        hit = (self.keys[at] == sub) & (size <= self.longest)
+        return np.where(hit, self.scores[at], -np.inf), np.where(hit, self.key_ids[at], -1)
+
+    def _spans(self, codes: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        if (ids >= 0).all():
+            return ids.astype(np.int32)
+        out: list[int] = []
+        for i, at in zip(ids.tolist(), start.tolist()):  # only single characters are no piece
+            out += [i] if i >= 0 else [int(self.byte_ids[b]) for b in chr(codes[at]).encode()]
+        return np.array(out, np.int32)
+
+    def merge(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of code points by merges; a row in work loses one boundary a round, so all keep one width."""
+        n, length = codes.shape
+        h = _hash(codes)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]))
+        if length > MERGE_CHARS:
+            return [self._merge_long(codes[r], h[r : r + 1], power) for r in range(n)]
+        out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
+        live, width = np.arange(n), length
+        bound = np.tile(np.arange(length + 1), (n, 1))
+        score = self._find(h, power, live[:, None], bound[:, :-2], bound[:, 2:])[0]
+        while len(live):
+            best = score.argmax(1) if width > 1 else np.zeros(len(live), int)
+            more = score[np.arange(len(live)), best] > -np.inf if width > 1 else np.zeros(len(live), bool)
+            if not more.all():
+                rows, done = live[~more], bound[~more]
+                ids = self._find(h, power, rows[:, None], done[:, :-1], done[:, 1:])[1]
+                for r, i, b in zip(rows, ids, done):
+                    out[r] = self._spans(codes[r], i, b)
+                live, bound, score, best = live[more], bound[more], score[more], best[more]
+            if not len(live):
+                break
+            k = np.arange(len(live))
+            keep = np.ones(bound.shape, bool)
+            keep[k, best + 1] = False
+            bound = bound[keep].reshape(len(live), width)
+            keep = np.ones(score.shape, bool)
+            keep[k, best] = False
+            width -= 1
+            score = score[keep].reshape(len(live), width - 1)
+            for at in (best - 1, best):  # the pairs on both sides of the new piece
+                ok = (at >= 0) & (at < width - 1)
+                r, c = k[ok], at[ok]
+                score[r, c] = self._find(h, power, live[r], bound[r, c], bound[r, c + 2])[0]
+        return out
+
+    def _merge_long(self, codes: np.ndarray, h: np.ndarray, power: np.ndarray) -> np.ndarray:
+        """The same merges for one long row, in the order of a heap of pairs."""
+        n = len(codes)
+        at = np.arange(n - 1)
+        score = self._find(h, power, np.zeros(n - 1, int), at, at + 2)[0]
+        heap = [(-s, i, i + 1, i + 2) for i, s in enumerate(score.tolist()) if s > -np.inf]
+        heapq.heapify(heap)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # a piece's end by start, its left one's start by start
+        hashes, powers, mask = h[0].tolist(), power.tolist(), (1 << 64) - 1
+        while heap:
+            _, i, mid, stop = heapq.heappop(heap)
+            if before[i] is None or end[i] != mid or mid == n or end[mid] != stop or before[mid] is None:
+                continue
+            end[i], before[mid] = stop, None
+            if stop < n:
+                before[stop] = i
+            for left, right in ((before[i], i), (i, stop)):
+                if left < 0 or right >= n or end[right] - left > self.longest:
+                    continue
+                found = self.score_of.get((hashes[end[right]] - hashes[left] * powers[end[right] - left]) & mask)
+                if found is not None:
+                    heapq.heappush(heap, (-found, left, right, end[right]))
+        start = np.array([i for i in range(n) if before[i] is not None])
+        stops = np.array([*start[1:], n])
+        return self._spans(codes, self._find(h, power, np.zeros(len(start), int), start, stops)[1], start)
+
+    def encode(self, segments: list[str]) -> list[np.ndarray]:
+        """Ids of each segment by the model's own method."""
+        return self._by_length(segments, self.merge if self.bpe else self.viterbi)
+
     def encode_segments(self, segments: list[str]) -> list[np.ndarray]:
+        """Ids of the highest score sum, as a unigram model needs them."""
+        return self._by_length(segments, self.viterbi)
+
+    def _by_length(self, segments: list[str], method) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(segments)  # type: ignore[list-item]
         lengths = np.array([len(s) for s in segments])
         for length in np.unique(lengths):
             rows = np.flatnonzero(lengths == length)
             for part in np.array_split(rows, max(1, len(rows) * (int(length) + 1) // CELLS)):
                 codes = np.frombuffer("".join(segments[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
-                for i, ids in zip(part, self.viterbi(codes)):
+                for i, ids in zip(part, method(codes)):
                     out[i] = ids
         return out
 
@@ -144,7 +242,7 @@ class Encoder:
             self._clear()
         new = list(set(segments) - self.index.keys())
         if new:
-            made = self.vocabulary.encode_segments(new)
+            made = self.vocabulary.encode(new)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in made])])
             self.ids = np.concatenate([self.ids, *made])
