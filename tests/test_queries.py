@@ -48,3 +48,25 @@ def test_hl7_edges(spark):
     text = "MSH|^~\\&|lab\nPID|1||77^x||\nOBX|1|NM|718-7^Hb^LN||1,234.5|g/L^u|1-2|H|||P|||20240102\nOBX|2|ST|^||free"
     got = hl7.observations(spark.createDataFrame([(text,), ("no header",), (None,)], "message string")).orderBy("value_raw").collect()
     assert [(r["mrn"], r["value_numeric"], r["units"], r["status"], r["observation_datetime"]) for r in got] == [("77", 1234.5, "g/L", "preliminary", "2024-01-02T00:00:00Z"), ("77", None, "", "final", None)]
+
+
+def test_ranks_without_collected_groups(spark, sf_dir):
+    import random
+
+    from wardlight.operators import monitoring
+
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [rng.gauss(0, 50) for _ in range(1001)] + [0.0, -0.0, inf, -inf], "b": [1.5] * 40 + [2.5] * 40, None: [7.0, 1e-300, -1e-300], "nan": [1.0, nan, nan], "none": []}
+    rows = [(g, x) for g, v in groups.items() for x in [*v, None]]
+    rng.shuffle(rows)
+    got = {r["g"]: r for r in monitoring.latency(spark.createDataFrame(rows, "g string, value double"), ["g"], "value").collect()}
+    assert set(got) == set(groups) and got["none"]["n"] == 0 and got["none"]["p99"] is None
+    for g, v in groups.items():
+        v = sorted((x for x in v if x == x)) + [x for x in v if x != x]
+        n = len(v)
+        want = [0.5 * v[(n - 1) // 2] + 0.5 * v[n // 2], v[min(int(n * 0.95), n - 1)], v[min(int(n * 0.99), n - 1)]] if n else []
+        assert [repr(got[g][c]) for c in ("p50", "p95", "p99")][: len(want)] == [repr(x) for x in want]
+    for name in ("latency_percentiles", "observation_quality"):
+        plan = SPARK[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "median" not in plan and "percentile" not in plan

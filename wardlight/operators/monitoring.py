@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,19 +83,46 @@ def eligibility(models: DataFrame) -> DataFrame:
     return models.select("model", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("eligible"))
 
 
+def _bucket(x: Column) -> Column:
+    """A whole number that never falls as x rises: 512 buckets for each factor e on both sides of 0; NaN is last."""
+    big, step = F.lit(10**9), lambda y: F.floor(F.log(y) * 512) + 409_600
+    return (
+        F.when(x.isNull(), F.lit(None).cast("long")).when(F.isnan(x), big + 1).when(x == float("inf"), big).when(x == float("-inf"), -big)
+        .when(x > 0, step(x)).when(x < 0, -step(-x)).otherwise(0)
+    )
+
+
+def at_ranks(rows: DataFrame, group: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """group, n and, under each name, the element at that place (from 0, made from n) of the group's sorted values.
+
+    Nulls don't count; a group without values has n = 0 and nulls. Values are counted first; running counts of
+    buckets find those that hold a wanted place, and only their distinct values are ordered, each bucket by itself.
+    """
+    hist = rows.groupBy(*group, F.col(value).alias("x")).agg(F.count(value).alias("k")).withColumn("bucket", _bucket(F.col("x").cast("double")))
+    whole = Window.partitionBy(*group)
+    sums = hist.groupBy(*group, "bucket").agg(F.sum("k").alias("inside")).withColumn("n", F.sum("inside").over(whole))
+    sums = sums.withColumn("below", F.sum("inside").over(whole.orderBy(F.asc_nulls_last("bucket")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside"))
+    holds = lambda r, low, k: (r(F.col("n")) >= low) & (r(F.col("n")) < low + F.col(k))
+    chosen = sums.filter((F.col("n") == 0) | reduce(lambda x, y: x | y, [holds(r, F.col("below"), "inside") for r in ranks.values()]))
+    chosen = chosen.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("bucket").alias("_bucket"), "n", "below")
+    near = hist.join(chosen, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "bucket"]]))
+    upto = Window.partitionBy(*group, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("low", F.col("below") + F.sum("k").over(upto) - F.col("k"))
+    return near.groupBy(*group).agg(F.max("n").alias("n"), *[F.max(F.when(holds(r, F.col("low"), "k"), F.col("x"))).alias(name) for name, r in ranks.items()])
+
+
 def latency(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """p50 as the median, p95 and p99 as the element at floor(n * q) of the sorted values."""
-    at = lambda q: F.col("v")[F.least(F.floor(F.size("v") * q), F.size("v") - 1).cast("int")]
-    agg = rows.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("v"), F.median(value).alias("p50"), F.count(value).alias("n"))
-    return agg.select(*group, "n", "p50", at(0.95).alias("p95"), at(0.99).alias("p99"))
+    at = lambda q: lambda n: F.least(F.floor(n * q), n - 1)
+    agg = at_ranks(rows, group, value, {"m0": lambda n: F.floor((n - 1) / 2), "m1": lambda n: F.floor(n / 2), "p95": at(0.95), "p99": at(0.99)})
+    p50 = F.when(F.col("m0") == F.col("m1"), F.col("m0").cast("double")).otherwise(0.5 * F.col("m0") + 0.5 * F.col("m1"))
+    return agg.select(*group, "n", p50.alias("p50"), "p95", "p99")
 
 
 def observation_quality(vitals: DataFrame, as_of: Column) -> DataFrame:
     """Quality of each reading: completeness .30, timeliness .25 (half-life 6 h), consistency .25 (3 IQR of the group), validity .20."""
     limits = rules.ARTIFACT_LIMITS["engine"]
-    group = vitals.groupBy("patient_id", "parameter").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    q = lambda num: F.col("v")[F.floor(num * F.size("v") / 4).cast("int")]
-    group = group.select("patient_id", "parameter", F.size("v").alias("n"), q(1).alias("q1"), q(3).alias("q3"))
+    group = at_ranks(vitals, ["patient_id", "parameter"], "value", {"q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(3 * n / 4)})
     hours = (F.unix_timestamp(as_of) - F.unix_timestamp("time")) / 3600.0
     iqr, p = F.col("q3") - F.col("q1"), F.col("parameter")
     of = lambda i: F.try_element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v[i])))]), p)
