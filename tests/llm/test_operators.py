@@ -286,3 +286,10 @@ def test_pieces_are_the_librarys(docs, spark, monkeypatch):
         ends = np.cumsum(counts)
         for t, end, n in zip(texts, ends, counts):
             assert ids[end - n : end].tolist() == sp.encode(t), t[:80]
+
+
+def test_jaccard_join_links_rows_without_id(spark):
+    span = lambda name, i, n=100: " ".join(f"{name}{k}" for k in range(i, i + n))
+    rows = [(1, span("w", 0)), (None, span("w", 8)), (2, span("w", 16)), (3, span("x", 0)), (None, span("x", 1)), (None, span("y", 0)), (None, span("y", 1))]
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 1): 1, (None, 1): 1, (2, 1): 1, (3, 3): 1, (None, 3): 1, (None, None): 2})

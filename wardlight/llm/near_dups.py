@@ -195,8 +195,8 @@ class JaccardJoin:
 
         return self.docs.select("text").mapInArrow(run, "v long, n long, bits binary").dropDuplicates(["v"])
 
-    def exact_sets(self, ids: DataFrame) -> DataFrame:
-        """v and the sorted shingle hashes of the rows with these ids."""
+    def exact_sets(self, ids: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
+        """v and the sorted shingle hashes of the rows with these ids, and of the vertices (v) whose rows all lack an id."""
         width = self.width
 
         def run(batches):
@@ -210,7 +210,11 @@ class JaccardJoin:
                         v, sets = [], []
                 yield _batch(["v", "s"], [pa.array(np.array(v, U64).view(np.int64)), pa.array(sets, pa.binary())])
 
-        return self.docs.join(ids, "id", "left_semi").select("text").mapInArrow(run, "v long, s binary").dropDuplicates(["v"])
+        sets = lambda rows: rows.select("text").mapInArrow(run, "v long, s binary")
+        out = sets(self.docs.join(ids, "id", "left_semi"))
+        if orphans is not None:
+            out = out.unionByName(sets(self.docs.filter("id is null")).join(orphans, "v", "left_semi"))
+        return out.dropDuplicates(["v"])
 
     def stars(self, keyed: DataFrame) -> DataFrame:
         """Candidate pairs of each key: one member, drawn by a hash of four seeds, with all others."""
@@ -382,10 +386,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        ids = scratch.save(heads.join(wanted, "v", "left_semi").select("id"), f"ids-{name}")
+        chosen = scratch.save(heads.join(wanted, "v", "left_semi"), f"ids-{name}")
+        ids, orphans = chosen.filter("id is not null").select("id"), chosen.filter("id is null").select("v")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = scratch.save(join.exact_sets(ids), f"sets-{name}")
+        sets = scratch.save(join.exact_sets(ids, None if orphans.isEmpty() else orphans), f"sets-{name}")
         return scratch.save(join.links(pairs, sets), f"links-{name}")
 
     def merged(comps: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
