@@ -70,3 +70,11 @@ def test_ranks_without_collected_groups(spark, sf_dir):
     for name in ("latency_percentiles", "observation_quality"):
         plan = SPARK[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan and "median" not in plan and "percentile" not in plan
+
+
+def test_names_of_the_whole_blocking(spark, sf_dir):
+    from wardlight.sources import fixtures as fx
+
+    p = [(r["patient_id"], r["ssn4"], r["mrn"], (r["dob"], r["last_name"][:3])) for r in fx.patients(spark, sf_dir).collect()]
+    want = {(x[0], y[0]) for x in p for y in p if x[0] < y[0] and any(i is not None and i == j for i, j in zip(x[1:], y[1:]))}
+    assert {(r["id_a"], r["id_b"]) for r in SPARK["name_similarity"](spark, sf_dir).collect()} == want

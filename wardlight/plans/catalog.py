@@ -634,7 +634,8 @@ def mpi_stats(spark, sf_dir):
 
 @query()
 def name_similarity(spark, sf_dir):
-    p, pairs = _blocks(spark, sf_dir)
+    p = fx.patients(spark, sf_dir)
+    pairs = identity.blocked_pairs(p, p)
     a, b = (p.select(F.col("patient_id").alias(i), F.col("last_name").alias(n)) for i, n in (("id_a", "a"), ("id_b", "b")))
     return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.round(identity.name_similarity("a", "b"), 4).alias("similarity"))
 
