@@ -293,3 +293,12 @@ def test_jaccard_join_links_rows_without_id(spark):
     rows = [(1, span("w", 0)), (None, span("w", 8)), (2, span("w", 16)), (3, span("x", 0)), (None, span("x", 1)), (None, span("y", 0)), (None, span("y", 1))]
     got = Counter((r["doc_id"], r["component_id"]) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter({(1, 1): 1, (None, 1): 1, (2, 1): 1, (3, 3): 1, (None, 3): 1, (None, None): 2})
+
+
+def test_top_k_past_many_rows_of_the_querys_id(spark):
+    rng = np.random.default_rng(4)
+    vec = [(0, [9.0, 9.0])] * 60 + [(i, rng.normal(size=2).round(1).tolist()) for i in range(1, 40)]
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.exact_top_k(spark.createDataFrame(vec, "vec_id long, embedding array<double>"), 10, F.col("vec_id") == 0).orderBy("rank").collect()]
+    score = lambda x: sum(9216 * math.floor(1024 * a) for a in x)
+    best = sorted((-score(x), i) for i, x in vec if i)[:10]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]

@@ -59,6 +59,7 @@ def exact_top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec
     if shape["norm2"] >= 2.0**53:
         raise ValueError("inner products may exceed 2**53")
     rows = rows.filter(F.size("v") == shape["d"])
+    repeats = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # a query leaves out all rows of its id
     _, pivots = _collect(rows.dropDuplicates(["v"]), PIVOTS)
     pivots = pivots.astype(float)
     ref_ids, refs = _collect(rows, REFERENCES)
@@ -90,7 +91,7 @@ def exact_top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec
             mid, slack = q @ centre.T, np.sqrt((q * q).sum(1))[:, None] * radius
             low = np.full(len(q), -np.inf)
             order = np.argsort(-(mid - slack), axis=1)
-            enough = np.cumsum(sizes[order], axis=1) >= k + 1
+            enough = np.cumsum(sizes[order], axis=1) >= k + repeats
             has = enough.any(1)
             at = enough.argmax(1)
             bound = np.take_along_axis(mid - slack, order, 1)[np.arange(len(q)), at]
