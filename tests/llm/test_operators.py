@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wardlight.llm import html_text, line_dedup, lm_score, mixing, near_dups, pieces, quality_rules, sharding, topk, toxicity
+from wardlight.llm.textkernel import text_buffers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASH = "did long, key string, v long, comp long, sid int, cell int, n long, held boolean, n_words long, ids string, part int, kept boolean"
@@ -144,6 +146,8 @@ def test_toxicity_edges(docs, none):
 def test_pieces(docs, none, spark):
     out = pieces.decode(pieces.encode(docs)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out)
+    checked = pieces.encode(docs, check_col="text", carry=["doc_id", "ids", "key"]).collect()  # clashing names are replaced
+    assert all(r["text"] for r in checked) and Counter((r["doc_id"], tuple(r["ids"])) for r in checked) == Counter((r["doc_id"], tuple(r["ids"])) for r in out)
     v = pieces.Vocabulary.load()
     import sentencepiece
 
@@ -158,7 +162,7 @@ def test_pieces(docs, none, spark):
                 s = score.get(word[at:end], v.unknown if end - at == 1 else None)
                 if s is not None:
                     best[end] = max(best[end], best[at] + s)
-        ids = v.encode_segments([word])[0]
+        ids, _ = v.encode_segments([word])
         if all(int(i) in known for i in ids):
             assert abs(total(ids) - best[-1]) < 1e-9
     assert pieces.decode(pieces.encode(none)).count() == 0
@@ -282,7 +286,7 @@ def test_pieces_are_the_librarys(docs, spark, monkeypatch):
     v = pieces.Vocabulary.load()
     for chars in (pieces.MERGE_CHARS, 2):  # rows in batches, and every row from the heap
         monkeypatch.setattr(pieces, "MERGE_CHARS", chars)
-        ids, counts = pieces.Encoder(v)(texts)
+        ids, counts = pieces.Encoder(v)(*text_buffers(pieces._spaced(pa.array(texts))))
         ends = np.cumsum(counts)
         for t, end, n in zip(texts, ends, counts):
             assert ids[end - n : end].tolist() == sp.encode(t), t[:80]

@@ -12,7 +12,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-CHUNK_BYTES = 2 << 20
+#: Bytes of texts taken together, and bytes hashed together: they bound a task's memory, not what is read.
+CHUNK_BYTES, HASH_BYTES = 512 << 10, 512 << 10
 
 _rng = np.random.default_rng(20_260_101)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -30,6 +31,7 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(n, HASH_BYTES + 1)
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, U64)
@@ -39,9 +41,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of consecutive documents: hash, byte span; document d has words bounds[d]:bounds[d+1]."""
+    """Words of consecutive documents: hash, byte span; document d has words bounds[d]:bounds[d+1].
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+    Bytes are hashed in blocks of whole words, so a very long text needs 8-byte columns for a block only.
+    ``prefixes`` adds the hash of each word's first k bytes for every k.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, prefixes: tuple[int, ...] = ()):
         data = data[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         self.data, self.offsets, n = data, offsets, len(data)
@@ -54,25 +60,30 @@ class Words:
         ends[:-1] &= ~filled[1:] | begins[1:n]
         self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        power, inverse = _power_tables(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[FOLD[data] if fold else data] * power[:n], out=total[1:])
-        self._total, self._inverse = total, inverse
-        self.hash = self.span_hash(self.ends)
         self.counts = np.diff(self.bounds)
-
-    def span_hash(self, ends: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from each word's first to the given end."""
-        return mix((self._total[ends] - self._total[self.starts]) * self._inverse[self.starts])
-
-    def prefix_hash(self, width: int) -> np.ndarray:
-        """Hash of each word's first ``width`` bytes."""
-        return self.span_hash(np.minimum(self.starts + width, self.ends))
+        self.hash, *self.prefix = span_hashes(FOLD[data] if fold else data, self.starts, self.ends, *(np.minimum(self.starts + k, self.ends) for k in prefixes))
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the byte spans from starts to each of the ends; spans are in order, the first ends are the farthest."""
+    out = [np.zeros(len(starts), U64) for _ in ends]
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends[0], starts[first] + HASH_BYTES, side="right")))
+        at, n = int(starts[first]), int(ends[0][last - 1] - starts[first])
+        power, inverse = _power_tables(n + 1)
+        total = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[data[at : at + n]] * power[:n], out=total[1:])
+        begin = starts[first:last] - at
+        for hashes, end in zip(out, ends):
+            hashes[first:last] = mix((total[end[first:last] - at] - total[begin]) * inverse[begin])
+        first = last
+    return out
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets; null reads as empty."""
     if column.null_count:
