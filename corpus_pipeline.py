@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardlight.llm.line_dedup import dedup_lines
 from wardlight.llm.mixing import mix_to_targets
 from wardlight.llm.near_dups import near_duplicates
-from wardlight.llm.pieces import decode, encode
+from wardlight.llm.pieces import encode
 from wardlight.llm.quality_rules import judge
 from wardlight.llm.scratch import Scratch
 
@@ -46,10 +46,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with whether they decode to its text."""
-    both = decode(encode(docs))
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    """Piece ids of each document, with whether they decode to its text. Null and empty texts have no ids."""
+    out = encode(docs, check_col="round_trip", carry=["doc_id", "lang", "source"])
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [
