@@ -6,14 +6,12 @@ the counts that predict it. All training tokens take part, binned by their delet
 
 Counts are exchanged in blocks. A chunk of documents keeps its token sequence as codes into its own sorted
 vocabulary; it asks for the counts of its distinct unigrams and bigrams, in sorted order and cut into hash
-buckets. A bucket's task adds up the counts of all chunks and answers each in the order it asked. So the
+buckets, as many as the tokens ask for. A bucket's task adds up the counts of all chunks and answers each in the order it asked. So the
 exchange moves distinct n-grams of a chunk, not tokens, and no vocabulary is broadcast.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,48 +22,22 @@ from wardlight.llm.scratch import Scratch
 from wardlight.llm.textkernel import U64, Words, mix, text_chunks
 
 END, START = U64(0x0E4D0E4D0E4D0E4D), U64(0x57A257A257A257A2)
-#: Text of one chunk; it bounds a task's memory, not what is counted.
-CHUNK_TEXT = 12 << 20
-OCTAVES, FINE = 32, 8
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if a.nbytes else b""
-
-
-def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
-
-
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as 48-bit differences where all fit, else as they are; the first byte tells."""
-    if len(keys) > 8:
-        steps = np.diff(keys)
-        if int(steps.max()) < 1 << 48:
-            return b"\1" + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-    return b"\0" + keys.tobytes()
+#: Bytes of text of one chunk, and n-grams asked for in one bucket at most on average: they bound a task's memory, not what is counted.
+CHUNK_TEXT, BUCKET_GRAMS = 8 << 20, 1 << 20
+#: Octaves of context counts, bins a power of two, and bins of an estimate: at most OCTAVES * BINS**2 cells reach the driver.
+OCTAVES, FINE, BINS = 32, 4, 256
 
+CHUNKS = "chunk string, n_tokens long, n_train long, n_train_docs long, ids array<long>, known array<boolean>, held array<boolean>, lengths array<int>, codes array<int>, vocab array<long>"
+LISTS = ("ids", "known", "held", "lengths", "codes", "vocab")
 
-def _unpack_sorted(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"\0":
-        return np.frombuffer(raw, U64, offset=1)
-    steps = np.zeros(((len(raw) - 9) // 6, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, 6)
-    return np.cumsum(np.concatenate([np.frombuffer(raw[1:9], U64), steps.view(U64).ravel()]), dtype=U64)
 
+def _list(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One list of the values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
-def _small(a: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type; the first byte is its width."""
-    top = int(a.max()) if len(a) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + _pack(a.astype(f"u{width}"))
 
-
-def _unsmall(raw: bytes, n: int) -> np.ndarray:
-    return _unpack(raw[1:], f"u{raw[0]}", n).astype(np.int64)
-
-
-CHUNKS = "chunk string, n_docs int, n_tokens long, n_train long, n_train_docs long, n_vocab int, ids binary, known_id binary, held binary, lengths binary, codes binary, vocab binary"
+def _signed(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.int64)
 
 
 def _chunks(batches):
@@ -78,27 +50,24 @@ def _chunks(batches):
 
     def flush():
         nonlocal pool, size, made
-        tokens, lengths, ids, known, held = (np.concatenate([p[i] for p in pool]) for i in range(5))
+        tokens, lengths, held, ids, known = (np.concatenate([p[i] for p in pool]) for i in range(5))
         pool, size = [], 0
         vocab, codes = np.unique(tokens, return_inverse=True)
         made += 1
-        train = int(lengths[~held].sum())
-        name = f"{part}-{made}"
-        return pa.RecordBatch.from_pylist([{
-            "chunk": name, "n_docs": len(ids), "n_tokens": len(tokens), "n_train": train, "n_train_docs": int((~held).sum()), "n_vocab": len(vocab),
-            "ids": _pack(ids), "known_id": _pack(known), "held": _pack(held), "lengths": _pack(lengths), "codes": _pack(codes.astype(np.uint32)), "vocab": _pack_sorted(vocab),
-        }], schema=pa.schema([("chunk", pa.string()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("n_train", pa.int64()), ("n_train_docs", pa.int64()), ("n_vocab", pa.int32()), *((c, pa.binary()) for c in ("ids", "known_id", "held", "lengths", "codes", "vocab"))]))
+        return pa.RecordBatch.from_arrays([
+            pa.array([f"{part}-{made}"]), pa.array([len(tokens)]), pa.array([int(lengths[~held].sum())]), pa.array([int((~held).sum())]),
+            _list(ids, pa.int64()), _list(known, pa.bool_()), _list(held, pa.bool_()), _list(lengths.astype(np.int32), pa.int32()), _list(codes.astype(np.int32), pa.int32()), _list(_signed(vocab), pa.int64()),
+        ], names=["chunk", "n_tokens", "n_train", "n_train_docs", "ids", "known", "held", "lengths", "codes", "vocab"])
 
     for b in batches:
-        id_col, held_col = b.column("doc_id"), b.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        known_col = id_col.is_valid().to_numpy(zero_copy_only=False)
-        id_col = id_col.fill_null(0).to_numpy()
+        held_col, known_col = b.column("held").to_numpy(zero_copy_only=False).astype(bool), b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        id_col = b.column("doc_id").fill_null(0).to_numpy()
         for first, end, data, offsets in text_chunks(b.column("text")):
             w = Words(data, offsets, fold=True)
             n = w.counts + 1
             tokens = np.full(int(n.sum()), END)
             tokens[np.arange(len(w.hash)) + w.doc_of_word()] = w.hash
-            pool.append((tokens, n.astype(np.int64), id_col[first:end], known_col[first:end], held_col[first:end]))
+            pool.append((tokens, n.astype(np.int64), held_col[first:end], id_col[first:end], known_col[first:end]))
             size += int(offsets[-1] - offsets[0])
             if size >= CHUNK_TEXT:
                 yield flush()
@@ -109,13 +78,10 @@ def _chunks(batches):
 class Chunk:
     """A chunk's tokens with its distinct unigrams and bigrams in the order in which counts are asked for."""
 
-    def __init__(self, row):
-        n = int(row["n_docs"])
-        self.name = row["chunk"]
-        self.ids, self.known, self.held = _unpack(row["ids"], np.int64, n), _unpack(row["known_id"], bool, n), _unpack(row["held"], bool, n)
-        self.lengths = _unpack(row["lengths"], np.int64, n)
-        self.codes = _unpack(row["codes"], np.uint32, int(row["n_tokens"]))
-        self.vocab = _unpack_sorted(row["vocab"])
+    def __init__(self, row: dict):
+        self.name, self.ids, self.known = row["chunk"], np.asarray(row["ids"]), np.asarray(row["known"], bool)
+        self.held, self.lengths, self.codes = np.asarray(row["held"], bool), np.asarray(row["lengths"], np.int64), np.asarray(row["codes"], np.int64)
+        self.vocab = np.asarray(row["vocab"], np.int64).view(U64)
         starts = np.cumsum(self.lengths) - self.lengths
         word = self.vocab[self.codes]
         context = np.concatenate([[START], word[:-1]])
@@ -124,48 +90,51 @@ class Chunk:
         self.pairs, self.pair_codes = np.unique(mix(context * U64(0x9E3779B97F4A7C15) ^ mix(word, 21), 22), return_inverse=True)
 
     def requests(self, buckets: int):
-        """(bucket, kind, keys, training counts of the chunk) for kinds 1 and 2."""
+        """(bucket, kind, keys, training counts of the chunk) for kinds 1 and 2, keys in order; buckets are ranges of keys."""
         for kind, keys, codes in ((1, self.vocab, self.codes), (2, self.pairs, self.pair_codes)):
             counts = np.bincount(codes, weights=self.train, minlength=len(keys)).astype(np.int64)
-            for b, (lo, hi) in enumerate(zip(*_cuts(keys, buckets))):
-                if hi > lo:
-                    yield b, kind, keys[lo:hi], counts[lo:hi]
+            bucket = (keys // U64((1 << 64) // buckets + 1)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for lo, hi in zip(first, [*first[1:], len(keys)]):
+                yield int(bucket[lo]), kind, keys[lo:hi], counts[lo:hi]
 
     def counts(self, answers: pd.DataFrame, train_docs: int):
         """Counts of each token's bigram, context and word over the whole corpus."""
         found = {}
         for kind in (1, 2):
             parts = answers[answers["kind"] == kind].sort_values("bucket")
-            found[kind] = np.concatenate([_unsmall(raw, n) for raw, n in zip(parts["counts"], parts["n"])] or [np.zeros(0, np.int64)])
+            found[kind] = np.concatenate([*parts["counts"], np.zeros(0, np.int64)])
         c_word = found[1][self.codes]
         c_context = np.concatenate([[0], c_word[:-1]])
         c_context[self.starts] = train_docs
         return found[2][self.pair_codes], c_context, c_word
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    step = (1 << 64) // buckets + 1
-    at = np.searchsorted(keys, np.array([i * step for i in range(buckets)], dtype=U64))
-    return at, np.concatenate([at[1:], [len(keys)]])
-
-
 def octave(c: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else 1 + floor(log2 c)."""
     return np.minimum(np.frexp(c.astype(float))[1], OCTAVES - 1)
 
 
-def learn_weights(cells: pd.DataFrame, uniform: float, steps: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each octave by EM; cells: b, p2, p1 (fine log2 bins, null: zero), n."""
+def learn_weights(cells: pd.DataFrame, uniform: float, steps: int = 500, tolerance: float = 1e-9) -> np.ndarray:
+    """Weights (bigram, unigram, uniform) of each octave by EM; cells: b, p2, p1 (fine log2 bins, null: zero), n.
+
+    A run ends when a step betters the mean log-likelihood by less than the tolerance. Octaves of fewer than 100 tokens
+    take the weights of all tokens.
+    """
     p2 = np.where(cells["p2"].isna(), 0, 2.0 ** (-cells["p2"].fillna(0) / FINE))
     p1 = np.where(cells["p1"].isna(), 0, 2.0 ** (-cells["p1"].fillna(0) / FINE))
     p, n, b = np.stack([p2, p1, np.full(len(cells), uniform)], axis=1), cells["n"].to_numpy(float), cells["b"].to_numpy(int)
 
     def em(rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        w = mask / mask.sum()
+        w, last = mask / mask.sum(), -np.inf
         for _ in range(steps):
             post = p[rows] * w
-            post /= post.sum(axis=1, keepdims=True)
-            w = np.maximum((post * n[rows, None]).sum(axis=0) / n[rows].sum(), 1e-5 * mask)
+            total = post.sum(axis=1)
+            likelihood = float((n[rows] * np.log(total)).sum() / n[rows].sum())
+            if likelihood - last < tolerance:
+                break
+            last = likelihood
+            w = np.maximum((post / total[:, None] * n[rows, None]).sum(axis=0) / n[rows].sum(), 1e-5 * mask)
             w /= w.sum()
         return w
 
@@ -180,90 +149,86 @@ def learn_weights(cells: pd.DataFrame, uniform: float, steps: int = 60) -> np.nd
     return weights
 
 
-def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     Rows where held_out is true are scored but not learned from; a null counts as false. Null and empty texts
-    are the end token alone. Repeated rows count as often as they stand. With nothing to learn from, N and V
-    are 0 and all tokens have probability 1. An empty table gives an empty result.
+    are the end token alone. Repeated rows count as often as they stand. A very long text is a chunk of its own. With
+    nothing to learn from, N and V are 0 and all tokens have probability 1. An empty table gives an empty result; other
+    columns, of any names, are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     chunks = scratch.save(rows.mapInArrow(_chunks, CHUNKS), "chunks")
-    total = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_train_docs"), F.lit(0)).alias("docs")).first()
-    n_train, train_docs = int(total["n"]), int(total["docs"])
+    zero = F.lit(0).cast("long")
+    total = chunks.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("n_tokens", "n_train", "n_train_docs"))).first()
+    n_train, train_docs = int(total["n_train"]), int(total["n_train_docs"])
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * int(total["n_tokens"]) // BUCKET_GRAMS + 1)
 
     def ask(batches):
         for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row)
-                out = [(b, kind, len(keys), _pack_sorted(keys), _small(counts)) for b, kind, keys, counts in c.requests(buckets)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c.name] * len(out)), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())))],
-                    names=["chunk", "bucket", "kind", "n", "keys", "counts"],
-                )
+            for i in range(b.num_rows):
+                c = Chunk({"chunk": b.column("chunk")[i].as_py()} | {k: b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in LISTS})
+                for bucket, kind, keys, counts in c.requests(buckets):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c.name]), pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), _list(_signed(keys), pa.int64()), _list(counts.astype(np.int32), pa.int32())],
+                        names=["chunk", "bucket", "kind", "keys", "counts"],
+                    )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, part in pdf.groupby("kind"):
-            asked = [_unpack_sorted(raw) for raw in part["keys"]]
-            keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([_unsmall(raw, n) for raw, n in zip(part["counts"], part["n"])])).astype(np.int64)
+            keys, at = np.unique(np.concatenate(part["keys"].to_list()), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate(part["counts"].to_list())).astype(np.int64)
             distinct, first = int((sums > 0).sum()), 0
-            for chunk, bucket, k in zip(part["chunk"], part["bucket"], asked):
-                out.append((chunk, bucket, kind, len(k), _small(sums[at[first : first + len(k)]]), distinct if first == 0 else 0))
+            for chunk, bucket, k in zip(part["chunk"], part["bucket"], part["keys"]):
+                out.append((chunk, bucket, kind, sums[at[first : first + len(k)]], distinct if first == 0 else 0))
                 first += len(k)
-        return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "n", "counts", "distinct"])
+        return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "counts", "distinct"])
 
-    asked = chunks.mapInArrow(ask, "chunk string, bucket int, kind int, n int, keys binary, counts binary")
-    answers = scratch.save(asked.groupBy("bucket").applyInPandas(answer, "chunk string, bucket int, kind int, n int, counts binary, distinct long"), "answers")
-    n_vocab = int(answers.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the finished exchange
+    asked = chunks.mapInArrow(ask, "chunk string, bucket int, kind int, keys array<long>, counts array<int>")
+    answers = scratch.save(asked.groupBy("bucket").applyInPandas(answer, "chunk string, bucket int, kind int, counts array<long>, distinct long"), "answers")
+    n_vocab = int(answers.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), zero)).first()[0])
 
     def bins(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Deleted estimates of the training tokens, binned."""
         out = []
-        for _, row in left.iterrows():
+        for row in left.to_dict("records"):
             c = Chunk(row)
             c2, c1, c0 = (x[c.train] for x in c.counts(right, train_docs))
             with np.errstate(divide="ignore", invalid="ignore"):
-                p2 = np.where(c2 > 1, -np.log2((c2 - 1) / (c1 - 1)), -1)
-                p1 = np.where(c0 > 1, -np.log2((c0 - 1) / (n_train - 1)), -1)
-            cell = (octave(c1) * 1024 + np.where(p2 < 0, 1023, np.rint(p2 * FINE))) * 1024 + np.where(p1 < 0, 1023, np.rint(p1 * FINE))
-            cell, n = np.unique(cell.astype(np.int64), return_counts=True)
+                p2 = np.where(c2 > 1, np.minimum(np.rint(-np.log2((c2 - 1) / (c1 - 1)) * FINE), BINS - 2), BINS - 1)
+                p1 = np.where(c0 > 1, np.minimum(np.rint(-np.log2((c0 - 1) / (n_train - 1)) * FINE), BINS - 2), BINS - 1)
+            cell, n = np.unique(((octave(c1) * BINS + p2) * BINS + p1).astype(np.int64), return_counts=True)
             out.append(pd.DataFrame({"cell": cell, "n": n}))
         return pd.concat(out) if out else pd.DataFrame({"cell": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
 
-    met = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "kind", "n", "counts").groupBy("chunk"))
-    cells = met.applyInPandas(bins, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # fewer than 2**25 cells at any size
-    part = lambda shift: (cells["cell"].to_numpy(np.int64) >> shift) & 1023
-    none = lambda x: np.where(x == 1023, np.nan, x)
-    weights = learn_weights(pd.DataFrame({"b": part(20), "p2": none(part(10)), "p1": none(part(0)), "n": cells["n"]}), 1 / (n_vocab + 1))
-    gc.collect()
-    spark._jvm.System.gc()
+    met = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "kind", "counts").groupBy("chunk"))
+    cells = scratch.save(met.applyInPandas(bins, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells").toPandas()  # at most OCTAVES * BINS**2
+    part = lambda by: (cells["cell"].to_numpy(np.int64) // by) % BINS
+    none = lambda x: np.where(x == BINS - 1, np.nan, x)
+    weights = learn_weights(pd.DataFrame({"b": cells["cell"] // BINS**2, "p2": none(part(BINS)), "p1": none(part(1)), "n": cells["n"]}), 1 / (n_vocab + 1))
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, row in left.iterrows():
+        for row in left.to_dict("records"):
             c = Chunk(row)
             c2, c1, c0 = c.counts(right, train_docs)
             w = weights[octave(c1)]
             p = w[:, 0] * (c2 / np.maximum(c1, 1)) + w[:, 1] * (c0 / max(n_train, 1)) + w[:, 2] / (n_vocab + 1) if n_train else np.ones(len(c0))
             base = np.log10((c0 + 1) / (n_train + n_vocab + 1))
             out.append(pd.DataFrame({
-                "doc_id": pd.array(np.where(c.known, c.ids, 0), dtype="Int64"), "held_out": c.held, "n_tokens": c.lengths,
+                "doc_id": pd.arrays.IntegerArray(c.ids.astype(np.int64), ~c.known), "held_out": c.held, "n_tokens": c.lengths,
                 "n_known": np.add.reduceat((c0 > 0).astype(np.int64), c.starts), "train_tokens": np.int64(n_train),
                 "base_score": np.add.reduceat(base, c.starts), "score": np.add.reduceat(np.log10(p), c.starts),
             }))
-            out[-1].loc[~c.known, "doc_id"] = pd.NA
         return pd.concat(out)
 
     return met.applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose crc32(doc_id) mod 7 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score_corpus(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
