@@ -9,32 +9,39 @@ shared boilerplate is not a key, and the first d + 1 blocks are the join keys.
 
 Candidates of a key are a star around one member. They must pass the Hamming distance of finer parity
 sketches, which never exceeds d, before exact sets are compared. Members of a key that ended up in
-different components are then compared sketch by sketch inside the key's own task, so no link between
-components is missed, and no group is expanded into all of its pairs.
+different components are then compared sketch by sketch, so no link between components is missed, and no
+group is expanded into all of its pairs. A key of many members is cut into blocks of ``BLOCK`` members, and a
+task compares two blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.components import connected_components
-from wardlight.llm.scratch import Scratch
+from wardlight.llm.scratch import Scratch, with_labels
 from wardlight.llm.textkernel import U64, Words, mix, text_chunks, windows
 
-#: Documents whose keys are counted to order keys by how common they are, and the most that are remembered.
-#: Both steer the order of keys only; the result does not depend on them.
-ORDER_SAMPLE, ORDER_KEYS, COMMON = 20_000, 65_536, 4
+#: Documents whose keys are counted to order keys by how common they are, and the most keys that are remembered. A key
+#: counted HOT times there is led by an aggregate instead of a window. All steer order and plan only, not the result.
+ORDER_SAMPLE, ORDER_KEYS, COMMON, HOT = 20_000, 65_536, 4, 16
 SMALL = 64
 #: Vertices a task remembers to pass over copies; copies beyond are removed after the shuffle.
-SEEN_ROWS = 200_000
+SEEN_ROWS = 100_000
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, the texts are joined by id.
 BROADCAST_IDS = 1_000_000
 RAW_LEVEL = 63
 #: A member carries its first so many keys, by which most pairs that share several keys leave from one key only.
 FIRST_KEYS = 16
+#: Members of a key in one block (two blocks meet in a task), rows a task compares at a time, and bytes of sketches XOR-ed at a time.
+BLOCK, SLICE, XOR_BYTES = 1_024, 4_096, 4 << 20
+#: Pairs a task holds before they leave or are reduced.
+PAIRS = 200_000
 
 
 def _level(n: int) -> int:
@@ -46,22 +53,29 @@ def max_difference(a: int, b: int, num: int, den: int) -> int:
     return (a + b) * (den - num) // (den + num)
 
 
-def shingle_sets(column: pa.Array, width: int):
-    """(row, sorted distinct shingle hashes, hash of the whole word sequence) of each text with a word."""
+def shingle_sets(column: pa.Array, width: int, twins: frozenset[int] = frozenset(), every: int = 1):
+    """(row, sorted distinct shingle hashes, vertex, second hash) of each text with a word, of one vertex in ``every``.
+
+    The vertex is a hash of the whole word sequence, or its second hash where the first stands for several sequences.
+    """
     for first, _, data, offsets in text_chunks(column):
         w = Words(data, offsets, fold=True)
         h, at = windows(w.hash, w.bounds, width)
         cuts = np.searchsorted(at, w.bounds)
-        order = np.arange(len(w.hash), dtype=U64)
+        order = mix(np.arange(int(w.counts.max(initial=0)), dtype=U64), 1)
         for d in np.flatnonzero(w.counts):
             words = w.hash[w.bounds[d] : w.bounds[d + 1]]
-            whole = mix(words * mix(order[: len(words)], 1)).sum(dtype=U64)
-            whole = mix(np.array([whole]), len(words))
-            s = whole if len(words) < width else h[cuts[d] : cuts[d + 1]].copy()
+            placed = words * order[: len(words)]
+            both = np.array([mix(placed).sum(dtype=U64), mix(placed, 2).sum(dtype=U64)])
+            whole, second = mix(both, len(words)).tolist()
+            vertex = second if whole in twins else whole
+            if vertex % every:
+                continue
+            s = mix(both[:1], len(words)) if len(words) < width else h[cuts[d] : cuts[d + 1]].copy()
             s.sort()
             if len(s) > 1:
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield first + int(d), s, int(whole[0])
+            yield first + int(d), s, vertex, second
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -127,88 +141,129 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, U64).view(np.int64))
+
+
+def _groups(batches, columns: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches cut anew where the values of the columns change, into tables of about SLICE rows."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < 2:
+            continue
+        change = np.zeros(held.num_rows - 1, bool)
+        for c in columns:
+            x = held.column(c).to_numpy()
+            change |= x[1:] != x[:-1]
+        cuts, first = np.flatnonzero(change) + 1, 0
+        while (more := cuts[cuts > first]).size:
+            end = int(more[max(0, np.searchsorted(more, first + SLICE, side="right") - 1)])
+            yield held.slice(first, end - first)
+            first = end
+        held = held.slice(first)
+    if held is not None and held.num_rows:
+        yield held
+
+
 class JaccardJoin:
     """The stages of the join. A vertex v is a word sequence, named by its hash, so copies are one vertex."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, width: int, num: int, den: int):
         self.docs, self.scratch, self.width, self.num, self.den = docs, scratch, width, num, den
+        self.twins: frozenset[int] = frozenset()
 
     def sets(self) -> DataFrame:
-        """id, n (shingles), v (null without words) of each row."""
-        width = self.width
+        """id, n (shingles), v (null without words), second, bits (the sketch, where the task has not met v before) of each row."""
+        width, twins = self.width, self.twins
 
         def run(batches):
+            seen = set()
             for b in batches:
-                n, v, has = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U64), np.zeros(b.num_rows, bool)
-                for i, s, whole in shingle_sets(b.column("text"), width):
-                    n[i], v[i], has[i] = len(s), whole, True
-                yield _batch(["id", "n", "v"], [b.column("id"), pa.array(n), pa.array(v.view(np.int64), mask=~has)])
-
-        return self.docs.mapInArrow(run, "id long, n long, v long")
-
-    def keys(self, common: np.ndarray, every: int = 1) -> DataFrame:
-        """key, v of the vertices (of one in ``every``, by hash); copies met again in a task are passed over."""
-        width, num, den = self.width, self.num, self.den
-        common = self.docs.sparkSession.sparkContext.broadcast(common)  # at most ORDER_KEYS numbers
+                n, v, second, has = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, U64), np.zeros(b.num_rows, U64), np.zeros(b.num_rows, bool)
+                bits: list[bytes | None] = [None] * b.num_rows
+                for i, s, vertex, other in shingle_sets(b.column("text"), width, twins):
+                    n[i], v[i], second[i], has[i] = len(s), vertex, other, True
+                    if vertex not in seen:
+                        bits[i] = sketch(s)
+                        if len(seen) < SEEN_ROWS:
+                            seen.add(vertex)
+                yield _batch(["id", "n", "v", "second", "bits"], [b.column("id"), pa.array(n), *(pa.array(x.view(np.int64), mask=~has) for x in (v, second)), pa.array(bits, pa.binary())])
+
+        return self.docs.mapInArrow(run, "id long, n long, v long, second long, bits binary")
+
+    def keys(self, common: np.ndarray, hot: np.ndarray, every: int = 1) -> DataFrame:
+        """key, v, hot of the vertices (of one in ``every``, by hash); copies met again in a task are passed over."""
+        width, num, den, twins = self.width, self.num, self.den, self.twins
+        shared = self.docs.sparkSession.sparkContext.broadcast((common, hot))  # at most ORDER_KEYS numbers each
 
         def run(batches):
+            common, hot = shared.value
             seen, vs, keys, held = set(), [], [], 0
+
+            def out():
+                k = np.concatenate(keys)
+                warm = hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k if len(hot) else np.zeros(len(k), bool)
+                return _batch(["key", "v", "hot"], [pa.array(k.view(np.int64)), pa.array(np.concatenate(vs).view(np.int64)), pa.array(warm)])
+
             for b in batches:
-                for _, s, whole in shingle_sets(b.column("text"), width):
-                    if whole in seen or whole % every:
+                for _, s, vertex, _ in shingle_sets(b.column("text"), width, twins, every):
+                    if vertex in seen:
                         continue
                     if len(seen) < SEEN_ROWS:
-                        seen.add(whole)
-                    for k in block_keys(s, common.value, num, den):
-                        vs.append(np.full(len(k), whole, U64))
+                        seen.add(vertex)
+                    for k in block_keys(s, common, num, den):
+                        vs.append(np.full(len(k), vertex, U64))
                         keys.append(k)
                         held += len(k)
-                    if held > 200_000:
-                        yield _batch(["key", "v"], [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, vs)])
+                    if held > PAIRS:
+                        yield out()
                         vs, keys, held = [], [], 0
             if held:
-                yield _batch(["key", "v"], [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, vs)])
-
-        return self.docs.select("text").mapInArrow(run, "key long, v long")
+                yield out()
 
-    def common_keys(self, n_docs: int) -> np.ndarray:
-        part = self.keys(np.zeros(0, U64), max(1, n_docs // ORDER_SAMPLE)).distinct()
-        top = part.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(ORDER_KEYS)
-        return np.sort(np.array([r["key"] for r in top.select("key").collect()], np.int64).view(U64))
+        return self.docs.select("text").mapInArrow(run, "key long, v long, hot boolean")
 
-    def sketches(self) -> DataFrame:
-        width = self.width
+    def common_keys(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """The most common keys of a sample, and those of them that are hot; all stand for several vertices."""
+        none = np.zeros(0, U64)
+        part = self.keys(none, none, max(1, n_docs // ORDER_SAMPLE)).select("key", "v").distinct()
+        top = part.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(ORDER_KEYS).collect()
+        as_keys = lambda rows: np.sort(np.array([r["key"] for r in rows], np.int64).view(U64))
+        return as_keys(top), as_keys([r for r in top if r["count"] >= HOT])
 
-        def run(batches):
-            seen = set()
-            for b in batches:
-                v, n, bits = [], [], []
-                for _, s, whole in shingle_sets(b.column("text"), width):
-                    if whole in seen:
-                        continue
-                    if len(seen) < SEEN_ROWS:
-                        seen.add(whole)
-                    v.append(whole)
-                    n.append(len(s))
-                    bits.append(sketch(s))
-                yield _batch(["v", "n", "bits"], [pa.array(np.array(v, U64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bits, pa.binary())])
+    def keyed(self, common: np.ndarray, hot: np.ndarray) -> DataFrame:
+        """key, v, m (members of the key), lead (one of them, drawn by a hash of four seeds) where m > 1.
 
-        return self.docs.select("text").mapInArrow(run, "v long, n long, bits binary").dropDuplicates(["v"])
+        A hot key is dealt out by 64 salts and put together again by an aggregate, so no task gets all its members.
+        """
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(64))).otherwise(0).cast("int")
+        rows = self.keys(common, hot).withColumn("salt", salt).repartition("key", "salt").dropDuplicates(["key", "salt", "v"])
+        part, drawn = Window.partitionBy("key", "salt"), F.struct(F.xxhash64("v", F.col("key").bitwiseAND(3)).alias("r"), "v")
+        rows = rows.withColumn("m", F.count(F.lit(1)).over(part)).filter("m > 1 or hot")  # few are left
+        rows = self.scratch.save(rows.withColumn("lead", F.min(drawn).over(part)), "keyed")
+        out = rows.filter("not hot").select("key", "v", "m", F.col("lead")["v"].alias("lead"))
+        if len(hot):
+            leads = rows.filter("hot").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("lead")["v"].alias("lead")).filter("m > 1")
+            out = out.unionByName(rows.filter("hot").select("key", "v").join(F.broadcast(leads), "key").select("key", "v", "m", "lead"))  # at most ORDER_KEYS leads
+        return out
 
     def exact_sets(self, ids: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
         """v and the sorted shingle hashes of the rows with these ids, and of the vertices (v) whose rows all lack an id."""
-        width = self.width
+        width, twins = self.width, self.twins
 
         def run(batches):
             for b in batches:
-                v, sets = [], []
-                for _, s, whole in shingle_sets(b.column("text"), width):
-                    v.append(whole)
+                v, sets, held = [], [], 0
+                for _, s, vertex, _ in shingle_sets(b.column("text"), width, twins):
+                    v.append(vertex)
                     sets.append(s.tobytes())
-                    if len(v) == 200:
-                        yield _batch(["v", "s"], [pa.array(np.array(v, U64).view(np.int64)), pa.array(sets, pa.binary())])
-                        v, sets = [], []
-                yield _batch(["v", "s"], [pa.array(np.array(v, U64).view(np.int64)), pa.array(sets, pa.binary())])
+                    held += s.nbytes
+                    if held > XOR_BYTES:
+                        yield _batch(["v", "s"], [_signed(v), pa.array(sets, pa.binary())])
+                        v, sets, held = [], [], 0
+                yield _batch(["v", "s"], [_signed(v), pa.array(sets, pa.binary())])
 
         sets = lambda rows: rows.select("text").mapInArrow(run, "v long, s binary")
         out = sets(self.docs.join(ids, "id", "left_semi"))
@@ -216,42 +271,6 @@ class JaccardJoin:
             out = out.unionByName(sets(self.docs.filter("id is null")).join(orphans, "v", "left_semi"))
         return out.dropDuplicates(["v"])
 
-    def stars(self, keyed: DataFrame) -> DataFrame:
-        """Candidate pairs of each key: one member, drawn by a hash of four seeds, with all others."""
-
-        def run(batches):
-            held_k, held_u = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-            def pairs(k, u):
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-                size = np.diff(np.concatenate([first, [len(k)]]))
-                rank = mix(u.view(U64) ^ mix(k.view(U64) & U64(3), 1))
-                best = np.minimum.reduceat(rank, first) if len(k) else rank
-                lead = rank == np.repeat(best, size)
-                at = np.flatnonzero(lead)
-                at = at[np.concatenate([[True], k[at][1:] != k[at][:-1]])] if len(at) else at
-                a, b = np.repeat(u[at], size), u
-                keep = a != b
-                a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-                if not len(a):
-                    return None
-                p = np.unique(np.stack([a, b], axis=1), axis=0)
-                return _batch(["a", "b"], [pa.array(p[:, 0]), pa.array(p[:, 1])])
-
-            for batch in batches:
-                k = np.concatenate([held_k, batch.column("key").to_numpy()])
-                u = np.concatenate([held_u, batch.column("v").to_numpy()])
-                if not len(k):
-                    continue
-                cut = int(np.searchsorted(k, k[-1]))
-                held_k, held_u = k[cut:], u[cut:]
-                if cut and (out := pairs(k[:cut], u[:cut])) is not None:
-                    yield out
-            if len(held_k) and (out := pairs(held_k, held_u)) is not None:
-                yield out
-
-        return keyed.mapInArrow(run, "a long, b long").distinct()
-
     def near(self, pairs: DataFrame, sketched: DataFrame) -> DataFrame:
         """Pairs whose parity sketches do not rule them out, with the distance."""
         num, den = self.num, self.den
@@ -259,8 +278,8 @@ class JaccardJoin:
         def run(batches):
             for b in batches:
                 na, nb, keep, dist = b.column("na").to_numpy(), b.column("nb").to_numpy(), [], []
-                for i, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist())):
-                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                for i, (x, y) in enumerate(zip(b.column("bits_a"), b.column("bits_b"))):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
                     size = min(len(x), len(y))
                     d = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
                     if d <= max_difference(int(na[i]), int(nb[i]), num, den):
@@ -297,71 +316,69 @@ class JaccardJoin:
     def across(self, members: DataFrame, sketched: DataFrame, nearest: bool) -> DataFrame:
         """Pairs (a, b, d) of one key's members in different components that their sketches do not rule out.
 
-        members: key, v, comp. All keys of a batch advance together: rows are compared with the row o places
-        on in their key, for o = 1, 2, ... Only pairs that pass leave the task; with ``nearest`` only each
+        members: key, v, comp, blocks (of the key). A row is repeated for each pair of blocks its own is in, and a task
+        compares the rows of one pair of blocks; all groups of a slice advance together: rows are compared with the row o
+        places on in their group, for o = 1, 2, ... Only pairs that pass leave the task; with ``nearest`` only each
         member's nearest one, which makes a round linear in the members. A pair leaves from the first key it shares.
         """
         num, den = self.num, self.den
 
-        def pairs(k, v, comp, n, early, raw):
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        def tests(t: pa.Table):
+            """Arrays (a, b, d) of pairs that pass, a bounded number at a time."""
+            k, v, comp, n, lo, hi, own = (t.column(c).to_numpy() for c in ("key", "v", "comp", "n", "lo", "hi", "own"))
+            raw = [x.as_buffer() for x in t.column("bits").combine_chunks()]
+            early = np.full((t.num_rows, FIRST_KEYS), np.iinfo(np.int64).max)
+            lists = t.column("early").combine_chunks()
+            early[np.arange(FIRST_KEYS) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
             size = np.diff(np.concatenate([first, [len(k)]]))
-            group = np.repeat(np.arange(len(first)), size)
-            bytes_of = np.array([len(x) for x in raw])
-            width = np.minimum.reduceat(bytes_of, first)[group]
-            found = []
+            group, inside = np.repeat(np.arange(len(first)), size), lo == hi
+            width = np.minimum.reduceat(np.array([len(x) for x in raw]), first)[group]
             for w in np.unique(width):
                 rows = np.flatnonzero(width == w)
                 bits = np.stack([fold(np.frombuffer(raw[i], np.uint8), w) for i in rows]).view(np.uint64)
-                g, cc, nn = group[rows], comp[rows], n[rows]
+                g, cc, nn, bb, free = group[rows], comp[rows], n[rows], own[rows], inside[rows]
                 for o in range(1, int(size[g].max())):
-                    i = np.flatnonzero((g[o:] == g[:-o]) & (cc[o:] != cc[:-o]))
+                    i = np.flatnonzero((g[o:] == g[:-o]) & (cc[o:] != cc[:-o]) & (free[:-o] | (bb[o:] != bb[:-o])))
                     i = i[np.minimum(nn[i], nn[i + o]) * den >= np.maximum(nn[i], nn[i + o]) * num]
-                    for part in np.array_split(i, max(1, len(i) * int(w) // (16 << 20))):
+                    for part in np.array_split(i, max(1, len(i) * int(w) // XOR_BYTES)):
                         d = np.bitwise_count(bits[part] ^ bits[part + o]).sum(axis=1)
                         ok = d <= (nn[part] + nn[part + o]) * (den - num) // (den + num)
-                        at, d = part[ok], d[ok].astype(np.int64)
-                        for some in np.array_split(np.arange(len(at)), len(at) // 4096 + 1):
-                            x, y = rows[at[some]], rows[at[some] + o]
+                        x, y, d = rows[part[ok]], rows[part[ok] + o], d[ok].astype(np.int64)
+                        if len(x):
                             new = ~_met_before(k[x], early[x], early[y])
-                            if new.any():
-                                found.append(np.stack([v[x[new]], v[y[new]], d[some[new]]]))
-            if not found:
-                return None
+                            yield np.stack([v[x[new]], v[y[new]], d[new]])
+
+        def reduced(found: list[np.ndarray]) -> np.ndarray:
             a, b, d = np.concatenate(found, axis=1)
             if nearest:
                 side, other, dd = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
                 order = np.lexsort((other, dd, side))
-                head = order[np.concatenate([[True], side[order][1:] != side[order][:-1]])]
+                head = order[np.concatenate([[True], side[order][1:] != side[order][:-1]])] if len(order) else order
                 a, b, d = side[head], other[head], dd[head]
-            t = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), d], axis=1), axis=0)
-            return _batch(["a", "b", "d"], [pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(t[:, 2])])
+            return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), d]), axis=1)
 
         def run(batches):
-            held = None
-            for batch in batches:
-                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                if not held.num_rows:
-                    continue
-                k = held.column("key").to_numpy()
-                cut = int(np.searchsorted(k, k[-1]))
-                if cut and (out := solve(held.slice(0, cut))) is not None:
-                    yield out
-                held = held.slice(cut)
-            if held is not None and held.num_rows and (out := solve(held)) is not None:
-                yield out
-
-        def solve(t):
-            raw = [x.as_buffer() for x in t.column("bits").combine_chunks()]
-            early = np.full((t.num_rows, FIRST_KEYS), np.iinfo(np.int64).max)
-            lists = t.column("early").combine_chunks()
-            held = np.diff(lists.offsets.to_numpy())
-            early[np.arange(FIRST_KEYS) < held[:, None]] = lists.flatten().to_numpy()
-            return pairs(*(t.column(c).to_numpy() for c in ("key", "v", "comp", "n")), early, raw)
-
-        first = members.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("early"))  # a document's keys
-        rows = members.join(first, "v").join(sketched, "v").select("key", "v", "comp", "n", "early", "bits").repartition("key").sortWithinPartitions("key", "v")
-        return rows.mapInArrow(run, "a long, b long, d long").distinct()
+            for t in _groups(batches, ["key", "lo", "hi"]):
+                found, held = [], 0
+                for pairs in tests(t):
+                    found.append(pairs)
+                    held += pairs.shape[1]
+                    if held > PAIRS:
+                        found = [reduced(found)]
+                        held = found[0].shape[1]
+                        if held > PAIRS // 2:
+                            yield _batch(["a", "b", "d"], list(map(pa.array, found[0])))
+                            found, held = [], 0
+                if held:
+                    yield _batch(["a", "b", "d"], list(map(pa.array, reduced(found))))
+
+        early = members.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("early"))  # a document's keys
+        own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+        rows = members.withColumn("own", own).withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+        rows = rows.join(early, "v").join(sketched, "v").select("key", "lo", "hi", "own", "v", "comp", "n", "early", "bits")
+        return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "v").mapInArrow(run, "a long, b long, d long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -376,22 +393,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     scratch = scratch or Scratch(spark, "jaccard")
     join = JaccardJoin(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scratch, width, num, den)
     sized = scratch.save(join.sets(), "sized")
-    sketched = scratch.save(join.sketches(), "sketched")
-    common = join.common_keys(sized.count())
-    keyed = join.keys(common).repartition("key").dropDuplicates(["key", "v"])
-    keyed = scratch.save(keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1"), "keyed")
-    cand = join.stars(keyed.select("key", "v").repartition("key").sortWithinPartitions("key", "v"))
-    near = scratch.save(join.near(cand, sketched), "near")
-    heads = sized.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"))  # a row to read each text from
+    twins = sized.filter("v is not null").groupBy("v").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).filter("lo <> hi").select("v").collect()
+    if twins:  # sequences that share 64 bits: some hundreds among 10**11 texts
+        join.twins = frozenset(r["v"] % 2**64 for r in twins)
+        sized = scratch.save(join.sets(), "sized-apart")
+    sketched = scratch.save(sized.filter("bits is not null").select("v", "n", "bits").dropDuplicates(["v"]), "sketched", files=sized.count() // 5_000 + 1)
+    n_rows = sized.count()
+    files = n_rows // 50_000 + 1  # of tables of a row a vertex
+    keyed = join.keyed(*join.common_keys(n_rows))
+    cand = keyed.filter("v <> lead").select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
+    n_keyed = keyed.count()
+    near = scratch.save(join.near(cand, sketched), "near", files=n_keyed // 20_000 + 1)
+    heads = scratch.save(sized.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "heads", files=files)  # a row to read each text from
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        chosen = scratch.save(heads.join(wanted, "v", "left_semi"), f"ids-{name}")
+        some = pairs.count() // 2_000 + 1
+        chosen = scratch.save(heads.join(wanted, "v", "left_semi"), f"ids-{name}", files=some)
         ids, orphans = chosen.filter("id is not null").select("id"), chosen.filter("id is null").select("v")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = scratch.save(join.exact_sets(ids, None if orphans.isEmpty() else orphans), f"sets-{name}")
-        return scratch.save(join.links(pairs, sets), f"links-{name}")
+        sets = scratch.save(join.exact_sets(ids, None if orphans.isEmpty() else orphans), f"sets-{name}", files=some)
+        return scratch.save(join.links(pairs, sets), f"links-{name}", files=some)
 
     def merged(comps: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
         """Labels after further links: components of the graph of the old labels."""
@@ -399,10 +422,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
             return connected_components(links, scratch)
         old = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
         edges = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-        new = connected_components(edges, scratch)
+        new = connected_components(scratch.save(edges, f"edges-{name}", files=files), scratch)
         moved = comps.join(new.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
         fresh = new.join(comps.select("id"), "id", "left_anti")
-        return scratch.save(moved.unionByName(fresh), f"comps-{name}")
+        return scratch.save(moved.unionByName(fresh), f"comps-{name}", files=files)
 
     def crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
@@ -411,9 +434,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     def mixed_keys(comps: DataFrame, name: str) -> DataFrame:
         members = keyed.filter("m > 2").select("key", "v").join(comps.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        members = scratch.save(members, f"members-{name}")
-        split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        return members.join(split, "key", "left_semi")
+        members = scratch.save(members, f"members-{name}", files=n_keyed // 100_000 + 1)
+        split = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("lo <> hi")
+        return members.join(split.select("key", "blocks"), "key")
 
     best = Window.partitionBy("side").orderBy("d", "a", "b")
 
@@ -424,22 +447,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     # First each vertex's nearest candidate, then its nearest one in another component, then all that still lie
     # between components.
-    tested = scratch.save(nearest(near), "pairs-0")
+    tested = scratch.save(nearest(near), "pairs-0", files=files)
     comps = merged(None, verified(tested, "0"), "0")
     for name, only in (("1", True), ("2", False)):
         more = join.across(mixed_keys(comps, name), sketched, only)
         more = nearest(more) if only else more
-        rest = scratch.save(crossing(more.unionByName(near).distinct(), comps).join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{name}")
+        rest = scratch.save(crossing(more.unionByName(near).distinct(), comps).join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{name}", files=n_keyed // 50_000 + 1)
         if not rest.isEmpty():
             comps = merged(comps, verified(rest, name), name)
             tested = tested.unionByName(rest)
 
-    labels = scratch.save(sized.join(comps.withColumnRenamed("id", "v"), "v", "left").select("id", "n", F.coalesce("comp", "v").alias("comp")), "labels")
-    least = scratch.save(labels.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("least")), "least")
-    return labels.join(least, "comp", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
-    )
+    found = heads.join(comps.withColumnRenamed("id", "v"), "v", "left").select("v", "id", "copies", F.coalesce("comp", "v").alias("comp"))
+    found = scratch.save(found, "found", files=files)
+    least = scratch.save(found.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("__n")), "least", files=files)
+    labels = scratch.save(with_labels(found, least, "comp", n_rows).select("v", "component_id", F.col("copies").alias("__n")), "labels", files=files)
+    rows, wordy = sized.select("id", "n", "v"), F.col("v").isNotNull()
+    out = with_labels(rows.filter(wordy), labels, "v", n_rows).unionByName(rows.filter(~wordy).withColumn("component_id", F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Links at a Jaccard of 0.75 or more of the five-word shingles of all documents: doc_id, n_shingles, component_id."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
