@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact size through a hypergeometric communication matrix [native].
 
-1. Rows fall into P source partitions by a hash of doc_id, so a re-run or a lost executor sees the same ones.
+1. Rows fall into P source partitions by a hash of doc_id, size and checksum, so a re-run or a lost executor sees the same
+   ones. Rows equal in all three are numbered by counting, so they spread and shuffle like any others.
 2. From the P row counts alone the driver draws, partition by partition, how many rows go to each shard:
    a multivariate hypergeometric draw from the capacities that are left. P is at most ``MAX_PARTS``.
 3. Each partition permutes its rows by a random hash, and the drawn counts cut that order into shards.
@@ -10,6 +11,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -17,10 +19,10 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.scratch import Scratch
+from wardlight.llm.scratch import Scratch, numbered
 
 MAX_PARTS = 4096
-ROWS_PER_PART = 32_768
+ROWS_PER_PART, ROWS_PER_FILE = 32_768, 1 << 20
 MAX_SUBS = 256
 
 
@@ -73,37 +75,30 @@ def _json_table(spark, rows: list[dict], schema: str) -> DataFrame:
 def uniform_shards(docs: DataFrame, n_shards: int = 40, seed: int = 20_011, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: every row once, shards at most one row apart (law ``rows``).
 
-    A null text has no bytes and the checksum of the empty text. Rows that repeat an id are rows of their
-    own; ties of the random hash are broken by id, checksum and size, and rows equal in all of them are
-    interchangeable. An empty table gives an empty result. Other columns are ignored.
+    A null text has no bytes and the checksum of the empty text. Rows that repeat an id, or lack one, are rows of their
+    own; rows equal in id, checksum and size are interchangeable, and each falls where chance puts it. An empty table
+    gives an empty result. Other columns, of any names, are ignored. Reruns agree.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    mixed = lambda salt: F.xxhash64(F.col("doc_id"), F.lit(seed + salt))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    n_parts = min(MAX_PARTS, max(16, ids.count() // ROWS_PER_PART))
+    mixed = lambda salt: F.xxhash64("doc_id", "size", "text_crc32", "copy", F.lit(seed + salt))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = scratch.save(numbered(rows), "rows")
+    n = rows.count()
+    n_parts = min(MAX_PARTS, max(16, n // ROWS_PER_PART))
     part: Column = F.pmod(mixed(0), F.lit(n_parts)).cast("int")
-    counted = {r[0]: r[1] for r in ids.groupBy(part.alias("part")).count().collect()}
-    part_rows = [counted.get(p, 0) for p in range(n_parts)]
-    n = sum(part_rows)
-    matrix = communication_matrix(part_rows, [n // n_shards + (s < n % n_shards) for s in range(n_shards)], seed)
-    table = []
-    for p, row in enumerate(matrix):
-        upto, ends = 0, []
-        for got in row:
-            upto += got
-            ends.append(upto)
-        table.append({"part": p, "ends": ends})
+    counted = {r[0]: r[1] for r in rows.groupBy(part.alias("part")).count().collect()}  # at most MAX_PARTS
+    matrix = communication_matrix([counted.get(p, 0) for p in range(n_parts)], [n // n_shards + (s < n % n_shards) for s in range(n_shards)], seed)
+    table = [{"part": p, "ends": list(itertools.accumulate(row))} for p, row in enumerate(matrix)]
     ends = _json_table(spark, table, "part int, ends array<bigint>")  # at most MAX_PARTS * n_shards numbers
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    first = Window.partitionBy("part").orderBy(mixed(1), "doc_id", "text_crc32", "size")
+    first = Window.partitionBy("part").orderBy(mixed(1), "doc_id", "text_crc32", "size", "copy")
     placed = (
         rows.withColumn("part", part)
         .withColumn("rn", F.row_number().over(first))
         .join(F.broadcast(ends), "part")
-        .select("doc_id", "size", "text_crc32", F.size(F.filter("ends", lambda e: e < F.col("rn"))).alias("shard"))
+        .select("doc_id", "size", "text_crc32", "copy", F.size(F.filter("ends", lambda e: e < F.col("rn"))).alias("shard"))
     )
     placed = scratch.save(placed, "placed")
 
@@ -115,7 +110,7 @@ def uniform_shards(docs: DataFrame, n_shards: int = 40, seed: int = 20_011, id_c
         .withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count"))
         .select("shard", "sub", "before")
     )  # at most n_shards * 4 * MAX_SUBS rows
-    second = Window.partitionBy("shard", "sub").orderBy(mixed(2), "doc_id", "text_crc32", "size")
+    second = Window.partitionBy("shard", "sub").orderBy(mixed(2), "doc_id", "text_crc32", "size", "copy")
     return (
         placed.withColumn("rn", F.row_number().over(second))
         .join(F.broadcast(offsets), ["shard", "sub"])
@@ -123,11 +118,14 @@ def uniform_shards(docs: DataFrame, n_shards: int = 40, seed: int = 20_011, id_c
     )
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write whole rows as Parquet folders shard=0.. in slot order; ids must be unique."""
+def write_shards(docs: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, **options) -> None:
+    """Whole rows as Parquet: folders shard=0.., each of files of rows_per_file slots in order. Ids must be there and unique (checked)."""
     id_col = options.get("id_col", "doc_id")
+    if docs.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        raise ValueError(f"{id_col} is null or repeats")
     places = uniform_shards(docs, **options).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(places, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = docs.drop("shard", "slot").join(places, id_col).withColumn("__file", F.floor(F.col("slot") / rows_per_file))
+    rows.repartition("shard", "__file").sortWithinPartitions("shard", "__file", "slot").drop("__file").write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
