@@ -56,7 +56,7 @@ def sofa(vitals: Mapping[str, Column], gfr: Column | None = None) -> Column:
 
 
 def additive_risk(model: tuple, inputs: Mapping[str, Column]) -> Column:
-    """base plus the first rule that holds in each group, kept in .01 to .99."""
+    """base plus the first rule that holds in each group, kept in .01 to .99 and rounded to nine places, so that sums meet thresholds exactly."""
     base, groups = model
     total = F.lit(base)
     for group in groups:
@@ -65,7 +65,7 @@ def additive_risk(model: tuple, inputs: Mapping[str, Column]) -> Column:
             test = inputs[name] > threshold if op == ">" else inputs[name] < threshold
             part = F.when(test, points) if part is None else part.when(test, points)
         total = total + part.otherwise(0.0)
-    return F.greatest(F.lit(0.01), F.least(F.lit(0.99), total))
+    return F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), total)), 9)
 
 
 def risk_level(news: Column, sofa_score: Column, deterioration: Column | None = None, sepsis: Column | None = None, mortality: Column | None = None) -> Column:
@@ -91,4 +91,4 @@ def gapped_sql(value: str, bands: list[tuple], rest: int) -> str:
 def additive_sql(model: tuple, inputs: Mapping[str, str]) -> str:
     base, groups = model
     parts = [f"(CASE {' '.join(f'WHEN {inputs[n]} {op} {t} THEN {p}::DOUBLE' for n, op, t, p in g)} ELSE 0::DOUBLE END)" for g in groups]
-    return f"greatest(0.01::DOUBLE, least(0.99::DOUBLE, {base}::DOUBLE + {' + '.join(parts)}))"
+    return f"round(greatest(0.01::DOUBLE, least(0.99::DOUBLE, {base}::DOUBLE + {' + '.join(parts)})), 9)"

@@ -11,31 +11,48 @@ RANKS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
 
 def triage(wide: DataFrame, complaint: str = "complaint") -> DataFrame:
-    """Emergency severity 1 to 3 of last vitals and complaint, with pathway and page time."""
-    c = lambda n: F.col(n)
-    no = F.lit(False)
-    one = F.coalesce(c("spo2_pulse_ox") < 85, no)
-    words = F.lower(c(complaint)).rlike("chest pain|shortness of breath|stroke|altered mental status|severe bleeding|unresponsive|seizure")
-    two = F.coalesce((c("heart_rate") > 150) | (c("heart_rate") < 40), no) | F.coalesce(c("spo2_pulse_ox") < 90, no) | F.coalesce((c("respiratory_rate") > 35) | (c("respiratory_rate") < 6), no) | F.coalesce(words, no)
-    esi = F.when(one, 1).when(two, 2).otherwise(3)
-    return wide.withColumn("esi", esi).withColumn("pathway", F.element_at(F.array(F.lit("resuscitation"), F.lit("urgent"), F.lit("standard")), F.col("esi"))).withColumn("page_minutes", F.when(esi == 1, 2).when(esi == 2, 10))
-
-
-def differentials(wide: DataFrame) -> DataFrame:
-    """Rule-based differentials of each patient; ``undifferentiated`` where no rule fires."""
-    sep = (F.col("temperature") > 38.3) & (F.col("heart_rate") > 90) & (F.col("respiratory_rate") > 20)
-    pne = (F.col("spo2_pulse_ox") < 94) & (F.col("respiratory_rate") > 20)
-    mk = lambda d, code, p: F.struct(F.lit(d).alias("diagnosis"), F.lit(code).alias("icd10"), F.lit(p).alias("probability"))
-    found = F.array_compact(F.array(F.when(sep, mk("sepsis", "A41.9", 0.65)), F.when(pne, mk("pneumonia", "J18.9", 0.55))))
-    found = F.when(F.size(found) == 0, F.array(mk("undifferentiated", "R69", 0.30))).otherwise(found)
+    """Emergency severity 1 to 3 of last vitals (spo2_pulse_ox, gcs_total, heart_rate, bp_mean, respiratory_rate) and complaint, with pathway and page minutes.
+
+    A missing vital raises nothing. Severity 4 and 5 are never given.
+    """
+    yes = lambda t: F.coalesce(t, F.lit(False))
+    c = F.col
+    one = yes(c("spo2_pulse_ox") < 85) | yes(c("gcs_total") <= 8)
+    two = yes((c("heart_rate") > 150) | (c("heart_rate") < 40)) | yes(c("spo2_pulse_ox") < 90) | yes(c("bp_mean") < 60) | yes((c("respiratory_rate") > 35) | (c("respiratory_rate") < 6))
+    words = yes(F.lower(c(complaint)).rlike("|".join(rules.EMERGENT_COMPLAINTS)))
+    esi = F.when(one, 1).when(two | words, 2).otherwise(3)
+    pages = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.PAGE_MINUTES.items() for x in kv]), esi)
+    return wide.withColumn("esi", esi).withColumn("pathway", F.element_at(F.array(*map(F.lit, rules.PATHWAYS)), esi)).withColumn("page_minutes", pages)
+
+
+def differentials(wide: DataFrame, complaint: str = "complaint") -> DataFrame:
+    """Rule-based differentials of each patient from last vitals, wbc, lactate and complaint, in order; undifferentiated where no rule fires."""
+    yes, c = lambda t: F.coalesce(t, F.lit(False)), F.col
+    sepsis = yes(c("temperature") > 38.0) & yes(c("heart_rate") > 100) & yes(c("wbc") > 12)
+    pneumonia = yes(c("spo2_pulse_ox") < 94) & yes(F.lower(c(complaint)).rlike("dyspnea|breathing"))
+    mk = lambda d, code, p, rank: F.struct(F.lit(d).alias("diagnosis"), F.lit(code).alias("icd10"), p.cast("double").alias("confidence"), rank.alias("rank"))
+    first, second = F.lit("primary"), F.when(sepsis, "alternative").otherwise("primary")
+    found = F.array_compact(F.array(F.when(sepsis, mk("Sepsis", "A41.9", F.when(yes(c("lactate") > 2.0), 0.72).otherwise(0.58), first)), F.when(pneumonia, mk("Community-Acquired Pneumonia", "J18.9", F.lit(0.61), second))))
+    found = F.when(F.size(found) == 0, F.array(mk("Undifferentiated presentation", "R69", F.lit(0.40), first))).otherwise(found)
     return wide.select("patient_id", F.inline(found))
 
 
+def workup(differential: DataFrame) -> DataFrame:
+    """Tests still needed by patient, each once, for the diagnoses of ``differentials``."""
+    d = F.lower("diagnosis")
+    tests = F.when(d.contains("sepsis"), F.array(*map(F.lit, ["Blood cultures", "Serum lactate", "Procalcitonin"]))).when(d.contains("pneumonia"), F.array(*map(F.lit, ["Chest X-ray", "Sputum culture"]))).otherwise(F.array(F.lit("Basic metabolic panel and CBC")))
+    return differential.groupBy("patient_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tests)))).alias("workup"))  # at most three diagnoses
+
+
 def consensus(votes: DataFrame) -> DataFrame:
-    """votes: patient_id, agent, level, confidence. The worst level, mean confidence, and arbitration below .6."""
-    rank = F.array_position(F.array(*map(F.lit, RANKS)), F.col("level"))
-    agg = votes.groupBy("patient_id").agg(F.max(rank).alias("r"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("agents"))
-    return agg.select("patient_id", F.element_at(F.array(*map(F.lit, RANKS)), F.col("r").cast("int")).alias("level"), "confidence", "agents", (F.col("confidence") < 0.6).alias("arbitration"))
+    """votes: patient_id, agent, level, confidence, bypass. A critical pharmacy vote decides alone; else the worst level, mean confidence and arbitration below .6."""
+    names = F.array(*map(F.lit, RANKS))
+    agg = votes.groupBy("patient_id").agg(F.max(F.array_position(names, F.col("level"))).alias("r"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("agents"), F.bool_or("bypass").alias("bypass"))
+    level = F.when(F.col("bypass"), "CRITICAL").when(F.col("r") > 0, F.element_at(names, F.col("r").cast("int"))).otherwise("LOW")
+    return agg.select(
+        "patient_id", level.alias("level"), F.when(F.col("bypass"), 1.0).otherwise(F.col("confidence")).alias("confidence"), "agents", (~F.col("bypass") & (F.col("confidence") < 0.6)).alias("arbitration"),
+        F.when(F.col("bypass"), "pharmacy_critical_override").otherwise("consensus").alias("kind"),
+    )
 
 
 def escalations(rows: DataFrame) -> DataFrame:

@@ -89,10 +89,10 @@ def monthly_financial(enc: DataFrame) -> DataFrame:
 
 
 def core_measures(enc: DataFrame, orders: Column, as_of: Column) -> DataFrame:
-    """Applicable measures of each stay; only prophylaxis compliance can be told from orders."""
+    """Applicable measures of each stay; only prophylaxis compliance can be told from orders. Approaching: less than 4 of 24 hours left and not known to be met."""
     code = F.col("icd10")
-    applies = F.array_compact(F.array(F.lit("VTE-1"), F.lit("VTE-2"), F.when(code.startswith("I21"), "AMI-1"), F.when(code.startswith("J18"), "PN-6"), F.when(code.startswith("A41"), "SEP-1")))
+    applies = F.array_compact(F.array(F.lit("VTE-1"), F.lit("VTE-2"), F.when(code.startswith("I21") | code.startswith("I22"), "AMI-1"), F.when(code.startswith("J18"), "PN-6"), F.when(code.startswith("A41"), "SEP-1")))
     rows = enc.withColumn("measure", F.explode(applies)).withColumn("orders", orders)
     compliant = F.when(F.col("measure").startswith("VTE"), F.col("orders").rlike("heparin|enoxaparin|sequential compression"))
     left = (F.unix_timestamp(F.to_timestamp("admission")) + 86400 - F.unix_timestamp(as_of)) / 3600.0
-    return rows.withColumn("compliant", compliant).withColumn("hours_left", left).withColumn("approaching", (left >= 0) & (left < 4))
+    return rows.withColumn("compliant", compliant).withColumn("hours_left", left).withColumn("approaching", (left < 4) & ~F.coalesce(F.col("compliant"), F.lit(False)))

@@ -70,12 +70,20 @@ def bias_audit(feedback: DataFrame, gap: float = 0.05) -> DataFrame:
 
 
 def link_outcomes(feedback: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Outcomes joined to feedback of their encounter and output type, with whether the prediction was right."""
+    """Feedback with the latest outcome of its encounter and output type, and whether the prediction was right.
+
+    outcomes: encounter_id, outcome_type, occurred, at, seq. They are reduced to one a key first, so hot encounters don't square.
+    """
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in rules.OUTCOME_OUTPUT.items() for x in kv]), F.col("outcome_type"))
-    o = outcomes.withColumn("output_type", kind).select("encounter_id", "output_type", F.col("occurred").alias("outcome"))
+    o = outcomes.withColumn("output_type", kind).groupBy("encounter_id", "output_type").agg(F.max_by("occurred", F.struct("at", "seq")).alias("outcome"))
     return feedback.drop("occurred").join(o, ["encounter_id", "output_type"]).withColumn("correct", (F.col("probability") > 0.5) == F.col("outcome"))
 
 
+def validated_accuracy(linked: DataFrame, group: list[str]) -> DataFrame:
+    """Linked predictions, right ones and their share by group."""
+    return linked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right")).withColumn("accuracy", F.col("right") / F.col("n"))
+
+
 def eligibility(models: DataFrame) -> DataFrame:
     """models: model, gain, bias_ok, shadow_days, physicians, drifted. All five checks, and which fail."""
     checks = {"gain": F.col("gain") >= 0.02, "bias": F.col("bias_ok"), "shadow": F.col("shadow_days") >= 30, "physicians": F.col("physicians") >= 5, "drift": ~F.col("drifted")}

@@ -21,8 +21,7 @@ def labs(notes: DataFrame) -> DataFrame:
 
 def note_vitals(notes: DataFrame) -> DataFrame:
     """First mention of each vital sign."""
-    cols = {k: F.expr("try_cast(x as double)") for k in ()}
-    out = notes.select("document_id", *[F.regexp_extract("text", "(?i)" + p, 1).alias(k) for k, p in rules.NOTE_VITALS.items()], *cols.values())
+    out = notes.select("document_id", *[F.regexp_extract("text", "(?i)" + p, 1).alias(k) for k, p in rules.NOTE_VITALS.items()])
     return out.select("document_id", *[F.expr(f"try_cast(nullif({k}, '') as double)").alias(k) for k in rules.NOTE_VITALS])
 
 

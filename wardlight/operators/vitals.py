@@ -119,7 +119,7 @@ def deterioration(vitals: DataFrame) -> DataFrame:
     rows = latest_wide(vitals).join(slope, "patient_id")
     inputs = {p: F.coalesce(F.col(p), F.lit(float(d))) for p, d in rules.MODEL_DEFAULTS.items()} | {s: F.coalesce(F.col(s), F.lit(0.0)) for s in ("hr_slope", "sbp_slope")}
     out = rows.withColumn("deterioration", scores.additive_risk(rules.DETERIORATION, inputs)).withColumn("sepsis", scores.additive_risk(rules.SEPSIS, inputs))
-    return out.withColumn("mortality", 0.55 * F.col("deterioration") + 0.45 * F.col("sepsis"))
+    return out.withColumn("mortality", F.round(0.55 * F.col("deterioration") + 0.45 * F.col("sepsis"), 9))
 
 
 def alerts(vitals: DataFrame) -> DataFrame:
@@ -134,6 +134,12 @@ def alerts(vitals: DataFrame) -> DataFrame:
     return rows.withColumn("alerts", F.array_join(names, ",")).withColumn("priority", F.element_at(F.array(*map(F.lit, ["LOW", "MEDIUM", "HIGH", "CRITICAL"])), rank + 1))
 
 
+def in_range(vitals: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
+    """Readings of the last hours before as_of; the bounds are literals, so they reach the scan."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    return vitals.filter((F.col("time") > end - F.expr(f"interval {hours} hours")) & (F.col("time") <= end))
+
+
 def ward_board(vitals: DataFrame) -> DataFrame:
     """Clean last vitals, scores and risk of each patient, most urgent first."""
     board = with_scores(latest_wide(artifact_filter(vitals)))

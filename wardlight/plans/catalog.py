@@ -65,11 +65,9 @@ def latest_vitals(spark, sf_dir):
     return vitals.latest(fx.vitals(spark, sf_dir))
 
 
-@query("SELECT patient_id, parameter, value, time, seq FROM vitals WHERE time > (SELECT max(time) FROM vitals) - INTERVAL 48 HOUR", "vitals")
+@query("SELECT patient_id, parameter, value, time, seq FROM vitals WHERE time > TIMESTAMP '2024-01-28 12:00:00' AND time <= TIMESTAMP '2024-01-30 12:00:00'", "vitals")
 def vitals_range(spark, sf_dir):
-    v = fx.vitals(spark, sf_dir)
-    last = v.agg(F.max("time").alias("t"))
-    return v.join(F.broadcast(last), F.col("time") > F.col("t") - F.expr("interval 48 hours")).select("patient_id", "parameter", "value", "time", "seq")
+    return vitals.in_range(fx.vitals(spark, sf_dir), "2024-01-30 12:00:00").select("patient_id", "parameter", "value", "time", "seq")
 
 
 @query(f"{_FEATURES} SELECT patient_id, parameter, n, round(mean, 6) AS mean, round(sd, 6) AS sd, min, max, last, round(slope, 6) AS slope, round((mean - {_POP_MEAN}) / {_POP_SD}, 6) AS z, round(sd / mean * 100, 6) AS cv FROM feats", "vitals")
@@ -236,17 +234,17 @@ def minute_resample(spark, sf_dir):
 
 # ---- governance and privacy ----------------------------------------------------------------------------------
 @query(
-    """SELECT actor_id, department, date_trunc('hour', "at") AS hour_bucket, count(*) AS access_count, count(DISTINCT resource_id) AS distinct_patients, sum(phi::INT)::BIGINT AS phi_access_count
-    FROM audit WHERE outcome = 'success' GROUP BY ALL HAVING count(DISTINCT resource_id) > 2""", "audit")
+    f"""SELECT actor_id, department, date_trunc('hour', "at")::TIMESTAMP AS hour_bucket, count(*) AS access_count, count(DISTINCT resource_id) AS distinct_patients, sum(phi::INT)::BIGINT AS phi_access_count
+    FROM audit_burst WHERE outcome = 'success' AND "at" > TIMESTAMP '{fx.BURST_END}' - INTERVAL 2 HOUR GROUP BY ALL HAVING count(DISTINCT resource_id) > 30""", "audit_burst")
 def breach_candidates(spark, sf_dir):
-    return governance.breach_candidates(fx.audit(spark, sf_dir), distinct_limit=2)
+    return governance.breach_candidates(fx.audit_burst(spark, sf_dir), F.lit(fx.BURST_END).cast("timestamp_ntz"))
 
 
 @query(
-    """SELECT actor_id, resource_id, "at", count(*) OVER (PARTITION BY actor_id ORDER BY epoch("at")::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window,
-    count(*) OVER (PARTITION BY actor_id ORDER BY epoch("at")::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) > 3 AS breach FROM audit WHERE out_of_department""", "audit")
+    """SELECT actor_id, resource_id, "at", count(*) OVER (PARTITION BY actor_id ORDER BY epoch("at")::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window,
+    count(*) OVER (PARTITION BY actor_id ORDER BY epoch("at")::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) > 50 AS breach FROM audit_burst WHERE out_of_department""", "audit_burst")
 def breach_sliding(spark, sf_dir):
-    return governance.sliding_access(fx.audit(spark, sf_dir), 86400, 3).select("actor_id", "resource_id", "at", "in_window", "breach")
+    return governance.sliding_access(fx.audit_burst(spark, sf_dir)).select("actor_id", "resource_id", "at", "in_window", "breach")
 
 
 _ROLES, _RESOURCES = ["physician", "nurse", "radiologist", "pharmacist", "admin", "researcher", "ai_system"], ["Patient", "Observation", "MedicationRequest", "ImagingStudy", "AllergyIntolerance"]
@@ -398,9 +396,9 @@ def financial_monthly(spark, sf_dir):
 
 
 @query(
-    f"""m AS (SELECT encounter_id, admission, unnest(list_filter(['VTE-1', 'VTE-2', CASE WHEN starts_with(icd10, 'I21') THEN 'AMI-1' END, CASE WHEN starts_with(icd10, 'J18') THEN 'PN-6' END, CASE WHEN starts_with(icd10, 'A41') THEN 'SEP-1' END], lambda x: x IS NOT NULL)) AS measure,
+    f"""m AS (SELECT encounter_id, admission, unnest(list_filter(['VTE-1', 'VTE-2', CASE WHEN starts_with(icd10, 'I21') OR starts_with(icd10, 'I22') THEN 'AMI-1' END, CASE WHEN starts_with(icd10, 'J18') THEN 'PN-6' END, CASE WHEN starts_with(icd10, 'A41') THEN 'SEP-1' END], lambda x: x IS NOT NULL)) AS measure,
     ['heparin 5000', 'none', 'enoxaparin'][encounter_id % 3 + 1] AS orders FROM encounters)
-    SELECT encounter_id, measure, CASE WHEN starts_with(measure, 'VTE') THEN (orders <> 'none')::INT ELSE -1 END AS compliant, (epoch(admission::TIMESTAMP) + 86400 - epoch(TIMESTAMP '{_AT}')) / 3600.0 BETWEEN 0 AND 3.999 AS approaching FROM m""", "encounters")
+    SELECT encounter_id, measure, CASE WHEN starts_with(measure, 'VTE') THEN (orders <> 'none')::INT ELSE -1 END AS compliant, (epoch(admission::TIMESTAMP) + 86400 - epoch(TIMESTAMP '{_AT}')) / 3600.0 < 4 AND NOT (starts_with(measure, 'VTE') AND orders <> 'none') AS approaching FROM m""", "encounters")
 def core_measures(spark, sf_dir):
     orders = fx.pick(["heparin 5000", "none", "enoxaparin"], F.col("encounter_id"))
     return business.core_measures(fx.encounters(spark, sf_dir), orders, F.lit(_AT).cast("timestamp")).select("encounter_id", "measure", F.coalesce(F.col("compliant").cast("int"), F.lit(-1)).alias("compliant"), "approaching")
@@ -409,7 +407,7 @@ def core_measures(spark, sf_dir):
 # ---- medication and agents -----------------------------------------------------------------------------------
 _PAIRS = " UNION ALL ".join(f"SELECT patient_id, encounter_id, '{a}' AS drug_a, '{b}' AS drug_b, '{s}' AS severity FROM m GROUP BY patient_id, encounter_id HAVING bool_or(contains(d, '{a}')) AND bool_or(contains(d, '{b}'))" for a, b, s in rules.DRUG_PAIRS)
 _RENAL = " OR ".join(f"contains(lower(drug), '{d}')" for d in rules.RENAL_DRUGS)
-_ALLERGY = " OR ".join(f"(contains(allergy, '{k}') AND ({' OR '.join(f'contains(lower(drug), {chr(39)}{x}{chr(39)})' for x in [k, *v])}))" for k, v in rules.ALLERGY_CLASSES.items())
+_ALLERGY = " OR ".join(f"(contains(allergy, '{k}') AND ({' OR '.join(f'contains(lower(drug), {chr(39)}{x}{chr(39)})' for x in v)}))" for k, v in rules.ALLERGY_CLASSES.items())
 
 
 @query(f"m AS (SELECT *, lower(drug) AS d FROM medications) {_PAIRS}", "medications")
@@ -435,52 +433,66 @@ def pharmacist(spark, sf_dir):
     return medication.pharmacist(fx.medications(spark, sf_dir))
 
 
-_COMPLAINTS = ["chest pain since noon", "cough", "Seizure", "ankle sprain"]
-_ESI = "CASE WHEN coalesce(spo2_pulse_ox < 85, false) THEN 1 WHEN coalesce(heart_rate > 150 OR heart_rate < 40, false) OR coalesce(spo2_pulse_ox < 90, false) OR coalesce(respiratory_rate > 35 OR respiratory_rate < 6, false) OR patient_id % 4 IN (0, 2) THEN 2 ELSE 3 END"
+_COMPLAINTS = ["chest pain since noon", "cough", "Seizure", "ankle sprain", "severe bleeding", "Anaphylaxis", "difficulty breathing"]
+_ESI = "CASE WHEN coalesce(spo2_pulse_ox < 85, false) OR patient_id % 16 <= 8 AND patient_id % 16 >= 3 THEN 1 WHEN coalesce(heart_rate > 150 OR heart_rate < 40, false) OR coalesce(spo2_pulse_ox < 90, false) OR coalesce(respiratory_rate > 35 OR respiratory_rate < 6, false) OR 50 + patient_id % 41 < 60 OR patient_id % 7 IN (0, 2, 5, 6) THEN 2 ELSE 3 END"
+
+
+def _presented(wide):
+    """Complaint, coma scale, mean pressure and two labs by key."""
+    k = F.col("patient_id")
+    extra = {"complaint": fx.pick(_COMPLAINTS, k), "gcs_total": F.when(k % 16 >= 3, k % 16), "bp_mean": 50 + k % 41, "wbc": 8 + k % 8, "lactate": 1.0 + k % 3}
+    return wide.withColumns(extra)
 
 
 def _triaged(spark, sf_dir):
-    wide = vitals.with_scores(vitals.latest_wide(fx.vitals(spark, sf_dir))).withColumn("complaint", fx.pick(_COMPLAINTS, F.col("patient_id")))
-    return agents.triage(wide)
+    return agents.triage(_presented(vitals.with_scores(vitals.latest_wide(fx.vitals(spark, sf_dir)))))
 
 
-@query(f"{_WIDE.format('vitals')} SELECT patient_id, {_ESI} AS esi, CASE {_ESI} WHEN 1 THEN 'resuscitation' WHEN 2 THEN 'urgent' ELSE 'standard' END AS pathway, CASE {_ESI} WHEN 1 THEN 2 WHEN 2 THEN 10 END AS page_minutes FROM wide", "vitals")
+@query(f"{_WIDE.format('vitals')} SELECT patient_id, {_ESI} AS esi, CASE {_ESI} WHEN 1 THEN 'immediate_resuscitation' WHEN 2 THEN 'emergency_treatment' ELSE 'urgent_evaluation' END AS pathway, CASE {_ESI} WHEN 1 THEN 2 WHEN 2 THEN 5 END AS page_minutes FROM wide", "vitals")
 def triage_esi(spark, sf_dir):
     return _triaged(spark, sf_dir).select("patient_id", "esi", "pathway", "page_minutes")
 
 
-@query(f"{_MODEL}, {_SCORED} SELECT patient_id, CASE WHEN news2 >= 7 OR 0.55 * deterioration + 0.45 * sepsis > 0.6 OR sofa >= 8 THEN 'CRITICAL' WHEN news2 >= 5 OR deterioration > 0.70001 OR sepsis > 0.50001 THEN 'HIGH' WHEN news2 >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM scored JOIN model USING (patient_id)", "vitals")
+@query(f"{_MODEL}, {_SCORED} SELECT patient_id, CASE WHEN news2 >= 7 OR round(0.55 * deterioration + 0.45 * sepsis, 9) > 0.6 OR sofa >= 8 THEN 'CRITICAL' WHEN news2 >= 5 OR deterioration > 0.7 OR sepsis > 0.5 THEN 'HIGH' WHEN news2 >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM scored JOIN model USING (patient_id)", "vitals")
 def agent_risk(spark, sf_dir):
     v = fx.vitals(spark, sf_dir)
     rows = vitals.with_scores(vitals.latest_wide(v)).select("patient_id", "news2", "sofa").join(vitals.deterioration(v).select("patient_id", "deterioration", "sepsis", "mortality"), "patient_id")
-    return rows.select("patient_id", scores.risk_level(F.col("news2"), F.col("sofa"), F.col("deterioration") - 0.00001, F.col("sepsis") - 0.00001, F.col("mortality")).alias("level"))
+    return rows.select("patient_id", scores.risk_level(F.col("news2"), F.col("sofa"), F.col("deterioration"), F.col("sepsis"), F.col("mortality")).alias("level"))
 
 
-@query(
-    f"""{_WIDE.format('vitals')} SELECT patient_id, unnest(CASE WHEN a OR b THEN list_filter([CASE WHEN a THEN 'sepsis' END, CASE WHEN b THEN 'pneumonia' END], lambda x: x IS NOT NULL) ELSE ['undifferentiated'] END) AS diagnosis
-    FROM (SELECT patient_id, coalesce(temperature > 38.3 AND heart_rate > 90 AND respiratory_rate > 20, false) AS a, coalesce(spo2_pulse_ox < 94 AND respiratory_rate > 20, false) AS b FROM wide)""", "vitals")
+_DIFF = f"""{_WIDE.format('vitals')}, ab AS (SELECT patient_id, coalesce(temperature > 38 AND heart_rate > 100 AND 8 + patient_id % 8 > 12, false) AS a, coalesce(spo2_pulse_ox < 94, false) AND patient_id % 7 = 6 AS b FROM wide),
+dx AS (SELECT patient_id, 'Sepsis' AS diagnosis, 'A41.9' AS icd10, CASE WHEN 1 + patient_id % 3 > 2 THEN 0.72 ELSE 0.58 END::DOUBLE AS confidence, 'primary' AS rank FROM ab WHERE a
+UNION ALL SELECT patient_id, 'Community-Acquired Pneumonia', 'J18.9', 0.61::DOUBLE, CASE WHEN a THEN 'alternative' ELSE 'primary' END FROM ab WHERE b UNION ALL SELECT patient_id, 'Undifferentiated presentation', 'R69', 0.4::DOUBLE, 'primary' FROM ab WHERE NOT a AND NOT b)"""
+
+
+@query(f"{_DIFF} SELECT * FROM dx", "vitals")
 def differentials(spark, sf_dir):
-    return agents.differentials(vitals.latest_wide(fx.vitals(spark, sf_dir))).select("patient_id", "diagnosis")
+    return agents.differentials(_presented(vitals.latest_wide(fx.vitals(spark, sf_dir)))).select("patient_id", "diagnosis", "icd10", "confidence", "rank")
+
+
+@query(f"{_DIFF}, w AS (SELECT patient_id, unnest(CASE icd10 WHEN 'A41.9' THEN ['Blood cultures', 'Serum lactate', 'Procalcitonin'] WHEN 'J18.9' THEN ['Chest X-ray', 'Sputum culture'] ELSE ['Basic metabolic panel and CBC'] END) AS t FROM dx) SELECT patient_id, string_agg(DISTINCT t, '; ' ORDER BY t) AS workup FROM w GROUP BY patient_id", "vitals")
+def diagnostic_workup(spark, sf_dir):
+    return agents.workup(differentials(spark, sf_dir)).select("patient_id", F.array_join("workup", "; ").alias("workup"))
 
 
 def _votes(spark, sf_dir):
     f = fx.feedback(spark, sf_dir)
-    return f.select(F.col("encounter_id").alias("patient_id"), F.col("signal").alias("agent"), F.col("risk_level").alias("level"), F.col("probability").alias("confidence"))
+    return f.select(F.col("encounter_id").alias("patient_id"), F.col("signal").alias("agent"), F.col("risk_level").alias("level"), F.col("probability").alias("confidence"), (F.col("feedback_id") % 40 == 0).alias("bypass"))
 
 
 @query(
-    """SELECT encounter_id AS patient_id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], risk_level))] AS level, round(avg(probability), 6) AS confidence, count(*) AS agents,
-    avg(probability) < 0.6 AS arbitration FROM feedback GROUP BY 1""", "feedback")
+    """c AS (SELECT encounter_id AS patient_id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], risk_level))] AS level, avg(probability) AS p, count(*) AS agents, bool_or(feedback_id % 40 = 0) AS b FROM feedback GROUP BY 1)
+    SELECT patient_id, CASE WHEN b THEN 'CRITICAL' ELSE level END AS level, CASE WHEN b THEN 1 ELSE round(p, 6) END::DOUBLE AS confidence, agents, NOT b AND p < 0.6 AS arbitration, CASE WHEN b THEN 'pharmacy_critical_override' ELSE 'consensus' END AS kind FROM c""", "feedback")
 def consensus(spark, sf_dir):
-    return agents.consensus(_votes(spark, sf_dir)).select("patient_id", "level", "agents", "arbitration", *_r("confidence"))
+    return agents.consensus(_votes(spark, sf_dir)).select("patient_id", "level", "agents", "arbitration", "kind", *_r("confidence"))
 
 
 @query(
     f"""{_MODEL}, {_SCORED}, s AS (SELECT patient_id, {_ESI} AS esi, {_RISK} AS level, patient_id % 6 = 0 AS ph, sepsis FROM scored JOIN model USING (patient_id))
-    SELECT patient_id, 'ESI_1' AS kind, 2 AS minutes FROM s WHERE esi = 1 UNION ALL SELECT patient_id, 'CRITICAL_RISK', 5 FROM s WHERE level = 'CRITICAL' UNION ALL SELECT patient_id, 'PHARMACY', 1 FROM s WHERE ph UNION ALL SELECT patient_id, 'SEPSIS', 5 FROM s WHERE sepsis > 0.70001""", "vitals")
+    SELECT patient_id, 'ESI_1' AS kind, 2 AS minutes FROM s WHERE esi = 1 UNION ALL SELECT patient_id, 'CRITICAL_RISK', 5 FROM s WHERE level = 'CRITICAL' UNION ALL SELECT patient_id, 'PHARMACY', 1 FROM s WHERE ph UNION ALL SELECT patient_id, 'SEPSIS', 5 FROM s WHERE sepsis > 0.7""", "vitals")
 def escalations(spark, sf_dir):
     v = fx.vitals(spark, sf_dir)
-    rows = _triaged(spark, sf_dir).join(vitals.deterioration(v).select("patient_id", (F.col("sepsis") - 0.00001).alias("sepsis")), "patient_id")
+    rows = _triaged(spark, sf_dir).join(vitals.deterioration(v).select("patient_id", "sepsis"), "patient_id")
     rows = rows.select("patient_id", F.lit(AS_OF).cast("timestamp").alias("at"), "esi", F.col("risk_level").alias("level"), (F.col("patient_id") % 6 == 0).alias("pharmacy_critical"), "sepsis")
     return agents.escalations(rows).select("patient_id", "kind", "minutes")
 
@@ -603,11 +615,11 @@ def context_budget(spark, sf_dir):
 
 
 # ---- identity --------------------------------------------------------------------------------------------------
-_BLOCK = """b AS (SELECT a.patient_id AS id_a, c.patient_id AS id_b FROM patients a JOIN patients c ON a.patient_id < c.patient_id AND (a.mrn = c.mrn OR (a.dob = c.dob AND substr(a.last_name, 1, 3) = substr(c.last_name, 1, 3))))"""
+_BLOCK = """b AS (SELECT a.patient_id AS id_a, c.patient_id AS id_b FROM patients a JOIN patients c ON a.patient_id < c.patient_id AND (a.ssn4 = c.ssn4 OR a.mrn = c.mrn OR (a.dob = c.dob AND substr(a.last_name, 1, 3) = substr(c.last_name, 1, 3))))"""
 
 
 def _blocks(spark, sf_dir):
-    p = fx.patients(spark, sf_dir).withColumn("ssn4", F.lit(None).cast("string"))
+    p = fx.patients(spark, sf_dir)
     return p, identity.blocked_pairs(p, p)
 
 
@@ -616,9 +628,9 @@ def mpi_blocking(spark, sf_dir):
     return _blocks(spark, sf_dir)[1]
 
 
-_MATCH = " + ".join(f"CASE WHEN x.{c} = y.{c} THEN {w}::DOUBLE ELSE 0 END" for c, w in identity.WEIGHTS.items() if c != "ssn4")
-_MPI = f"""{_BLOCK}, s AS (SELECT id_a, id_b, ({_MATCH}) / 0.65 AS raw, (x.mrn <> y.mrn)::INT + (x.dob <> y.dob)::INT + (x.last_name <> y.last_name)::INT AS conflicts FROM b JOIN patients x ON x.patient_id = id_a JOIN patients y ON y.patient_id = id_b),
-d AS (SELECT id_a, id_b, conflicts, round(CASE WHEN conflicts >= 2 THEN least(0.3, raw) ELSE raw END, 6) AS score FROM s), m AS (SELECT *, CASE WHEN score >= 0.95 THEN 'AUTO_LINK' WHEN score >= 0.8 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM d)"""
+_MATCH = " + ".join(f"CASE WHEN x.{c} = y.{c} THEN {w}::DOUBLE ELSE 0 END" for c, w in identity.WEIGHTS.items())
+_MPI = f"""{_BLOCK}, s AS (SELECT id_a, id_b, ({_MATCH}) / CASE WHEN x.ssn4 IS NULL OR y.ssn4 IS NULL THEN 0.65 ELSE 1 END::DOUBLE AS raw, coalesce(x.ssn4 <> y.ssn4, false) AS blocked, (x.mrn <> y.mrn)::INT + (x.dob <> y.dob)::INT + (x.last_name <> y.last_name)::INT AS conflicts FROM b JOIN patients x ON x.patient_id = id_a JOIN patients y ON y.patient_id = id_b),
+d AS (SELECT id_a, id_b, conflicts, blocked, round(CASE WHEN conflicts >= 2 THEN least(0.3, raw) ELSE raw END, 6) AS score FROM s), m AS (SELECT *, CASE WHEN blocked THEN 'BLOCKED' WHEN score >= 0.95 THEN 'AUTO_LINK' WHEN score >= 0.8 THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM d)"""
 
 
 @query(f"{_MPI} SELECT id_a, id_b, score, conflicts, decision FROM m", "patients")
@@ -693,11 +705,11 @@ _OUT = list(rules.OUTCOME_OUTPUT)
 
 
 @query(
-    f"""o AS (SELECT user_id AS encounter_id, {fx._sql_pick(list(rules.OUTCOME_OUTPUT.values()), 'event_id')} AS output_type, value >= 60 AS outcome FROM events WHERE event_id % 10 = 0)
+    f"""o AS (SELECT user_id AS encounter_id, {fx._sql_pick(list(rules.OUTCOME_OUTPUT.values()), 'event_id')} AS output_type, arg_max(value >= 60, (ts, event_id)) AS outcome FROM events GROUP BY 1, 2)
     SELECT feedback_id, output_type, outcome, (probability > 0.5) = outcome AS correct FROM feedback JOIN o USING (encounter_id, output_type)""", "feedback")
 def outcome_link(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").filter("event_id % 10 = 0")
-    outcomes = e.select(F.col("user_id").alias("encounter_id"), fx.pick(_OUT, F.col("event_id")).alias("outcome_type"), (F.col("value") >= 60).alias("occurred"))
+    e = fx.table(spark, sf_dir, "events")
+    outcomes = e.select(F.col("user_id").alias("encounter_id"), fx.pick(_OUT, F.col("event_id")).alias("outcome_type"), (F.col("value") >= 60).alias("occurred"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
     return monitoring.link_outcomes(fx.feedback(spark, sf_dir), outcomes).select("feedback_id", "output_type", "outcome", "correct")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +74,19 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BURST_END = "2024-02-01 00:00:00"
+
+
+def audit_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses by few actors within the last three hours."""
+    k = F.col("event_id")
+    at = F.lit(BURST_END).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 37 % 10_000)
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).alias("actor_id"), pick(["icu", "er"], F.col("user_id")).alias("department"), k.alias("resource_id"), at.alias("at"), F.when(k % 7 == 0, "denied").otherwise("success").alias("outcome"),
+        (k % 2 == 0).alias("phi"), (k % 4 != 0).alias("out_of_department"),
+    )
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     signal = {"click": "accepted", "view": "modified", "error": "rejected", "purchase": "thumbs_up", "signup": "thumbs_down"}
@@ -104,7 +115,7 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     return c.select(
         k.alias("patient_id"), pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], k).alias("last_name"), pick(["anna", "ana", "john", "jon", "maria"], k).alias("first_name"),
-        F.date_add(F.lit("1950-01-01").cast("date"), (k % 97 * 100).cast("int")).alias("dob"), F.lpad((k % 37).cast("string"), 4, "0").alias("ssn4"), F.concat(F.lit("M"), k % 211).alias("mrn"),
+        F.date_add(F.lit("1950-01-01").cast("date"), (k % 97 * 100).cast("int")).alias("dob"), F.when(k % 9 > 0, F.lpad((F.floor(k / 2) * 7919 % 10_000).cast("string"), 4, "0")).alias("ssn4"), F.concat(F.lit("M"), F.floor(k / 3)).alias("mrn"),
         F.lpad((k % 53 * 17).cast("string"), 5, "0").alias("zip"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"),
     )
 
@@ -133,6 +144,8 @@ VIEWS: dict[str, str] = {
     "audit": """SELECT l_suppkey AS actor_id, n_name AS department, l_partkey AS resource_id, l_shipdate::TIMESTAMP + to_hours(l_linenumber::INT) AS "at",
         CASE l_returnflag WHEN 'R' THEN 'denied' ELSE 'success' END AS outcome, l_linestatus = 'O' AS phi, l_partkey % 7 <> 0 AS out_of_department
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    "audit_burst": f"""SELECT user_id % 5 AS actor_id, {_sql_pick(["icu", "er"], "user_id")} AS department, event_id AS resource_id, TIMESTAMP '{BURST_END}' - to_seconds(event_id * 37 % 10000) AS "at",
+        CASE WHEN event_id % 7 = 0 THEN 'denied' ELSE 'success' END AS outcome, event_id % 2 = 0 AS phi, event_id % 4 <> 0 AS out_of_department FROM events""",
     "feedback": f"""SELECT event_id AS feedback_id, user_id AS encounter_id,
         CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'modified' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'thumbs_up' WHEN 'signup' THEN 'thumbs_down' END AS signal,
         {_sql_pick(["LOW", "MEDIUM", "HIGH", "CRITICAL"], "event_id")} AS risk_level, {_sql_pick(list_outputs(), "event_id")} AS output_type,
@@ -141,7 +154,7 @@ VIEWS: dict[str, str] = {
     "notes": f"""SELECT doc_id AS document_id, {_sql_pick(PHRASES, "doc_id")} || ' ' || coalesce(text, '') AS text FROM documents""",
     "patients": f"""SELECT c_custkey AS patient_id, {_sql_pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], "c_custkey")} AS last_name,
         {_sql_pick(["anna", "ana", "john", "jon", "maria"], "c_custkey")} AS first_name, (DATE '1950-01-01' + (c_custkey % 97 * 100)::INT)::DATE AS dob,
-        lpad((c_custkey % 37)::VARCHAR, 4, '0') AS ssn4, 'M' || (c_custkey % 211) AS mrn, lpad((c_custkey % 53 * 17)::VARCHAR, 5, '0') AS zip, c_nationkey AS nation, c_acctbal AS balance FROM customer""",
+        CASE WHEN c_custkey % 9 > 0 THEN lpad((c_custkey // 2 * 7919 % 10000)::VARCHAR, 4, '0') END AS ssn4, 'M' || (c_custkey // 3) AS mrn, lpad((c_custkey % 53 * 17)::VARCHAR, 5, '0') AS zip, c_nationkey AS nation, c_acctbal AS balance FROM customer""",
 }
 
 
@@ -151,6 +164,3 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {head}{', ' if not sql.lstrip().upper().startswith('SELECT') else ' '}{sql}"
 
 
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "vitals": vitals, "encounters": encounters, "medications": medications, "audit": audit, "feedback": feedback, "notes": notes, "patients": patients,
-}
