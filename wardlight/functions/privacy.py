@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from wardlight.functions.rules import SCRUB
+from wardlight.functions.rules import PHI_FIELDS, SCRUB
 
 
 def _pads(key: bytes) -> tuple[str, str]:
@@ -56,6 +57,34 @@ def generalize_zip(zip_code: Column) -> Column:
     return F.when(F.length(zip_code) >= 5, F.concat(F.substring(zip_code, 1, 3), F.lit("000"))).otherwise("00000")
 
 
+def without_fields(kind: DataType, value: Column, names: frozenset[str]) -> Column:
+    """A value of nested structs and arrays without the named fields, at every depth; maps lose the keys of these names."""
+    if isinstance(kind, StructType):
+        kept = [without_fields(f.dataType, value[f.name], names).alias(f.name) for f in kind if f.name not in names]
+        return F.when(value.isNotNull(), F.struct(*kept)) if kept else F.lit(None)
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType, MapType)):
+        return F.transform(value, lambda x: without_fields(kind.elementType, x, names))
+    if isinstance(kind, MapType):
+        kept = F.map_filter(value, lambda k, _: ~k.isin(*names))
+        return F.transform_values(kept, lambda _, v: without_fields(kind.valueType, v, names)) if isinstance(kind.valueType, (StructType, ArrayType, MapType)) else kept
+    return value
+
+
+def drop_phi(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """rows without identifying fields (PHI_FIELDS), at the top and inside nested columns."""
+    gone = frozenset(names or PHI_FIELDS)
+    return rows.select(*[without_fields(f.dataType, F.col(f"`{f.name}`"), gone).alias(f.name) for f in rows.schema if f.name not in gone])
+
+
+def encrypt(value: Column, key: bytes) -> Column:
+    """AES-GCM under a 16, 24 or 32-byte key, base64: a random nonce of 12 bytes, cipher text and tag."""
+    return F.base64(F.aes_encrypt(value, F.lit(key), F.lit("GCM"), F.lit("DEFAULT")))
+
+
+def decrypt(value: Column, key: bytes) -> Column:
+    return F.aes_decrypt(F.unbase64(value), F.lit(key), F.lit("GCM"), F.lit("DEFAULT")).cast("string")
+
+
 def scrub(text: Column) -> Column:
     for pattern, mark in SCRUB:
         text = F.regexp_replace(text, F.lit("(?i)" + pattern), F.lit(mark))

@@ -54,6 +54,35 @@ def latest_consent(events: DataFrame, kinds: list[str]) -> DataFrame:
     return events.groupBy("patient_id").agg(*[F.coalesce(F.max_by(F.when(F.col("kind") == k, F.col("granted")), F.when(F.col("kind") == k, F.struct("at", "seq"))), F.lit(False)).alias(k) for k in kinds])
 
 
+def update_consent(events: DataFrame) -> DataFrame:
+    """Consent events that may be applied: treatment use is always granted and can't be changed."""
+    return events.filter(F.col("kind") != "treatment_use")
+
+
+def gateway(requests: DataFrame, consents: DataFrame) -> DataFrame:
+    """requests decided, with outcome for the audit and whether the data must be de-identified.
+
+    requests: the fields of ``access_decision`` and patient_id; consents: patient_id, ai_use (``latest_consent``).
+    Systems and researchers always get de-identified data; others do for inference without the patient's consent.
+    """
+    decided = access_decision(requests).join(consents.select("patient_id", "ai_use"), "patient_id", "left")
+    unnamed = F.col("role").isin("ai_system", "researcher") | ((F.col("reason") == "ai_inference") & ~F.coalesce("ai_use", F.lit(False)))
+    return decided.withColumn("outcome", F.when(F.col("allowed"), "success").otherwise("denied")).withColumn("deidentify", F.col("allowed") & unnamed)
+
+
+def patient_view(patients: DataFrame, role: str) -> DataFrame:
+    """The patient list as a role sees it: birth year and three digits of the code; the name for physicians only."""
+    name = F.concat_ws(", ", "last_name", "first_name") if role == "physician" else F.lit(None).cast("string")
+    return patients.select("patient_id", name.alias("name"), F.year("dob").alias("birth_year"), F.substring("zip", 1, 3).alias("zip3"))
+
+
+def page(rows: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of rows in order, with has_more; one row past the page is looked at."""
+    some = rows.orderBy(*order).offset((number - 1) * size).limit(size + 1)
+    n = F.row_number().over(Window.orderBy(*order))  # size + 1 rows
+    return some.withColumn("__n", n).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size).filter(F.col("__n") <= size).drop("__n")
+
+
 def audit_projection(requests: DataFrame) -> DataFrame:
     """HTTP-like requests (path, method, status, ip, id) as audit events."""
     resource = F.when(F.col("path").contains("/patients"), "Patient").when(F.col("path").contains("/vitals"), "Observation").when(F.col("path").contains("/agents"), "AgentSession").otherwise("Other")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.functions import privacy, rules
-from wardlight.operators import fhir
+from wardlight.operators import agents, fhir, governance, outputs, registry
 from wardlight.plans.catalog import SALT, _case, query
 from wardlight.sources import fixtures as fx
 
@@ -139,3 +139,71 @@ def loinc_registry(spark, sf_dir):
 @query("""SELECT patient_id, ((patient_id % 11 <> 0)::INT + (patient_id % 17 <> 0)::INT + 1 + (patient_id % 6 <> 5)::INT) / 4.0::DOUBLE AS completeness FROM patients""", "patients")
 def record_quality(spark, sf_dir):
     return fhir.record_quality(_raw_patients(spark, sf_dir), ["mrn", "last_name", "first_name", "date_of_birth"]).select("patient_id", "completeness")
+
+
+# ---- model outputs ---------------------------------------------------------------------------------------------
+def _outputs(spark, sf_dir):
+    """Answers of a model by event: fenced, wrapped in prose, cut off or plain, with faults by the key's remainders."""
+    k = F.col("event_id")
+    summary = F.when(k % 5 == 0, "too short").otherwise(F.lit(" ".join(["word"] * 16)))
+    fields = F.struct(
+        summary.alias("patient_state_summary"), F.array(F.struct(F.when(k % 7 == 0, "").otherwise("Sepsis").alias("condition"), F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("fever"))).alias("supporting_evidence"), F.lit("primary").alias("probability_rank"), F.when(k % 11 == 0, 1.5).otherwise(0.5).alias("confidence"))).alias("differential_diagnoses"),
+        fx.pick(["LOW", "HIGH", "CRITICAL", "SOME"], k).alias("risk_level"), F.lit("because").alias("risk_justification"), F.array(F.struct(F.lit("call").alias("action"), F.when(k % 9 == 0, "later").otherwise("immediate").alias("urgency"), F.when(k % 8 == 3, "").otherwise("why").alias("rationale"))).alias("recommended_actions"),
+        F.lit("HIGH").alias("overall_confidence"), F.array().cast("array<string>").alias("data_gaps"), (k % 3 == 0).alias("human_review_required"), F.lit("").alias("human_review_reason"),
+    )
+    text = F.to_json(fields)
+    text = F.when(k % 17 == 0, F.regexp_replace(text, '"data_gaps":\\[\\],', "")).otherwise(text)
+    raw = F.when(k % 4 == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(k % 4 == 1, F.concat(F.lit("Here it is: "), text, F.lit(" Done."))).when(k % 13 == 0, F.substring(text, 1, 40)).otherwise(text)
+    return fx.table(spark, sf_dir, "events").select(k, F.col("user_id"), (k % 4).cast("int").alias("attempt"), raw.alias("raw"))
+
+
+_RISKS = fx._sql_pick(["LOW", "HIGH", "CRITICAL", "SOME"], "k")
+_OUTPUT = f"""WITH e AS (SELECT event_id AS k, user_id FROM events), v AS (SELECT k, user_id, CASE WHEN k % 13 = 0 AND k % 4 > 1 THEN 'unreadable' WHEN k % 17 = 0 THEN 'Missing required field: data_gaps' ELSE {_l([
+    ("k % 4 = 3", "'Invalid risk_level: SOME'"), ("k % 4 IN (1, 2) AND k % 3 <> 0", "'GUARDRAIL: HIGH/CRITICAL risk but human_review_required=False'"), ("k % 7 = 0", "'differential[0] missing condition'"), ("k % 6 = 0", "'GUARDRAIL: differential[0] has no supporting_evidence'"),
+    ("k % 11 = 0", "'differential[0] confidence out of range'"), ("k % 8 = 3", "'GUARDRAIL: action[0] missing rationale'"), ("k % 9 = 0", "'action[0] invalid urgency'"), ("k % 5 = 0", "'patient_state_summary too short (2 words, min 15)'")])} END AS errors, {_RISKS} AS risk FROM e)"""
+
+
+@query(f"""{_OUTPUT} SELECT k AS event_id, errors, errors = '' AS valid, CASE WHEN errors <> 'unreadable' THEN risk IN ('HIGH', 'CRITICAL') OR k % 3 = 0 END AS review,
+    CASE WHEN errors = 'unreadable' THEN NULL WHEN risk IN ('HIGH', 'CRITICAL') THEN risk || ' risk: physician review required' ELSE '' END AS reason FROM v""")
+def output_validation(spark, sf_dir):
+    v = outputs.validate_outputs(_outputs(spark, sf_dir))
+    return v.select("event_id", F.array_join("errors", "; ").alias("errors"), "valid", F.col("output.human_review_required").alias("review"), F.col("output.human_review_reason").alias("reason"))
+
+
+@query(f"""{_OUTPUT}, a AS (SELECT user_id, k % 4 AS attempt, bool_or(errors = '') AS ok, bool_or(errors <> 'unreadable') AS readable FROM v WHERE k % 4 < 3 GROUP BY ALL),
+    p AS (SELECT user_id, coalesce(min(attempt) FILTER (WHERE ok), max(attempt) FILTER (WHERE readable)) AS retries FROM a GROUP BY user_id) SELECT user_id, retries::INT AS retries, CASE WHEN retries IS NULL THEN 'reasoning_failed' ELSE 'success' END AS status FROM p""")
+def output_attempts(spark, sf_dir):
+    """The answer kept for each user; several answers of one attempt count as that attempt."""
+    got = outputs.first_valid(_outputs(spark, sf_dir), "user_id")
+    return got.groupBy("user_id").agg(F.max("retries").alias("retries"), F.max("status").alias("status"))
+
+
+@query("""WITH t AS (SELECT patient_id, parameter, value, time, seq, row_number() OVER (PARTITION BY patient_id ORDER BY time DESC, seq DESC) AS n FROM (SELECT * FROM vitals)),
+    v AS (SELECT patient_id, string_agg(parameter || ': ' || value::INT, chr(10) ORDER BY n) AS text FROM t WHERE n <= 20 GROUP BY patient_id),
+    s AS (SELECT patient_id, '### VITALS' || chr(10) || text AS a, length(text) // 4 AS ta FROM v) SELECT patient_id, a || chr(10) || chr(10) || '### PLAN' || chr(10) || 'monitor' AS context, (ta + 1)::BIGINT AS tokens FROM s WHERE ta + 1 < 150
+    UNION ALL SELECT patient_id, '### PLAN' || chr(10) || 'monitor', 1::BIGINT FROM s WHERE ta >= 150 UNION ALL SELECT patient_id, a, ta::BIGINT FROM s WHERE ta < 150 AND ta + 1 >= 150""".replace("WITH t AS", "t AS", 1), "vitals")
+def prompt_context(spark, sf_dir):
+    v = fx.vitals(spark, sf_dir)
+    text = outputs.section(v, "patient_id", F.concat("parameter", F.lit(": "), F.rint("value").cast("int")), [F.desc("time"), F.desc("seq")], 20)
+    parts = text.select("patient_id", F.lit(1).alias("pos"), F.lit("VITALS").alias("title"), "text").unionByName(text.select("patient_id", F.lit(2).alias("pos"), F.lit("PLAN").alias("title"), F.lit("monitor").alias("text")))
+    return outputs.assemble(parts, "patient_id", 150)
+
+
+@query("""SELECT c_custkey, 'S: cough' || chr(10) || 'O: ESI ' || (1 + c_custkey % 3) || ', risk ' || (CASE WHEN c_custkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END) || chr(10) || 'A: ' || (CASE WHEN c_custkey % 4 = 0 THEN 'pending' ELSE 'Sepsis' END) || chr(10) || 'P: ' ||
+    concat_ws(' | ', CASE WHEN c_custkey % 3 = 0 THEN 'Immediate resuscitation' END, CASE WHEN c_custkey % 2 = 0 THEN 'Escalate to physician' END, 'Continue monitoring') AS note,
+    concat_ws('; ', CASE WHEN c_custkey % 4 = 0 THEN 'Differential diagnosis not documented' END, CASE WHEN c_custkey % 5 = 0 THEN 'Medication reconciliation pending' END) AS gaps FROM customer""")
+def soap_note(spark, sf_dir):
+    c, k = fx.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rows = c.select(k, F.lit("cough").alias("complaint"), (1 + k % 3).alias("esi"), F.when(k % 2 == 0, "HIGH").otherwise("LOW").alias("level"), F.when(k % 4 > 0, "Sepsis").alias("diagnosis"), (k % 4 > 0).alias("has_diagnosis"), (k % 5 > 0).alias("has_pharmacy"))
+    return outputs.soap_note(rows).select(k, "note", F.array_join("gaps", "; ").alias("gaps"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'signup' THEN 'triage,risk,diagnosis,pharmacist,documentation,coordinator,escalation' WHEN 'view' THEN 'risk,coordinator,escalation' WHEN 'purchase' THEN 'pharmacist,coordinator,escalation'
+    WHEN 'click' THEN 'diagnosis,documentation,coordinator' ELSE 'risk' END AS agents FROM events""")
+def event_routing(spark, sf_dir):
+    kinds = {"signup": "admission", "view": "vitals_update", "purchase": "medication_order", "click": "diagnosis_request"}
+    e = fx.table(spark, sf_dir, "events").withColumn("event_type", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")), F.lit("other")))
+    return outputs.route_events(e).select("event_id", F.array_join("agents", ",").alias("agents"))
+
+
+# ---- gateway and privacy ---------------------------------------------------------------------------------------
