@@ -250,7 +250,7 @@ def breach_sliding(spark, sf_dir):
 _ROLES, _RESOURCES = ["physician", "nurse", "radiologist", "pharmacist", "admin", "researcher", "ai_system"], ["Patient", "Observation", "MedicationRequest", "ImagingStudy", "AllergyIntolerance"]
 
 
-def _requests(spark, sf_dir):
+def access_requests(spark, sf_dir):
     e, k = fx.table(spark, sf_dir, "events"), F.col("event_id")
     return e.select(
         k, fx.pick(_ROLES, k).alias("role"), fx.pick(["read", "write", "infer"], k).alias("action"), fx.pick(["treating", "consulting", "none", "operations"], k).alias("relationship"), fx.pick(["normal", "sensitive"], F.floor(k / 3)).alias("sensitivity"),
@@ -262,14 +262,17 @@ _REQUESTS = f"""req AS (SELECT event_id, {fx._sql_pick(_ROLES, 'event_id')} AS r
 {fx._sql_pick(['normal', 'sensitive'], 'event_id // 3')} AS sens, {fx._sql_pick(_RESOURCES, 'event_id')} AS res, {fx._sql_pick(['treatment', 'operations'], 'event_id // 5')} AS reason, event_id % 11 < 4 AS ah, event_id % 13 < 6 AS irb FROM events)"""
 
 
-@query(f"""WITH {_REQUESTS} SELECT event_id, CASE
+_ALLOWED = """CASE
     WHEN role = 'ai_system' THEN action IN ('read', 'infer') WHEN role = 'researcher' THEN action = 'read' AND irb WHEN rel = 'none' AND role <> 'admin' THEN false
     WHEN sens = 'sensitive' AND role IN ('nurse', 'admin') THEN false WHEN ah AND sens = 'sensitive' AND role = 'physician' AND rel = 'treating' THEN true
     WHEN role = 'nurse' THEN rel = 'treating' AND res IN ('Observation', 'MedicationRequest', 'Patient') WHEN role = 'physician' THEN rel IN ('treating', 'consulting')
     WHEN role = 'radiologist' THEN res IN ('ImagingStudy', 'DiagnosticReport', 'Patient') WHEN role = 'pharmacist' THEN res IN ('MedicationRequest', 'Observation', 'AllergyIntolerance')
-    WHEN role = 'admin' THEN reason = 'operations' ELSE false END AS allowed FROM req""")
+    WHEN role = 'admin' THEN reason = 'operations' ELSE false END"""
+
+
+@query(f"WITH {_REQUESTS} SELECT event_id, {_ALLOWED} AS allowed FROM req")
 def access_decisions(spark, sf_dir):
-    return governance.access_decision(_requests(spark, sf_dir)).select("event_id", "allowed")
+    return governance.access_decision(access_requests(spark, sf_dir)).select("event_id", "allowed")
 
 
 @query("""SELECT user_id AS patient_id, coalesce(arg_max(value >= 40, (ts, event_id)) FILTER (WHERE event_id % 2 = 0), false) AS treatment_use, coalesce(arg_max(value >= 40, (ts, event_id)) FILTER (WHERE event_id % 2 = 1), false) AS ai_use FROM events GROUP BY user_id""")

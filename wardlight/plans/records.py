@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import privacy, rules
 from wardlight.operators import agents, fhir, governance, outputs, registry
-from wardlight.plans.catalog import SALT, _case, query
+from wardlight.plans.catalog import _ALLOWED, _MPI, _REQUESTS, AS_OF, SALT, _case, access_requests, mpi_score, query
 from wardlight.sources import fixtures as fx
+from wardlight.sources import hl7
 
 # ---- resources -------------------------------------------------------------------------------------------------
 _BIRTH, _WHEN, _ICD = ["1980-01-02", "1980-01", "02/01/1980", "1980"], ["2024-01-02T03:04:05Z", "", "yesterday"], ["A41.9", "I21", "a41.9", "K92.22222"]
@@ -207,3 +208,123 @@ def event_routing(spark, sf_dir):
 
 
 # ---- gateway and privacy ---------------------------------------------------------------------------------------
+# ---- gateway and privacy ---------------------------------------------------------------------------------------
+_REASONS = ["treatment", "operations", "ai_inference"]
+
+
+@query(f"""WITH {_REQUESTS}, r AS (SELECT req.* REPLACE ({fx._sql_pick(_REASONS, "req.event_id // 5")} AS reason), user_id FROM req JOIN events USING (event_id)),
+    c AS (SELECT user_id, coalesce(arg_max(value >= 40, (ts, event_id)) FILTER (WHERE event_id % 2 = 1), false) AS ai FROM events GROUP BY user_id), d AS (SELECT *, {_ALLOWED} AS allowed FROM r)
+    SELECT event_id, allowed, CASE WHEN allowed THEN 'success' ELSE 'denied' END AS outcome, allowed AND (role IN ('ai_system', 'researcher') OR reason = 'ai_inference' AND NOT ai) AS deidentify FROM d JOIN c USING (user_id)""")
+def gateway_decisions(spark, sf_dir):
+    e, k = fx.table(spark, sf_dir, "events"), F.col("event_id")
+    requests = access_requests(spark, sf_dir).withColumn("reason", fx.pick(_REASONS, F.floor(k / 5))).join(e.select(k, F.col("user_id").alias("patient_id")), "event_id")
+    consents = governance.latest_consent(e.select(F.col("user_id").alias("patient_id"), F.when(k % 2 == 1, "ai_use").otherwise("treatment_use").alias("kind"), (F.col("value") >= 40).alias("granted"), F.col("ts").alias("at"), k.alias("seq")), ["ai_use"])
+    return governance.gateway(requests, consents).select("event_id", "allowed", "outcome", "deidentify")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'treatment_use' ELSE 'ai_use' END AS kind FROM events WHERE event_id % 2 = 1")
+def consent_updates(spark, sf_dir):
+    k = F.col("event_id")
+    return governance.update_consent(fx.table(spark, sf_dir, "events").select(k, F.when(k % 2 == 0, "treatment_use").otherwise("ai_use").alias("kind")))
+
+
+@query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"patient":{"id":"p' || c_custkey || '","contacts":[{"kind":"home"},{"kind":"work"}]},"labels":{"ward":"icu"}}' AS cleaned FROM customer""")
+def phi_removal(spark, sf_dir):
+    """Identifying fields at the top, inside structs, arrays and maps go."""
+    c = fx.table(spark, sf_dir, "customer")
+    contact = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("c_phone").alias("phone")) if "c_phone" in c.columns else F.struct(F.lit(kind).alias("kind"), F.lit("555").alias("phone"))
+    patient = F.struct(F.concat(F.lit("p"), "c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.array(contact("home"), contact("work")).alias("contacts"), F.struct(F.lit("x").alias("city")).alias("address"))
+    rows = c.select("c_custkey", patient.alias("patient"), F.lit("a@b.c").alias("email"), F.create_map(F.lit("ward"), F.lit("icu"), F.lit("mrn"), F.lit("7")).alias("labels"))
+    clean = privacy.drop_phi(rows)
+    return clean.select("c_custkey", F.to_json(F.struct(*clean.columns)).alias("cleaned"))
+
+
+@query("SELECT c_custkey, c_name AS name, 12 + strlen(c_name) + 16 AS sealed_bytes FROM customer")
+def aes_round_trip(spark, sf_dir):
+    key = b"0123456789abcdef0123456789abcdef"
+    c = fx.table(spark, sf_dir, "customer").withColumn("sealed", privacy.encrypt(F.col("c_name"), key))
+    return c.select("c_custkey", privacy.decrypt(F.col("sealed"), key).alias("name"), F.octet_length(F.unbase64("sealed")).alias("sealed_bytes"))
+
+
+@query("SELECT patient_id, last_name || ', ' || first_name AS name, year(dob)::INT AS birth_year, substr(zip, 1, 3) AS zip3 FROM patients", "patients")
+def patient_list_physician(spark, sf_dir):
+    return governance.patient_view(fx.patients(spark, sf_dir), "physician")
+
+
+@query("SELECT patient_id, NULL::VARCHAR AS name, year(dob)::INT AS birth_year, substr(zip, 1, 3) AS zip3 FROM patients", "patients")
+def patient_list_nurse(spark, sf_dir):
+    return governance.patient_view(fx.patients(spark, sf_dir), "nurse")
+
+
+@query("SELECT patient_id, last_name, (SELECT count(*) FROM patients) > 40 AS has_more FROM patients ORDER BY patient_id LIMIT 20 OFFSET 20", "patients")
+def patient_page(spark, sf_dir):
+    """Page 2 of 20 patients each: a limit is the feature."""
+    return governance.page(fx.patients(spark, sf_dir).select("patient_id", "last_name"), ["patient_id"], 2, 20)
+
+
+_HASH = lambda expr, prefix: f"CASE WHEN trim({expr}) = '' THEN '' ELSE {privacy.hmac_sql(f'{chr(39)}{prefix}:{chr(39)} || upper(trim({expr}))', SALT)} END"
+_SYSTEMS = ["epic", "lab", "clinic"]
+
+
+def _source_rows(spark, sf_dir):
+    p, k = fx.patients(spark, sf_dir), F.col("patient_id")
+    return p.select(k, fx.pick(_SYSTEMS, k).alias("source_system"), F.concat(F.lit("m"), k).alias("mrn"), "last_name", "first_name", F.lit("").alias("middle_name"), F.col("dob").cast("string").alias("dob"), "ssn4", "zip", F.lit("U").alias("gender"))
+
+
+@query(f"""r AS (SELECT *, {fx._sql_pick(_SYSTEMS, "patient_id")} || ':m' || patient_id AS link FROM patients)
+    SELECT {_PT("link", "MPI")} AS global_id, link AS mrns, {_HASH("last_name", "LN")} || '|' || {_HASH("first_name", "FN")} || '|' AS name_hash, CASE WHEN ssn4 IS NULL THEN '' ELSE {_HASH("ssn4", "SSN4")} END AS ssn_hash, substr(zip, 1, 3) AS zip3 FROM r""", "patients")
+def mpi_records(spark, sf_dir):
+    r = registry.canonical_records(_source_rows(spark, sf_dir), SALT)
+    return r.select("global_id", F.array_join("mrn_list", ",").alias("mrns"), "name_hash", "ssn_hash", "zip3")
+
+
+_DECISIONS = ["AUTO_LINK", "REVIEW", "NO_MATCH", "BLOCKED"]
+
+
+def _linked(spark, sf_dir):
+    rows, k = _source_rows(spark, sf_dir), F.col("patient_id")
+    records = registry.canonical_records(rows, SALT)
+    link = F.concat_ws(":", "source_system", "mrn")
+    links = rows.select(privacy.pseudonym(link, "MPI", SALT).alias("global_id"), F.when(k % 6 == 0, F.col("source_system")).otherwise("ward").alias("source_system"), F.when(k % 6 == 0, F.col("mrn")).otherwise("w1").alias("mrn"), F.lit(0.9).alias("confidence"), fx.pick(_DECISIONS, k).alias("decision"), F.lit("loader").alias("linked_by"), F.when(k % 8 == 1, "dr x").alias("reviewed_by"))
+    return registry.link_records(records, links.unionByName(links), F.lit(AS_OF).cast("timestamp"))
+
+
+_LINKED = f"""l AS (SELECT patient_id AS k, {fx._sql_pick(_SYSTEMS, "patient_id")} AS s, patient_id % 4 = 0 OR patient_id % 8 = 1 AS linked FROM patients)"""
+
+
+@query(f"""{_LINKED} SELECT {_PT("s || ':m' || k", "MPI")} AS global_id, CASE WHEN linked AND k % 6 <> 0 THEN array_to_string(list_sort([s || ':m' || k, 'ward:w1']), ',') ELSE s || ':m' || k END AS mrns, CASE WHEN linked AND k % 6 <> 0 THEN array_to_string(list_sort([s, 'ward']), ',') ELSE s END AS systems FROM l""", "patients")
+def mpi_links(spark, sf_dir):
+    records, _ = _linked(spark, sf_dir)
+    return records.select("global_id", F.array_join("mrn_list", ",").alias("mrns"), F.array_join("source_systems", ",").alias("systems"))
+
+
+@query(f"""{_LINKED} SELECT count(*) AS records, count(*) FILTER (WHERE linked AND k % 6 <> 0) AS multi_source, 2 * count(*) FILTER (WHERE k % 4 = 1 AND k % 8 <> 1) AS pending_review, 2 * count(*) FILTER (WHERE k % 4 = 0) AS auto_linked, 2 * count(*) FILTER (WHERE k % 4 IN (2, 3)) AS conflicts FROM l""", "patients")
+def mpi_index_statistics(spark, sf_dir):
+    return registry.index_statistics(*_linked(spark, sf_dir))
+
+
+@query(f"{_MPI}, r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) AS rank FROM m WHERE score > 0.5) SELECT id_a, id_b, score, decision, rank::INT AS rank FROM r", "patients")
+def mpi_ranked(spark, sf_dir):
+    return registry.ranked_matches(mpi_score(spark, sf_dir)).select("id_a", "id_b", "score", "decision", "rank")
+
+
+@query("""r AS (SELECT patient_id, parameter, time, min(seq) AS seq FROM vitals GROUP BY ALL) SELECT patient_id, parameter, time, seq FROM r WHERE (patient_id, parameter, time) NOT IN (SELECT patient_id, parameter, time FROM vitals WHERE seq % 3 = 0)""", "vitals")
+def insert_ignore(spark, sf_dir):
+    """Readings to append to a table that has every third one already, each key once."""
+    v = fx.vitals(spark, sf_dir)
+    return registry.insert_new(v.filter("seq % 3 = 0"), v, ["patient_id", "parameter", "time"], [F.col("seq")]).select("patient_id", "parameter", "time", "seq")
+
+
+@query("""SELECT c_custkey, 'ADT' AS message_type, 'id' || c_custkey AS message_id, 'M' || c_custkey AS mrn, 'DOE' AS last_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'JANE' END AS first_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '1980-02-03' END AS date_of_birth,
+    CASE WHEN c_custkey % 5 = 0 THEN 'U' ELSE 'F' END AS gender, CASE WHEN c_custkey % 2 = 0 THEN '6789' ELSE '' END AS ssn_last4, 'Boston' AS city, '02139' AS zip_code FROM customer""")
+def hl7_patients(spark, sf_dir):
+    """Demographics out of messages with two kinds of separators."""
+    k = F.col("c_custkey").cast("string")
+    sep, n = F.when(F.col("c_custkey") % 7 == 0, "~").otherwise("^"), F.col("c_custkey")
+    join = lambda *parts: F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    comp = lambda *parts: F.concat_ws("", *[x for i, p in enumerate(parts) for x in ([sep] if i else []) + [F.lit(p) if isinstance(p, str) else p]])
+    msh = join(F.concat(F.lit("MSH|"), sep, F.lit("&#")), "app", "fac", "", "", "20240101", "", "ADT", F.concat(F.lit("id"), k))
+    pid = join("PID", "1", "", comp(F.concat(F.lit("M"), k), "x"), "", F.when(n % 3 == 0, "DOE").otherwise(comp("DOE", "JANE")), "", F.when(n % 4 == 0, "1980").otherwise("19800203"), F.when(n % 5 == 0, "Q").otherwise("f"), "", "", comp("1 Main", "", "Boston", "MA", "02139"), "", "", "", "", "", "", "", F.when(n % 2 == 0, "123-45-6789").otherwise("x"))
+    msgs = fx.table(spark, sf_dir, "customer").select("c_custkey", F.concat(msh, F.lit("\r\n"), pid).alias("message"))
+    p = hl7.patients(msgs)
+    return p.select(F.substring("mrn", 2, 20).cast("long").alias("c_custkey"), "message_type", "message_id", "mrn", "last_name", "first_name", "date_of_birth", "gender", "ssn_last4", "city", "zip_code")

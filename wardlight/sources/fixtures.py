@@ -112,10 +112,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a customer; every tenth is the one before it again under another record."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    who = k - (k % 10 == 1).cast("long")
     return c.select(
-        k.alias("patient_id"), pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], k).alias("last_name"), pick(["anna", "ana", "john", "jon", "maria"], k).alias("first_name"),
-        F.date_add(F.lit("1950-01-01").cast("date"), (k % 97 * 100).cast("int")).alias("dob"), F.when(k % 9 > 0, F.lpad((F.floor(k / 2) * 7919 % 10_000).cast("string"), 4, "0")).alias("ssn4"), F.concat(F.lit("M"), F.floor(k / 3)).alias("mrn"),
+        k.alias("patient_id"), pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], who).alias("last_name"), pick(["anna", "ana", "john", "jon", "maria"], who).alias("first_name"),
+        F.date_add(F.lit("1950-01-01").cast("date"), (who % 97 * 100).cast("int")).alias("dob"), F.when(k % 9 > 0, F.lpad((F.floor(k / 2) * 7919 % 10_000).cast("string"), 4, "0")).alias("ssn4"), F.concat(F.lit("M"), F.floor(k / 3)).alias("mrn"),
         F.lpad((k % 53 * 17).cast("string"), 5, "0").alias("zip"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"),
     )
 
@@ -152,8 +154,8 @@ VIEWS: dict[str, str] = {
         (props->>'$.k')::INT / 100.0 AS probability, value >= 40 AS occurred, event_id % 3 <> 0 AS treating, event_id % 10 <> 0 AS in_distribution, event_id % 2 = 0 AS outcome_linked, ts AS "at",
         {_sql_pick(["<40", "40-64", "65+"], "user_id")} AS subgroup FROM events""",
     "notes": f"""SELECT doc_id AS document_id, {_sql_pick(PHRASES, "doc_id")} || ' ' || coalesce(text, '') AS text FROM documents""",
-    "patients": f"""SELECT c_custkey AS patient_id, {_sql_pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], "c_custkey")} AS last_name,
-        {_sql_pick(["anna", "ana", "john", "jon", "maria"], "c_custkey")} AS first_name, (DATE '1950-01-01' + (c_custkey % 97 * 100)::INT)::DATE AS dob,
+    "patients": f"""SELECT c_custkey AS patient_id, {_sql_pick(["smith", "smyth", "jones", "sharma", "garcia", "garzia", "lee"], "(c_custkey - (c_custkey % 10 = 1)::INT)")} AS last_name,
+        {_sql_pick(["anna", "ana", "john", "jon", "maria"], "(c_custkey - (c_custkey % 10 = 1)::INT)")} AS first_name, (DATE '1950-01-01' + ((c_custkey - (c_custkey % 10 = 1)::INT) % 97 * 100)::INT)::DATE AS dob,
         CASE WHEN c_custkey % 9 > 0 THEN lpad((c_custkey // 2 * 7919 % 10000)::VARCHAR, 4, '0') END AS ssn4, 'M' || (c_custkey // 3) AS mrn, lpad((c_custkey % 53 * 17)::VARCHAR, 5, '0') AS zip, c_nationkey AS nation, c_acctbal AS balance FROM customer""",
 }
 
