@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions import rules
@@ -64,6 +64,14 @@ def escalations(rows: DataFrame) -> DataFrame:
     return rows.select("patient_id", "at", F.inline(found)).withColumn("deadline", F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes")))
 
 
+def risk_factors() -> Column:
+    """What speaks for a raised risk, from news2, sofa, deterioration and sepsis."""
+    f = lambda t, m: F.when(F.coalesce(t, F.lit(False)), m)
+    return F.array_compact(F.array(
+        f(F.col("news2") >= 5, F.concat(F.lit("NEWS2 "), F.col("news2"))), f(F.col("sofa") >= 4, F.concat(F.lit("SOFA "), F.col("sofa"))), f(F.col("deterioration") > 0.70, F.lit("deterioration")), f(F.col("sepsis") > 0.50, F.lit("sepsis")),
+    ))
+
+
 def fusion_risk(findings: DataFrame) -> DataFrame:
     """findings: patient_id, source, severity, confidence, negated. Weighted severity, level and confidence."""
     of = lambda values, c: F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), c)

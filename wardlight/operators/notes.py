@@ -90,6 +90,20 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     return rows.select("document_id", F.inline(keep)).drop("minus")
 
 
+def summary(found: DataFrame, most: int = 3) -> DataFrame:
+    """found (document_id, condition): the first conditions of each note by name, as a sentence."""
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("condition"))
+    top = found.withColumn("n", n).filter(F.col("n") <= most).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("condition")), ", ").alias("d"))
+    return top.select("document_id", F.concat(F.lit("Active diagnoses: "), "d", F.lit(".")).alias("summary"))
+
+
+def process(notes: DataFrame) -> DataFrame:
+    """Each note with class, sentiment, summary and content hash. All but the summary are one pass over the text."""
+    one = note_class(notes).join(sentiment(notes).select("document_id", "sentiment"), "document_id").join(notes.select("document_id", F.sha2(F.substring("text", 1, 1000), 256).alias("semantic_hash")), "document_id")
+    rows = one.join(summary(conditions(notes).select("document_id", "condition")), "document_id", "left")
+    return rows.withColumn("summary", F.coalesce("summary", F.lit("No significant entities extracted.")))
+
+
 def exact_dedup(notes: DataFrame) -> DataFrame:
     """First document of each text."""
     return notes.groupBy(F.md5("text").alias("digest")).agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("copies"))

@@ -140,6 +140,20 @@ def in_range(vitals: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
     return vitals.filter((F.col("time") > end - F.expr(f"interval {hours} hours")) & (F.col("time") <= end))
 
 
+def valid_inputs(readings: DataFrame) -> DataFrame:
+    """Readings with a finite value of a known parameter."""
+    v = F.col("value")
+    known = sorted({*rules.POPULATION, "fio2", "weight", "height", "pain_score"})
+    return readings.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col("parameter").isin(known))
+
+
+def analyze(patients: DataFrame, vitals: DataFrame) -> DataFrame:
+    """patients (patient_id) with alerts, priority and uncertainty; who has no readings has none, LOW and 1."""
+    found = alerts(vitals).select("patient_id", "alerts", "priority")
+    rows = patients.join(found, "patient_id", "left")
+    return rows.select("patient_id", F.coalesce("alerts", F.lit("")).alias("alerts"), F.coalesce("priority", F.lit("LOW")).alias("priority"), F.when(F.col("priority").isNull(), 1.0).otherwise(0.1).alias("uncertainty"))
+
+
 def ward_board(vitals: DataFrame) -> DataFrame:
     """Clean last vitals, scores and risk of each patient, most urgent first."""
     board = with_scores(latest_wide(artifact_filter(vitals)))
