@@ -9,6 +9,8 @@ from wardlight.operators import agents, business, fusion, monitoring, notes, rol
 from wardlight.plans import catalog
 from wardlight.plans.catalog import _FINDINGS, _MODEL, _SCORED, _WIDE, _case, _findings, _r, query
 from wardlight.sources import fixtures as fx
+from wardlight.streaming import stateful
+from wardlight.streaming import vitals as stream
 
 # ---- roll-ups --------------------------------------------------------------------------------------------------
 _AGENTS = ["triage", "risk", "diagnosis", "pharmacist"]
@@ -183,3 +185,54 @@ def analyzed(spark, sf_dir):
 def note_records(spark, sf_dir):
     """Each note with its class, mood, first diagnoses by name and the hash of its first thousand characters."""
     return notes.process(fx.notes(spark, sf_dir)).select("document_id", "semantic_hash", "note_class", "sentiment", "summary")
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------
+_CUTS = ["2024-01-08 00:00:00", "2024-01-16 00:00:00", "2024-01-24 00:00:00"]
+
+
+@query(f"""d AS (SELECT *, time >= TIMESTAMP '{_CUTS[-1]}' AS last FROM vitals), w AS (SELECT max(time) - INTERVAL 1 HOUR AS mark FROM d WHERE time < TIMESTAMP '{_CUTS[-2]}' AND seq % 50 <> 0),
+    k AS (SELECT d.* FROM d, w WHERE last OR seq % 50 <> 0 OR date_trunc('hour', time) + INTERVAL 1 HOUR > mark)
+    SELECT patient_id, parameter, date_trunc('hour', time)::TIMESTAMP AS hour, count(*) AS n, min(value) AS min, max(value) AS max, round(sum(value) / count(*), 6) AS mean FROM k GROUP BY ALL""", "vitals")
+def stream_vitals_late(spark, sf_dir):
+    """The hourly rollup over micro-batches in time order: every fiftieth reading comes with the last batch, and those more than
+    an hour late are left out. Late rows of a batch are judged by the mark that the batch before it began with."""
+    folder = stateful.in_time_order(spark, fx.vitals(spark, sf_dir), _CUTS, "time", late="seq % 50 = 0")
+    rows = stateful.run(spark, folder, lambda s: stream.hourly(s, delay="1 hour"), "update")
+    keys = ["patient_id", "parameter", "hour"]
+    last = rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "min", "max", "mean")])
+    return last.select(*keys, "n", "min", "max", *_r("mean"))
+
+
+@query("""b AS (SELECT actor_id, resource_id AS seq, epoch("at")::BIGINT AS s FROM audit_burst WHERE out_of_department)
+    SELECT actor_id, seq, count(*) OVER (PARTITION BY actor_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY actor_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) > 50 AS breach FROM b""", "audit_burst")
+def stream_sliding_access(spark, sf_dir):
+    """The sliding access count as a stream with exact state."""
+    rows = fx.audit_burst(spark, sf_dir).filter("out_of_department").select("actor_id", "at", F.col("resource_id").alias("seq"))
+    folder = stateful.in_time_order(spark, rows, ["2024-01-31 22:00:00", "2024-01-31 23:00:00"], "at")
+    return stateful.run(spark, folder, stateful.sliding_counts).select("actor_id", "seq", "in_window", "breach")
+
+
+@query("""t AS (SELECT patient_id, seq, floor(epoch(time))::BIGINT AS s, time FROM vitals), g AS (SELECT *, CASE WHEN s - lag(s) OVER w > 86400 OR lag(s) OVER w IS NULL THEN 1 ELSE 0 END AS first FROM t WINDOW w AS (PARTITION BY patient_id ORDER BY time, seq)),
+    i AS (SELECT *, sum(first) OVER (PARTITION BY patient_id ORDER BY time, seq) AS session FROM g)
+    SELECT patient_id, seq, min(s) OVER (PARTITION BY patient_id, session) AS session_start, row_number() OVER (PARTITION BY patient_id, session ORDER BY time, seq) AS n FROM i""", "vitals")
+def stream_sessions(spark, sf_dir):
+    """Sessions of each patient that a day without readings ends, as a stream with state and a time to live."""
+    folder = stateful.in_time_order(spark, fx.vitals(spark, sf_dir).select("patient_id", "time", "seq"), _CUTS, "time")
+    return stateful.run(spark, folder, stateful.sessions).select("patient_id", "seq", "session_start", "n")
+
+
+@query()
+def stream_breakers(spark, sf_dir):
+    """Calls that an agent's breaker refuses, as a stream with state; held against a plain fold in the tests."""
+    k = F.col("event_id")
+    at = F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 40)
+    calls = fx.table(spark, sf_dir, "events").select(fx.pick(_AGENTS, k).alias("agent"), at.alias("at"), k.alias("seq"), (k % 7 < 5).alias("failed"))
+    folder = stateful.in_time_order(spark, calls, ["2024-02-01 03:00:00", "2024-02-01 07:00:00"], "at")
+    return stateful.run(spark, folder, stateful.breakers).select("agent", "seq", "refused", "open")
+
+
+@query("SELECT event_id, sha256(props) AS digest FROM events WHERE value > 100")
+def stream_dead_letters(spark, sf_dir):
+    folder = stateful.in_time_order(spark, fx.table(spark, sf_dir, "events"), _CUTS, "ts")
+    return stateful.split_dead_letters(spark, folder, "value > 100", "props")[1].select("event_id", "digest")
