@@ -19,6 +19,14 @@ def ml_signal(feedback: DataFrame) -> DataFrame:
     return feedback.withColumn("valid", valid).withColumn("ml_signal", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(agrees, base * 1.3).otherwise(base))))
 
 
+def feedback_signals(actions: DataFrame) -> DataFrame:
+    """actions (action; explicit: is_positive, reason) as signals: what a physician did, or a thumb. A thumb down without a reason is out of distribution."""
+    implicit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.ACTION_SIGNAL.items() for x in kv]), F.col("action")), F.lit("rejected"))
+    signal = F.when(F.col("is_positive").isNull(), implicit).when(F.col("is_positive"), "thumbs_up").otherwise("thumbs_down")
+    vague = (signal == "thumbs_down") & (F.length(F.coalesce("reason", F.lit(""))) == 0)
+    return actions.withColumn("signal", signal).withColumn("in_distribution", ~vague)
+
+
 def weekly_summary(feedback: DataFrame) -> DataFrame:
     rows = ml_signal(feedback)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))

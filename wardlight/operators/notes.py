@@ -109,43 +109,43 @@ def exact_dedup(notes: DataFrame) -> DataFrame:
     return notes.groupBy(F.md5("text").alias("digest")).agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = 0.92, planes: int = 8, tables: int = 12, seed: int = 11) -> DataFrame:
-    """Pairs (a, b, cosine) of vectors at least as similar as the threshold that share a random-hyperplane bucket of some table.
+def cosine_pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096) -> DataFrame:
+    """All pairs (a, b, cosine), a < b, of vectors at least as similar as the threshold.
 
-    Buckets are blocks compared inside their task by one matrix product; only pairs that pass leave it. A pair that
-    shares no bucket is missed. Vectors have one length; null or empty ones and those with a null component take no part.
+    Equal vectors are one: their least id stands for them in all pairs, and each other id is paired with it alone. Vectors
+    are dealt into blocks by hash, and a task compares two blocks by matrix products; only pairs that pass leave it. Null or
+    empty vectors, those with a null component and zero vectors take no part; vectors of other lengths are not compared.
     """
-
-    def codes(batches):
-        rng = np.random.default_rng(seed)
-        normal = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            if normal is None:
-                normal = rng.normal(size=(x.shape[1], planes * tables))
-            bits = (x @ normal > 0).reshape(len(x), tables, planes)
-            code = (bits * (1 << np.arange(planes))).sum(2) + np.arange(tables) * (1 << planes)
-            yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), tables), "bucket": code.ravel(), "embedding": np.repeat(pdf["embedding"].to_numpy(), tables)})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        norm = np.sqrt((x * x).sum(1))
-        x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-        ids, a, b, c = pdf["vec_id"].to_numpy(), [], [], []
-        for first in range(0, len(x), 512):
-            s = x[first : first + 512] @ x.T
-            i, j = np.nonzero(s >= threshold)
-            ok = ids[i + first] < ids[j]
-            a.append(ids[i[ok] + first])
-            b.append(ids[j[ok]])
-            c.append(s[i[ok], j[ok]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "cosine": np.concatenate(c)})
-
-    whole = vectors.select("vec_id", "embedding").filter((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
-    coded = whole.mapInPandas(codes, "vec_id long, bucket long, embedding array<float>")
-    return coded.groupBy("bucket").applyInPandas(compare, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    whole = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
+    heads = whole.groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    members = whole.join(heads.withColumnRenamed("vec_id", "a"), "v").filter(F.col("a") < F.col("vec_id")).select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("cosine"))
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    rows = heads.withColumn("d", F.size("v")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("d", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "v")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, ids = pdf["own"].to_numpy(), pdf["vec_id"].to_numpy()
+        x = np.stack(pdf["v"].to_numpy())
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        out = [np.zeros((3, 0))]
+        for first in range(0, len(left), 512):
+            some = left[first : first + 512]
+            s = x[some] @ x[right].T
+            i, j = np.nonzero(s >= threshold - 1e-12)
+            ok = ids[some[i]] < ids[right[j]] if key[1] == key[2] else np.ones(len(i), bool)
+            out.append(np.stack([ids[some[i[ok]]], ids[right[j[ok]]], s[i[ok], j[ok]]]))
+        a, b, c = np.concatenate(out, axis=1)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c})
+
+    return rows.groupBy("d", "lo", "hi").applyInPandas(compare, "a long, b long, cosine double").unionByName(members)
+
+
+def first_seen(pairs: DataFrame) -> DataFrame:
+    """vec_id, kept: for each vector that is like an earlier one, the least id among those."""
+    return pairs.groupBy(F.col("b").alias("vec_id")).agg(F.min("a").alias("kept"))
 
 
 def context_budget(items: DataFrame, budget: int, as_of) -> DataFrame:

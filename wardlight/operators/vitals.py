@@ -140,6 +140,24 @@ def in_range(vitals: DataFrame, as_of: str, hours: int = 48) -> DataFrame:
     return vitals.filter((F.col("time") > end - F.expr(f"interval {hours} hours")) & (F.col("time") <= end))
 
 
+def latest_within(rows: DataFrame, key: list[str], value: str, ttl_seconds: int, as_of: str) -> DataFrame:
+    """The last value of each key that is no older than its time to live."""
+    end = F.lit(as_of).cast("timestamp_ntz")
+    live = rows.filter((F.col("time") > end - F.expr(f"interval {ttl_seconds} seconds")) & (F.col("time") <= end))
+    return live.groupBy(*key).agg(F.max_by(value, F.struct("time", "seq")).alias(value), F.max("time").alias("time"))
+
+
+def trend_by_order(rows: DataFrame, order: str) -> DataFrame:
+    """First against last third of each patient's readings in the order given, without sorting by time: worse by 3, better by 2."""
+    n, at = F.count(F.lit(1)).over(Window.partitionBy("patient_id")), F.row_number().over(Window.partitionBy("patient_id").orderBy(order))
+    third = F.floor(F.col("n") / 3)
+    dealt = rows.withColumn("n", n).withColumn("rn", at).filter("n >= 10").withColumn("part", F.when(F.col("rn") <= third, "first").when(F.col("rn") > F.col("n") - third, "last"))
+    last = lambda t, p: F.max_by(F.when((F.col("part") == t) & (F.col("parameter") == p), F.col("value")), F.when((F.col("part") == t) & (F.col("parameter") == p), F.col("rn")))
+    wide = dealt.groupBy("patient_id").agg(*[last(t, p).alias(f"{t}_{p}") for t in ("first", "last") for p in rules.NEWS2])
+    early, late = (scores.news2({p: F.col(f"{t}_{p}") for p in rules.NEWS2}) for t in ("first", "last"))
+    return wide.select("patient_id", F.when(late - early >= 3, "worsening").when(early - late >= 2, "improving").otherwise("stable").alias("trend"))
+
+
 def valid_inputs(readings: DataFrame) -> DataFrame:
     """Readings with a finite value of a known parameter."""
     v = F.col("value")

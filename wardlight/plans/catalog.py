@@ -603,9 +603,27 @@ def exact_dedup(spark, sf_dir):
     return notes.exact_dedup(fx.notes(spark, sf_dir))
 
 
-@query()
+_COSINE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), w AS (SELECT * FROM v UNION ALL
+SELECT 1000000 + vec_id, list_transform(v, lambda x, i: x + (0.05 + (vec_id % 4) * 0.01) * ((i - 1) % 3 - 1)) FROM v WHERE vec_id % 5 = 0 UNION ALL SELECT 2000000 + vec_id, v FROM v WHERE vec_id % 7 = 0),
+h AS (SELECT v, min(vec_id) AS vec_id FROM w GROUP BY v), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS cosine FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.92
+UNION ALL SELECT h.vec_id, w.vec_id, 1.0 FROM w JOIN h USING (v) WHERE w.vec_id > h.vec_id)"""
+
+
+def _near_vectors(spark, sf_dir):
+    """The embeddings, every fifth again with noise around the threshold, every seventh again as it is."""
+    e, k = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), F.col("vec_id")
+    noisy = F.transform("embedding", lambda x, i: x + (0.05 + (k % 4) * 0.01) * (i % 3 - 1))
+    return e.unionByName(e.filter(k % 5 == 0).select((1_000_000 + k).alias("vec_id"), noisy.alias("embedding"))).unionByName(e.filter(k % 7 == 0).select((2_000_000 + k).alias("vec_id"), "embedding"))
+
+
+@query(f"WITH {_COSINE} SELECT a, b, round(cosine, 6) AS cosine FROM p")
 def cosine_dedup(spark, sf_dir):
-    return notes.cosine_pairs(fx.table(spark, sf_dir, "embeddings"))
+    return notes.cosine_pairs(_near_vectors(spark, sf_dir)).select("a", "b", *_r("cosine"))
+
+
+@query(f"WITH {_COSINE} SELECT b AS vec_id, min(a) AS kept FROM p GROUP BY b")
+def semantic_duplicates(spark, sf_dir):
+    return notes.first_seen(notes.cosine_pairs(_near_vectors(spark, sf_dir)))
 
 
 @query(

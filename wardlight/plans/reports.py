@@ -226,9 +226,9 @@ def stream_sessions(spark, sf_dir):
 def stream_breakers(spark, sf_dir):
     """Calls that an agent's breaker refuses, as a stream with state; held against a plain fold in the tests."""
     k = F.col("event_id")
-    at = F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 40)
+    at = F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 10)
     calls = fx.table(spark, sf_dir, "events").select(fx.pick(_AGENTS, k).alias("agent"), at.alias("at"), k.alias("seq"), (k % 7 < 5).alias("failed"))
-    folder = stateful.in_time_order(spark, calls, ["2024-02-01 03:00:00", "2024-02-01 07:00:00"], "at")
+    folder = stateful.in_time_order(spark, calls, ["2024-02-01 01:00:00", "2024-02-01 02:00:00"], "at")
     return stateful.run(spark, folder, stateful.breakers).select("agent", "seq", "refused", "open")
 
 
@@ -236,3 +236,51 @@ def stream_breakers(spark, sf_dir):
 def stream_dead_letters(spark, sf_dir):
     folder = stateful.in_time_order(spark, fx.table(spark, sf_dir, "events"), _CUTS, "ts")
     return stateful.split_dead_letters(spark, folder, "value > 100", "props")[1].select("event_id", "digest")
+
+
+# ---- smaller ones ----------------------------------------------------------------------------------------------
+_ACTIONS = ["accepted", "modified", "rejected", "ordered_different", "ignored"]
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'thumbs_up' ELSE 'thumbs_down' END ELSE {_case({k: f"'{v}'" for k, v in rules.ACTION_SIGNAL.items()}, fx._sql_pick(_ACTIONS, "event_id"), "'rejected'")} END AS signal, NOT (event_id % 6 = 3 AND event_id % 4 <> 1) AS in_distribution FROM events""")
+def feedback_signals(spark, sf_dir):
+    k = F.col("event_id")
+    rows = fx.table(spark, sf_dir, "events").select(k, fx.pick(_ACTIONS, k).alias("action"), F.when(k % 3 == 0, k % 2 == 0).alias("is_positive"), F.when(k % 4 == 1, "late").otherwise("").alias("reason"))
+    return monitoring.feedback_signals(rows).select("event_id", "signal", "in_distribution")
+
+
+@query("SELECT patient_id, parameter, arg_max(value, (time, seq)) AS value, max(time) AS time FROM vitals WHERE time > TIMESTAMP '2024-01-30 00:00:00' AND time <= TIMESTAMP '2024-01-30 12:00:00' GROUP BY ALL", "vitals")
+def cached_vitals(spark, sf_dir):
+    """Last values that are not older than their time to live of twelve hours."""
+    return vitals.latest_within(fx.vitals(spark, sf_dir), ["patient_id", "parameter"], "value", 43_200, "2024-01-30 12:00:00")
+
+
+_THIRDS = ", ".join(f"arg_max(value, rn) FILTER (WHERE parameter = '{p}' AND part = '{t}') AS {t}_{p}" for t in ("first", "last") for p in rules.NEWS2)
+_EARLY, _LATE = (" + ".join(scores.banded_sql(f"{t}_{p}", b) for p, b in rules.NEWS2.items()) for t in ("first", "last"))
+
+
+@query(f"""r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY patient_id) AS n FROM vitals), t AS (SELECT *, CASE WHEN rn <= n // 3 THEN 'first' WHEN rn > n - n // 3 THEN 'last' END AS part FROM r WHERE n >= 10),
+    w AS (SELECT patient_id, {_THIRDS} FROM t GROUP BY patient_id), s AS (SELECT patient_id, {_EARLY} AS e, {_LATE} AS l FROM w) SELECT patient_id, CASE WHEN l - e >= 3 THEN 'worsening' WHEN e - l >= 2 THEN 'improving' ELSE 'stable' END AS trend FROM s""", "vitals")
+def trend_input_order(spark, sf_dir):
+    return vitals.trend_by_order(fx.vitals(spark, sf_dir), "seq")
+
+
+@query("SELECT encounter_id, (epoch(discharge::TIMESTAMP) - epoch(admission::TIMESTAMP)) / 86400.0::DOUBLE AS days FROM encounters WHERE los >= 3 AND icd10 = 'I50.9'", "encounters")
+def stay_days(spark, sf_dir):
+    """Length of stay out of timestamps, for one diagnosis."""
+    e = fx.encounters(spark, sf_dir).filter((F.col("los") >= 3) & (F.col("icd10") == "I50.9"))
+    return e.select("encounter_id", ((F.unix_timestamp(F.to_timestamp("discharge")) - F.unix_timestamp(F.to_timestamp("admission"))) / 86400.0).alias("days"))
+
+
+@query(f"SELECT document_id, string_agg(condition, ',' ORDER BY condition) AS active FROM (SELECT DISTINCT document_id, condition FROM {_sql_of('note_conditions')}) GROUP BY document_id")
+def note_active_conditions(spark, sf_dir):
+    found = notes.conditions(fx.notes(spark, sf_dir))
+    return found.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("condition")), ",").alias("active"))  # at most ten
+
+
+@query("""SELECT agent, max(event_id) AS seq FROM (SELECT *, ['triage', 'risk', 'diagnosis', 'pharmacist'][event_id % 4 + 1] AS agent FROM events) GROUP BY agent""")
+def last_message(spark, sf_dir):
+    """The last element of each agent's append-only list."""
+    k = F.col("event_id")
+    e = fx.table(spark, sf_dir, "events").select(fx.pick(_AGENTS, k).alias("agent"), k.alias("seq"))
+    return e.groupBy("agent").agg(F.max("seq").alias("seq"))
