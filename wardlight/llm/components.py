@@ -13,7 +13,7 @@ _runs = 0
 
 
 #: Rows of a written file.
-ROWS = 100_000
+ROWS = 20_000
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

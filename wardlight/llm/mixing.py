@@ -88,8 +88,12 @@ def _share(k: Column, v: Column, n: Column) -> Column:
     return k * whole + F.when(n < 2**31, F.call_function("div", k * part, n)).otherwise(F.call_function("div", wide(k) * wide(part), wide(n)))
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def mix_to_targets(docs: DataFrame, weights: list[float] | None = None, cap: int = CAP, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken; one row for each row of docs.
+    """doc_id, source, size, source_size, target, copies, taken; one row for each row of docs.
 
     size: words of the text (null: 0). weights repeat over the sources sorted by code point, null last
     (default 1, 2, 3). Documents without words are never taken. Rows with equal source, size and id are
@@ -99,7 +103,7 @@ def mix_to_targets(docs: DataFrame, weights: list[float] | None = None, cap: int
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
     weights = weights or [1.0, 2.0, 3.0]
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    size = word_count(F.col(text_col))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # joins by it need no null-safe test
     rows = scratch.save(numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.sum((F.col("size") > 0).cast("long")).alias("filled"))
@@ -112,7 +116,7 @@ def mix_to_targets(docs: DataFrame, weights: list[float] | None = None, cap: int
 
     spread = max(16, rows.count() // CELL_ROWS)
     cell = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(spread)).cast("int")
-    rows = rows.select("doc_id", "copy", "size", key.alias("key"), cell.alias("cell"))
+    rows = rows.select("doc_id", "source", "copy", "size", key.alias("key"), cell.alias("cell"))
     cells = scratch.save(rows.groupBy("key", "size", "cell").count(), "cells")
     hist = scratch.save(cells.groupBy("key", "size").agg(F.sum("count").alias("n")), "hist")
     facts = solve_tilts(hist, sources, scratch, cap)
@@ -135,7 +139,7 @@ def mix_to_targets(docs: DataFrame, weights: list[float] | None = None, cap: int
     return (
         rows.withColumn("rn", F.row_number().over(order)).join(begun, ["key", "size", "cell"])
         .withColumn("copies", _share(at, F.col("v"), F.col("n")) - _share(at - 1, F.col("v"), F.col("n")))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 

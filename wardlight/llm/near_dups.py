@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wardlight.llm.components import connected_components
 from wardlight.llm.scratch import Scratch, with_labels
@@ -381,17 +382,9 @@ class JaccardJoin:
         return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "v").mapInArrow(run, "a long, b long, d long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """id, n_shingles, component_id: one row for each row of docs.
-
-    Two rows link when den * |A & B| >= num * |A | B| of their shingle sets; component_id is the smallest id
-    reachable. Rows without words (null, empty or white space) have no shingles and link with nothing. Rows
-    that repeat an id are rows of their own. A row without id takes part; a component of such rows only has no
-    component_id. An empty table gives an empty result; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
-    join = JaccardJoin(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scratch, width, num, den)
+def _labelled(join: JaccardJoin) -> tuple[DataFrame, DataFrame, int]:
+    """(rows of ``sets``; v, comp, component_id, __n: copies, of each vertex; number of rows)."""
+    scratch = join.scratch
     sized = scratch.save(join.sets(), "sized")
     twins = sized.filter("v is not null").groupBy("v").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).filter("lo <> hi").select("v").collect()
     if twins:  # sequences that share 64 bits: some hundreds among 10**11 texts
@@ -399,7 +392,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
         sized = scratch.save(join.sets(), "sized-apart")
     sketched = scratch.save(sized.filter("bits is not null").select("v", "n", "bits").dropDuplicates(["v"]), "sketched", files=sized.count() // 5_000 + 1)
     n_rows = sized.count()
-    files = n_rows // 50_000 + 1  # of tables of a row a vertex
+    files = n_rows // 20_000 + 1  # of tables of a row a vertex
     keyed = join.keyed(*join.common_keys(n_rows))
     cand = keyed.filter("v <> lead").select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
     n_keyed = keyed.count()
@@ -460,12 +453,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     found = heads.join(comps.withColumnRenamed("id", "v"), "v", "left").select("v", "id", "copies", F.coalesce("comp", "v").alias("comp"))
     found = scratch.save(found, "found", files=files)
     least = scratch.save(found.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("__n")), "least", files=files)
-    labels = scratch.save(with_labels(found, least, "comp", n_rows).select("v", "component_id", F.col("copies").alias("__n")), "labels", files=files)
+    labels = scratch.save(with_labels(found, least, "comp", n_rows).select("v", "comp", "component_id", F.col("copies").alias("__n")), "labels", files=files)
+    return sized, labels, n_rows
+
+
+def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch | None) -> JaccardJoin:
+    return JaccardJoin(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scratch or Scratch(docs.sparkSession, "jaccard"), width, num, den)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """id, n_shingles, component_id: one row for each row of docs.
+
+    Two rows link when den * |A & B| >= num * |A | B| of their shingle sets; component_id is the smallest id
+    reachable. Rows without words (null, empty or white space) have no shingles and link with nothing. Rows
+    that repeat an id are rows of their own. A row without id takes part; a component of such rows only has no
+    component_id. Very long texts are hashed in blocks. An empty table gives an empty result; other columns, of any
+    names, are ignored.
+    """
+    sized, labels, n_rows = _labelled(_join(docs, width, num, den, id_col, text_col, scratch))
     rows, wordy = sized.select("id", "n", "v"), F.col("v").isNotNull()
-    out = with_labels(rows.filter(wordy), labels, "v", n_rows).unionByName(rows.filter(~wordy).withColumn("component_id", F.col("id")))
+    out = with_labels(rows.filter(wordy), labels.drop("comp"), "v", n_rows).unionByName(rows.filter(~wordy).withColumn("component_id", F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs without near duplicates: of each component one row stays, the one of the smallest id.
+
+    Of several rows of that id the one of the smallest text hash stays, then the one of the smallest hash of all columns;
+    a row without id stays only where no row of its component has one. So different texts under one id all stay. Rows without
+    words link with nothing and stay. An empty table gives an empty result; columns of any names pass through.
+    """
+    join = _join(docs, width, num, den, id_col, text_col, scratch)
+    _, labels, n_rows = _labelled(join)
+    text_at, names, twins = docs.columns.index(text_col), [*docs.columns, "__v"], join.twins
+
+    def run(batches):
+        for b in batches:
+            v, has = np.zeros(b.num_rows, U64), np.zeros(b.num_rows, bool)
+            for i, _, vertex, _ in shingle_sets(b.column(text_at), width, twins):
+                v[i], has[i] = vertex, True
+            yield _batch(names, [*b.columns, pa.array(v.view(np.int64), mask=~has)])
+
+    rows = join.scratch.save(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__v", LongType())])), "rows")
+    every = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long").alias("id"), F.col("__v"), every.alias("h"))
+    wordy = with_labels(rows.filter("__v is not null"), labels.select(F.col("v").alias("__v"), F.col("comp").alias("__comp"), "__n"), "__v", n_rows).withColumn("__order", order)
+    first = wordy.groupBy("__comp").agg(F.min("__order").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    first = join.scratch.save(first, "first", files=n_rows // 20_000 + 1)
+    stay = with_labels(wordy, first, "__comp", n_rows).filter(F.col("__order").eqNullSafe(F.col("__least"))).dropDuplicates(["__comp"])
+    return stay.select(docs.columns).unionByName(rows.filter("__v is null").select(docs.columns))
+
+
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Links at a Jaccard of 0.75 or more of the five-word shingles of all documents: doc_id, n_shingles, component_id."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
