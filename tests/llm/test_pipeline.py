@@ -1,5 +1,6 @@
 """Stages of the pipeline on a small table, each against what its operator says of the rows before it."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -30,3 +31,43 @@ def test_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, and further columns of names the stages use."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(900)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    base = [text(60) for _ in range(12)]
+    rows = [(i, t, "en", "ab"[i % 2], 1) for i, t in enumerate(base)]
+    rows += [(3, base[3], "en", "b", 1), (3, base[3], "en", "b", 1), (5, text(70), "fr", "a", 1), (5, text(70), None, None, None), (None, text(50), None, None, None), (None, text(50), None, None, None), (None, base[0], "en", "a", 1)]
+    rows += [(90, None, None, None, None), (91, "", "en", "a", 0), (91, "", "en", "a", 0), (92, " \n ", "en", "a", 3), (93, text(40_000), "en", "a", 1), (94, f"{base[1]} {text(2)}", "en", "a", 1)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, kept_text string, copies long, __x int, ids string, v long, n long, size long"
+    docs = spark.createDataFrame([(*r, "k", 1, 2, "i", 3, 4, 5) for r in rows], fields).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages, where = dict(corpus_pipeline.STAGES), f"file://{tmp_path}"
+    seen = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    good = stages["quality rules"](spark, docs, where).cache()
+    assert seen(good) == Counter((i, t) for i, t, *_ in rows if t and len(t.split()) >= 20) and good.columns == docs.columns
+    lines = stages["line dedup"](spark, docs, where).cache()
+    assert seen(lines) == Counter((i, t or "") for i, t, *_ in rows) and lines.columns == docs.columns
+    once = stages["n-gram Jaccard join"](spark, docs, where).cache()
+    want = Counter((i, t) for i, t, *_ in rows) - Counter({(3, base[3]): 2, (None, base[0]): 1, (94, rows[-1][1]): 1})
+    assert seen(once) == want and once.columns == docs.columns
+    mixed = stages["mixing sources to target weights"](spark, docs, where).cache()
+    got = seen(mixed)
+    assert set(got) <= {(i, t) for i, t, *_ in rows if t and t.split()} and all(n <= 3 * Counter((i, t) for i, t, *_ in rows)[k] for k, n in got.items()) and mixed.columns == docs.columns
+    per = Counter()
+    for r in mixed_rows(docs):
+        per[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert per == Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in mixed.collect())
+    out = stages["SentencePiece encoding and decoding"](spark, docs, where).collect()
+    assert len(out) == len(rows) and all(r["round_trip"] for r in out) and sum(not r["ids"] for r in out) == sum(not t for _, t, *_ in rows)
+    assert corpus_pipeline.run(spark, where).count() > 0
+
+
+def mixed_rows(docs):
+    from wardlight.llm.mixing import mix_to_targets
+
+    return [r for r in mix_to_targets(docs).collect() if r["copies"]]
