@@ -6,12 +6,12 @@ documents. ``run`` writes each stage's rows to the shared folder and reads them
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.line_dedup import dedup_lines
-from wardlight.llm.mixing import mix_to_targets
-from wardlight.llm.near_dups import near_duplicates
+from wardlight.llm.mixing import mix_to_targets, word_count
+from wardlight.llm.near_dups import one_of_each
 from wardlight.llm.pieces import encode
 from wardlight.llm.quality_rules import judge
 from wardlight.llm.scratch import Scratch
@@ -21,28 +21,33 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned decision list reject go."""
+    """Documents that the base rules or the learned decision list reject go; null and empty texts are among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge(docs, labels).filter("kept").select(docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; text and n_chars are those of the kept lines."""
+    """Repeated lines go; text and n_chars are those of the kept lines. A null text becomes an empty one."""
     kept = dedup_lines(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long"))
     return kept.select(docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once. Rows without id stay."""
-    stay = near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """Of each component the row of the smallest id stays, once; different texts under one id, and rows without words, stay."""
+    return one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it. Rows that repeat an id stand as often as the one taken most."""
-    copies = mix_to_targets(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
-    taken = docs.join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """Each document stands as often as the mix takes it; documents without words go. Rows equal in id, source and size share their copies in the order of their texts' hashes."""
+    same = ["__id", "__source", "__size"]
+    number = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order))
+    keys = [F.struct("doc_id").alias("__id"), F.struct("source").alias("__source")]  # a struct is never null, so rows without id or source meet
+    mixed = mix_to_targets(docs)
+    copies = mixed.filter("copies > 0").select(F.struct("doc_id").alias("__id"), F.struct("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    copies = copies.withColumn("__n", number(F.desc("__copies")))
+    sized = docs.select("*", *keys, word_count(F.col("text")).alias("__size")).withColumn("__n", number(F.xxhash64("text")))
+    taken = sized.join(copies, [*same, "__n"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
