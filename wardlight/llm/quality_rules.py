@@ -199,13 +199,14 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).dropDuplicates(["__id"])
     shares = [c.alias(k) for k, c in features().items()]
     drawn = bounded_sample(marks, "__id", sample_rows)
-    rows = counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), *shares).join(F.broadcast(drawn), "__id").limit(sample_rows).toPandas().sort_values("__id")
+    rows = counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), *shares).join(F.broadcast(drawn), "__id").orderBy(F.xxhash64("__id", F.lit(97)), "__id", *FEATURES).limit(sample_rows).toPandas()
     x, bad = rows[list(FEATURES)].to_numpy(float), rows["__q"].to_numpy() == 0
     rules = learn_rules(x, bad) if len(rows) and bad.any() and not bad.all() else []
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejects(rules))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """All documents judged by the base rules and rules learned from the labels: doc_id, five counts, base_failed, kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge(docs, labels).select("doc_id", *COUNTS[:5], "base_failed", "kept")

@@ -115,7 +115,7 @@ def exact_top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec
 
     Rows whose vector is null, empty or holds null or non-finite components, and rows without id, take no part. A query
     meets the rows whose vectors have its length. Rows that repeat an id are candidates of their own; as queries they count
-    once, by the vector that comes first. Components and scores beyond 64 bits stop at its ends. An empty table gives
+    once, by the vector that comes first. Components and scores beyond 64 bits stop at its ends, and the order among such scores is open. An empty table gives
     an empty result; other columns are ignored. scored: an accumulator that adds up the pairs scored.
     """
     spark = vectors.sparkSession
