@@ -477,3 +477,118 @@ def test_write_shards(spark, tmp_path):
     assert len(list((tmp_path / "out" / "shard=0").glob("*.parquet"))) == 3
     with pytest.raises(ValueError):
         sharding.write_shards(table.unionByName(table), f"file://{tmp_path}/again")
+
+
+def test_convolution_against_plain_loops(docs):
+    """Scores of whole texts by loops over every position, filter and word piece."""
+    net = toxicity.ConvNet(seed=5)
+    rng = np.random.default_rng(2)
+    net.emb, net.bias = rng.normal(0, 1, net.emb.shape).astype(np.float32), [rng.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    net.out, net.scale, net.shift = rng.normal(0, 0.1, net.out.shape).astype(np.float32), 0.7, 0.1
+    rows = docs.select("doc_id", "text").filter("doc_id < 60").collect()
+    texts = pa.array([r["text"] for r in rows], pa.string())
+    ids_of = {}
+    for first, _, data, offsets in toxicity.text_chunks(texts):
+        w = toxicity.Words(data, offsets, fold=True, prefixes=toxicity.PREFIXES)
+        ids = toxicity.piece_ids(w)
+        ids_of |= {first + i: ids[a:b] for i, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:]))}
+    want = []
+    for i in range(len(rows)):
+        z = float(net.out_bias)
+        vectors = [[sum(float(net.emb[p][d]) for p in word) for d in range(toxicity.DIM)] for word in ids_of[i]]
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                sums = [sum(vectors[at + j][d] * float(net.conv[k][j * toxicity.DIM + d, f]) for j in range(width) for d in range(toxicity.DIM)) + float(net.bias[k][f]) for at in range(len(vectors) - width + 1)]
+                z += max([0.0, *sums]) * float(net.out[k * toxicity.FILTERS + f])
+        want.append(1 / (1 + math.exp(-(net.scale * z + net.shift))))
+    assert np.allclose(net.scores(texts), want, atol=1e-4)
+    assert len(want) > 50
+
+
+def test_toxicity_sample_is_bounded(docs, monkeypatch):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).filter("doc_id is not null").dropDuplicates()
+    first = [toxicity.train(docs.repartition(n), labels)[0].emb for n in (2, 5)]
+    assert np.array_equal(*first)  # a repeated id and other partitions change nothing
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
+    net, _ = toxicity.train(docs, labels)
+    assert len({round(net.logit(np.zeros((n, 4), np.int32)), 6) for n in (0, 1, 9)}) == 1
+
+
+def test_decision_list_verdict(docs, spark):
+    """kept is the base rules and, in plain Python, the learned thresholds on ratios of the counts."""
+    labels = docs.select("doc_id", (F.length("text") % 2).cast("int").alias("quality")).filter("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
+    out = quality_rules.judge(docs, labels).collect()
+    rows = [r for r in out if not r["base_failed"]]
+    ratio = lambda r: [r[a] / r[b] if r[b] else 0.0 for a, b in quality_rules.FEATURES.values()]
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    learn = sorted((r["doc_id"], *ratio(r)) for r in rows if r["doc_id"] in marks)
+    table = spark.createDataFrame(learn, ["__id", *quality_rules.FEATURES]).orderBy(F.xxhash64("__id", F.lit(97)), "__id", *quality_rules.FEATURES).collect()
+    rules = quality_rules.learn_rules(np.array([list(r)[1:] for r in table]), np.array([marks[r["__id"]] == 0 for r in table]))
+    rejected = lambda x: any(all((x[f] >= t) if above else (x[f] < t) for f, above, t in rule) for rule in rules)
+    assert all(r["kept"] == (not r["base_failed"] and not rejected(ratio(r))) for r in out)
+
+
+def test_interpolated_score_of_whole_texts(docs, rows):
+    """score: bigram, unigram and uniform parts by dictionary counts, with the model's own weights."""
+    seen = {}
+    plain = lm_score.learn_weights
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+    def spy(*a, **k):
+        seen["w"] = plain(*a, **k)
+        return seen["w"]
+
+    lm_score.learn_weights = spy
+    try:
+        out = lm_score.score_corpus(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()
+    finally:
+        lm_score.learn_weights = plain
+    tokens = [[*WORD.findall(lower(r[1])), None] for r in rows]
+    train = [t for r, t in zip(rows, tokens) if not held(r[0])]
+    uni, bi = Counter(w for t in train for w in t), Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
+    n, v = sum(uni.values()), len(uni)
+    want = []
+    for r, t in zip(rows, tokens):
+        total = 0.0
+        for a, b in zip(["<s>", *t], t):
+            c = len(train) if a == "<s>" else uni[a]
+            w = seen["w"][min(lm_score.OCTAVES - 1, c.bit_length())]
+            total += math.log10(w[0] * (bi[a, b] / c if c else 0) + w[1] * uni[b] / n + w[2] / (v + 1))
+        want.append((-1 if r[0] is None else r[0], round(total, 6)))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in out)
+    want.sort()
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], rtol=1e-6, atol=1e-4)
+
+
+def test_top_k_by_length_and_beyond_doubles(spark):
+    """Vectors of two lengths, scores past 2**53 and clashing names; an accumulator counts the pairs scored."""
+    rng = random.Random(9)
+    vec = [(i, [float(rng.randrange(-(10**6), 10**6)) for _ in range(3 if i % 3 else 5)]) for i in range(160)] + [(200, [10.0**6, 1.0, 1.0]), (201, [10.0**6, 1.0, 1.0]), (202, [10.0**6, 1.0, 1.000977])]
+    table = spark.createDataFrame(vec, "vec_id long, embedding array<double>").withColumn("cell", F.lit("x")).withColumn("grp", F.lit(0)).withColumn("low", F.lit(None).cast("double"))
+    x = {i: [math.floor(1024 * a) for a in v] for i, v in vec}
+    want = set()
+    for q in (i for i in x if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[c])), c) for c in x if c != q and len(x[c]) == len(x[q]))[:10]
+        want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
+    scored = spark.sparkContext.accumulator(0)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_top_k(table, 10, F.col("vec_id") % 20 == 0, scored=scored).collect()}
+    assert got == want and scored.value > 0
+
+
+def test_top_k_prunes_clusters(spark):
+    """On clustered data fewer than half of all pairs are scored, with the same result as brute force."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(40, 16)) * 4
+    x = centre[rng.integers(0, 40, 4_000)] + rng.normal(size=(4_000, 16)) * 0.2
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scored = spark.sparkContext.accumulator(0)
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in topk.exact_top_k(table, 10, F.col("vec_id") % 100 == 0, scored=scored).collect()}
+    y = np.floor(1024 * x).astype(np.int64)
+    want = set()
+    for q in range(0, 4_000, 100):
+        s = y @ y[q]
+        order = [c for c in np.lexsort((np.arange(4_000), -s)) if c != q][:10]
+        want |= {(q, k + 1, int(c)) for k, c in enumerate(order)}
+    assert got == want
+    print("share of pairs scored:", scored.value / (40 * 4_000))
+    assert scored.value < 0.5 * 40 * 4_000
