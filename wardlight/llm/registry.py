@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op8_topk": topk.OP8_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op2_jaccard_join": near_dups.OP2_SQL, "op8_topk": topk.OP8_SQL}
