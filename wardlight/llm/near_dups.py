@@ -20,9 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from wardlight.llm.components import connected_components
 from wardlight.llm.scratch import Scratch, with_labels
@@ -176,7 +175,7 @@ class JaccardJoin:
         self.twins: frozenset[int] = frozenset()
 
     def sets(self) -> DataFrame:
-        """id, n (shingles), v (null without words), second, bits (the sketch, where the task has not met v before) of each row."""
+        """id, row, n (shingles), v (null without words), second, bits (the sketch, where the task has not met v before) of each row."""
         width, twins = self.width, self.twins
 
         def run(batches):
@@ -190,9 +189,9 @@ class JaccardJoin:
                         bits[i] = sketch(s)
                         if len(seen) < SEEN_ROWS:
                             seen.add(vertex)
-                yield _batch(["id", "n", "v", "second", "bits"], [b.column("id"), pa.array(n), *(pa.array(x.view(np.int64), mask=~has) for x in (v, second)), pa.array(bits, pa.binary())])
+                yield _batch(["id", "row", "n", "v", "second", "bits"], [b.column("id"), b.column("row"), pa.array(n), *(pa.array(x.view(np.int64), mask=~has) for x in (v, second)), pa.array(bits, pa.binary())])
 
-        return self.docs.mapInArrow(run, "id long, n long, v long, second long, bits binary")
+        return self.docs.mapInArrow(run, "id long, row long, n long, v long, second long, bits binary")
 
     def keys(self, common: np.ndarray, hot: np.ndarray, every: int = 1) -> DataFrame:
         """key, v, hot of the vertices (of one in ``every``, by hash); copies met again in a task are passed over."""
@@ -457,8 +456,9 @@ def _labelled(join: JaccardJoin) -> tuple[DataFrame, DataFrame, int]:
     return sized, labels, n_rows
 
 
-def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch | None) -> JaccardJoin:
-    return JaccardJoin(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scratch or Scratch(docs.sparkSession, "jaccard"), width, num, den)
+def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, scratch: Scratch | None, row: Column | None = None) -> JaccardJoin:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (row if row is not None else F.lit(None)).cast("long").alias("row"))
+    return JaccardJoin(rows, scratch or Scratch(docs.sparkSession, "jaccard"), width, num, den)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -481,27 +481,24 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100,
 
     Of several rows of that id the one of the smallest text hash stays, then the one of the smallest hash of all columns;
     a row without id stays only where no row of its component has one. So different texts under one id all stay. Rows without
-    words link with nothing and stay. An empty table gives an empty result; columns of any names pass through.
+    words link with nothing and stay. An empty table gives an empty result; columns of any names pass through. Which rows
+    stay is settled on ids and hashes; whole rows move once.
     """
-    join = _join(docs, width, num, den, id_col, text_col, scratch)
-    _, labels, n_rows = _labelled(join)
-    text_at, names, twins = docs.columns.index(text_col), [*docs.columns, "__v"], join.twins
-
-    def run(batches):
-        for b in batches:
-            v, has = np.zeros(b.num_rows, U64), np.zeros(b.num_rows, bool)
-            for i, _, vertex, _ in shingle_sets(b.column(text_at), width, twins):
-                v[i], has[i] = vertex, True
-            yield _batch(names, [*b.columns, pa.array(v.view(np.int64), mask=~has)])
-
-    rows = join.scratch.save(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__v", LongType())])), "rows")
-    every = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long").alias("id"), F.col("__v"), every.alias("h"))
-    wordy = with_labels(rows.filter("__v is not null"), labels.select(F.col("v").alias("__v"), F.col("comp").alias("__comp"), "__n"), "__v", n_rows).withColumn("__order", order)
-    first = wordy.groupBy("__comp").agg(F.min("__order").alias("__least"), F.count(F.lit(1)).alias("__n"))
-    first = join.scratch.save(first, "first", files=n_rows // 20_000 + 1)
-    stay = with_labels(wordy, first, "__comp", n_rows).filter(F.col("__order").eqNullSafe(F.col("__least"))).dropDuplicates(["__comp"])
-    return stay.select(docs.columns).unionByName(rows.filter("__v is null").select(docs.columns))
+    marked = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))).withColumn("__row", row_hash(docs))
+    join = _join(marked, width, num, den, id_col, text_col, scratch, F.col("__row"))
+    sized, labels, n_rows = _labelled(join)
+    rows = with_labels(sized.filter("v is not null").select("id", "row", "v"), labels.select("v", "comp", "__n"), "v", n_rows)
+    first = F.min(F.struct(F.col("id").isNull().alias("orphan"), "id", "v", "row")).alias("f")
+    stay = rows.groupBy("comp").agg(first).select(F.coalesce("f.id", F.lit(0).cast("long")).alias("__id"), F.col("f.row").alias("__row"))
+    stay = join.scratch.save(stay, "stay", files=n_rows // 20_000 + 1)
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = marked.filter(worded).join(stay, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+    return kept.select(docs.columns).unionByName(docs.filter(~worded))
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns: with its id it tells a row from all that differ from it."""
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rows.columns])
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
