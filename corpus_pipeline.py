@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.line_dedup import dedup_lines
 from wardlight.llm.mixing import mix_to_targets, word_count
-from wardlight.llm.near_dups import one_of_each
+from wardlight.llm.near_dups import one_of_each, row_hash
 from wardlight.llm.pieces import encode
 from wardlight.llm.quality_rules import judge
 from wardlight.llm.scratch import Scratch
@@ -38,16 +38,20 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it; documents without words go. Rows equal in id, source and size share their copies in the order of their texts' hashes."""
+    """Each document stands as often as the mix takes it; documents without words go.
+
+    Rows equal in id, source and size share their copies in the order of their hashes. Who stands how often is settled on
+    ids, sizes and hashes; whole rows move once.
+    """
     same = ["__id", "__source", "__size"]
     number = lambda *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order))
     keys = [F.struct("doc_id").alias("__id"), F.struct("source").alias("__source")]  # a struct is never null, so rows without id or source meet
-    mixed = mix_to_targets(docs)
-    copies = mixed.filter("copies > 0").select(F.struct("doc_id").alias("__id"), F.struct("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    copies = copies.withColumn("__n", number(F.desc("__copies")))
-    sized = docs.select("*", *keys, word_count(F.col("text")).alias("__size")).withColumn("__n", number(F.xxhash64("text")))
-    taken = sized.join(copies, [*same, "__n"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    mixed = mix_to_targets(docs).filter("copies > 0").select(*keys, F.col("size").alias("__size"), F.col("copies").alias("__copies")).withColumn("__n", number(F.desc("__copies")))
+    marked = docs.withColumn("__row", row_hash(docs))
+    small = marked.select(*keys, word_count(F.col("text")).alias("__size"), "__row").withColumn("__n", number("__row"))
+    times = small.join(mixed, [*same, "__n"]).groupBy("__id", "__row").agg(F.sum("__copies").cast("int").alias("__copies"))  # equal rows as one
+    taken = marked.withColumn("__id", keys[0]).join(times, ["__id", "__row"]).dropDuplicates(["__id", "__row"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
