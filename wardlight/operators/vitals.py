@@ -15,7 +15,10 @@ def _map(values: dict, cast: str = "double") -> Column:
 
 
 def artifact_filter(vitals: DataFrame, profile: str = "stream") -> DataFrame:
-    """Readings inside the physiological limits of a profile; parameters without limits stay, zero is no reading."""
+    """Readings inside the physiological limits of a profile; null values go, parameters without limits stay.
+
+    A zero of heart rate, saturation or systolic pressure is no reading: the limits of all profiles lie above zero.
+    """
     limits = rules.ARTIFACT_LIMITS[profile]
     low, high = _map({k: v[0] for k, v in limits.items()}), _map({k: v[1] for k, v in limits.items()})
     p, v = F.col("parameter"), F.col("value")

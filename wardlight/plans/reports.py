@@ -106,6 +106,17 @@ def valid_inputs(spark, sf_dir):
     return vitals.valid_inputs(some.select("parameter", "value").unionByName(noise))
 
 
+_API = " OR ".join(f"(parameter = '{p}' AND value BETWEEN {a} AND {b})" for p, (a, b) in rules.ARTIFACT_LIMITS["api"].items())
+
+
+@query(f"SELECT seq, parameter, value FROM (SELECT seq, CASE WHEN seq % 6 = 0 THEN 'bp_mean' ELSE parameter END AS parameter, CASE WHEN seq % 5 = 0 THEN value * 2 WHEN seq % 11 = 0 THEN 0 ELSE value END AS value FROM vitals) WHERE parameter = 'bp_mean' OR {_API}", "vitals")
+def artifact_filter_api(spark, sf_dir):
+    """The limits of single readings; a parameter without limits stays whatever its value."""
+    k = F.col("seq")
+    v = fx.vitals(spark, sf_dir).withColumn("parameter", F.when(k % 6 == 0, "bp_mean").otherwise(F.col("parameter"))).withColumn("value", F.when(k % 5 == 0, F.col("value") * 2).when(k % 11 == 0, 0.0).otherwise(F.col("value")))
+    return vitals.artifact_filter(v, "api").select("seq", "parameter", "value")
+
+
 # ---- findings --------------------------------------------------------------------------------------------------
 _IMAGES = [*fusion.IMAGE_FINDINGS, "shadow"]
 
