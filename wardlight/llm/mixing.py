@@ -137,7 +137,7 @@ def mix_to_targets(docs: DataFrame, weights: list[float] | None = None, cap: int
     order = Window.partitionBy("key", "size", "cell").orderBy(F.xxhash64("doc_id", "copy", F.lit(seed + 1)), "doc_id", "copy")
     at = (F.col("before") + F.col("rn")).cast("long")
     return (
-        rows.withColumn("rn", F.row_number().over(order)).join(begun, ["key", "size", "cell"])
+        rows.withColumn("rn", F.row_number().over(order)).join(begun.hint("merge"), ["key", "size", "cell"])  # its files are small, its rows are not: no broadcast
         .withColumn("copies", _share(at, F.col("v"), F.col("n")) - _share(at - 1, F.col("v"), F.col("n")))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
