@@ -238,15 +238,15 @@ class JaccardJoin:
 
         A hot key is dealt out by 64 salts and put together again by an aggregate, so no task gets all its members.
         """
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(64))).otherwise(0).cast("int")
-        rows = self.keys(common, hot).withColumn("salt", salt).repartition("key", "salt").dropDuplicates(["key", "salt", "v"])
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(64))).otherwise(-1).cast("int")
+        rows = self.keys(common, hot).select("key", salt.alias("salt"), "v").repartition("key", "salt").distinct()  # all columns are keys: nothing else to carry
         part, drawn = Window.partitionBy("key", "salt"), F.struct(F.xxhash64("v", F.col("key").bitwiseAND(3)).alias("r"), "v")
-        rows = rows.withColumn("m", F.count(F.lit(1)).over(part)).filter("m > 1 or hot")  # few are left
+        rows = rows.withColumn("m", F.count(F.lit(1)).over(part)).filter("m > 1 or salt >= 0")  # few are left
         rows = self.scratch.save(rows.withColumn("lead", F.min(drawn).over(part)), "keyed")
-        out = rows.filter("not hot").select("key", "v", "m", F.col("lead")["v"].alias("lead"))
+        out, warm = rows.filter("salt < 0").select("key", "v", "m", F.col("lead")["v"].alias("lead")), rows.filter("salt >= 0")
         if len(hot):
-            leads = rows.filter("hot").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("lead")["v"].alias("lead")).filter("m > 1")
-            out = out.unionByName(rows.filter("hot").select("key", "v").join(F.broadcast(leads), "key").select("key", "v", "m", "lead"))  # at most ORDER_KEYS leads
+            leads = warm.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("lead")["v"].alias("lead")).filter("m > 1")
+            out = out.unionByName(warm.select("key", "v").join(F.broadcast(leads), "key").select("key", "v", "m", "lead"))  # at most ORDER_KEYS leads
         return out
 
     def exact_sets(self, ids: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
