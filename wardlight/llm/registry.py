@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import html_text, line_dedup, lm_score, mixing, near_dups, pieces, quality_rules, sharding, topk, toxicity
+from wardlight.llm import divergence, html_text, language_id, line_dedup, lm_score, mixing, near_dups, pieces, quality_rules, resample, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
+        "op11_language_id": language_id.op11_language_id,
+        "op12_divergence": divergence.op12_divergence,
+        "op13_resample": resample.op13_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL, "op2_jaccard_join": near_dups.OP2_SQL, "op8_topk": topk.OP8_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op2_jaccard_join": near_dups.OP2_SQL, "op8_topk": topk.OP8_SQL, "op12_divergence": divergence.OP12_SQL, "op13_resample": resample.OP13_SQL}
