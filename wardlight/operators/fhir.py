@@ -15,9 +15,23 @@ def bundle_entries(bundles: DataFrame, bundle_col: str = "bundle") -> DataFrame:
     return rows.withColumn("__e", F.explode("__b.entry")).withColumn("resource", F.col("__e.resource")).filter("resource is not null").drop("__b", "__e", bundle_col)
 
 
-def field(resource: Column, name: str) -> Column:
-    """A top-level field as text; null where it is missing or empty (an empty text, list or object, false or zero)."""
-    got = F.get_json_object(resource, f"$.{name}")
+_NONE = "cast(array() as array<string>)"
+_CODINGS = "array<struct<system:string,code:string>>"
+
+
+def parsed(resources: DataFrame, col: str = "resource") -> DataFrame:
+    """resources with ``__v``, each as a VARIANT (null where it is no JSON): the one parse of a row. All paths are read from its binary form."""
+    return resources.withColumn("__v", F.try_parse_json(col))
+
+
+def path(name: str, kind: str = "string") -> Column:
+    """What a path of the parsed resource holds; null where it is missing or of another kind."""
+    return F.try_variant_get("__v", f"$.{name}", kind)
+
+
+def field(name: str) -> Column:
+    """A field as text; null where it is missing or empty (an empty text, list or object, false or zero)."""
+    got = path(name)
     return F.when(~F.trim(got).isin("", "[]", "{}", "false", "0"), got)
 
 
@@ -25,68 +39,80 @@ def _errors(tests: list[tuple[Column, Column | str]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(m) if isinstance(m, str) else m) for t, m in tests]))
 
 
-def missing_fields(resource: Column, required: dict[str, list[str]], message) -> Column:
-    """Messages of the required fields that the resource's type lacks."""
-    kind = F.get_json_object(resource, "$.resourceType")
-    return _errors([((kind == t) & field(resource, f).isNull(), message(t, f)) for t, fields in required.items() for f in fields])
+def _table(values: dict[str, list[str]], key: Column) -> Column:
+    """The list of a key in a fixed table, empty for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), key), F.expr(_NONE))
 
 
-def check_structure(resources: DataFrame, col: str = "resource") -> DataFrame:
-    """resources with structure_errors: type and id, and the fields of four types."""
-    r = F.col(col)
-    kind = F.get_json_object(r, "$.resourceType")
-    no_id = F.get_json_object(r, "$.id").isNull()
-    rest = F.concat(_errors([(no_id, "Missing resource id")]), missing_fields(r, rules.FHIR_STRUCTURE, lambda t, f: f"Missing required field for {t}: {f}"))
-    return resources.withColumn("structure_errors", F.when(kind.isNull(), F.array(F.lit("Missing resourceType"))).otherwise(rest))
+def with_present(rows: DataFrame, *tables: dict[str, list[str]]) -> DataFrame:
+    """rows with ``__present``: which of the tables' fields the parsed resource has. Each field is looked up once, whatever the number of rules on it."""
+    names = sorted({f for t in tables for fields in t.values() for f in fields})
+    return rows.withColumn("__present", F.array_compact(F.array(*[F.when(field(n).isNotNull(), F.lit(n)) for n in names])))
 
 
-_CODING = "array<struct<system:string,code:string>>"
+def missing_fields(kind: Column, required: dict[str, list[str]], message) -> Column:
+    """Messages of the required fields that the resource's type lacks."""
+    return F.transform(F.filter(_table(required, kind), lambda f: ~F.array_contains("__present", f)), message)
+
+
+def check_structure(resources: DataFrame, col: str = "resource") -> DataFrame:
+    """resources with structure_errors: type and id, and the fields of four types. What is no JSON has no type."""
+    rows = with_present(parsed(resources, col), rules.FHIR_STRUCTURE).withColumn("__kind", path("resourceType")).withColumn("__id", path("id"))
+    kind = F.col("__kind")
+    missing = missing_fields(kind, rules.FHIR_STRUCTURE, lambda f: F.concat(F.lit("Missing required field for "), kind, F.lit(": "), f))
+    rest = F.concat(_errors([(F.col("__id").isNull(), "Missing resource id")]), missing)
+    return rows.withColumn("structure_errors", F.when(kind.isNull(), F.array(F.lit("Missing resourceType"))).otherwise(rest)).drop("__v", "__present", "__kind", "__id")
 
 
 def validate(resources: DataFrame, col: str = "resource") -> DataFrame:
-    """resources with resource_type, resource_id, errors, warnings and is_valid: fields, status, codes, values and dates by type."""
-    r = F.col(col)
-    kind = F.coalesce(F.get_json_object(r, "$.resourceType"), F.lit("Unknown"))
-    status = field(r, "status")
-    wrong = [((kind == t) & status.isNotNull() & ~status.isin(values), F.concat(F.lit("Invalid status '"), status, F.lit(f"' for {t}"))) for t, values in rules.FHIR_STATUSES.items()]
-    body = F.from_json(
-        r,
-        f"code struct<coding:{_CODING}>, category array<struct<coding:{_CODING}>>, identifier array<struct<type:struct<coding:{_CODING}>>>, name array<struct<family:string>>,"
-        f"birthDate string, effectiveDateTime string, medicationCodeableConcept struct<coding:{_CODING}>",
-    )
-    rows = resources.withColumn("__b", body)
-    b = lambda path: F.col(f"__b.{path}")
-    none = F.expr("cast(array() as array<struct<system:string,code:string>>)")
-    codings = F.coalesce(b("code.coding"), none)
+    """resources with resource_type, resource_id, errors, warnings and is_valid: fields, status, codes, values and dates by type.
+
+    A text that is no JSON is of the type Unknown, for which no rule holds. A part of another kind than expected (a text where a list should be) counts
+    as missing; the rest is still checked.
+    """
+    read = {
+        "kind": F.coalesce(path("resourceType"), F.lit("Unknown")), "id": F.coalesce(path("id"), F.lit("no-id")), "status": field("status"), "when": field("effectiveDateTime"), "birth": field("birthDate"),
+        "codings": F.coalesce(path("code.coding", _CODINGS), F.expr(f"cast(array() as {_CODINGS})")), "drugs": path("medicationCodeableConcept.coding", _CODINGS),
+        "categories": path("category", "array<struct<coding:array<struct<code:string>>>>"), "identifiers": path("identifier", "array<struct<type:struct<coding:array<struct<code:string>>>>>"), "names": path("name", "array<struct<family:string>>"),
+    }
+    own = ["effectivePeriod", "valueQuantity", "valueString", "valueCodeableConcept", "dosageInstruction"]
+    rows = with_present(parsed(resources, col), rules.FHIR_REQUIRED, {"": own}).withColumns({f"__{k}": c for k, c in read.items()})
+    kind, status, when, birth, codings = (F.col(f"__{k}") for k in ("kind", "status", "when", "birth", "codings"))
+    lacks = lambda *names: ~F.arrays_overlap("__present", F.array(*map(F.lit, names)))
+    obs, pat, med, con = (kind == t for t in ("Observation", "Patient", "MedicationRequest", "Condition"))
+    only = lambda test, found: F.when(test, found).otherwise(F.expr(_NONE))
+    some = lambda items, of: F.coalesce(F.exists(items, of), F.lit(False))
     loinc = F.filter(codings, lambda c: c["system"] == "http://loinc.org")
-    known = [code for code, _ in rules.LOINC.values()]
-    unknown = F.transform(F.filter(loinc, lambda c: ~F.coalesce(c["code"], F.lit("")).isin(known)), lambda c: F.concat(F.lit("LOINC code '"), F.coalesce(c["code"], F.lit("")), F.lit("' not in the registry")))
-    vital = F.exists(F.flatten(F.coalesce(F.transform(b("category"), lambda c: F.coalesce(c["coding"], none)), F.array(none))), lambda c: c["code"] == "vital-signs")
-    valueless = field(r, "valueQuantity").isNull() & field(r, "valueString").isNull() & field(r, "valueCodeableConcept").isNull()
-    when, birth = field(r, "effectiveDateTime"), field(r, "birthDate")
+    known = F.array(*[F.lit(code) for code, _ in rules.LOINC.values()])
+    code = lambda c: F.coalesce(c["code"], F.lit(""))
+    unknown = F.transform(F.filter(loinc, lambda c: ~F.array_contains(known, code(c))), lambda c: F.concat(F.lit("LOINC code '"), code(c), F.lit("' not in the registry")))
+    vital = some("__categories", lambda c: some(c["coding"], lambda x: x["code"] == "vital-signs"))
     date = r"^\d{4}(-\d{2}(-\d{2})?)?$"
-    obs, pat, med, con = (kind == t for t in ("Observation", "Patient", "MedicationRequest", "Condition"))
     bad_icd = F.filter(codings, lambda c: F.lower(c["system"]).contains("icd") & (F.length(c["code"]) > 0) & ~c["code"].rlike(r"^[A-Z][0-9][0-9A-Z](\.[0-9A-Z]{1,4})?$"))
-    rxnorm = F.exists(F.coalesce(b("medicationCodeableConcept.coding"), none), lambda c: F.lower(c["system"]).contains("rxnorm"))
-    mrn = F.exists(F.coalesce(b("identifier"), F.expr(f"cast(array() as array<struct<type:struct<coding:{_CODING}>>>)")), lambda i: F.get(i["type"]["coding"], F.lit(0))["code"] == "MR")
-    nameless = F.filter(F.coalesce(b("name"), F.expr("cast(array() as array<struct<family:string>>)")), lambda n: F.coalesce(n["family"], F.lit("")) == "")
+    nameless = F.filter(F.coalesce(F.col("__names"), F.expr("cast(array() as array<struct<family:string>>)")), lambda n: F.coalesce(n["family"], F.lit("")) == "")
+    allowed = _table(rules.FHIR_STATUSES, kind)
     errors = F.concat(
-        missing_fields(r, rules.FHIR_REQUIRED, lambda t, f: f"Missing required field: {f}"), _errors(wrong),
+        missing_fields(kind, rules.FHIR_REQUIRED, lambda f: F.concat(F.lit("Missing required field: "), f)),
         _errors([
-            (obs & vital & valueless, "Vital sign Observation must have a value"),
-            (obs & when.isNull() & field(r, "effectivePeriod").isNull(), "Observation must have effectiveDateTime or effectivePeriod"),
+            ((F.size(allowed) > 0) & status.isNotNull() & ~F.array_contains(allowed, status), F.concat(F.lit("Invalid status '"), status, F.lit("' for "), kind)),
+            (obs & vital & lacks("valueQuantity", "valueString", "valueCodeableConcept"), "Vital sign Observation must have a value"),
+            (obs & when.isNull() & lacks("effectivePeriod"), "Observation must have effectiveDateTime or effectivePeriod"),
             (obs & when.isNotNull() & ~F.substring(when, 1, 10).rlike(date), F.concat(F.lit("effectiveDateTime format invalid: "), when)),
         ]),
-        F.when(pat, F.transform(nameless, lambda n: F.lit("Patient name missing family (last name)"))).otherwise(F.array().cast("array<string>")),
+        only(pat, F.transform(nameless, lambda n: F.lit("Patient name missing family (last name)"))),
         _errors([(pat & birth.isNotNull() & ~birth.rlike(date), F.concat(F.lit("birthDate format invalid: "), birth, F.lit(" (expected YYYY-MM-DD)")))]),
-        F.when(con, F.transform(bad_icd, lambda c: F.concat(F.lit("ICD-10 code format invalid: '"), c["code"], F.lit("' (expected A00.0 format)")))).otherwise(F.array().cast("array<string>")),
+        only(con, F.transform(bad_icd, lambda c: F.concat(F.lit("ICD-10 code format invalid: '"), c["code"], F.lit("' (expected A00.0 format)")))),
     )
+    mrn = some("__identifiers", lambda i: F.get(i["type"]["coding"], F.lit(0))["code"] == "MR")
     warnings = F.concat(
-        _errors([(obs & (F.size(loinc) == 0), "Observation has no LOINC coding")]), F.when(obs, unknown).otherwise(F.array().cast("array<string>")),
-        _errors([(pat & ~mrn, "Patient has no MRN identifier (code=MR)"), (med & ~rxnorm, "MedicationRequest has no RxNorm coding"), (med & field(r, "dosageInstruction").isNull(), "MedicationRequest missing dosageInstruction")]),
+        _errors([(obs & (F.size(loinc) == 0), "Observation has no LOINC coding")]), only(obs, unknown),
+        _errors([
+            (pat & ~mrn, "Patient has no MRN identifier (code=MR)"), (med & ~some("__drugs", lambda c: F.lower(c["system"]).contains("rxnorm")), "MedicationRequest has no RxNorm coding"),
+            (med & lacks("dosageInstruction"), "MedicationRequest missing dosageInstruction"),
+        ]),
     )
-    out = rows.withColumn("resource_type", kind).withColumn("resource_id", F.coalesce(F.get_json_object(r, "$.id"), F.lit("no-id"))).withColumn("errors", errors).withColumn("warnings", warnings)
-    return out.withColumn("is_valid", F.size("errors") == 0).drop("__b")
+    out = rows.withColumn("resource_type", kind).withColumn("resource_id", F.col("__id")).withColumn("errors", errors).withColumn("warnings", warnings)
+    return out.withColumn("is_valid", F.size("errors") == 0).drop("__v", "__present", *[f"__{k}" for k in read])
 
 
 def bundle_counts(validated: DataFrame, bundle_id: str) -> DataFrame:

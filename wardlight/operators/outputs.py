@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import rules
 
-OUTPUT = (
-    "patient_state_summary string, risk_level string, risk_justification string, overall_confidence string, human_review_required boolean, human_review_reason string, data_gaps array<string>,"
-    "differential_diagnoses array<struct<condition:string,supporting_evidence:array<string>,probability_rank:string,confidence:double>>,"
-    "recommended_actions array<struct<action:string,urgency:string,rationale:string>>"
-)
+#: Fields of an output by kind; lists are read element by element, so a part of a wrong kind is missing alone.
+TEXTS = ["patient_state_summary", "risk_level", "risk_justification", "overall_confidence", "human_review_reason"]
+DIFFERENTIAL = {"condition": "string", "supporting_evidence": "array<string>", "probability_rank": "string", "confidence": "double"}
+ACTION = {"action": "string", "urgency": "string", "rationale": "string"}
 
 
 def unfenced(text: Column) -> Column:
@@ -22,12 +21,15 @@ def unfenced(text: Column) -> Column:
     return F.trim(out)
 
 
-def json_of(text: Column) -> Column:
-    """The JSON object in a text: all of it without fences, else from the first to the last brace; null if neither reads."""
-    clean = unfenced(text)
-    inner = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
-    is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object(clean), clean).when(is_object(inner), inner)
+def object_of(rows: DataFrame, raw: Column, name: str) -> DataFrame:
+    """rows with the JSON object in a text as a map from its keys to VARIANTs: all of the text without fences, else what stands from the first to the last brace.
+
+    Null where neither reads. The second parse is only made where the first gives no object.
+    """
+    keyed = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
+    rows = rows.withColumn("__clean", unfenced(raw)).withColumn("__first", keyed(F.col("__clean")))
+    inner = keyed(F.regexp_extract("__clean", r"(?s)(\{.*\})", 1))
+    return rows.withColumn(name, F.when(F.col("__first").isNotNull(), F.col("__first")).otherwise(inner)).drop("__clean", "__first")
 
 
 def _errors(*tests: tuple[Column, Column | str]) -> Column:
@@ -40,11 +42,17 @@ def validate_outputs(rows: DataFrame, raw_col: str = "raw") -> DataFrame:
     Missing fields come first and alone. High risk always needs human review: where it is not asked for, that is an
     error and is put right. A text without a JSON object has the error ``unreadable``.
     """
-    json = json_of(F.col(raw_col))
-    rows = rows.withColumn("__j", json).withColumn("output", F.from_json("__j", OUTPUT))
-    o = lambda f: F.col(f"output.{f}")
-    keys = F.coalesce(F.json_object_keys("__j"), F.array().cast("array<string>"))
-    missing = _errors(*[(~F.array_contains(keys, f), f"Missing required field: {f}") for f in sorted(rules.OUTPUT_FIELDS)])
+    rows = object_of(rows, F.col(raw_col), "__j")
+    of = lambda v, kind: F.try_variant_get(v, "$", kind)
+    get = lambda f, kind: of(F.try_element_at("__j", F.lit(f)), kind)
+    items = lambda f, fields: F.transform(get(f, "array<variant>"), lambda x: F.struct(*[F.try_variant_get(x, f"$.{n}", k).alias(n) for n, k in fields.items()]))
+    read = {f: get(f, "string") for f in TEXTS} | {
+        "human_review_required": get("human_review_required", "boolean"), "data_gaps": get("data_gaps", "array<string>"),
+        "differential_diagnoses": items("differential_diagnoses", DIFFERENTIAL), "recommended_actions": items("recommended_actions", ACTION),
+    }
+    rows = rows.withColumns({f"__o_{f}": c for f, c in read.items()})
+    o = lambda f: F.col(f"__o_{f}")
+    missing = F.transform(F.array_except(F.array(*[F.lit(f) for f in sorted(rules.OUTPUT_FIELDS)]), F.map_keys("__j")), lambda f: F.concat(F.lit("Missing required field: "), f))
     high = F.coalesce(o("risk_level").isin("HIGH", "CRITICAL"), F.lit(False))
     review = F.coalesce(o("human_review_required"), F.lit(False))
     empty = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
@@ -82,8 +90,9 @@ def validate_outputs(rows: DataFrame, raw_col: str = "raw") -> DataFrame:
     summary = F.when(empty(o("patient_state_summary")), "Clinical summary unavailable. Physician review required.").otherwise(o("patient_state_summary"))
     gaps = F.coalesce(o("data_gaps"), F.array(F.lit("Model output incomplete")))
     gaps = F.when(F.col("valid"), gaps).otherwise(F.concat(gaps, F.array(F.lit("Output corrected after validation errors"))))
-    fixed = F.col("output").withField("human_review_required", high | review).withField("human_review_reason", reason).withField("patient_state_summary", summary).withField("data_gaps", gaps)
-    return rows.withColumn("output", F.when(F.col("__j").isNotNull(), fixed)).drop("__j")
+    put = {"human_review_required": high | review, "human_review_reason": reason, "patient_state_summary": summary, "data_gaps": gaps}
+    fixed = F.struct(*[put.get(f, o(f)).alias(f) for f in read])
+    return rows.withColumn("output", F.when(F.col("__j").isNotNull(), fixed)).drop("__j", *[f"__o_{f}" for f in read])
 
 
 def first_valid(attempts: DataFrame, key: str, attempt: str = "attempt", most: int = 3) -> DataFrame:

@@ -233,14 +233,18 @@ def stream_sessions(spark, sf_dir):
     return stateful.run(spark, folder, stateful.sessions).select("patient_id", "seq", "session_start", "n")
 
 
-@query()
-def stream_breakers(spark, sf_dir):
-    """Calls that an agent's breaker refuses, as a stream with state; held against a plain fold in the tests."""
+def agent_calls(spark, sf_dir):
+    """Calls of four agents, ten seconds apart."""
     k = F.col("event_id")
     at = F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 10)
-    calls = fx.table(spark, sf_dir, "events").select(fx.pick(_AGENTS, k).alias("agent"), at.alias("at"), k.alias("seq"), (k % 7 < 5).alias("failed"))
-    folder = stateful.in_time_order(spark, calls, ["2024-02-01 01:00:00", "2024-02-01 02:00:00"], "at")
-    return stateful.run(spark, folder, stateful.breakers).select("agent", "seq", "refused", "open")
+    return fx.table(spark, sf_dir, "events").select(fx.pick(_AGENTS, k).alias("agent"), at.alias("at"), k.alias("seq"), (k % 7 < 5).alias("failed"))
+
+
+@query()
+def stream_breakers(spark, sf_dir):
+    """Calls that an agent's breaker refuses, as a stream with state; its SQL is that of breaker_scan."""
+    slices = stateful.in_time_order(spark, agent_calls(spark, sf_dir), ["2024-02-01 01:00:00", "2024-02-01 02:00:00"], "at")
+    return stateful.run(spark, slices, stateful.breakers).select("agent", "seq", "refused", "open")
 
 
 @query("SELECT event_id, sha256(props) AS digest FROM events WHERE value > 100")

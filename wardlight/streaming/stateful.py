@@ -7,7 +7,7 @@ that is not seen for the stated time loses its state.
 
 from __future__ import annotations
 
-import uuid
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wardlight.streaming.vitals import shared_folder
+from wardlight.sources.shared import Workspace
 
 
 def _folded(rows: DataFrame, key: str, time: str, delay: str, idle_ms: int, state: str, out: str, fold: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
@@ -96,43 +96,80 @@ def breakers(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     return _folded(calls, "agent", "at", delay, 3_600_000, "failures array<long>, since long", "agent string, seq long, refused boolean, open boolean", fold)
 
 
-def in_time_order(spark: SparkSession, rows: DataFrame, cuts: list[str], time: str, late: str | None = None) -> str:
-    """A folder of files that a stream reads one after the other: rows between the cuts, and rows where ``late`` holds with the last ones."""
-    root = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex[:12]}"
+class Slices:
+    """Rows cut into time slices, each written when its turn comes: several files, one micro-batch."""
+
+    def __init__(self, work: Workspace, frames: list[DataFrame]):
+        self.work, self.frames, self.schema = work, frames, frames[0].schema
+
+    def source(self, spark: SparkSession) -> DataFrame:
+        return spark.readStream.schema(self.schema).parquet(self.work.path("in") + "/slice-*")
+
+    def arrive(self, i: int) -> None:
+        self.frames[i].write.parquet(self.work.path(f"in/slice-{i}"))
+
+
+def in_time_order(spark: SparkSession, rows: DataFrame, cuts: list[str], time: str, late: str | None = None) -> Slices:
+    """rows between the cuts, slice by slice; rows where ``late`` holds come with the last one."""
     held = F.expr(late) if late else F.lit(False)
-    bounds = [None, *cuts, None]
-    for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+    bounds, frames = [None, *cuts, None], []
+    for low, high in zip(bounds[:-1], bounds[1:]):
         part = F.lit(True)
         if low is not None:
             part = part & (F.col(time) >= F.lit(low).cast("timestamp_ntz"))
         if high is not None:
             part = part & (F.col(time) < F.lit(high).cast("timestamp_ntz"))
-        rows.filter((part & ~held) if high is not None else (part | held)).coalesce(1).write.mode("append").parquet(root)
-    return root
-
-
-def run(spark: SparkSession, folder: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append", **trigger) -> DataFrame:
-    """What a stream over the folder's files, one a micro-batch, has written in the end. A repeated batch replaces its own rows."""
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    source = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = transform(source)
+        frames.append(rows.filter((part & ~held) if high is not None else (part | held)))
+    return Slices(Workspace(spark, "replay"), frames)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **on: str):
+    """Settings (dots as __) that a stream takes over when it starts; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k.replace("__", "."), None) for k in on}
+    try:
+        for k, v in on.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k.replace("__", ".")) if v is None else spark.conf.set(k.replace("__", "."), v)
+
+
+def replay(spark: SparkSession, slices: Slices, transform: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], mode: str = "append", end: bool = False, **on: str) -> DataFrame:
+    """Runs a stream over the slices as they arrive: it ends after each and goes on from its checkpoint with the next. Returns the stream's frame, for its schema.
+
+    end: timers that are due by the last watermark fire too.
+    """
+    for i in range(len(slices.frames)):
+        slices.arrive(i)
+        final = end and i == len(slices.frames) - 1
+        with settings(spark, spark__sql__streaming__noDataMicroBatches__enabled=str(final).lower(), **on):
+            out = transform(slices.source(spark))
+            query = out.writeStream.outputMode(mode).option("checkpointLocation", slices.work.path("state")).foreachBatch(write).trigger(availableNow=True).start()
+        query.awaitTermination()
+    slices.work.drop("in", "state")
+    return out
+
+
+def run(spark: SparkSession, slices: Slices, transform: Callable[[DataFrame], DataFrame], mode: str = "append", end: bool = False, **on: str) -> DataFrame:
+    """What a stream over the slices has written in the end. A repeated batch replaces its own rows."""
+    where = slices.work.path("out")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{where}/batch={number}")
 
-    out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
-    return spark.read.schema(out.schema.add("batch", "long")).parquet(f"{root}/out")
+    out = replay(spark, slices, transform, write, mode, end, **on)
+    return spark.read.schema(out.schema.add("batch", "long")).parquet(where)
 
 
-def split_dead_letters(spark: SparkSession, folder: str, bad: str, payload: str) -> tuple[DataFrame, DataFrame]:
+def split_dead_letters(spark: SparkSession, slices: Slices, bad: str, payload: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters with digest) of a stream: both branches are written in the same micro-batch, so a repeated batch replaces both."""
-    root = f"{shared_folder(spark)}/letters-{uuid.uuid4().hex[:12]}"
-    source = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    marked = source.withColumn("__bad", F.coalesce(F.expr(bad), F.lit(True)))
+    good, dead = slices.work.path("good"), slices.work.path("dead")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.filter("not __bad").drop("__bad").write.mode("overwrite").parquet(f"{root}/good/batch={number}")
-        batch.filter("__bad").drop("__bad").withColumn("digest", F.sha2(payload, 256)).write.mode("overwrite").parquet(f"{root}/dead/batch={number}")
+        batch.filter("not __bad").drop("__bad").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        batch.filter("__bad").drop("__bad").withColumn("digest", F.sha2(payload, 256)).write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
-    marked.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/good"), spark.read.parquet(f"{root}/dead")
+    replay(spark, slices, lambda s: s.withColumn("__bad", F.coalesce(F.expr(bad), F.lit(True))), write)
+    return spark.read.parquet(good), spark.read.parquet(dead)

@@ -6,14 +6,13 @@ each micro-batch emits in the shared folder and returns the last state of each k
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions import rules
+from wardlight.sources.shared import Workspace
 
 
 def hourly(vitals: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -33,25 +32,17 @@ def critical(vitals: DataFrame) -> DataFrame:
     return vitals.filter(found)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only for a local master without it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="wardlight-stream-")
-
-
 def replayed(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """What a stream over the files of ``path`` has emitted in the end: the row of the last batch for each key."""
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    work = Workspace(spark, "stream")
+    root = work.root
     out = transform(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # a pattern, as path may be one file
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")  # a repeated batch replaces its own rows
 
     out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    work.drop("state")
     emitted = spark.read.schema(out.schema.add("batch", "long")).parquet(f"{root}/out")
     rest = [c for c in out.columns if c not in keys]
     return emitted.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
