@@ -62,12 +62,12 @@ def share(count: Column, total: Column) -> Column:
 def tile(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sums of differences between the sources of two blocks over the chunks of one segment; each pair once.
 
-    A row with a negative chunk names a source (g), its total (d) and the number of the segment's terms (v); the others have its counts in one chunk.
+    A row with a negative chunk names a source (g), its block, its total (d) and the number of the segment's terms (v); the others have its counts in one chunk.
     """
     lang, block_a, block_b = pdf["lang"].iat[0], int(pdf["block_a"].iat[0]), int(pdf["block_b"].iat[0])
     heads = pdf[pdf["chunk"] < 0].sort_values("g")
     g, total = heads["g"].to_numpy(np.int64), heads["d"].to_numpy(np.int64)
-    side = g // BLOCK
+    side = heads["block"].to_numpy(np.int64)
     left, right = np.flatnonzero(side == block_a), np.flatnonzero(side == block_b)
     sums = np.zeros((len(left), len(right)), np.int64)
     seen = 0
@@ -122,7 +122,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, lang_col: str =
     def to_tiles(packed: DataFrame) -> DataFrame:
         own, other = F.floor(F.col("g") / BLOCK).cast("long"), F.col("other")
         each = packed.withColumn("other", F.explode(F.sequence(zero, F.col("n_blocks") - 1)))
-        return each.select("lang", F.least(own, other).alias("block_a"), F.greatest(own, other).alias("block_b"), "seg", "g", "d", "v", "chunk", "pos", "n")
+        return each.select("lang", F.least(own, other).alias("block_a"), F.greatest(own, other).alias("block_b"), own.alias("block"), "seg", "g", "d", "v", "chunk", "pos", "n")
 
     seg = F.floor(F.col("chunk") / SEGMENT).cast("int")
     segments = placed.groupBy("lang", seg.alias("seg")).agg(F.count(F.lit(1)).alias("v"))

@@ -61,9 +61,15 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _gram_column(word: Column, n: int) -> Column:
-    padded = F.concat(F.lit(" "), word, F.lit(" ")) if n > 1 else word
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+def _sized_grams(word: Column) -> Column:
+    """All n-grams of a word up to the longest, as structs of size and feature."""
+
+    def of(n: int) -> Column:
+        padded = F.concat(F.lit(" "), word, F.lit(" ")) if n > 1 else word
+        at = F.sequence(F.lit(1), F.greatest(F.char_length(padded) - n + 1, F.lit(1)))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("size"), F.substring(padded, i, F.lit(n)).alias("feature")))
+
+    return F.flatten(F.array(*map(of, range(1, LONGEST + 1))))
 
 
 def _most_frequent(counts: DataFrame, each: int) -> DataFrame:
@@ -119,8 +125,7 @@ def learn(labelled: DataFrame, scratch: Scratch, model_words: int = MODEL_WORDS,
     words = scratch.save(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     each = max(1, len(prior))
     kept = [_most_frequent(words.select("lang", F.lit(0).alias("size"), F.col("word").alias("feature"), "n"), model_words // each)]
-    sized = F.explode(F.flatten(F.array(*(F.transform(_gram_column(F.col("word"), n), lambda g, n=n: F.struct(F.lit(n).alias("size"), g.alias("feature"))) for n in range(1, LONGEST + 1)))))
-    parts = words.select("lang", "n", sized.alias("g")).select("lang", "g.size", "g.feature", "n").filter(F.char_length("feature") == F.col("size"))
+    parts = words.select("lang", "n", F.explode(_sized_grams(F.col("word"))).alias("g")).select("lang", "g.size", "g.feature", "n").filter(F.char_length("feature") == F.col("size"))
     runs = scratch.save(parts.groupBy("lang", "size", "feature").agg(F.sum("n").alias("n")), "grams")
     kept.append(_most_frequent(runs, model_grams // each))
     columns = ["lang", "size", "feature", "n"]
