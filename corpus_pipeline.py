@@ -6,6 +6,9 @@ documents. ``run`` writes each stage's rows to the shared folder and reads them
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,29 +21,52 @@ from wardlight.llm.scratch import Scratch
 
 #: The stages learn rules, solve for rates and encode; SQL can't express them. Tests compare with brute force.
 ORACLE_SQL = None
+#: Columns that stages know; all others are the user's and pass through as they are.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def passing_through(stage: Stage) -> Stage:
+    """The stage on docs whose other columns have names of their own meanwhile, so none that an operator makes or works with can replace them."""
 
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in KNOWN else f"__user_{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
+    return run
+
+
+@passing_through
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go; null and empty texts are among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge(docs, labels).filter("kept").select(docs.columns)
 
 
+@passing_through
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; text and n_chars are those of the kept lines. A null text becomes an empty one."""
+    """Repeated lines go; text and n_chars are those of the kept lines. A null text becomes an empty one.
+
+    Very long texts are cut at their dropped lines in one pass; an empty table gives an empty one.
+    """
     kept = dedup_lines(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("kept_text").cast("long"))
     return kept.select(docs.columns)
 
 
+@passing_through
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row of the smallest id stays, once; different texts under one id, and rows without words, stay."""
     return one_of_each(docs)
 
 
+@passing_through
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it; documents without words go.
 
-    Rows equal in id, source and size share their copies in the order of their hashes. Who stands how often is settled on
+    Very long texts count with all their words; an empty table gives an empty one. Rows equal in id, source and size share their copies in the order of their hashes. Who stands how often is settled on
     ids, sizes and hashes; whole rows move once.
     """
     same = ["__id", "__source", "__size"]

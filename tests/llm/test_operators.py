@@ -510,8 +510,37 @@ def test_toxicity_sample_is_bounded(docs, monkeypatch):
     first = [toxicity.train(docs.repartition(n), labels)[0].emb for n in (2, 5)]
     assert np.array_equal(*first)  # a repeated id and other partitions change nothing
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
-    net, _ = toxicity.train(docs, labels)
-    assert len({round(net.logit(np.zeros((n, 4), np.int32)), 6) for n in (0, 1, 9)}) == 1
+    full = docs.filter("length(text) > 3")
+    with pytest.raises(ValueError, match="fits"):
+        toxicity.train(full, labels.join(full.select("doc_id"), "doc_id", "left_semi"))
+
+
+def test_a_long_text_changes_no_other_score(spark, monkeypatch):
+    """One text over the bound that comes first in the order of the sample is passed over; all others are learned from as without it."""
+    rng = random.Random(4)
+    vocab, bad = [f"w{i}" for i in range(200)], ["vile", "awful", "nasty"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(30)) + (f" {rng.choice(bad)}" * 3 if i % 3 == 0 else ""), "en") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    first = spark.createDataFrame(rows, "doc_id long, text string, lang string").orderBy(F.xxhash64("doc_id", F.lit(97))).first()["doc_id"]
+    longer = [(i, t if i != first else t + " filler" * 4_000, x) for i, t, x in rows]
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 25_000)
+    nets = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(3), labels)[0] for r in ([x for x in rows if x[0] != first], longer)]
+    assert np.array_equal(nets[0].emb, nets[1].emb) and np.array_equal(nets[0].out, nets[1].out)
+    scores = nets[1].scores(pa.array([t for i, t, _ in rows if i != first]))
+    assert (scores[[k for k, (i, *_) in enumerate([x for x in rows if x[0] != first]) if i % 3 == 0]] > 0.5).mean() > 0.9 and np.ptp(scores) > 0.5
+    assert toxicity.chosen_sizes([9, 3, 1, 5, 1], 8) == [False, True, True, False, True]
+
+
+def test_contradicting_labels(spark, docs):
+    """A null label displaces none, and of two labels of an id the toxic, or the good, one counts, in any order."""
+    ids = [r[0] for r in docs.filter("doc_id is not null").select("doc_id").distinct().collect()]
+    plain = [(i, i % 2) for i in ids]
+    noisy = plain + [(i, None) for i in ids] + [(i, 0) for i in ids] + [(None, 1)]
+    table = lambda rows, name: spark.createDataFrame(rows, f"doc_id long, {name} int").repartition(4)
+    a, b = (toxicity.train(docs, table(rows, "toxic"))[0] for rows in (plain, noisy))
+    assert np.array_equal(a.emb, b.emb) and np.array_equal(a.out, b.out)
+    seen = lambda rows: Counter((r["doc_id"], r["text"], r["kept"]) for r in quality_rules.judge(docs, table(rows, "quality")).collect())
+    assert seen(plain) == seen(noisy)
 
 
 def test_decision_list_verdict(docs, spark):

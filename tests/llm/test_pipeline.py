@@ -67,6 +67,25 @@ def test_edges(spark, tmp_path):
     assert corpus_pipeline.run(spark, where).count() > 0
 
 
+def test_columns_of_the_user_stay(spark, tmp_path):
+    """Columns with the names of what operators make or work with come out of every stage with their own values."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    names = ["kept", "n_words", "base_failed", "n_lines", "n_dropped", "kept_text", "__row", "__id", "__n", "__copies", "copies", "size", "target", "key", "__user_0", "__text", "did", "rank"]
+    rows = [(i, text(60), "en", "ab"[i % 2], i, *[f"{n} of {i}" for n in names]) for i in range(30)]
+    rows.append((30, rows[0][1], "en", "a", 7, *rows[0][5:]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = {tuple(r) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and len(set(got)) >= 15, name
+        want = {(*r[:4], len(r[1]), *r[5:]) for r in given} if name == "line dedup" else given  # that stage counts the characters of what stays
+        assert set(got) <= want, name
+
+
 def mixed_rows(docs):
     from wardlight.llm.mixing import mix_to_targets
 

@@ -189,14 +189,14 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """docs plus COUNTS, base_failed and kept.
 
-    labels: doc_id, quality (1 good, 0 bad; null is ignored). Rules are learned from at most sample_rows
+    labels: doc_id, quality (1 good, 0 bad; null is ignored; an id with contradicting labels is good). Rules are learned from at most sample_rows
     labelled rows, those of them that pass the base rules; without labels of both kinds there are no rules and only the
     base rules reject. Null or empty texts count nothing and fail the base rules. Rows that repeat an id are judged
     each by its own text. An empty table gives an empty result; other columns pass through.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     counted = scratch.save(with_counts(docs, text_col), "counted")
-    marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).dropDuplicates(["__id"])
+    marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).groupBy("__id").agg(F.max("__q").alias("__q"))
     shares = [c.alias(k) for k, c in features().items()]
     drawn = bounded_sample(marks, "__id", sample_rows)
     rows = counted.filter(~base_failed()).select(F.col(id_col).alias("__id"), *shares).join(F.broadcast(drawn), "__id").orderBy(F.xxhash64("__id", F.lit(97)), "__id", *FEATURES).limit(sample_rows).toPandas()
