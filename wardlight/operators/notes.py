@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions import rules
-
-
-def labs(notes: DataFrame) -> DataFrame:
-    """document_id, lab, value, unit of each lab mention, in text order."""
-    i = "(?i)" + rules.LABS
-    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(i), F.lit(g)).alias(n) for g, n in ((1, "lab"), (2, "raw"), (3, "unit"))])
-    return notes.select("document_id", F.posexplode(found).alias("pos", "m")).select("document_id", "pos", F.lower("m.lab").alias("lab"), F.expr("try_cast(regexp_replace(m.raw, '[<>]', '') as double)").alias("value"), F.col("m.unit").alias("unit"))
+from wardlight.operators.spans import active, labs, mentions, summary  # noqa: F401
 
 
 def note_vitals(notes: DataFrame) -> DataFrame:
@@ -62,26 +54,6 @@ def icd10_suggest(notes: DataFrame, n: int = 5) -> DataFrame:
     return notes.select("document_id", F.posexplode(F.slice(F.sort_array(hits), 1, n)).alias("i", "h")).select("document_id", (F.col("i") + 1).alias("rank"), "h.term", "h.icd10", (-F.col("h.minus")).alias("confidence"))
 
 
-def mentions(notes: DataFrame) -> DataFrame:
-    """Each disease mention with span, negation, uncertainty and time, by Arrow batches (SQL has no offsets)."""
-    find = [(k, re.compile(p, re.I)) for k, (p, _) in rules.DISEASES.items()]
-    some = lambda ps: re.compile("|".join(ps), re.I)
-    pre, post, doubt, past, kin = map(some, (rules.PRE_NEGATION, rules.POST_NEGATION, rules.UNCERTAINTY, rules.HISTORICAL, rules.FAMILY))
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for doc, text in zip(pdf["document_id"], pdf["text"]):
-                for name, pattern in find if text else ():
-                    for m in pattern.finditer(text):
-                        before, after = text[max(0, m.start() - 150) : m.start()], text[m.end() : m.end() + 100]
-                        when = "family_history" if kin.search(before) else "historical" if past.search(before) else "current"
-                        out.append((doc, name, m.start(), m.end(), bool(pre.search(before) or post.search(after)), bool(doubt.search(before) or doubt.search(after)), when))
-            yield pd.DataFrame(out, columns=["document_id", "condition", "start", "end", "negated", "uncertain", "temporal"])
-
-    return notes.select("document_id", "text").mapInPandas(run, "document_id long, condition string, start int, end int, negated boolean, uncertain boolean, temporal string")
-
-
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """Greedy choice of non-overlapping spans of a document, by confidence, then start. spans: document_id, start, end, confidence, label."""
     rows = spans.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("minus"), "start", "end", "label"))).alias("s"))
@@ -90,18 +62,16 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     return rows.select("document_id", F.inline(keep)).drop("minus")
 
 
-def summary(found: DataFrame, most: int = 3) -> DataFrame:
-    """found (document_id, condition): the first conditions of each note by name, as a sentence."""
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("condition"))
-    top = found.withColumn("n", n).filter(F.col("n") <= most).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("condition")), ", ").alias("d"))
-    return top.select("document_id", F.concat(F.lit("Active diagnoses: "), "d", F.lit(".")).alias("summary"))
-
-
 def process(notes: DataFrame) -> DataFrame:
-    """Each note with class, sentiment, summary and content hash. All but the summary are one pass over the text."""
+    """Each note with class, sentiment, content hash, entities (its disease mentions in order, with what is said of them), labs and summary."""
     one = note_class(notes).join(sentiment(notes).select("document_id", "sentiment"), "document_id").join(notes.select("document_id", F.sha2(F.substring("text", 1, 1000), 256).alias("semantic_hash")), "document_id")
-    rows = one.join(summary(conditions(notes).select("document_id", "condition")), "document_id", "left")
-    return rows.withColumn("summary", F.coalesce("summary", F.lit("No significant entities extracted.")))
+    listed = lambda rows, name, *columns: rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))  # noqa: E731  those of one note
+    found, values = mentions(notes), labs(notes)
+    entities = listed(found, "entities", "start", "end", "condition", "term", "negated", "uncertain", "temporal")
+    rows = one.join(entities, "document_id", "left").join(listed(values, "labs", "start", "lab", "value", "unit"), "document_id", "left")
+    active_ones = F.filter("entities", lambda e: ~e["negated"] & (e["temporal"] == "current"))
+    text = F.array_join(F.slice(F.transform(active_ones, lambda e: e["term"]), 1, 3), ", ")
+    return rows.withColumn("summary", F.when(F.size(active_ones) > 0, F.concat(F.lit("Active diagnoses: "), text, F.lit("."))).otherwise("No significant entities extracted."))
 
 
 def exact_dedup(notes: DataFrame) -> DataFrame:

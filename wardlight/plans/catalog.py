@@ -557,7 +557,7 @@ _LABS_SQL = "(?i)" + rules.LABS.replace("'", "''")
     f"""x AS (SELECT document_id, regexp_extract_all(text, '{_LABS_SQL}', 1) AS l, regexp_extract_all(text, '{_LABS_SQL}', 2) AS r, regexp_extract_all(text, '{_LABS_SQL}', 3) AS u FROM notes)
     SELECT document_id, (i - 1)::INT AS pos, lower(l[i]) AS lab, try_cast(replace(replace(r[i], '<', ''), '>', '') AS DOUBLE) AS value, u[i] AS unit FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM x)""", "notes")
 def note_labs(spark, sf_dir):
-    return notes.labs(fx.notes(spark, sf_dir))
+    return notes.labs(fx.notes(spark, sf_dir)).select("document_id", "pos", "lab", "value", "unit")
 
 
 @query("SELECT document_id, " + ", ".join(f"try_cast(nullif(regexp_extract(text, '(?i){p}', 1), '') AS DOUBLE) AS {k}" for k, p in rules.NOTE_VITALS.items()) + " FROM notes", "notes")
@@ -570,9 +570,25 @@ def note_conditions(spark, sf_dir):
     return notes.conditions(fx.notes(spark, sf_dir))
 
 
-@query()
+def _spans_of(kind: str, label: str, pattern: str) -> str:
+    """Spans of a pattern by the lengths of what lies between and in its matches."""
+    return f"""SELECT document_id, '{kind}' AS kind, '{label}' AS label, start, start + length(hits[i]) AS stop FROM (SELECT *, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::INT AS start
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT document_id, string_split_regex(t, '(?i){pattern}') AS parts, regexp_extract_all(t, '(?i){pattern}') AS hits FROM plain)))"""
+
+
+_CUES = {"pre": rules.PRE_NEGATION, "post": rules.POST_NEGATION, "doubt": rules.UNCERTAINTY, "past": rules.HISTORICAL, "kin": rules.FAMILY}
+#: Mentions with their cues by a plain range join; accented letters count as letters.
+MENTIONS = f"""plain AS (SELECT document_id, regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g') AS t FROM notes),
+    found AS ({" UNION ALL ".join(_spans_of("disease", k, p) for k, (p, _) in rules.DISEASES.items())}), cues AS ({" UNION ALL ".join(_spans_of(k, "", p) for k, ps in _CUES.items() for p in ps)}),
+    near AS (SELECT f.document_id, f.label, f.start, f.stop, c.kind, c.stop <= f.start AND c.start >= f.start - 150 AS ahead, c.start >= f.stop AND c.stop <= f.stop + 100 AS behind FROM found f LEFT JOIN cues c USING (document_id)),
+    mentioned AS (SELECT document_id, label AS condition, start, stop AS "end", coalesce(bool_or((kind = 'pre' AND ahead) OR (kind = 'post' AND behind)), false) AS negated, coalesce(bool_or(kind = 'doubt' AND (ahead OR behind)), false) AS uncertain,
+        CASE WHEN bool_or(kind = 'kin' AND ahead) THEN 'family_history' WHEN bool_or(kind = 'past' AND ahead) THEN 'historical' ELSE 'current' END AS temporal FROM near GROUP BY ALL)"""
+
+
+@query(f"{MENTIONS} SELECT * FROM mentioned", "notes")
 def note_negation(spark, sf_dir):
-    return notes.mentions(fx.notes(spark, sf_dir))
+    """Each disease mention with what the cues around it say."""
+    return notes.mentions(fx.notes(spark, sf_dir)).drop("term")
 
 
 _UP, _DOWN = (" + ".join(f"contains(lower(text), '{c}')::INT" for c in cues) for cues in (rules.IMPROVING, rules.WORSENING))

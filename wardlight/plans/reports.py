@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardlight.functions import rules, scores
 from wardlight.operators import agents, business, fusion, monitoring, notes, rollups, vitals
 from wardlight.plans import catalog
-from wardlight.plans.catalog import _FINDINGS, _MODEL, _SCORED, _WIDE, _case, _findings, _r, query
+from wardlight.plans.catalog import _FINDINGS, _MODEL, _SCORED, _WIDE, MENTIONS, _case, _findings, _r, query
 from wardlight.sources import fixtures as fx
 from wardlight.streaming import stateful
 from wardlight.streaming import vitals as stream
@@ -191,11 +191,18 @@ def analyzed(spark, sf_dir):
 
 
 # ---- notes -----------------------------------------------------------------------------------------------------
-@query("""SELECT document_id, sha2 AS semantic_hash, note_class, sentiment, coalesce('Active diagnoses: ' || d || '.', 'No significant entities extracted.') AS summary FROM (SELECT document_id, sha256(substr(text, 1, 1000)) AS sha2 FROM notes)
-    JOIN {c} USING (document_id) JOIN {s} USING (document_id) LEFT JOIN (SELECT document_id, string_agg(condition, ', ' ORDER BY condition) AS d FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY condition) AS n FROM {k}) WHERE n <= 3 GROUP BY document_id) USING (document_id)""".format(c=_sql_of("note_class"), s=f"(SELECT document_id, sentiment FROM {_sql_of('note_sentiment')})", k=_sql_of("note_conditions")), "notes")
+_ACTIVE = "(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY start) AS n FROM mentioned WHERE NOT negated AND temporal = 'current')"
+
+
+@query(f"""{MENTIONS}, d AS (SELECT document_id, string_agg(substr(text, start + 1, "end" - start), ', ' ORDER BY n) FILTER (WHERE n <= 3) AS d, count(*) AS n_active FROM {_ACTIVE} JOIN notes USING (document_id) GROUP BY document_id),
+    e AS (SELECT document_id, count(*) AS n_entities FROM mentioned GROUP BY document_id), l AS (SELECT document_id, count(*) AS n_labs FROM {_sql_of("note_labs")} GROUP BY document_id)
+    SELECT document_id, sha256(substr(text, 1, 1000)) AS semantic_hash, note_class, sentiment, coalesce('Active diagnoses: ' || d || '.', 'No significant entities extracted.') AS summary, coalesce(n_entities, 0)::INT AS n_entities, coalesce(n_active, 0)::INT AS n_active, coalesce(n_labs, 0)::INT AS n_labs
+    FROM notes JOIN {_sql_of("note_class")} USING (document_id) JOIN (SELECT document_id, sentiment FROM {_sql_of("note_sentiment")}) USING (document_id) LEFT JOIN d USING (document_id) LEFT JOIN e USING (document_id) LEFT JOIN l USING (document_id)""", "notes")
 def note_records(spark, sf_dir):
-    """Each note with its class, mood, first diagnoses by name and the hash of its first thousand characters."""
-    return notes.process(fx.notes(spark, sf_dir)).select("document_id", "semantic_hash", "note_class", "sentiment", "summary")
+    """Each note with its class, mood, the first diagnoses that hold now, how many entities and labs it names, and the hash of its first thousand characters."""
+    rows = notes.process(fx.notes(spark, sf_dir))
+    now = F.filter("entities", lambda e: ~e["negated"] & (e["temporal"] == "current"))
+    return rows.select("document_id", "semantic_hash", "note_class", "sentiment", "summary", *[F.when(c.isNull(), 0).otherwise(F.size(c)).alias(k) for k, c in (("n_entities", F.col("entities")), ("n_active", now), ("n_labs", F.col("labs")))])
 
 
 # ---- streams ---------------------------------------------------------------------------------------------------
@@ -287,9 +294,10 @@ def stay_days(spark, sf_dir):
     return e.select("encounter_id", ((F.unix_timestamp(F.to_timestamp("discharge")) - F.unix_timestamp(F.to_timestamp("admission"))) / 86400.0).alias("days"))
 
 
-@query(f"SELECT document_id, string_agg(condition, ',' ORDER BY condition) AS active FROM (SELECT DISTINCT document_id, condition FROM {_sql_of('note_conditions')}) GROUP BY document_id")
+@query(f"""{MENTIONS} SELECT document_id, string_agg(DISTINCT condition, ',' ORDER BY condition) AS active FROM mentioned WHERE NOT negated AND temporal = 'current' GROUP BY document_id""", "notes")
 def note_active_conditions(spark, sf_dir):
-    found = notes.conditions(fx.notes(spark, sf_dir))
+    """Conditions that a note says its patient has now: what is negated, past or of the family does not count."""
+    found = notes.active(notes.mentions(fx.notes(spark, sf_dir)))
     return found.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("condition")), ",").alias("active"))  # at most ten
 
 
