@@ -70,6 +70,44 @@ def gateway(requests: DataFrame, consents: DataFrame) -> DataFrame:
     return decided.withColumn("outcome", F.when(F.col("allowed"), "success").otherwise("denied")).withColumn("deidentify", F.col("allowed") & unnamed)
 
 
+#: What a gateway run counts while it writes: name -> aggregate over its rows.
+def gateway_metrics() -> dict[str, Column]:
+    out = F.col("outcome")
+    return {
+        "requests": F.count(F.lit(1)), "allowed": F.count_if(out == "success"), "denied": F.count_if(out == "denied"), "deidentified": F.count_if("deidentify"),
+        "payloads": F.count_if(F.col("payload").isNotNull()), "breaches": F.count_if("breach"),
+    }
+
+
+def gateway_run(requests: DataFrame, consents: DataFrame, patients: DataFrame, salt: bytes, path: str, seconds: int = 3600, limit: int = 50) -> tuple[DataFrame, dict[str, int]]:
+    """Every request through the whole gateway, written once to ``path``: (the written rows, the counters of the run).
+
+    A row is the decision, its audit (a pseudonym for the patient, the outcome), whether the actor has made more than ``limit`` allowed out-of-department
+    accesses within the ``seconds`` up to it, and the payload: none if denied, de-identified where that is asked for, else the record as JSON. The
+    counters are observed while the rows are written, so no second scan is made.
+    requests: those of ``gateway`` with event_id, actor_id, at and out_of_department; patients: patient_id, patient (a struct as ``fhir.deidentify_patient`` takes it).
+    """
+    from pyspark.sql import Observation
+
+    from wardlight.functions.privacy import pseudonym
+    from wardlight.operators.fhir import deidentify_patient
+
+    window = Window.partitionBy("actor_id").orderBy(F.unix_timestamp("at")).rangeBetween(-seconds, 0)
+    decided = gateway(requests, consents).withColumn("__counts", (F.col("allowed") & F.col("out_of_department")).cast("int"))
+    decided = decided.withColumn("breach", (F.col("__counts") == 1) & (F.sum("__counts").over(window) > limit)).drop("__counts")
+    records = deidentify_patient(patients, salt).select("patient_id", F.to_json("patient").alias("__named"), F.to_json("deidentified").alias("__unnamed"))
+    rows = decided.join(records, "patient_id", "left").withColumn("payload", F.when(F.col("allowed"), F.when(F.col("deidentify"), F.col("__unnamed")).otherwise(F.col("__named")))).drop("__named", "__unnamed")
+    rows = rows.withColumn("audit_patient", pseudonym(F.col("patient_id").cast("string"), "PAT", salt))
+    seen = Observation("gateway")
+    rows.observe(seen, *[c.alias(k) for k, c in gateway_metrics().items()]).write.mode("overwrite").parquet(path)
+    return requests.sparkSession.read.schema(rows.schema).parquet(path), seen.get
+
+
+def audit_of(run: DataFrame) -> DataFrame:
+    """The audit rows of a run: one a request, whatever its outcome."""
+    return run.select("event_id", "actor_id", F.col("role").alias("actor_role"), "action", "resource_type", F.col("audit_patient").alias("resource_id"), F.col("reason").alias("access_reason"), "outcome", "at")
+
+
 def patient_view(patients: DataFrame, role: str) -> DataFrame:
     """The patient list as a role sees it: birth year and three digits of the code; the name for physicians only."""
     name = F.concat_ws(", ", "last_name", "first_name") if role == "physician" else F.lit(None).cast("string")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardlight.operators import breakers
-from wardlight.plans import reports
-from wardlight.plans.catalog import ORACLES, query
+from wardlight.functions import rules
+from wardlight.operators import breakers, governance, vitals
+from wardlight.plans import records, reports
+from wardlight.plans.catalog import _ENGINE, ORACLES, SALT, query
 from wardlight.sources import fixtures as fx
-from wardlight.streaming import retries, stateful
+from wardlight.sources import folders, hl7, shared
+from wardlight.streaming import baselines, ledger, retries, stateful
 
 # ---- breakers --------------------------------------------------------------------------------------------------
 #: One call after the other, by recursion: the failures that count and since when the breaker is open.
@@ -67,3 +69,107 @@ def stream_retries(spark, sf_dir):
 def stream_retry_letters(spark, sf_dir):
     """The dead letters of the retried stream."""
     return retries.dead_letters(_tries(spark, sf_dir))
+
+
+# ---- folders of messages and bundles ---------------------------------------------------------------------------
+@query(ORACLES["hl7_observations"])
+def hl7_folder(spark, sf_dir):
+    """Readings written as HL7 files by sending system, and read back through the data source."""
+    work = shared.Workspace(spark, "hl7")
+    made = hl7.messages(fx.vitals(spark, sf_dir)).select(F.col("message").alias("value"), F.concat(F.lit("icu"), F.crc32("message") % 3).alias("source"))
+    made.write.partitionBy("source").text(work.path("in"))
+    obs = hl7.observations(folders.load(spark, "hl7_folder", work.path("in"), columns=["message"], suffix=".txt"))
+    return obs.select(F.col("mrn").cast("long").alias("patient_id"), "loinc_display", "value_numeric", "status", "observation_datetime")
+
+
+@query(f"""WITH o AS (SELECT 'site' || c_custkey % 4 AS source, 'o-' || c_custkey AS resource_id, {records._when} AS date FROM (SELECT *, c_custkey AS k FROM customer) WHERE c_custkey % 13 <> 0 AND c_custkey % 4 < 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nullif(date, '') DESC NULLS LAST, resource_id)::INT AS position FROM o)
+    SELECT source, resource_id, position, false AS failed FROM r WHERE position <= 100 UNION ALL SELECT 'site' || c_custkey % 4, NULL, NULL, true FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 4 < 2""")
+def fhir_search(spark, sf_dir):
+    """Observations of two sites out of a folder of bundles: the latest hundred of each, and the files that hold none."""
+    work = shared.Workspace(spark, "bundles")
+    made = records.bundles(spark, sf_dir).select(F.concat(F.lit("site"), F.col("bundle_id") % 4).alias("source"), F.col("bundle").alias("value"))
+    made.write.partitionBy("source").text(work.path("in"))
+    found = folders.search(folders.load(spark, "fhir_bundles", work.path("in"), suffix=".txt", source=["site0", "site1"], resource_type=["Observation"]), "-date", 100)
+    return found.select("source", "resource_id", "position", F.col("error").isNotNull().alias("failed"))
+
+
+# ---- exactly once ----------------------------------------------------------------------------------------------
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def sink_exactly_once(spark, sf_dir):
+    """All events by a stream on a processing-time trigger, stopped half way and started again from its checkpoint."""
+    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    work = shared.Workspace(spark, "ledger")
+    book = ledger.Ledger(spark, work.path("table"), "events")
+    events.repartition(6).write.parquet(work.path("in"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(work.path("in"))
+    for _ in range(2):
+        running = ledger.start(source, book, work.path("state"))
+        while not running.exception() and not book.committed():
+            running.awaitTermination(1)
+        running.processAllAvailable()
+        running.stop()
+    return book.read(events.schema).select(*events.columns)
+
+
+# ---- baselines in the stream -----------------------------------------------------------------------------------
+def _judged(spark, sf_dir):
+    readings = vitals.artifact_filter(fx.vitals(spark, sf_dir), "engine")
+    slices = stateful.in_time_order(spark, readings.select("patient_id", "parameter", "time", "seq", "value"), reports._CUTS, "time")
+    return stateful.run(spark, slices, baselines.judged)
+
+
+@query(f"SELECT patient_id, parameter, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM vitals WHERE {_ENGINE} GROUP BY ALL", "vitals")
+def stream_baseline(spark, sf_dir):
+    """The baseline of each patient and parameter that a stream's state ends with; its percentiles are held against exact ones in the tests."""
+    return baselines.latest(_judged(spark, sf_dir)).select("patient_id", "parameter", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+_PART = " + ".join(f"(time >= TIMESTAMP '{c}')::INT" for c in reports._CUTS)
+_OF = lambda i: "CASE parameter " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in rules.POPULATION.items()) + " END"
+
+
+@query(f"""v AS (SELECT *, {_PART} AS part FROM vitals WHERE {_ENGINE}), b AS (SELECT v.seq, any_value(v.patient_id) AS patient_id, any_value(v.parameter) AS parameter, any_value(v.value) AS value, count(o.value) AS n, avg(o.value) AS mean, stddev_pop(o.value) AS sd
+    FROM v LEFT JOIN v o ON o.patient_id = v.patient_id AND o.parameter = v.parameter AND o.part < v.part GROUP BY v.seq),
+    z AS (SELECT *, abs(value - CASE WHEN n >= 10 THEN mean ELSE {_OF(0)} END) / CASE WHEN n >= 10 AND sd > 0 THEN sd ELSE {_OF(1)} END AS z FROM b)
+    SELECT patient_id, parameter, seq, n AS n_before, round(z, 6) AS z, CASE WHEN z >= 4 THEN 'critical' WHEN z >= 3 THEN 'severe' WHEN z >= 2.5 THEN 'moderate' ELSE 'mild' END AS severity FROM z WHERE z >= 2""", "vitals")
+def stream_anomalies(spark, sf_dir):
+    """Readings far off the baseline that earlier slices of time gave their patient."""
+    return _judged(spark, sf_dir).filter("z >= 2").select("patient_id", "parameter", "seq", "n_before", F.round("z", 6).alias("z"), "severity")
+
+
+# ---- the gateway as one pass -----------------------------------------------------------------------------------
+def _gateway(spark, sf_dir):
+    requests, consents = records.gateway_inputs(spark, sf_dir)
+    k = F.col("event_id")
+    more = fx.table(spark, sf_dir, "events").select(k, (k % 40).alias("actor_id"), (F.lit("2024-01-31").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 20)).alias("at"), (k % 3 > 0).alias("out_of_department"))
+    patients = fx.patients(spark, sf_dir).select("patient_id", fhir_patient_struct())
+    return governance.gateway_run(requests.join(more, "event_id"), consents, patients, SALT, shared.Workspace(spark, "gateway").path("run"), limit=2)
+
+
+def fhir_patient_struct():
+    """A patient record as the normaliser makes it, of the columns of the view."""
+    return F.struct(
+        F.lit("Patient").alias("resourceType"), F.concat(F.lit("p-"), "patient_id").alias("id"), F.array(F.struct(F.col("mrn").alias("value"))).alias("identifier"), F.lit("unknown").alias("gender"),
+        F.date_format("dob", "yyyy-MM-dd").alias("birthDate"), F.array(F.struct(F.lit("MA").alias("state"), F.col("zip").alias("postalCode"))).alias("address"), F.array(F.struct(F.col("last_name").alias("family"))).alias("name"),
+    ).alias("patient")
+
+
+_RUN = ORACLES["gateway_decisions"]
+_ROWS = f"""WITH g AS ({_RUN}), r AS (SELECT g.*, e.user_id, event_id % 40 AS actor_id, 20 * event_id AS sec, event_id % 3 > 0 AS away FROM g JOIN events e USING (event_id)),
+    b AS (SELECT *, allowed AND away AND count(*) FILTER (WHERE allowed AND away) OVER (PARTITION BY actor_id ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) > 2 AS breach, allowed AND user_id IN (SELECT c_custkey FROM customer) AS payload FROM r)"""
+
+
+@query(f"{_ROWS} SELECT event_id, outcome, deidentify, breach, payload, deidentify AND payload AS hidden FROM b")
+def gateway_pipeline(spark, sf_dir):
+    """Decision, breach flag and payload of every request; hidden: the payload names nobody."""
+    run, _ = _gateway(spark, sf_dir)
+    hidden = F.coalesce(F.col("payload").contains('"PAT-') & ~F.col("payload").contains('"family"'), F.lit(False))
+    return run.select("event_id", "outcome", "deidentify", "breach", F.col("payload").isNotNull().alias("payload"), hidden.alias("hidden"))
+
+
+@query(f"{_ROWS} SELECT unnest(['requests', 'allowed', 'denied', 'deidentified', 'payloads', 'breaches']) AS metric, unnest([count(*), count(*) FILTER (WHERE allowed), count(*) FILTER (WHERE NOT allowed), count(*) FILTER (WHERE deidentify), count(*) FILTER (WHERE payload), count(*) FILTER (WHERE breach)]) AS n FROM b")
+def gateway_counters(spark, sf_dir):
+    """What the run of the gateway counted while it wrote."""
+    _, counters = _gateway(spark, sf_dir)
+    return spark.createDataFrame([(k, int(v)) for k, v in counters.items()], "metric string, n long")

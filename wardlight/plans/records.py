@@ -207,7 +207,6 @@ def event_routing(spark, sf_dir):
     return outputs.route_events(e).select("event_id", F.array_join("agents", ",").alias("agents"))
 
 
-# ---- gateway and privacy ---------------------------------------------------------------------------------------
 # ---- gateway and privacy ---------------------------------------------------------------------------------------
 _REASONS = ["treatment", "operations", "ai_inference"]
 
@@ -216,10 +215,15 @@ _REASONS = ["treatment", "operations", "ai_inference"]
     c AS (SELECT user_id, coalesce(arg_max(value >= 40, (ts, event_id)) FILTER (WHERE event_id % 2 = 1), false) AS ai FROM events GROUP BY user_id), d AS (SELECT *, {_ALLOWED} AS allowed FROM r)
     SELECT event_id, allowed, CASE WHEN allowed THEN 'success' ELSE 'denied' END AS outcome, allowed AND (role IN ('ai_system', 'researcher') OR reason = 'ai_inference' AND NOT ai) AS deidentify FROM d JOIN c USING (user_id)""")
 def gateway_decisions(spark, sf_dir):
+    return governance.gateway(*gateway_inputs(spark, sf_dir)).select("event_id", "allowed", "outcome", "deidentify")
+
+
+def gateway_inputs(spark, sf_dir):
+    """Requests and the last consents of their patients."""
     e, k = fx.table(spark, sf_dir, "events"), F.col("event_id")
     requests = access_requests(spark, sf_dir).withColumn("reason", fx.pick(_REASONS, F.floor(k / 5))).join(e.select(k, F.col("user_id").alias("patient_id")), "event_id")
     consents = governance.latest_consent(e.select(F.col("user_id").alias("patient_id"), F.when(k % 2 == 1, "ai_use").otherwise("treatment_use").alias("kind"), (F.col("value") >= 40).alias("granted"), F.col("ts").alias("at"), k.alias("seq")), ["ai_use"])
-    return governance.gateway(requests, consents).select("event_id", "allowed", "outcome", "deidentify")
+    return requests, consents
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'treatment_use' ELSE 'ai_use' END AS kind FROM events WHERE event_id % 2 = 1")
