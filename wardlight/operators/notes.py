@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions import rules
+from wardlight.operators import similar
 from wardlight.operators.spans import active, labs, mentions, summary  # noqa: F401
 
 
@@ -59,7 +58,7 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     rows = spans.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("minus"), "start", "end", "label"))).alias("s"))
     none = F.expr("cast(array() as array<struct<minus:double,start:int,end:int,label:string>>)")
     keep = F.aggregate("s", none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.select("document_id", F.inline(keep)).drop("minus")
+    return rows.select("document_id", F.inline(keep)).withColumn("confidence", -F.col("minus")).drop("minus")
 
 
 def process(notes: DataFrame) -> DataFrame:
@@ -80,37 +79,8 @@ def exact_dedup(notes: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096) -> DataFrame:
-    """All pairs (a, b, cosine), a < b, of vectors at least as similar as the threshold.
-
-    Equal vectors are one: their least id stands for them in all pairs, and each other id is paired with it alone. Vectors
-    are dealt into blocks by hash, and a task compares two blocks by matrix products; only pairs that pass leave it. Null or
-    empty vectors, those with a null component and zero vectors take no part; vectors of other lengths are not compared.
-    """
-    whole = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()) & F.exists("v", lambda x: x != 0))
-    heads = whole.groupBy("v").agg(F.min("vec_id").alias("vec_id"))
-    members = whole.join(heads.withColumnRenamed("vec_id", "a"), "v").filter(F.col("a") < F.col("vec_id")).select("a", F.col("vec_id").alias("b"), F.lit(1.0).alias("cosine"))
-    blocks = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    rows = heads.withColumn("d", F.size("v")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("d", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "v")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, ids = pdf["own"].to_numpy(), pdf["vec_id"].to_numpy()
-        x = np.stack(pdf["v"].to_numpy())
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        out = [np.zeros((3, 0))]
-        for first in range(0, len(left), 512):
-            some = left[first : first + 512]
-            s = x[some] @ x[right].T
-            i, j = np.nonzero(s >= threshold - 1e-12)
-            ok = ids[some[i]] < ids[right[j]] if key[1] == key[2] else np.ones(len(i), bool)
-            out.append(np.stack([ids[some[i[ok]]], ids[right[j[ok]]], s[i[ok], j[ok]]]))
-        a, b, c = np.concatenate(out, axis=1)
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c})
-
-    return rows.groupBy("d", "lo", "hi").applyInPandas(compare, "a long, b long, cosine double").unionByName(members)
+    """All pairs (a, b, cosine), a < b, of vectors at least as similar as the threshold (``similar.pairs``)."""
+    return similar.pairs(vectors, threshold, block)
 
 
 def first_seen(pairs: DataFrame) -> DataFrame:

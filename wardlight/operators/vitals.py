@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.functions import rules, scores
+from wardlight.operators import models
 
 PIVOTED = list(rules.NEWS2)
 
@@ -114,14 +115,16 @@ def trend_stats(vitals: DataFrame) -> DataFrame:
     return agg.withColumn("direction", F.when(F.col("slope") > 0.5, "rising").when(F.col("slope") < -0.5, "falling").otherwise("stable"))
 
 
-def deterioration(vitals: DataFrame) -> DataFrame:
-    """Rule model of deterioration, sepsis and mortality from last values and slopes."""
+def deterioration(vitals: DataFrame, by: dict[str, object] | None = None) -> DataFrame:
+    """Deterioration, sepsis and mortality from last values and slopes: by the rules, or by the models that ``by`` has for deterioration and sepsis (``models.scored``)."""
     slope = features(vitals).groupBy("patient_id").agg(
         F.max(F.when(F.col("parameter") == "heart_rate", F.col("slope"))).alias("hr_slope"), F.max(F.when(F.col("parameter") == "bp_systolic", F.col("slope"))).alias("sbp_slope")
     )
     rows = latest_wide(vitals).join(slope, "patient_id")
     inputs = {p: F.coalesce(F.col(p), F.lit(float(d))) for p, d in rules.MODEL_DEFAULTS.items()} | {s: F.coalesce(F.col(s), F.lit(0.0)) for s in ("hr_slope", "sbp_slope")}
-    out = rows.withColumn("deterioration", scores.additive_risk(rules.DETERIORATION, inputs)).withColumn("sepsis", scores.additive_risk(rules.SEPSIS, inputs))
+    out = rows
+    for name, rule in (("deterioration", rules.DETERIORATION), ("sepsis", rules.SEPSIS)):
+        out = models.scored(out, inputs, scores.additive_risk(rule, inputs), name, (by or {}).get(name))
     return out.withColumn("mortality", F.round(0.55 * F.col("deterioration") + 0.45 * F.col("sepsis"), 9))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from wardlight.functions import rules
-from wardlight.operators import breakers, governance, vitals
+from wardlight.operators import breakers, governance, models, vitals
 from wardlight.plans import records, reports
-from wardlight.plans.catalog import _ENGINE, ORACLES, SALT, query
+from wardlight.plans.catalog import _ENGINE, _INPUTS, _MODEL, MENTIONS, ORACLES, SALT, query
 from wardlight.sources import fixtures as fx
 from wardlight.sources import folders, hl7, shared
 from wardlight.streaming import baselines, ledger, retries, stateful
@@ -173,3 +175,38 @@ def gateway_counters(spark, sf_dir):
     """What the run of the gateway counted while it wrote."""
     _, counters = _gateway(spark, sf_dir)
     return spark.createDataFrame([(k, int(v)) for k, v in counters.items()], "metric string, n long")
+
+
+# ---- models in place of rules ----------------------------------------------------------------------------------
+class Weighted:
+    """A linear model of two features, as one that was trained elsewhere would be handed over."""
+
+    def predict(self, x):
+        return (x[:, 0] - 60) / 200 + (100 - x[:, 1]) / 100
+
+
+@query(f"""{_MODEL}, m AS (SELECT patient_id, greatest(0, least(1, ({_INPUTS["heart_rate"]} - 60) / 200.0 + (100 - {_INPUTS["spo2_pulse_ox"]}) / 100.0)) AS deterioration, model.sepsis FROM wide JOIN model USING (patient_id))
+    SELECT patient_id, round(deterioration, 6) AS deterioration, round(sepsis, 6) AS sepsis, round(0.55 * deterioration + 0.45 * sepsis, 6) AS mortality FROM m""", "vitals")
+def deterioration_by_model(spark, sf_dir):
+    """X4 with a model for deterioration and the rules for sepsis."""
+    out = vitals.deterioration(fx.vitals(spark, sf_dir), by={"deterioration": Weighted()})
+    return out.select("patient_id", *[F.round(c, 6).alias(c) for c in ("deterioration", "sepsis", "mortality")])
+
+
+class Marker:
+    """An entity model that marks organs, surer than the rules, and the word findings, less sure."""
+
+    WORDS = (("organ", "kidney injury", 0.95), ("symptom", "worsening", 0.70))
+
+    def entities(self, texts):
+        return [[(label, m.start(), m.end(), c) for label, w, c in self.WORDS for m in re.finditer(w, t)] for t in texts]
+
+
+_ORGAN, _SYMPTOM = (f"""SELECT document_id, '{label}' AS label, {c}::DOUBLE AS confidence, len(list_aggregate(parts[1:i], 'string_agg', '{word}'))::INT AS start, {len(word)} AS size FROM (SELECT document_id, string_split(text, '{word}') AS parts, unnest(range(1, len(string_split(text, '{word}')))) AS i FROM notes)""" for label, word, c in Marker.WORDS)
+
+
+@query(f"""{MENTIONS}, o AS ({_ORGAN}), s AS ({_SYMPTOM}), e AS (SELECT document_id, condition AS label, 0.90::DOUBLE AS confidence, start, "end" - start AS size FROM mentioned m WHERE NOT EXISTS (FROM o WHERE o.document_id = m.document_id AND o.start < m."end" AND m.start < o.start + o.size))
+    SELECT document_id, label, confidence, start, (start + size)::INT AS "end" FROM (FROM o UNION ALL FROM e UNION ALL FROM s)""", "notes")
+def note_entities(spark, sf_dir):
+    """Entities of the rules and of a model: of overlapping ones the surest stays."""
+    return models.entities(fx.notes(spark, sf_dir), Marker()).select("document_id", "label", "confidence", "start", "end")
