@@ -135,3 +135,49 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/wards/ward=1").count() == 3
     sinks.as_json(rows, f"file://{tmp_path}/json")
     assert sorted(r["id"] for r in spark.read.json(f"file://{tmp_path}/json").collect()) == list(range(6))
+
+
+def test_plans_of_stays(spark):
+    from wardlight.operators import business
+
+    schema = "encounter_id long, los int, charlson int, ed_visits int, admission_type string, prior_readmission boolean, disposition string, age int, icd10 string"
+    rows = one(spark, schema, (1, 20, 6, 4, "emergency", True, "home", 80, "I50.9"), (2, 1, 0, 0, "elective", False, "snf", 40, "Z00"))
+    got = {r["encounter_id"]: r for r in business.readmission_plan(business.lace(rows)).collect()}
+    assert got[1]["risk"] == "HIGH" and got[1]["risk_factors"] == ["Prior readmission within 90 days", "Discharge to home with high comorbidity burden", "Age ≥ 75", "High comorbidity burden (Charlson=6)", "4 ED visits in past 6 months"]
+    assert len(got[1]["interventions"]) == 9 and got[1]["interventions"][6] == "Consider SNF or sub-acute rehabilitation evaluation" and got[2]["risk_factors"] == got[2]["interventions"] == []
+    assert [r["encounter_id"] for r in business.risk_list(business.lace(rows), 0.5).collect()] == [1]
+    stays = one(spark, "encounter_id long, drg string, charlson int, age int, news2 int, n_pending int, n_social int, pending array<string>, social array<string>", (1, "470", 5, 85, 6, 2, 3, ["a", "b"], ["Family meeting", "no HOME help", "transport home"]), (2, "x", 0, 1, 0, 0, 0, [], []), (3, "x", 0, 1, 0, 0, 0, None, None))
+    out = {r["encounter_id"]: r for r in business.discharge_plan(business.predict_los(stays)).collect()}
+    assert out[1]["barriers"] == ["disposition_placement", "family_meeting_needed", "pending_lab_results", "transport_needed"] and len(out[1]["interventions"]) == 4
+    assert out[1]["interventions"][-1] == "Discharge planning team huddle: Patient predicted to exceed benchmark LOS by 3.8 days ($9,450 excess cost)"
+    assert out[2]["barriers"] == out[2]["interventions"] == out[3]["barriers"] == []
+    days = business.stay_days(one(spark, "admission string, discharge string", ("2024-01-01", "2024-01-03 12:00:00"), ("2024-01-02", "2024-01-01"), ("soon", "2024-01-01"), (None, None))).collect()
+    assert [r["days"] for r in days] == [2.5, None, None, None]
+
+
+def test_sofa_of_the_agents(spark):
+    from wardlight.functions import scores
+
+    rows = one(spark, "spo2_pulse_ox double, bp_systolic double, bp_mean double, drugs array<string>", (89.0, 89.0, 69.0, ["x", "NOREPINEPHRINE 2"]), (None, None, None, None), (95.0, 120.0, 70.0, ["vasopressin"]), (92.0, 89.0, None, []))
+    v = {c: F.col(c) for c in ("spo2_pulse_ox", "bp_systolic", "bp_mean")}
+    got = [tuple(r) for r in rows.select(scores.sofa_agents(v, F.col("drugs")), scores.sofa_agents(v, F.col("drugs"), True)).collect()]
+    assert got == [(7, 6), (0, 0), (3, 3), (4, 2)]
+
+
+def test_noise_is_gaussian(spark):
+    from wardlight.operators import rollups
+
+    rows = spark.range(400).select(F.col("id").alias("k"), F.lit(0.5).alias("p"))
+    got = rollups.pass_statistics(rows, "k", F.col("p"), 100).agg(F.avg("mean").alias("m"), F.avg("sd").alias("s"), F.max(F.abs(F.col("mean") - 0.5)).alias("off")).first()
+    assert abs(got["m"] - 0.5) < 1e-4 and abs(got["s"] - 0.005) < 1e-4 and got["off"] < 0.0025
+
+
+def test_analysis_in_one_row(spark):
+    from wardlight.operators import vitals
+
+    readings = [(1, "heart_rate", float(80 + i % 3), i) for i in range(20)] + [(1, "heart_rate", 200.0, 30), (1, "spo2_pulse_ox", 84.0, 31), (1, "bp_systolic", 85.0, 32)]
+    table = spark.createDataFrame([(p, k, v, s, f"2024-01-01 {s // 60:02d}:{s % 60:02d}:00") for p, k, v, s in readings], "patient_id long, parameter string, value double, seq long, t string").withColumn("time", F.to_timestamp_ntz("t"))
+    got = {r["patient_id"]: r for r in vitals.analyze(spark.createDataFrame([(1,), (2,)], "patient_id long"), table).collect()}
+    assert got[1]["priority"] == "CRITICAL" and got[1]["trend"] in ("worsening", "critical_change", "stable") and 0.001 < got[1]["uncertainty"] < 0.01
+    assert "heart_rate:critical" in got[1]["anomalies"] and len(got[1]["anomalies"]) <= 3
+    assert (got[2]["priority"], got[2]["alerts"], got[2]["uncertainty"], got[2]["news2"], got[2]["anomalies"], got[2]["trend"]) == ("LOW", "", 1.0, None, [], None)

@@ -55,6 +55,14 @@ def sofa(vitals: Mapping[str, Column], gfr: Column | None = None) -> Column:
     return out
 
 
+def sofa_agents(vitals: Mapping[str, Column], drugs: Column, by_map: bool = False) -> Column:
+    """The variants of the agents: from saturation, pressure (systolic under 90, or mean under 70 with ``by_map``) and whether a drug of the list (array of names) raises the pressure."""
+    spo2 = F.coalesce(vitals["spo2_pulse_ox"], F.lit(98.0))
+    pressure = F.when(vitals["bp_mean"] < 70, 1) if by_map else F.when(vitals["bp_systolic"] < 90, 2)
+    raised = F.exists(drugs, lambda d: F.lower(d).rlike("|".join(rules.VASOPRESSORS)))
+    return F.when(spo2 < 90, 3).when(spo2 < 93, 2).when(spo2 < 96, 1).otherwise(0) + pressure.otherwise(0) + F.when(raised, 2).otherwise(0)
+
+
 def additive_risk(model: tuple, inputs: Mapping[str, Column]) -> Column:
     """base plus the first rule that holds in each group, kept in .01 to .99 and rounded to nine places, so that sums meet thresholds exactly."""
     base, groups = model

@@ -43,6 +43,44 @@ def lace(enc: DataFrame) -> DataFrame:
     )
 
 
+def _listed(*tests: tuple[Column, Column | str]) -> Column:
+    """The texts whose tests hold, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(m) if isinstance(m, str) else m) for t, m in tests]))
+
+
+def readmission_plan(scored: DataFrame) -> DataFrame:
+    """scored (``lace``) with risk_factors and interventions."""
+    ch, home = F.col("charlson"), F.col("disposition") == "home"
+    factors = _listed(
+        (F.col("prior_readmission"), "Prior readmission within 90 days"), (home & (ch >= 4), "Discharge to home with high comorbidity burden"), (F.col("age") >= 75, "Age ≥ 75"),
+        (ch >= 5, F.format_string("High comorbidity burden (Charlson=%d)", ch)), (F.col("ed_visits") >= 3, F.format_string("%d ED visits in past 6 months", "ed_visits")),
+    )
+    high, raised = F.col("risk") == "HIGH", F.col("risk").isin("HIGH", "MEDIUM")
+    steps = [*[(high, m) for m in rules.READMISSION_HIGH], *[(raised, m) for m in rules.READMISSION_RAISED], (home & (ch >= 3), rules.READMISSION_PLACEMENT), *[(F.col("prior_readmission"), m) for m in rules.READMISSION_PRIOR]]
+    return scored.withColumn("risk_factors", factors).withColumn("interventions", _listed(*steps))
+
+
+def risk_list(scored: DataFrame, threshold: float = 0.20) -> DataFrame:
+    """Stays whose readmission probability reaches the threshold, by risk."""
+    return scored.filter(F.col("probability") >= threshold).orderBy(F.desc("probability"), "encounter_id")
+
+
+def discharge_plan(predicted: DataFrame) -> DataFrame:
+    """predicted (``predict_los``, with pending and social, arrays of text) with barriers, each once, and interventions."""
+    kinds = F.transform("social", lambda x: F.when(F.lower(x).contains("transport"), "transport_needed").when(F.lower(x).rlike("home|snf"), "disposition_placement").when(F.lower(x).contains("family"), "family_meeting_needed"))
+    barriers = F.array_sort(F.array_distinct(F.concat(F.when(F.size("pending") > 0, F.array(F.lit("pending_lab_results"))).otherwise(F.expr("cast(array() as array<string>)")), F.array_compact(kinds))))
+    out = predicted.withColumn("barriers", F.coalesce(barriers, F.expr("cast(array() as array<string>)")))
+    huddle = F.format_string("Discharge planning team huddle: Patient predicted to exceed benchmark LOS by %.1f days ($%s excess cost)", "excess", F.format_number("excess_cost", 0))
+    steps = [(F.array_contains("barriers", k), m) for k, m in rules.BARRIER_STEPS.items()]
+    return out.withColumn("interventions", _listed(*steps, (F.round("excess", 9) > 1, huddle)))
+
+
+def stay_days(enc: DataFrame) -> DataFrame:
+    """enc (admission, discharge; texts or times) with days between them; null where one is missing, unreadable or the end comes first."""
+    begin, end = (F.unix_timestamp(F.col(c).cast("string").try_cast("timestamp")) for c in ("admission", "discharge"))
+    return enc.withColumn("days", F.when(end >= begin, (end - begin) / 86400.0))
+
+
 def readmissions(enc: DataFrame, days: int = 30) -> DataFrame:
     """Whether the patient's next stay begins within days of discharge; a stay that overlaps it is no readmission."""
     w = Window.partitionBy("patient_id").orderBy("admission", "encounter_id")

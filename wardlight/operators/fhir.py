@@ -212,6 +212,17 @@ def deidentify_patient(patients: DataFrame, salt: bytes, patient_col: str = "pat
     return patients.withColumn("deidentified", made)
 
 
+def code_registry() -> Column:
+    """The registry as a map from code to parameter and category."""
+    return F.create_map(*[x for k, (code, _) in rules.LOINC.items() for x in (F.lit(code), F.struct(F.lit(k).alias("parameter"), F.lit("vital-signs" if k in rules.VITAL_SIGNS else "laboratory").alias("category")))])
+
+
+def with_parameter(coded: DataFrame, code: str = "code") -> DataFrame:
+    """coded with parameter and category out of its code; null for codes that the registry lacks."""
+    found = F.try_element_at(code_registry(), F.col(code))
+    return coded.withColumn("parameter", found["parameter"]).withColumn("category", found["category"])
+
+
 def registry_gaps(registry: DataFrame) -> DataFrame:
     """registry (parameter, code, display, unit) with issues and complete: a missing code or display counts, a missing unit is only named."""
     issues = _errors([(_given(c).isNull(), f"missing {c}") for c in ("code", "display", "unit")])

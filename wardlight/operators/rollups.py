@@ -42,9 +42,10 @@ def ward_counts(board: DataFrame, ward: Column) -> DataFrame:
 
 
 def pass_statistics(rows: DataFrame, key: str, value: Column, passes: int = 20, spread: float = 0.005, seed: int = 42) -> DataFrame:
-    """Mean and deviation of a value over noisy passes. The noise of a pass is uniform with the given deviation and depends on key and pass only."""
-    unit = F.pmod(F.xxhash64(F.col(key), F.col("pass"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    noisy = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("__v") + (unit - 0.5) * (12**0.5) * spread))
+    """Mean and deviation of a value over noisy passes. The noise of a pass is Gaussian with the given deviation (two uniform numbers by Box and Muller) and depends on key and pass only."""
+    uniform = lambda s: (F.pmod(F.xxhash64(F.col(key), F.col("pass"), F.lit(s)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    noise = F.sqrt(-2 * F.log(uniform(seed))) * F.cos(2 * F.pi() * uniform(seed + 1)) * spread
+    noisy = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("__v") + noise))
     many = rows.select(key, value.alias("__v")).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).withColumn("x", noisy)
     return many.groupBy(key).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count(F.lit(1)).alias("passes"))
 

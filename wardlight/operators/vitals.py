@@ -153,6 +153,17 @@ def latest_within(rows: DataFrame, key: list[str], value: str, ttl_seconds: int,
     return live.groupBy(*key).agg(F.max_by(value, F.struct("time", "seq")).alias(value), F.max("time").alias("time"))
 
 
+def recent_clean(vitals: DataFrame, as_of: str, hours: int = 2) -> DataFrame:
+    """The last reading of each patient and parameter that is clean and no older than ``hours`` at as_of."""
+    return latest(in_range(artifact_filter(vitals), as_of, hours))
+
+
+def trend_readings(vitals: DataFrame, share: float = 0.15) -> DataFrame:
+    """Readings with is_anomaly: more than a share off the mean of their patient and parameter."""
+    base = F.avg("value").over(Window.partitionBy("patient_id", "parameter"))
+    return vitals.withColumn("base", base).withColumn("is_anomaly", F.coalesce(F.abs(F.col("value") - F.col("base")) > share * F.abs("base"), F.lit(False)))
+
+
 def trend_by_order(rows: DataFrame, order: str) -> DataFrame:
     """First against last third of each patient's readings in the order given, without sorting by time: worse by 3, better by 2."""
     n, at = F.count(F.lit(1)).over(Window.partitionBy("patient_id")), F.row_number().over(Window.partitionBy("patient_id").orderBy(order))
@@ -171,11 +182,21 @@ def valid_inputs(readings: DataFrame) -> DataFrame:
     return readings.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & F.col("parameter").isin(known))
 
 
-def analyze(patients: DataFrame, vitals: DataFrame) -> DataFrame:
-    """patients (patient_id) with alerts, priority and uncertainty; who has no readings has none, LOW and 1."""
-    found = alerts(vitals).select("patient_id", "alerts", "priority")
-    rows = patients.join(found, "patient_id", "left")
-    return rows.select("patient_id", F.coalesce("alerts", F.lit("")).alias("alerts"), F.coalesce("priority", F.lit("LOW")).alias("priority"), F.when(F.col("priority").isNull(), 1.0).otherwise(0.1).alias("uncertainty"))
+def analyze(patients: DataFrame, vitals: DataFrame, passes: int = 20) -> DataFrame:
+    """patients (patient_id) analysed, one row each: scores, risks with their deviations over noisy passes, anomalies (parameter and severity), trend, alerts and priority.
+
+    Who has no readings has no scores, no alerts, the priority LOW and an uncertainty of 1.
+    """
+    from wardlight.operators.rollups import pass_statistics
+
+    risks = deterioration(vitals)
+    spread = lambda c: pass_statistics(risks, "patient_id", F.col(c), passes, seed=len(c)).select("patient_id", F.round("sd", 4).alias(f"{c}_uncertainty"))
+    odd = anomalies(vitals).groupBy("patient_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "parameter", "severity"))).alias("anomalies"))  # one a parameter at most
+    rows = alerts(vitals).select("patient_id", "alerts", "priority").join(with_scores(latest_wide(vitals)).select("patient_id", "news2", "mews", "sofa"), "patient_id")
+    rows = rows.join(risks.select("patient_id", "deterioration", "sepsis", "mortality"), "patient_id").join(spread("deterioration"), "patient_id").join(spread("sepsis"), "patient_id")
+    rows = rows.join(odd, "patient_id", "left").join(trend(vitals).select("patient_id", "trend"), "patient_id", "left")
+    rows = patients.join(rows, "patient_id", "left").withColumn("trend", F.when(F.col("priority").isNotNull(), F.coalesce("trend", F.lit("stable"))))
+    return rows.withColumn("anomalies", F.coalesce("anomalies", F.expr("cast(array() as array<string>)"))).withColumn("alerts", F.coalesce("alerts", F.lit(""))).withColumn("uncertainty", F.when(F.col("priority").isNull(), 1.0).otherwise(F.col("deterioration_uncertainty"))).withColumn("priority", F.coalesce("priority", F.lit("LOW")))
 
 
 def ward_board(vitals: DataFrame) -> DataFrame:

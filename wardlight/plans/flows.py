@@ -6,10 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from wardlight.functions import rules
-from wardlight.operators import breakers, governance, models, vitals
+from wardlight.functions import rules, scores
+from wardlight.operators import breakers, business, governance, models, vitals
 from wardlight.plans import records, reports
-from wardlight.plans.catalog import _ENGINE, _INPUTS, _MODEL, MENTIONS, ORACLES, SALT, query
+from wardlight.plans.catalog import _BETWEEN, _ENGINE, _INPUTS, _MODEL, _WIDE, MENTIONS, ORACLES, SALT, query
 from wardlight.sources import fixtures as fx
 from wardlight.sources import folders, hl7, shared
 from wardlight.streaming import baselines, ledger, retries, stateful
@@ -210,3 +210,73 @@ _ORGAN, _SYMPTOM = (f"""SELECT document_id, '{label}' AS label, {c}::DOUBLE AS c
 def note_entities(spark, sf_dir):
     """Entities of the rules and of a model: of overlapping ones the surest stays."""
     return models.entities(fx.notes(spark, sf_dir), Marker()).select("document_id", "label", "confidence", "start", "end")
+
+
+# ---- plans of stays, variants of scores, recent readings -------------------------------------------------------
+_LACE = ORACLES["lace_readmission"]
+
+
+def _plan_sql(*tests: tuple[str, str]) -> str:
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {t} THEN {m} END" for t, m in tests) + ")"
+
+
+_STEPS = [*[("risk = 'HIGH'", records._q(m)) for m in rules.READMISSION_HIGH], *[("risk <> 'LOW'", records._q(m)) for m in rules.READMISSION_RAISED], ("disposition = 'home' AND charlson >= 3", records._q(rules.READMISSION_PLACEMENT)), *[("prior_readmission", records._q(m)) for m in rules.READMISSION_PRIOR]]
+_FACTORS = [
+    ("prior_readmission", "'Prior readmission within 90 days'"), ("disposition = 'home' AND charlson >= 4", "'Discharge to home with high comorbidity burden'"), ("age >= 75", "'Age ≥ 75'"),
+    ("charlson >= 5", "'High comorbidity burden (Charlson=' || charlson || ')'"), ("ed_visits >= 3", "ed_visits || ' ED visits in past 6 months'"),
+]
+
+
+@query(f"SELECT encounter_id, {_plan_sql(*_FACTORS)} AS risk_factors, {_plan_sql(*_STEPS)} AS interventions FROM encounters JOIN (SELECT encounter_id, risk FROM ({_LACE})) USING (encounter_id)", "encounters")
+def readmission_plan(spark, sf_dir):
+    """Risk factors and interventions of every stay."""
+    out = business.readmission_plan(business.lace(fx.encounters(spark, sf_dir)))
+    return out.select("encounter_id", F.array_join("risk_factors", "; ").alias("risk_factors"), F.array_join("interventions", "; ").alias("interventions"))
+
+
+@query(f"SELECT encounter_id, round(probability, 6) AS probability, risk FROM ({_LACE}) WHERE probability >= 0.2")
+def readmission_risk_list(spark, sf_dir):
+    """Stays at or over a threshold of readmission."""
+    return business.risk_list(business.lace(fx.encounters(spark, sf_dir)).withColumn("probability", F.round("probability", 6))).select("encounter_id", "probability", "risk")
+
+
+_SOCIAL = ["Transport to be arranged", "SNF bed, home not safe", "Family out of town", "Insurance"]
+
+
+@query(f"""WITH p AS ({ORACLES["los_predict"]}), e AS (SELECT encounter_id, n_pending, n_social FROM encounters), b AS (SELECT *, concat_ws(',', CASE WHEN n_social > 1 THEN 'disposition_placement' END, CASE WHEN n_pending > 0 THEN 'pending_lab_results' END, CASE WHEN n_social > 0 THEN 'transport_needed' END) AS k FROM p JOIN e USING (encounter_id))
+    SELECT encounter_id, CASE WHEN n_social > 2 THEN replace(replace('disposition_placement,family_meeting_needed' || CASE WHEN n_pending > 0 THEN ',pending_lab_results' ELSE '' END || ',transport_needed', ',,', ','), ' ', '') ELSE k END AS barriers,
+    (n_pending > 0)::INT + (n_social > 1)::INT + (n_social > 0)::INT + (excess > 1)::INT AS steps FROM b""".replace("WITH p", "p", 1), "encounters")
+def discharge_plan(spark, sf_dir):
+    """Barriers to the discharge of every stay and how many steps they ask for."""
+    enc = fx.encounters(spark, sf_dir)
+    listed = enc.withColumn("pending", F.array_repeat(F.lit("lab"), F.col("n_pending"))).withColumn("social", F.slice(F.array(*map(F.lit, _SOCIAL)), F.lit(1), F.col("n_social")))
+    out = business.discharge_plan(business.predict_los(listed))
+    return out.select("encounter_id", F.array_join("barriers", ",").alias("barriers"), F.size("interventions").alias("steps"))
+
+
+_DRUG = ["aspirin", "Norepinephrine 4mcg", "none", "DOPamine drip"]
+_SPO2 = "CASE WHEN coalesce(spo2_pulse_ox, 98) < 90 THEN 3 WHEN coalesce(spo2_pulse_ox, 98) < 93 THEN 2 WHEN coalesce(spo2_pulse_ox, 98) < 96 THEN 1 ELSE 0 END + CASE WHEN patient_id % 4 IN (1, 3) THEN 2 ELSE 0 END"
+
+
+@query(f"""{_WIDE.format("vitals")} SELECT patient_id, {_SPO2} + CASE WHEN bp_systolic < 90 THEN 2 ELSE 0 END AS systolic, {_SPO2} + CASE WHEN bp_systolic - 40 < 70 THEN 1 ELSE 0 END AS mean FROM wide""", "vitals")
+def sofa_vasopressors(spark, sf_dir):
+    """The two variants of the agents: with drugs that raise the pressure, by systolic and by mean pressure."""
+    wide = vitals.latest_wide(fx.vitals(spark, sf_dir))
+    drugs = F.array(fx.pick(_DRUG, F.col("patient_id")))
+    v = {"spo2_pulse_ox": F.col("spo2_pulse_ox"), "bp_systolic": F.col("bp_systolic"), "bp_mean": F.col("bp_systolic") - 40}
+    return wide.select("patient_id", scores.sofa_agents(v, drugs).alias("systolic"), scores.sofa_agents(v, drugs, by_map=True).alias("mean"))
+
+
+_NOON = "2024-01-20 12:00:00"
+
+
+@query(f"SELECT patient_id, parameter, arg_max(value, (time, seq)) AS value FROM vitals WHERE ({_BETWEEN}) AND time > TIMESTAMP '{_NOON}' - INTERVAL 2 HOUR AND time <= TIMESTAMP '{_NOON}' GROUP BY ALL", "vitals")
+def recent_clean(spark, sf_dir):
+    """What a patient's chart shows at noon: the last clean reading of each parameter in two hours."""
+    return vitals.recent_clean(fx.vitals(spark, sf_dir), _NOON).select("patient_id", "parameter", "value")
+
+
+@query("SELECT seq, abs(value - base) > 0.15 * abs(base) AS is_anomaly FROM (SELECT *, avg(value) OVER (PARTITION BY patient_id, parameter) AS base FROM vitals)", "vitals")
+def trend_readings(spark, sf_dir):
+    """Readings more than 15 % off their patient's mean."""
+    return vitals.trend_readings(fx.vitals(spark, sf_dir)).select("seq", "is_anomaly")

@@ -130,11 +130,15 @@ def fhir_medication(spark, sf_dir):
     return n.select(k, "drug", F.get("request.medicationCodeableConcept.coding", F.lit(0))["code"].alias("code"), F.get("request.dosageInstruction", F.lit(0))["text"].alias("dosage"), F.col("request.subject.reference").alias("subject"), F.size("warnings").alias("warnings"), "quality")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {_q(c)}, {u is not None}::BOOLEAN, true)' for k, (c, u) in rules.LOINC.items())}) t(parameter, code, has_unit, complete)")
+@query(f"""SELECT seq, CASE WHEN seq % 9 = 0 THEN NULL ELSE v.parameter END AS parameter, CASE WHEN seq % 9 > 0 THEN 'vital-signs' END AS category, CASE WHEN seq % 9 = 0 THEN NULL ELSE has_unit END AS has_unit FROM vitals v
+    JOIN (VALUES {', '.join(f"({_q(k)}, {u is not None}::BOOLEAN)" for k, (c, u) in rules.LOINC.items())}) t(parameter, has_unit) USING (parameter)""", "vitals")
 def loinc_registry(spark, sf_dir):
-    """The code registry with its gaps; a missing unit is no gap."""
+    """Coded readings looked up in the registry by code, with what the registry lacks of them; codes that it does not know come out without."""
     rows = spark.createDataFrame([(k, c, k.replace("_", " "), u) for k, (c, u) in rules.LOINC.items()], "parameter string, code string, display string, unit string")
-    return fhir.registry_gaps(rows).select("parameter", "code", (~F.array_contains("issues", "missing unit")).alias("has_unit"), "complete")
+    gaps = fhir.registry_gaps(rows).filter("complete").select("parameter", (~F.array_contains("issues", "missing unit")).alias("has_unit"))
+    codes = F.create_map(*[x for k, (c, _) in rules.LOINC.items() for x in (F.lit(k), F.lit(c))])
+    coded = fx.vitals(spark, sf_dir).select("seq", F.when(F.col("seq") % 9 == 0, "0000-0").otherwise(F.element_at(codes, F.col("parameter"))).alias("code"))
+    return fhir.with_parameter(coded).join(gaps, "parameter", "left").select("seq", "parameter", "category", "has_unit")
 
 
 @query("""SELECT patient_id, ((patient_id % 11 <> 0)::INT + (patient_id % 17 <> 0)::INT + 1 + (patient_id % 6 <> 5)::INT) / 4.0::DOUBLE AS completeness FROM patients""", "patients")

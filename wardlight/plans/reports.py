@@ -97,13 +97,12 @@ def validated_accuracy(spark, sf_dir):
     return monitoring.validated_accuracy(catalog.outcome_link(spark, sf_dir), ["output_type"]).select("output_type", "n", "right", *_r("accuracy"))
 
 
-@query("SELECT parameter, value FROM vitals WHERE seq % 97 = 1 OR parameter = 'heart_rate' AND seq % 5 = 2".replace("WHERE", "WHERE isfinite(value) AND (") + ")", "vitals")
+@query("SELECT seq, parameter, value FROM vitals WHERE seq % 7 > 1 AND seq % 11 > 0", "vitals")
 def valid_inputs(spark, sf_dir):
-    """Readings a caller may send: finite values of known parameters."""
-    v = fx.vitals(spark, sf_dir)
-    some = v.filter((F.col("seq") % 97 == 1) | ((F.col("parameter") == "heart_rate") & (F.col("seq") % 5 == 2)))
-    noise = some.select("parameter", F.lit(float("nan")).alias("value")).unionByName(some.select(F.lit("mood").alias("parameter"), "value"))
-    return vitals.valid_inputs(some.select("parameter", "value").unionByName(noise))
+    """All readings as callers send them, some without a number and some of unknown parameters: the valid ones."""
+    k, value = F.col("seq"), F.col("value")
+    sent = F.when(k % 7 == 0, float("nan")).when(k % 7 == 1, F.when(k % 2 == 0, float("inf"))).otherwise(value)
+    return vitals.valid_inputs(fx.vitals(spark, sf_dir).select(k, F.when(k % 11 == 0, "mood").otherwise(F.col("parameter")).alias("parameter"), sent.alias("value")))
 
 
 _API = " OR ".join(f"(parameter = '{p}' AND value BETWEEN {a} AND {b})" for p, (a, b) in rules.ARTIFACT_LIMITS["api"].items())
@@ -182,12 +181,16 @@ def risk_factors(spark, sf_dir):
     return rows.select("patient_id", F.array_join(agents.risk_factors(), "; ").alias("factors"))
 
 
-@query(f"""SELECT a.patient_id, priority, alerts, CASE WHEN n IS NULL THEN 1.0 ELSE 0.1 END::DOUBLE AS uncertainty FROM {_sql_of("alerts")} a LEFT JOIN (SELECT patient_id, count(*) AS n FROM {_sql_of("latest_vitals")} GROUP BY patient_id) USING (patient_id) UNION ALL SELECT -1, 'LOW', '', 1.0::DOUBLE""")
+@query(f"""SELECT a.patient_id, priority, alerts, s.news2, s.mews, s.sofa, deterioration, sepsis, mortality, coalesce(t.trend, 'stable') AS trend, coalesce(o.anomalies, '') AS anomalies, true AS uncertain
+    FROM {_sql_of("alerts")} a JOIN (WITH {fx.views_of("vitals")}, {_WIDE.format("vitals")}, {_SCORED} SELECT patient_id, news2, mews, sofa FROM scored) s USING (patient_id) JOIN {_sql_of("deterioration_model")} USING (patient_id) LEFT JOIN {_sql_of("trend")} t USING (patient_id)
+    LEFT JOIN (SELECT patient_id, string_agg(parameter || ':' || severity, ',' ORDER BY parameter) AS anomalies FROM {_sql_of("anomalies")} GROUP BY patient_id) o USING (patient_id)
+    UNION ALL SELECT -1, 'LOW', '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', true""")
 def analyzed(spark, sf_dir):
-    """Alerts of all patients of a list; one without readings has no alert and full uncertainty."""
+    """Each patient and one without readings, analysed in one row; uncertain: the passes differ a little, or nothing is known."""
     v = fx.vitals(spark, sf_dir)
     everyone = v.select("patient_id").distinct().unionByName(spark.createDataFrame([(-1,)], "patient_id long"))
-    return vitals.analyze(everyone, v).select("patient_id", "priority", "alerts", "uncertainty")
+    rows = vitals.analyze(everyone, v)
+    return rows.select("patient_id", "priority", "alerts", "news2", "mews", "sofa", *_r("deterioration", "sepsis", "mortality"), "trend", F.array_join("anomalies", ",").alias("anomalies"), ((F.col("uncertainty") == 1) | F.col("uncertainty").between(0.001, 0.01) | F.col("deterioration").isin(0.01, 0.99)).alias("uncertain"))
 
 
 # ---- notes -----------------------------------------------------------------------------------------------------
@@ -287,11 +290,10 @@ def trend_input_order(spark, sf_dir):
     return vitals.trend_by_order(fx.vitals(spark, sf_dir), "seq")
 
 
-@query("SELECT encounter_id, (epoch(discharge::TIMESTAMP) - epoch(admission::TIMESTAMP)) / 86400.0::DOUBLE AS days FROM encounters WHERE los >= 3 AND icd10 = 'I50.9'", "encounters")
+@query("SELECT encounter_id, (epoch(discharge::TIMESTAMP) - epoch(admission::TIMESTAMP)) / 86400.0::DOUBLE AS days FROM encounters", "encounters")
 def stay_days(spark, sf_dir):
-    """Length of stay out of timestamps, for one diagnosis."""
-    e = fx.encounters(spark, sf_dir).filter((F.col("los") >= 3) & (F.col("icd10") == "I50.9"))
-    return e.select("encounter_id", ((F.unix_timestamp(F.to_timestamp("discharge")) - F.unix_timestamp(F.to_timestamp("admission"))) / 86400.0).alias("days"))
+    """Length of every stay out of its timestamps."""
+    return business.stay_days(fx.encounters(spark, sf_dir)).select("encounter_id", "days")
 
 
 @query(f"""{MENTIONS} SELECT document_id, string_agg(DISTINCT condition, ',' ORDER BY condition) AS active FROM mentioned WHERE NOT negated AND temporal = 'current' GROUP BY document_id""", "notes")

@@ -160,6 +160,11 @@ VIEWS: dict[str, str] = {
 }
 
 
+def views_of(*names: str) -> str:
+    """The named views as CTEs."""
+    return ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+
+
 def with_views(sql: str, *names: str) -> str:
     """sql, which starts with SELECT or with further CTEs ('x AS (...) SELECT ...'), after the named views."""
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
