@@ -515,6 +515,18 @@ def test_toxicity_sample_is_bounded(docs, monkeypatch):
         toxicity.train(full, labels.join(full.select("doc_id"), "doc_id", "left_semi"))
 
 
+def test_deep_nesting_is_read_in_one_pass():
+    """A hundred thousand open elements, and as many end tags without a start, are read in time that grows with the page."""
+    import time
+
+    n = 100_000
+    for page, blocks in (("<div>" * n + "</section>" * n, 0), ("<div>" * n + "deep" + "</div>" * n, 1), ("<p>a</section>" * n, n), ("<ul>" + "<li><p>a" * n, n)):
+        begin = time.process_time()
+        found = html_text.read_blocks(page)
+        assert len(found) == blocks and time.process_time() - begin < 15
+    assert [(b.text, b.element.tag, b.element.depth) for b in html_text.read_blocks("<ul><li><p>a<li>b</ul></li>c")] == [("a", "p", 3), ("b", "li", 2), ("c", "#page", 0)]
+
+
 def test_a_long_text_changes_no_other_score(spark, monkeypatch):
     """One text over the bound that comes first in the order of the sample is passed over; all others are learned from as without it."""
     rng = random.Random(4)

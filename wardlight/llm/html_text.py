@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from html import unescape
 
@@ -96,6 +96,7 @@ def read_blocks(html: str) -> list[Block]:
     parts: list[str] = []
     linked = links = 0
     end = 0
+    opened: Counter[str] = Counter()  # of the open elements, so an end tag without a start is passed over at once
 
     def flush() -> None:
         nonlocal linked
@@ -139,19 +140,23 @@ def read_blocks(html: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            up = at
-            while up and up.tag != tag:
-                up = up.parent
-            if up and up.parent:
-                at = up.parent
+            if opened[tag]:
+                while at.tag != tag:
+                    opened[at.tag] -= 1
+                    at = at.parent
+                opened[tag] -= 1
+                at = at.parent
             continue
         links = 0
         if tag in CLOSES_P and at.tag == "p":
+            opened["p"] -= 1
             at = at.parent
-        if tag == at.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option") and at.parent:
+        if tag == at.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+            opened[tag] -= 1
             at = at.parent
         if not m[4]:
             at = Element(tag, m[3], at)
+            opened[tag] += 1
     flush()
     return blocks
 
