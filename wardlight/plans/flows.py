@@ -58,7 +58,8 @@ def _tries(spark, sf_dir):
     last = records.agg(F.max("at").alias("at"))  # a tick a minute after the last record: what waits by then comes again
     tick = last.select(F.lit(None).cast("long").alias("record_id"), F.lit("tick").alias("source"), (F.col("at") + F.expr("INTERVAL 60 SECONDS")).alias("at"), F.lit(None).cast("string").alias("payload"))
     slices.frames.append(tick)
-    return stateful.run(spark, slices, lambda s: retries.retried(s, _attempt), end=True, spark__sql__streaming__stateStore__providerClass=retries.ROCKS)
+    few = str(min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # 64 buckets need no more
+    return stateful.run(spark, slices, lambda s: retries.retried(s, _attempt), end=True, spark__sql__streaming__stateStore__providerClass=retries.ROCKS, spark__sql__shuffle__partitions=few)
 
 
 @query(f"WITH {_TRIES} SELECT record_id, retry, at_sec AS sec, CASE WHEN works = n THEN 'ok' WHEN n = 3 THEN 'dead' ELSE 'failed' END AS outcome FROM r")
