@@ -73,11 +73,14 @@ def _sized_grams(word: Column) -> Column:
 
 
 def _most_frequent(counts: DataFrame, each: int) -> DataFrame:
-    """Of each (lang, size) the features of more than a count, the least one that at most ``each`` features exceed: no sort of all features, ties are kept or cut together."""
+    """Of each (lang, size) the features of more than a count, the least one that at most ``each`` features exceed: no sort of all features, ties are kept or cut together.
+
+    What is broadcast is a number for each language and length, MAX_LANGS * (LONGEST + 1) rows at most.
+    """
     hist = counts.groupBy("lang", "size", "n").count()
     above = F.sum("count").over(Window.partitionBy("lang", "size").orderBy(F.desc("n")))  # at most as many rows as there are different counts
     least = hist.withColumn("above", above).filter(F.col("above") <= each).groupBy("lang", "size").agg(F.min("n").alias("least"))
-    return counts.join(least, ["lang", "size"]).filter(F.col("n") >= F.col("least")).drop("least")
+    return counts.join(F.broadcast(least), ["lang", "size"]).filter(F.col("n") >= F.col("least")).drop("least")
 
 
 class Model:
