@@ -181,3 +181,14 @@ def test_analysis_in_one_row(spark):
     assert got[1]["priority"] == "CRITICAL" and got[1]["trend"] in ("worsening", "critical_change", "stable") and 0.001 < got[1]["uncertainty"] < 0.01
     assert "heart_rate:critical" in got[1]["anomalies"] and len(got[1]["anomalies"]) <= 3
     assert (got[2]["priority"], got[2]["alerts"], got[2]["uncertainty"], got[2]["news2"], got[2]["anomalies"], got[2]["trend"]) == ("LOW", "", 1.0, None, [], None)
+
+
+def test_the_months_report(spark):
+    from wardlight.operators import business
+
+    schema = "report_month string, hospital_id string, hospital_name string, high_risk_intervened long, hrrp_conditions_intervened long, avg_los_days double, benchmark_los_days double, interactions_flagged long, critical_acted_on long, acceptance_rate double"
+    r = business.financial_report(one(spark, schema, ("2024-01", "abcd", "St. X", 14, 10, 4.0, 4.5, 50, 9, 0.75))).first()
+    assert (r["readmissions_prevented"], r["penalty_avoided"], r["los_reduction_days"], r["los_savings"], r["adverse_events_prevented"], r["total_value"]) == (2, 26_000.0, 0.5, 150_000.0, 2, 206_000.0)
+    assert r["narrative"].startswith("In 2024-01, The system generated an estimated $206,000 in financial value for St. X.") and "75 % of recommendations" in r["narrative"]
+    empty = business.financial_report(one(spark, schema, ("2024-02", "a", "Y", *[None] * 7))).first()
+    assert empty["readmissions_prevented"] == 0 and empty["los_reduction_days"] == 0.3 and empty["narrative"]

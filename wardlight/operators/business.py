@@ -134,3 +134,28 @@ def core_measures(enc: DataFrame, orders: Column, as_of: Column) -> DataFrame:
     compliant = F.when(F.col("measure").startswith("VTE"), F.col("orders").rlike("heparin|enoxaparin|sequential compression"))
     left = (F.unix_timestamp(F.to_timestamp("admission")) + 86400 - F.unix_timestamp(as_of)) / 3600.0
     return rows.withColumn("compliant", compliant).withColumn("hours_left", left).withColumn("approaching", (left < 4) & ~F.coalesce(F.col("compliant"), F.lit(False)))
+
+
+def financial_report(months: DataFrame, system: str = "The system") -> DataFrame:
+    """months with what the month's work is worth and a text for the board.
+
+    months, one row a hospital and month: report_month, hospital_id, hospital_name, high_risk_intervened, hrrp_conditions_intervened, avg_los_days, benchmark_los_days, interactions_flagged,
+    critical_acted_on, acceptance_rate. A fifth of the interventions prevents a readmission (13,000 for each of a penalised condition), three of ten alerts that were acted on an adverse
+    event (15,000). The saving of shorter stays is the published estimate, whose number of beds is the length of the hospital's id. Nulls count as none, stays as 4.2 and 4.5 days, acceptance as 70 %.
+    """
+    of = lambda c, d: F.coalesce(F.col(c), F.lit(d))
+    prevented, events = F.floor(of("high_risk_intervened", 0) * 0.20).cast("long"), F.floor(of("critical_acted_on", 0) * 0.30).cast("long")
+    penalty = of("hrrp_conditions_intervened", 0) * 0.20 * 13_000
+    shorter = F.greatest(F.lit(0.0), of("benchmark_los_days", 4.5) - of("avg_los_days", 4.2))
+    saved = shorter * F.length("hospital_id") * rules.BED_DAY_COST * 30
+    out = months.withColumns({
+        "readmissions_prevented": prevented, "penalty_avoided": F.round(penalty, 0), "los_reduction_days": F.round(shorter, 2), "los_savings": F.round(saved, 0), "adverse_events_prevented": events,
+        "total_value": F.round(penalty + saved + events * 15_000, 0),
+    })
+    text = F.format_string(
+        "In %s, %s generated an estimated $%s in financial value for %s. Readmissions: %d high-risk patients received targeted discharge interventions, estimated penalty avoidance $%s. "
+        "Length of stay: %.1f days against a benchmark of %.1f, estimated value $%s. Drug safety: %d interaction alerts, %d acted on. Adoption: %.0f %% of recommendations accepted.",
+        "report_month", F.lit(system), F.format_number("total_value", 0), "hospital_name", prevented, F.format_number("penalty_avoided", 0), of("avg_los_days", 4.2), of("benchmark_los_days", 4.5),
+        F.format_number("los_savings", 0), of("interactions_flagged", 0), of("critical_acted_on", 0), of("acceptance_rate", 0.70) * 100,
+    )
+    return out.withColumn("narrative", text)
