@@ -18,7 +18,7 @@ def test_same_as_sql(name, spark, sf_dir, duck):
 
 
 def test_every_query_is_tested_or_listed():
-    assert set(catalog.QUERIES) - set(SQL) == {"note_negation", "name_similarity", "monte_carlo"}
+    assert set(catalog.QUERIES) - set(SQL) == {"name_similarity", "monte_carlo"}
 
 
 def test_hl7_edges(spark):
