@@ -16,7 +16,7 @@ _BIRTH, _WHEN, _ICD = ["1980-01-02", "1980-01", "02/01/1980", "1980"], ["2024-01
 
 def bundles(spark, sf_dir):
     """One bundle of six resources a customer, as JSON, with faults by the key's remainders; every thirteenth is no Bundle."""
-    c, k = fx.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = fx.spread(fx.table(spark, sf_dir, "customer")), F.col("c_custkey")
     q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     either = lambda t, a, b: F.when(t, F.lit(a)).otherwise(F.lit(b) if isinstance(b, str) else b)
     subject = q('"subject":{"reference":"Patient/p-', k, '"}')
@@ -159,7 +159,7 @@ def _outputs(spark, sf_dir):
     text = F.to_json(fields)
     text = F.when(k % 17 == 0, F.regexp_replace(text, '"data_gaps":\\[\\],', "")).otherwise(text)
     raw = F.when(k % 4 == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(k % 4 == 1, F.concat(F.lit("Here it is: "), text, F.lit(" Done."))).when(k % 13 == 0, F.substring(text, 1, 40)).otherwise(text)
-    return fx.table(spark, sf_dir, "events").select(k, F.col("user_id"), (k % 4).cast("int").alias("attempt"), raw.alias("raw"))
+    return fx.spread(fx.table(spark, sf_dir, "events")).select(k, F.col("user_id"), (k % 4).cast("int").alias("attempt"), raw.alias("raw"))
 
 
 _RISKS = fx._sql_pick(["LOW", "HIGH", "CRITICAL", "SOME"], "k")
