@@ -24,6 +24,8 @@ from wardlight.llm.textkernel import U64, Words, mix, text_chunks
 END, START = U64(0x0E4D0E4D0E4D0E4D), U64(0x57A257A257A257A2)
 #: Bytes of text of one chunk, and n-grams asked for in one bucket at most on average: they bound a task's memory, not what is counted.
 CHUNK_TEXT, BUCKET_GRAMS = 8 << 20, 1 << 20
+#: Requests of one chunk that go to Spark together.
+BATCH_ROWS = 4_096
 #: Octaves of context counts, bins a power of two, and bins of an estimate: at most OCTAVES * BINS**2 cells reach the driver.
 OCTAVES, FINE, BINS = 32, 4, 256
 
@@ -90,13 +92,12 @@ class Chunk:
         self.pairs, self.pair_codes = np.unique(mix(context * U64(0x9E3779B97F4A7C15) ^ mix(word, 21), 22), return_inverse=True)
 
     def requests(self, buckets: int):
-        """(bucket, kind, keys, training counts of the chunk) for kinds 1 and 2, keys in order; buckets are ranges of keys."""
+        """(kind, keys, training counts of the chunk, buckets asked, offset of each bucket's keys) for kinds 1 and 2, keys in order; buckets are ranges of keys."""
         for kind, keys, codes in ((1, self.vocab, self.codes), (2, self.pairs, self.pair_codes)):
             counts = np.bincount(codes, weights=self.train, minlength=len(keys)).astype(np.int64)
             bucket = (keys // U64((1 << 64) // buckets + 1)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for lo, hi in zip(first, [*first[1:], len(keys)]):
-                yield int(bucket[lo]), kind, keys[lo:hi], counts[lo:hi]
+            yield kind, keys, counts, bucket[first], np.append(first, len(keys))
 
     def counts(self, answers: pd.DataFrame, train_docs: int):
         """Counts of each token's bigram, context and word over the whole corpus."""
@@ -170,11 +171,17 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         for b in batches:
             for i in range(b.num_rows):
                 c = Chunk({"chunk": b.column("chunk")[i].as_py()} | {k: b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in LISTS})
-                for bucket, kind, keys, counts in c.requests(buckets):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([c.name]), pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), _list(_signed(keys), pa.int64()), _list(counts.astype(np.int32), pa.int32())],
-                        names=["chunk", "bucket", "kind", "keys", "counts"],
-                    )
+                for kind, keys, counts, asked, at in c.requests(buckets):
+                    for lo in range(0, len(asked), BATCH_ROWS):
+                        b_of, cut = asked[lo : lo + BATCH_ROWS], at[lo : lo + BATCH_ROWS + 1]
+                        k, n, offsets = keys[cut[0] : cut[-1]], counts[cut[0] : cut[-1]], pa.array(cut - cut[0], pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([c.name] * len(b_of)), pa.array(b_of, pa.int32()), pa.array(np.full(len(b_of), kind), pa.int32()),
+                                pa.ListArray.from_arrays(offsets, pa.array(_signed(k), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())),
+                            ],
+                            names=["chunk", "bucket", "kind", "keys", "counts"],
+                        )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
