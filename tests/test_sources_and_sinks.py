@@ -1,5 +1,6 @@
 """Folder sources, the exactly-once sink, baselines as stream state and the observed gateway."""
 
+import datetime as dt
 import json
 import os
 import random
@@ -195,3 +196,63 @@ def test_gateway_counts_what_it_writes(spark, sf_dir, tmp_path):
     rows = run.select("allowed", "deidentify", "payload").collect()
     assert all(r["payload"] is None for r in rows if not r["allowed"])
     assert all(('"family"' in r["payload"]) != r["deidentify"] for r in rows if r["payload"])
+
+
+# ---- channels, audit loads, data sets
+def test_messages_and_followers(spark, tmp_path):
+    from wardlight.streaming import channels, ledger
+
+    rows = [(1, 4, "heart_rate", 160.0, 1, "HEART_RATE_HIGH"), (1, None, "heart_rate", 70.0, 2, None), (None, 4, "heart_rate", 20.0, 3, "HEART_RATE_LOW"), (None, None, "heart_rate", 1.0, 4, "HEART_RATE_LOW")]
+    d = spark.createDataFrame(rows, "patient_id long, ward long, parameter string, value double, seq long, alert string").withColumn("time", F.lit(None).cast("timestamp_ntz"))
+    sent = channels.messages(d)
+    assert sorted((r["channel"], r["type"], r["seq"]) for r in sent.collect()) == [
+        ("alerts:patient:1", "vital_critical", 1), ("alerts:ward:4", "vital_critical", 1), ("alerts:ward:4", "vital_critical", 3), ("patient:1", "vital_reading", 1), ("patient:1", "vital_reading", 2),
+        ("ward:4", "vitals_update", 1), ("ward:4", "vitals_update", 3),
+    ]
+    book = ledger.Ledger(spark, f"file://{tmp_path}/channels", "c", channels.FOLDERS)
+    assert book.write(sent, 0) and not book.write(sent, 0)
+    got = channels.follow(book, sent.schema, "alerts:ward:4")
+    assert sorted(json.loads(r["payload"])["alert"] for r in got.collect()) == ["HEART_RATE_HIGH", "HEART_RATE_LOW"]
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "shard" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert channels.follow(book, sent.schema, "ward:9").count() == 0
+
+
+def test_audit_loads_side_by_side(spark, tmp_path):
+    """A load that loses its number looks again, so what the winner wrote is not repeated."""
+    from wardlight.sources import sinks
+    from wardlight.streaming import ledger
+
+    schema = "id long, day date, v string"
+    table = lambda *ids: spark.createDataFrame([(i, dt.date(2024, 1, 1 + i % 3) if i % 5 else None, "x") for i in ids], schema)
+    raced = []
+
+    class Raced(ledger.Ledger):
+        def write(self, rows, batch, before_commit=lambda n: None):
+            if not raced:
+                raced.append(sinks.append_once(table(2, 3, 5), ledger.Ledger(spark, self.path, self.stream, self.folders), ["id", "day"], "day"))
+            return super().write(rows, batch, before_commit)
+
+    book = Raced(spark, f"file://{tmp_path}/audit", "a", ["day"])
+    assert sinks.append_once(table(1, 2, 2, 5), book, ["id", "day"], "day") == 1 and raced == [0]
+    assert sinks.append_once(table(1, 4, 5, 10), book, ["id", "day"], "day") == 2
+    assert sorted(r["id"] for r in book.read(spark.createDataFrame([], schema).schema).collect()) == [1, 2, 3, 4, 5, 10]
+    with pytest.raises(ValueError):
+        sinks.append_once(table(1), book, ["id"], "day")
+
+
+def test_bundles_and_dataset(spark, tmp_path):
+    from wardlight.sources import sinks
+
+    p = spark.createDataFrame([(1, "ann"), (2, "bob")], "patient_id long, name string")
+    v = spark.createDataFrame([(1, dt.datetime(2024, 1, 1 + i // 5), i, "heart_rate", float(i)) for i in range(8)] + [(9, None, 99, None, None)], "patient_id long, time timestamp_ntz, seq long, parameter string, value double")
+    b = sinks.bundles(p, v, 2)
+    got = {(r["patient_id"], r["day"], r["page"], json.loads(r["entry"][0])["resourceType"]): [json.loads(e)["id"] for e in r["entry"]] for r in b.collect()}
+    one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    assert got == {
+        (1, None, 0, "Patient"): [1], (2, None, 0, "Patient"): [2], (1, one, 0, "Observation"): [0, 1], (1, one, 1, "Observation"): [2, 3], (1, one, 2, "Observation"): [4],
+        (1, two, 0, "Observation"): [5, 6], (1, two, 1, "Observation"): [7], (9, None, 0, "Observation"): [99],
+    }
+    out = sinks.dataset({"patients": p, "bundles": b, "none": p.limit(0)}, f"file://{tmp_path}/json")
+    assert {(r["name"], r["rows"]) for r in out.collect()} == {("patients", 2), ("bundles", 8), ("none", 0)}
+    assert spark.read.json(f"file://{tmp_path}/json/bundles").count() == 8

@@ -1,4 +1,4 @@
-"""Queries of breakers, retries, streamed baselines, message sources and exactly-once sinks, each with its SQL."""
+"""Queries of breakers, retries, streamed baselines, message sources, channels and exactly-once sinks, each with its SQL."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from wardlight.operators import breakers, business, governance, models, vitals
 from wardlight.plans import records, reports
 from wardlight.plans.catalog import _BETWEEN, _ENGINE, _INPUTS, _MODEL, _WIDE, MENTIONS, ORACLES, SALT, query
 from wardlight.sources import fixtures as fx
-from wardlight.sources import folders, hl7, shared
-from wardlight.streaming import baselines, ledger, retries, stateful
+from wardlight.sources import folders, hl7, shared, sinks
+from wardlight.streaming import baselines, channels, ledger, retries, stateful
 
 # ---- breakers --------------------------------------------------------------------------------------------------
 #: One call after the other, by recursion: the failures that count and since when the breaker is open.
@@ -115,6 +115,47 @@ def sink_exactly_once(spark, sf_dir):
     return book.read(events.schema).select(*events.columns)
 
 
+# ---- channels, audit loads, data sets --------------------------------------------------------------------------
+@query(f"""r AS (SELECT f.seq, alert, patient_id, CASE WHEN patient_id % 11 > 0 THEN patient_id % 4 END AS ward FROM ({ORACLES["critical_flags"]}) f JOIN vitals USING (seq)),
+    m AS (SELECT seq, 'ward:' || ward AS channel, 'vitals_update' AS type, NULL AS alert FROM r UNION ALL SELECT seq, 'patient:' || patient_id, 'vital_reading', NULL FROM r UNION ALL SELECT seq, 'alerts:ward:' || ward, 'vital_critical', alert FROM r WHERE alert IS NOT NULL
+    UNION ALL SELECT seq, 'alerts:patient:' || patient_id, 'vital_critical', alert FROM r WHERE alert IS NOT NULL) SELECT channel, type, count(*) AS messages, count(alert) AS alerts, max(seq) AS last_seq FROM m WHERE channel IS NOT NULL GROUP BY ALL""", "vitals")
+def ward_channels(spark, sf_dir):
+    """All readings as messages of their channels, written once each by a stream; every eleventh patient has no ward."""
+    work = shared.Workspace(spark, "channels")
+    book = ledger.Ledger(spark, work.path("table"), "channels", channels.FOLDERS)
+    p = F.col("patient_id")
+    readings = vitals.critical_flags(fx.vitals(spark, sf_dir)).select(p, F.when(p % 11 > 0, p % 4).alias("ward"), "parameter", "value", "time", "seq", "alert")
+    readings.repartition(6).write.parquet(work.path("in"))
+    source = spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 3).parquet(work.path("in"))
+    sent = channels.messages(source)
+    running = ledger.start(sent, book, work.path("state"))
+    running.processAllAvailable()
+    running.stop()
+    got = book.read(sent.schema)
+    alert = F.when(F.col("kind") == "alerts", F.get_json_object("payload", "$.alert"))
+    return got.groupBy("channel", "type").agg(F.count(F.lit(1)).alias("messages"), F.count(alert).alias("alerts"), F.max("seq").alias("last_seq"))
+
+
+@query("""SELECT resource_id, actor_id, department, "at"::DATE AS day, outcome FROM audit_burst""", "audit_burst")
+def audit_loads(spark, sf_dir):
+    """All accesses by three loads that overlap: each access is in the table once."""
+    work = shared.Workspace(spark, "audit")
+    book = ledger.Ledger(spark, work.path("table"), "audit", ["day"])
+    rows = fx.audit_burst(spark, sf_dir).select("resource_id", "actor_id", "department", F.to_date("at").alias("day"), "outcome")
+    for i in range(3):
+        sinks.append_once(rows.filter(F.col("resource_id") % 3 != i), book, ["resource_id", "day"], "day")
+    return book.read(rows.schema).select(*rows.columns)
+
+
+@query("""b AS (SELECT patient_id, time::DATE AS day, ceil(count(*) / 100.0)::BIGINT AS pages FROM vitals GROUP BY ALL) SELECT 'patients' AS name, count(*) AS rows FROM patients UNION ALL SELECT 'vitals', count(*) FROM vitals
+    UNION ALL SELECT 'fhir_bundles', ((SELECT count(*) FROM patients) + sum(pages))::BIGINT FROM b""", "patients vitals")
+def json_dataset(spark, sf_dir):
+    """Patients, readings and their bundles as JSON files, with the summary that was counted while they were written."""
+    work = shared.Workspace(spark, "dataset")
+    p, v = fx.patients(spark, sf_dir), fx.vitals(spark, sf_dir)
+    return sinks.dataset({"patients": p, "vitals": v, "fhir_bundles": sinks.bundles(p, v)}, work.path("json"))
+
+
 # ---- baselines in the stream -----------------------------------------------------------------------------------
 def _judged(spark, sf_dir):
     readings = vitals.artifact_filter(fx.vitals(spark, sf_dir), "engine")

@@ -20,8 +20,9 @@ from wardlight.sources import shared
 class Ledger:
     """The table under a folder: ``entries/<stream>-<batch>`` are its committed batches, ``open`` holds what is being written."""
 
-    def __init__(self, spark: SparkSession, path: str, stream: str):
-        self.spark, self.path, self.stream = spark, path.rstrip("/"), stream
+    def __init__(self, spark: SparkSession, path: str, stream: str, folders: list[str] | None = None):
+        """``folders``: columns of few values by which the rows of a batch are laid out, so that readers skip the others."""
+        self.spark, self.path, self.stream, self.folders = spark, path.rstrip("/"), stream, folders or []
 
     def _entry(self, batch: int) -> str:
         return f"{self.path}/entries/stream={self.stream}/batch={batch:012d}"
@@ -34,7 +35,7 @@ class Ledger:
         if shared.exists(self.spark, self._entry(batch)):
             return False
         opened = f"{self.path}/open/{self.stream}-{batch}-{uuid.uuid4().hex[:12]}"
-        rows.write.parquet(opened)
+        rows.write.partitionBy(*self.folders).parquet(opened)
         before_commit(batch)
         if shared.rename(self.spark, opened, self._entry(batch)):
             return True
