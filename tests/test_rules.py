@@ -192,3 +192,14 @@ def test_the_months_report(spark):
     assert r["narrative"].startswith("In 2024-01, The system generated an estimated $206,000 in financial value for St. X.") and "75 % of recommendations" in r["narrative"]
     empty = business.financial_report(one(spark, schema, ("2024-02", "a", "Y", *[None] * 7))).first()
     assert empty["readmissions_prevented"] == 0 and empty["los_reduction_days"] == 0.3 and empty["narrative"]
+
+
+def test_a_pair_is_met_once_and_not_moved(spark):
+    """Two records that share all keys meet at the first alone, so no pair is searched for repeats; nulls share nothing."""
+    from wardlight.operators import identity
+
+    rows = [(1, "1111", "M1", "1950-01-01", "smith"), (2, "1111", "M1", "1950-01-01", "smyth"), (3, None, "M1", "1950-01-01", "smiles"), (4, None, None, None, None), (5, None, None, "1950-01-01", "smit"), (6, "1111", None, None, None)]
+    people = spark.createDataFrame(rows, "patient_id long, ssn4 string, mrn string, dob string, last_name string")
+    pairs = identity.blocked_pairs(people, people)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 3), (1, 5), (1, 6), (2, 3), (2, 6), (3, 5)]
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()

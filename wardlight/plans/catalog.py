@@ -11,6 +11,7 @@ from wardlight.functions import privacy, rules, scores
 from wardlight.operators import agents, business, governance, identity, medication, monitoring, notes, vitals
 from wardlight.sources import fixtures as fx
 from wardlight.sources import hl7
+from wardlight.sources.shared import Workspace
 from wardlight.streaming import vitals as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,14 +656,10 @@ def context_budget(spark, sf_dir):
 _BLOCK = """b AS (SELECT a.patient_id AS id_a, c.patient_id AS id_b FROM patients a JOIN patients c ON a.patient_id < c.patient_id AND (a.ssn4 = c.ssn4 OR a.mrn = c.mrn OR (a.dob = c.dob AND substr(a.last_name, 1, 3) = substr(c.last_name, 1, 3))))"""
 
 
-def _blocks(spark, sf_dir):
-    p = fx.patients(spark, sf_dir)
-    return p, identity.blocked_pairs(p, p)
-
-
 @query(f"{_BLOCK} SELECT id_a, id_b FROM b", "patients")
 def mpi_blocking(spark, sf_dir):
-    return _blocks(spark, sf_dir)[1]
+    p = fx.patients(spark, sf_dir)
+    return identity.blocked_pairs(p, p)
 
 
 _MATCH = " + ".join(f"CASE WHEN x.{c} = y.{c} THEN {w}::DOUBLE ELSE 0 END" for c, w in identity.WEIGHTS.items())
@@ -672,8 +669,8 @@ d AS (SELECT id_a, id_b, conflicts, blocked, round(CASE WHEN conflicts >= 2 THEN
 
 @query(f"{_MPI} SELECT id_a, id_b, score, conflicts, decision FROM m", "patients")
 def mpi_score(spark, sf_dir):
-    p, pairs = _blocks(spark, sf_dir)
-    return identity.score_pairs(pairs, p).select("id_a", "id_b", F.round("score", 6).alias("score"), "conflicts", "decision")
+    p = fx.patients(spark, sf_dir)
+    return identity.score_rows(identity.met_rows(p, p, list(identity.WEIGHTS))).select("id_a", "id_b", F.round("score", 6).alias("score"), "conflicts", "decision")
 
 
 @query(f"{_MPI} SELECT decision, count(*) AS pairs FROM m GROUP BY decision", "patients")
@@ -684,9 +681,7 @@ def mpi_stats(spark, sf_dir):
 @query()
 def name_similarity(spark, sf_dir):
     p = fx.patients(spark, sf_dir)
-    pairs = identity.blocked_pairs(p, p)
-    a, b = (p.select(F.col("patient_id").alias(i), F.col("last_name").alias(n)) for i, n in (("id_a", "a"), ("id_b", "b")))
-    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.round(identity.name_similarity("a", "b"), 4).alias("similarity"))
+    return identity.named_pairs(p, p, Workspace(spark, "names")).select("id_a", "id_b", F.round("similarity", 4).alias("similarity"))
 
 
 # ---- monitoring ------------------------------------------------------------------------------------------------
