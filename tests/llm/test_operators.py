@@ -633,3 +633,27 @@ def test_top_k_prunes_clusters(spark):
     assert got == want
     print("share of pairs scored:", scored.value / (40 * 4_000))
     assert scored.value < 0.5 * 40 * 4_000
+
+
+def test_long_rows_come_few_at_a_time(spark, tmp_path):
+    """Rows of a megabyte reach a Python worker, and lie in row groups, by bytes and not by thousands."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from wardlight.llm import lm_score
+    from wardlight.llm.scratch import Scratch
+
+    scratch = Scratch(spark, "few")
+    rows = spark.range(0, 40, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(131_072)), lambda i: F.xxhash64(F.col("id"), i)).alias("v"))
+    table = scratch.save(rows, "rows", row_group=lm_score.BATCH_BYTES)
+    files = glob.glob(f"{scratch.root.removeprefix('file://')}/rows/*.parquet")
+    assert max(pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).num_row_groups)) <= 17
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    with scratch.settings(**lm_score.BOUNDED):
+        got = scratch.save(table.coalesce(1).mapInArrow(sizes, "n long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 40 and max(r["n"] for r in got) <= 17

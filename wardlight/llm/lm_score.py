@@ -26,6 +26,9 @@ END, START = U64(0x0E4D0E4D0E4D0E4D), U64(0x57A257A257A257A2)
 CHUNK_TEXT, BUCKET_GRAMS = 8 << 20, 1 << 20
 #: Requests of one chunk that go to Spark together.
 BATCH_ROWS = 4_096
+#: Bytes of chunks or texts that a Python worker gets at once, and that Spark decodes at once: a row of chunks has megabytes, so rows must not be counted. One chunk may be longer.
+BATCH_BYTES = 16 << 20
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 #: Octaves of context counts, bins a power of two, and bins of an estimate: at most OCTAVES * BINS**2 cells reach the driver.
 OCTAVES, FINE, BINS = 32, 4, 256
 
@@ -161,7 +164,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    chunks = scratch.save(rows.mapInArrow(_chunks, CHUNKS), "chunks")
+    with scratch.settings(**BOUNDED):
+        chunks = scratch.save(rows.mapInArrow(_chunks, CHUNKS), "chunks", row_group=BATCH_BYTES)
     zero = F.lit(0).cast("long")
     total = chunks.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("n_tokens", "n_train", "n_train_docs"))).first()
     n_train, train_docs = int(total["n_train"]), int(total["n_train_docs"])
@@ -195,7 +199,8 @@ def score_corpus(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "counts", "distinct"])
 
     asked = chunks.mapInArrow(ask, "chunk string, bucket int, kind int, keys array<long>, counts array<int>")
-    answers = scratch.save(asked.groupBy("bucket").applyInPandas(answer, "chunk string, bucket int, kind int, counts array<long>, distinct long"), "answers")
+    with scratch.settings(**BOUNDED):
+        answers = scratch.save(asked.groupBy("bucket").applyInPandas(answer, "chunk string, bucket int, kind int, counts array<long>, distinct long"), "answers", row_group=BATCH_BYTES)
     n_vocab = int(answers.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), zero)).first()[0])
 
     def bins(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -47,7 +47,7 @@ class Scratch:
         atexit.register(self.close)
 
     @contextlib.contextmanager
-    def _settings(self, **on: str):
+    def settings(self, **on: str):
         before = {k: self.spark.conf.get(k) for k in on}
         try:
             for k, v in on.items():
@@ -57,21 +57,23 @@ class Scratch:
             for k, v in before.items():
                 self.spark.conf.set(k, v)
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, files: int | None = None) -> DataFrame:
-        """df as a table; ``files`` (made from counted rows) keeps small tables from being written as very many files."""
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, files: int | None = None, row_group: int | None = None) -> DataFrame:
+        """df as a table; ``files`` (made from counted rows) keeps small tables from being written as very many files, ``row_group`` bounds the bytes of long rows that are read at once."""
         if files:
             df = df.coalesce(files)
         writer = df.write.mode("overwrite").option("compression", "zstd")
+        if row_group:
+            writer = writer.option("parquet.block.size", row_group).option("parquet.page.size.row.check.min", 1)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        with self._settings(**{CLEAN_UP: "true", UNION: "false"}):  # what is written needs its shuffles no more
+        with self.settings(**{CLEAN_UP: "true", UNION: "false"}):  # what is written needs its shuffles no more
             writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def save_sorted(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> None:
         """A table named ``name``, bucketed and sorted by the keys: joins and aggregates by them need no exchange of it, nor a sort."""
         writer = df.write.mode("overwrite").format("parquet").option("path", f"{self.root}/{name}").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
-        with self._settings(**{CLEAN_UP: "true", SORTED: "true", UNION: "false"}):
+        with self.settings(**{CLEAN_UP: "true", SORTED: "true", UNION: "false"}):
             writer.saveAsTable(name)
         self.tables.append(name)
 
