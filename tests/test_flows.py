@@ -147,3 +147,45 @@ def test_outputs_of_odd_shapes(spark):
     assert got["list"]["errors"] == got["none"]["errors"] == ["unreadable"] and got["list"]["output"] is None
     assert got["bad item"]["errors"] == ["GUARDRAIL: differential[0] has no supporting_evidence", "differential[0] invalid probability_rank", "differential[1] missing condition", "GUARDRAIL: differential[1] has no supporting_evidence", "differential[1] invalid probability_rank"]
     assert len(got["one"]["errors"]) == 8 and got["one"]["output"]["human_review_required"] and got["one"]["output"]["human_review_reason"] == "HIGH risk: physician review required"
+
+
+def test_shared_states(spark):
+    """Patients share states and keep their own sessions; a second of many accesses is one count."""
+    import datetime as dt
+
+    from wardlight.streaming import stateful
+
+    day = lambda d, s=0: dt.datetime(2024, 1, d) + dt.timedelta(seconds=s)
+    readings = [(p, day(1 + i // 2, 60 * p), 10 * i + (p or 0)) for p in range(4) for i in range(6) if (p, i // 2) != (2, 1)] + [(None, day(1), 900), (None, day(3, 86_400), 901)]
+    readings = [(p, t, 1_000 * (p if p is not None else 99) + s) for p, t, s in readings]
+    slices = stateful.in_time_order(spark, spark.createDataFrame(readings, "patient_id long, time timestamp_ntz, seq long"), ["2024-01-02 00:00:00", "2024-01-03 00:00:00"], "time")
+    want = set()
+    for p in {r[0] for r in readings}:
+        start = last = None
+        for t, seq in sorted((int((t - dt.datetime(1970, 1, 1)).total_seconds()), s) for q, t, s in readings if q == p):
+            start, n = (t, 1) if last is None or t - last > 86_400 else (start, n + 1)  # noqa: F821
+            last = t
+            want.add((p, seq, start, n))
+    states = stateful.GROUPS
+    try:
+        stateful.GROUPS = 2
+        assert {tuple(r)[:4] for r in stateful.run(spark, slices, stateful.sessions).collect()} == want
+    finally:
+        stateful.GROUPS = states
+    rows = [(1, day(1, 100 + i % 3), i) for i in range(300)] + [(1, day(1, 3_702), 300), (1, day(1, 3_701), 301)]
+    slices = stateful.in_time_order(spark, spark.createDataFrame(rows, "actor_id long, at timestamp_ntz, seq long"), ["2024-01-01 00:30:00"], "at")
+    got = {r["seq"]: r["in_window"] for r in stateful.run(spark, slices, stateful.sliding_counts).collect()}
+    assert [got[i] for i in (0, 1, 2, 300, 301)] == [100, 200, 300, 102, 201]
+
+
+def test_sliding_access_counts_seconds(spark):
+    """The window runs over seconds, not over accesses."""
+    from wardlight.operators import governance
+
+    rows = [(1 if i % 2 else None, 100 + i % 3, i, True) for i in range(300)] + [(1, 3_702, 300, True), (1, None, 301, True)]
+    audit = spark.createDataFrame(rows, "actor_id long, s long, seq long, out_of_department boolean").withColumn("at", F.timestamp_seconds("s"))
+    out = governance.sliding_access(audit)
+    got = {r["seq"]: (r["in_window"], r["breach"]) for r in out.collect()}
+    assert len(got) == 302 and [got[i] for i in (0, 2, 1, 300, 301)] == [(50, False), (150, True), (100, True), (51, True), (1, False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > plan.index("Window")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,54 +19,93 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wardlight.sources.shared import Workspace
 
 
-def _folded(rows: DataFrame, key: str, time: str, delay: str, idle_ms: int, state: str, out: str, fold: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
-    """fold(state, rows of the key in order) -> (state, rows out), for each key and micro-batch."""
+#: Rows that go back to Spark together, groups that patients are dealt to.
+OUT_ROWS, GROUPS = 1 << 17, 2_048
+
+
+def seconds_of(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[s]").astype("int64")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows with the group that many keys share (``dealt``; keys of null have their own), as a state a key costs a call a key and micro-batch."""
+    return rows.withColumn("dealt", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("int")).withColumn(key, F.coalesce(key, F.lit(0)))
+
+
+def _folded(rows: DataFrame, key: str, time: str, delay: str, idle_ms: int, state: str, out: str, fold: Callable[[object, tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
+    """fold(key, state, rows of the key in order, without the key) -> (state, rows out), for each key and micro-batch."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        batch = pd.concat(list(frames)).sort_values([time, "seq"])  # one key of one micro-batch
-        new, made = fold(held.get if held.exists else None, batch)
+        batch = pd.concat([f.drop(columns=key) for f in frames]).sort_values([time, "seq"], ignore_index=True)  # one key of one micro-batch
+        new, made = fold(k[0], held.get if held.exists else None, batch)
         held.update(new)
         held.setTimeoutTimestamp(max(int(batch[time].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + idle_ms)
-        yield made
+        for first in range(0, len(made), OUT_ROWS):
+            yield made.iloc[first : first + OUT_ROWS]
 
     timed = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     return timed.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sliding_counts(accesses: DataFrame, seconds: int = 3600, limit: int = 50, delay: str = "1 hour") -> DataFrame:
-    """accesses (actor_id, at, seq): how many the actor made in the trailing window, rows of the same second included, and whether that exceeds the limit."""
+    """accesses (actor_id, at, seq): how many the actor made in the trailing window, rows of the same second included, and whether that exceeds the limit.
 
-    def fold(held, batch):
-        at = (batch["at"].astype("int64") // 10**9).to_numpy() if batch["at"].dtype == "datetime64[ns]" else batch["at"].map(lambda t: int(t.timestamp())).to_numpy()
-        times = sorted([*(held[0] if held else []), *at.tolist()])
-        every = pd.Series(times)
-        n = every.searchsorted(at, side="right") - every.searchsorted(at - seconds, side="left")
-        keep = [t for t in times if t >= int(at.max()) - seconds]
-        return (keep,), pd.DataFrame({"actor_id": batch["actor_id"], "seq": batch["seq"], "in_window": n, "breach": n > limit})
+    The state has one count a second of the window, however many accesses that had.
+    """
 
-    return _folded(accesses, "actor_id", "at", delay, 2_000 * seconds, "times array<long>", "actor_id long, seq long, in_window long, breach boolean", fold)
+    def fold(actor, held, batch):
+        at = seconds_of(batch["at"])
+        old, n_old = (np.array(x, "int64") for x in held) if held else (np.zeros(0, "int64"),) * 2
+        times, where = np.unique(np.concatenate([old, at]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([n_old, np.ones(len(at))])).astype("int64")
+        total = np.concatenate([[0], np.cumsum(counts)])
+        n = total[np.searchsorted(times, at, side="right")] - total[np.searchsorted(times, at - seconds, side="left")]
+        keep = times >= at.max() - seconds
+        return (times[keep].tolist(), counts[keep].tolist()), pd.DataFrame({"actor_id": actor, "seq": batch["seq"], "in_window": n, "breach": n > limit})
 
+    return _folded(accesses, "actor_id", "at", delay, 2_000 * seconds, "times array<long>, counts array<long>", "actor_id long, seq long, in_window long, breach boolean", fold)
 
-def sessions(readings: DataFrame, idle_hours: int = 24, delay: str = "1 hour") -> DataFrame:
-    """readings (patient_id, time, seq): the session each belongs to, by its first second, and its number in it. A session ends after idle_hours without a reading."""
 
-    def fold(held, batch):
-        start, last, n = held if held else (None, None, 0)
-        out = []
-        for t, seq in zip(batch["time"], batch["seq"]):
-            at = int(t.timestamp())
-            if last is None or at - last > idle_hours * 3600:
-                start, n = at, 0
-            last, n = at, n + 1
-            out.append((seq, start, n))
-        made = pd.DataFrame(out, columns=["seq", "session_start", "n"])
-        made.insert(0, "patient_id", batch["patient_id"].iloc[0])
-        return (start, last, n), made
+def sessions(readings: DataFrame, idle_hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """readings (patient_id, time, seq): the session each belongs to, by its first second, and its number in it. A session ends after idle_hours without a reading.
 
-    return _folded(readings, "patient_id", "time", delay, idle_hours * 3_600_000, "start long, last long, n long", "patient_id long, seq long, session_start long, n long", fold)
+    Patients share states; one that is idle for so long leaves the state of its group.
+    """
+    idle = idle_hours * 3600
+
+    def fold(group, held, batch):
+        batch = batch.sort_values("patient_id", kind="stable")
+        who, at = batch["patient_id"].to_numpy("int64"), seconds_of(batch["time"])
+        ids, starts, lasts, counts = (np.array(x, "int64") for x in held) if held else (np.zeros(0, "int64"),) * 4
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        place = np.searchsorted(ids, who[first])  # ids are in order
+        there = np.zeros(len(first), bool)
+        there[place < len(ids)] = ids[place[place < len(ids)]] == who[first][place < len(ids)]
+        before = np.concatenate([[0], at[:-1]])
+        before[first[there]] = lasts[place[there]]
+        new = at - before > idle
+        new[first[~there]] = True
+        row = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(new, row, -1))  # the row that began the session, or one of an earlier patient
+        patient = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+        goes_on = begin < first[patient]
+        start, n = at[np.maximum(begin, 0)], row - begin + 1
+        old = np.zeros(len(first), "int64")
+        old[there] = place[there]
+        if goes_on.any():
+            start[goes_on], n[goes_on] = starts[old[patient[goes_on]]], counts[old[patient[goes_on]]] + row[goes_on] - first[patient[goes_on]] + 1
+        end = np.append(first[1:], len(at)) - 1
+        stay = ~np.isin(ids, who[first]) & (lasts >= at.max() - idle)
+        now = [np.concatenate(x) for x in ((ids[stay], who[end]), (starts[stay], start[end]), (lasts[stay], at[end]), (counts[stay], n[end]))]
+        order = np.argsort(now[0], kind="stable")
+        made = pd.DataFrame({"patient_id": pd.array(who, "Int64") if group >= 0 else pd.array([None] * len(who), "Int64"), "seq": batch["seq"].to_numpy(), "session_start": start, "n": n})
+        return tuple(x[order].tolist() for x in now), made
+
+    state = "ids array<long>, starts array<long>, lasts array<long>, counts array<long>"
+    return _folded(dealt(readings, "patient_id"), "dealt", "time", delay, idle * 1_000, state, "patient_id long, seq long, session_start long, n long", fold)
 
 
 def breaker(failures: list[int], open_since: int, at: int, failed: bool, threshold: int = 3, window: int = 300, reset: int = 600) -> tuple[list[int], int, bool]:
@@ -83,15 +123,15 @@ def breaker(failures: list[int], open_since: int, at: int, failed: bool, thresho
 def breakers(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
     """calls (agent, at, seq, failed): whether each was refused by the agent's breaker, and whether that is open after it."""
 
-    def fold(held, batch):
+    def fold(agent, held, batch):
         failures, since = (list(held[0]), held[1]) if held else ([], -1)
-        out = []
-        for t, seq, failed in zip(batch["at"], batch["seq"], batch["failed"]):
-            failures, since, refused = breaker(failures, since, int(t.timestamp()), bool(failed))
-            out.append((seq, refused, since >= 0))
-        made = pd.DataFrame(out, columns=["seq", "refused", "open"])
-        made.insert(0, "agent", batch["agent"].iloc[0])
-        return (failures, since), made
+        at, failed = seconds_of(batch["at"]), batch["failed"].to_numpy(bool)
+        refused, opened = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        for first in range(0, len(at), OUT_ROWS):
+            for i, (t, bad) in enumerate(zip(at[first : first + OUT_ROWS].tolist(), failed[first : first + OUT_ROWS].tolist()), first):
+                failures, since, refused[i] = breaker(failures, since, t, bad)
+                opened[i] = since >= 0
+        return (failures, since), pd.DataFrame({"agent": agent, "seq": batch["seq"], "refused": refused, "open": opened})
 
     return _folded(calls, "agent", "at", delay, 3_600_000, "failures array<long>, since long", "agent string, seq long, refused boolean, open boolean", fold)
 
