@@ -18,9 +18,16 @@ def breach_candidates(audit: DataFrame, as_of: Column | None = None, distinct_li
 
 
 def sliding_access(audit: DataFrame, seconds: int = 3600, limit: int = 50) -> DataFrame:
-    """Out-of-department accesses of each actor within the trailing window, and whether they exceed the limit."""
-    w = Window.partitionBy("actor_id").orderBy(F.unix_timestamp("at")).rangeBetween(-seconds, 0)
-    return audit.filter("out_of_department").withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("breach", F.col("in_window") > limit)
+    """Out-of-department accesses of each actor within the trailing window, and whether they exceed the limit.
+
+    The window runs over counts of seconds: a frame has at most ``seconds`` + 1 of them, however many accesses they had.
+    """
+    rows = audit.filter("out_of_department")
+    w = Window.partitionBy("__actor").orderBy("__second").rangeBetween(-seconds, 0)
+    counts = rows.groupBy(F.col("actor_id").alias("__actor"), F.unix_timestamp("at").alias("__second")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.select("__actor", "__second", F.sum("__n").over(w).alias("in_window"))
+    met = rows.join(counts, F.col("actor_id").eqNullSafe(F.col("__actor")) & F.unix_timestamp("at").eqNullSafe(F.col("__second")))
+    return met.drop("__actor", "__second").withColumn("breach", F.col("in_window") > limit)
 
 
 def access_decision(requests: DataFrame) -> DataFrame:
