@@ -76,3 +76,16 @@ def test_pairs_prune_clustered_vectors(spark):
     assert len([r for r in got if r["a"] < 4_000 and r["b"] < 4_000]) == int((np.triu(x @ x.T, 1) >= 0.92).sum())
     assert sum(r["a"] == 5_000 for r in got) >= 49 and scored.value < 0.2 * 4_000 * 3_999 / 2, scored.value
     print(scored.value / (4_000 * 3_999 / 2))
+
+
+def test_pivots_only_where_they_exclude_cells():
+    """Vectors without clusters are compared in blocks: a vector is moved once a block, not to most of 256 cells."""
+    from wardlight.operators import similar
+
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    reach = 0.4
+    loose = unit(rng.normal(0, 1, (1_000, 64)))
+    assert len(similar.worthwhile(loose, similar.farthest_first(loose, 256), 144_000, 4_096, reach)) == 1
+    close = unit(np.repeat(rng.normal(0, 1, (40, 16)), 25, axis=0) + rng.normal(0, 0.12, (1_000, 16)))
+    assert len(similar.worthwhile(close, similar.farthest_first(close, 256), 4_000, 512, reach)) > 4

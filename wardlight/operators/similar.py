@@ -9,6 +9,8 @@ slices whose distances differ by no more than the reach are multiplied. Cells ar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from wardlight.sources.shared import Workspace
 SAMPLE, PIVOTS = 2_048, 256
 #: Room for rounding in distances, rows of a slice within a block.
 SLACK, SLICE = 1e-6, 256
+#: Rows that a Python worker hands over at once, products that cost as much as moving one vector to another block.
+OUT_ROWS, MOVE = 8_192, 1_000
 
 
 def farthest_first(x: np.ndarray, most: int) -> np.ndarray:
@@ -42,6 +46,25 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
 
 
+def worthwhile(x: np.ndarray, pivots: np.ndarray, n: int, block: int, reach: float) -> np.ndarray:
+    """The first of the pivots, as many as make n vectors like the sample x cheapest to compare: where no bound excludes a cell one pivot is left, and blocks are compared.
+
+    Any number gives the same pairs; the sample only chooses the cheapest plan.
+    """
+    dist, costs = _distances(x, pivots), {}
+    for p in sorted({min(p, len(pivots)) for p in (1, 4, 16, 64, 256, len(pivots))}):
+        some = dist[:, :p]
+        own, far = some.argmin(axis=1), some.min(axis=1)
+        radius = np.full(p, -np.inf)
+        np.maximum.at(radius, own, far)
+        guests = ((some <= radius + reach) & (some <= far[:, None] + 2 * reach) & (np.arange(p) > own[:, None])).mean(axis=0)
+        homes = np.bincount(own, minlength=p) / len(x)
+        blocks, rooms = np.ceil(homes * n / block), np.ceil(guests * n / block)
+        moved = (homes * (blocks + rooms) + guests * blocks).sum()
+        costs[p] = n * moved * MOVE + n * n * (homes * homes / 2 + homes * guests).sum()
+    return pivots[: min(costs, key=costs.get)]
+
+
 def pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096, pivots: int = PIVOTS, scored: Accumulator | None = None) -> DataFrame:
     """All pairs (a, b, cosine), a < b, of vectors (vec_id, embedding) at least as similar as the threshold; ``scored`` counts the pairs that were multiplied.
 
@@ -58,7 +81,9 @@ def pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096, pivot
 
     some = heads.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).toPandas()
     lengths = some["v"].map(len)
-    chosen = {int(d): farthest_first(_unit(some["v"][lengths == d]), pivots) for d in lengths.unique()}
+    counts = {r["d"]: r["n"] for r in heads.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("d").isin([int(d) for d in lengths.unique()])).collect()}  # at most SAMPLE lengths
+    units = {int(d): _unit(some["v"][lengths == d]) for d in lengths.unique()}
+    chosen = {d: worthwhile(x, farthest_first(x, pivots), counts[d], block, reach) for d, x in units.items()}
     known = spark.sparkContext.broadcast(chosen)  # at most SAMPLE vectors
 
     def assign(frames):
@@ -79,15 +104,15 @@ def pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096, pivot
 
     def replicate(frames):
         for pdf in frames:
-            out = []
             for d, part in pdf.groupby("d"):
                 if d not in known.value:
                     continue
                 dist, own = _distances(_unit(part["v"]), known.value[d]), part["cell"].to_numpy()
                 near = (dist <= bounds.value[d] + reach) & (dist <= part["far"].to_numpy()[:, None] + 2 * reach) & (np.arange(dist.shape[1]) > own[:, None])
-                row, cell = np.nonzero(near)
-                out.append(pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[row], "d": d, "cell": cell, "far": dist[row, cell], "v": part["v"].to_numpy()[row]}))
-            yield pd.concat(out) if out else pdf[["vec_id", "d", "cell", "far", "v"]].head(0)
+                rows, cells = np.nonzero(near)
+                for first in range(0, len(rows), OUT_ROWS):
+                    row, cell = rows[first : first + OUT_ROWS], cells[first : first + OUT_ROWS]
+                    yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[row], "d": d, "cell": cell, "far": dist[row, cell], "v": part["v"].to_numpy()[row]})
 
     guests = homes.mapInPandas(replicate, "vec_id long, d int, cell int, far double, v array<double>")
     blocks = cells.select("d", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -101,14 +126,14 @@ def pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096, pivot
     visits = guests.join(rooms, ["d", "cell"]).withColumn("guest", F.pmod(F.xxhash64("vec_id"), F.col("rooms")).cast("int")).join(blocks, ["d", "cell"]).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     visits = visits.select("d", "cell", "lo", F.lit(-1).alias("hi"), "guest", F.lit(1).alias("side"), "vec_id", "far", "v")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Blocks lo and hi of a cell, or block lo and its guests."""
+    def compare(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks lo and hi of a cell, or block lo and its guests: some pairs at a time."""
         _, _, lo, hi, guest = key
-        pdf = pdf.sort_values("far")
+        pdf = pd.concat(list(frames)).sort_values("far")  # two blocks at most
         side, ids, far, x = pdf["side"].to_numpy(), pdf["vec_id"].to_numpy(), pdf["far"].to_numpy(), _unit(pdf["v"])
         one = guest < 0 and lo == hi
         left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == (0 if guest >= 0 else lo)), np.flatnonzero(side == (1 if guest >= 0 else hi)))
-        out, n = [np.zeros((3, 0))], 0
+        n = 0
         for first in range(0, len(left), SLICE):
             rows = left[first : first + SLICE]
             a, b = np.searchsorted(far[right], [far[rows[0]] - reach, far[rows[-1]] + reach])
@@ -118,12 +143,11 @@ def pairs(vectors: DataFrame, threshold: float = 0.92, block: int = 4_096, pivot
                 n += s.size
                 i, j = np.nonzero(s >= threshold - 1e-12)
                 ok = rows[i] < columns[j] if one else np.ones(len(i), bool)
-                out.append(np.stack([ids[rows[i[ok]]], ids[columns[j[ok]]], s[i[ok], j[ok]]]))
+                if ok.any():
+                    a_ids, b_ids = ids[rows[i[ok]]], ids[columns[j[ok]]]
+                    yield pd.DataFrame({"a": np.minimum(a_ids, b_ids), "b": np.maximum(a_ids, b_ids), "cosine": s[i[ok], j[ok]]})
         if scored is not None:
             scored.add(n)
-        a, b, c = np.concatenate(out, axis=1)
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c})
 
     met = home.unionByName(hosts).unionByName(visits).groupBy("d", "cell", "lo", "hi", "guest")
     return met.applyInPandas(compare, "a long, b long, cosine double").unionByName(members)
