@@ -203,3 +203,17 @@ def test_a_pair_is_met_once_and_not_moved(spark):
     pairs = identity.blocked_pairs(people, people)
     assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 3), (1, 5), (1, 6), (2, 3), (2, 6), (3, 5)]
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_z_of_two_is_two(spark):
+    """Four readings a side of sixteen equal ones and a last one at just two deviations: no order of the rows makes it less."""
+    import datetime as dt
+
+    from wardlight.operators import vitals
+
+    found = []
+    for k, (n, odd) in enumerate((n, odd) for n in range(8, 200, 4) for odd in (92.0, 91.0, 87.0)):  # a share of one in five lies two deviations off
+        found += [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i, "spo2_pulse_ox", odd if i % 5 == 4 else 97.0) for i in range(n // 4 * 5)]
+    rows = spark.createDataFrame(found, "patient_id long, time timestamp_ntz, seq long, parameter string, value double").repartition(7)
+    got = vitals.anomalies(rows).collect()
+    assert len(got) == len({r[0] for r in found}) and {r["z"] for r in got} == {2.0}

@@ -65,25 +65,33 @@ def features(vitals: DataFrame) -> DataFrame:
     return agg.withColumn("z", (F.col("mean") - pop_mean[F.col("parameter")]) / pop_sd[F.col("parameter")]).withColumn("cv", F.when(F.col("mean") != 0, F.col("sd") / F.col("mean") * 100).otherwise(0.0))
 
 
+def _clean_groups(vitals: DataFrame, least: int) -> DataFrame:
+    """Count, mean, deviation, sums, percentiles and hours of the clean readings of each patient and parameter with enough of them."""
+    v = F.col("value")
+    return artifact_filter(vitals, "engine").groupBy("patient_id", "parameter").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.sum("value").alias("s1"), F.sum(v * v).alias("s2"),
+        F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"), ((F.unix_timestamp(F.max("time")) - F.unix_timestamp(F.min("time"))) / 3600).alias("hours"),
+    ).filter(F.col("n") >= least)
+
+
 def baseline(vitals: DataFrame, least: int = 10) -> DataFrame:
     """Percentile baseline of clean readings for parameters with enough of them; mature after 24 hours."""
-    clean = artifact_filter(vitals, "engine")
-    return (
-        clean.groupBy("patient_id", "parameter").agg(
-            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"),
-            ((F.unix_timestamp(F.max("time")) - F.unix_timestamp(F.min("time"))) / 3600).alias("hours"),
-        ).filter(F.col("n") >= least)
-        .select("patient_id", "parameter", "n", "mean", "sd", F.col("p")[0].alias("p10"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p90"), (F.col("hours") >= 24).alias("mature"))
-    )
+    p = F.col("p")
+    return _clean_groups(vitals, least).select("patient_id", "parameter", "n", "mean", "sd", p[0].alias("p10"), p[1].alias("median"), p[2].alias("p90"), (F.col("hours") >= 24).alias("mature"))
 
 
 def anomalies(vitals: DataFrame) -> DataFrame:
-    """Last readings two or more deviations off the patient's baseline, or the population's without one."""
-    base = baseline(vitals).select("patient_id", "parameter", F.col("mean").alias("b_mean"), F.col("sd").alias("b_sd"))
+    """Last readings two or more deviations off the patient's baseline, or the population's without one.
+
+    z is |n v - sum| / sqrt(n sum of squares - sum ** 2), which is exact where the sums are, so a z that is 2, 2.5, 3 or 4 does not fall below by rounding; where these nearly cancel, it comes from mean and deviation.
+    """
+    base = _clean_groups(vitals, 10).select("patient_id", "parameter", F.col("mean").alias("b_mean"), F.col("sd").alias("b_sd"), "n", "s1", "s2")
     pop_mean, pop_sd = _map({k: v[0] for k, v in rules.POPULATION.items()}), _map({k: v[1] for k, v in rules.POPULATION.items()})
     p = F.col("parameter")
     rows = latest(vitals).join(base, ["patient_id", "parameter"], "left").withColumn("mean", F.coalesce("b_mean", pop_mean[p])).withColumn("sd", F.when(F.col("b_sd") > 0, F.col("b_sd")).otherwise(pop_sd[p]))
-    z = F.abs((F.col("value") - F.col("mean")) / F.col("sd"))
+    square = F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")
+    exact = (F.col("b_sd") > 0) & (square > 1e-9 * F.col("n") * F.col("s2"))
+    z = F.when(exact, F.abs(F.col("n") * F.col("value") - F.col("s1")) / F.sqrt(square)).otherwise(F.abs((F.col("value") - F.col("mean")) / F.col("sd")))
     severity = F.when(z >= 4, "critical").when(z >= 3, "severe").when(z >= 2.5, "moderate").otherwise("mild")
     return rows.withColumn("z", z).filter("z >= 2").select(
         "patient_id", "parameter", "value", "z", severity.alias("severity"), F.when(F.col("value") > F.col("mean"), "spike").otherwise("drop").alias("kind"),
