@@ -217,3 +217,52 @@ def test_a_z_of_two_is_two(spark):
     rows = spark.createDataFrame(found, "patient_id long, time timestamp_ntz, seq long, parameter string, value double").repartition(7)
     got = vitals.anomalies(rows).collect()
     assert len(got) == len({r[0] for r in found}) and {r["z"] for r in got} == {2.0}
+
+
+def test_agreements_counted_and_ranked_as_if_all_pairs_were_made(spark):
+    import random
+
+    from wardlight.operators import identity
+
+    rng = random.Random(5)
+    some = lambda *v: rng.choice([*v, None])
+    rows = [(i, some("1111", "2222", "3333"), some(*(f"M{i}" for i in range(60))), some("2001-01-01", "2002-02-02"), some("smith", "smyth", "smithers", "lee"), some("ana", "jon"), some("01", "02")) for i in range(150)]
+    people = spark.createDataFrame(rows, "patient_id long, ssn4 string, mrn string, dob string, last_name string, first_name string, zip string")
+    scored = {}
+    for x in rows:
+        for y in rows:
+            alike = [None if p is None or q is None else p == q for p, q in zip(x[1:], y[1:])]
+            if x[0] < y[0] and (alike[0] or alike[1] or (alike[2] and x[4] and y[4] and x[4][:3] == y[4][:3])):
+                w = list(identity.WEIGHTS.values())
+                got = most = 0.0  # in the order of the fields
+                for a, s in zip(w, alike):
+                    got, most = got + a * bool(s), most + a * (s is not None)
+                raw = got / most
+                conflicts = sum(alike[i] is False for i in (1, 2, 3))
+                score = min(0.3, raw) if conflicts >= 2 else raw
+                decision = "BLOCKED" if alike[0] is False else "AUTO_LINK" if score >= 0.95 else "REVIEW" if score >= 0.8 else "NO_MATCH"
+                scored[x[0], y[0]] = (round(score, 6), conflicts, decision)
+    got = identity.score_rows(identity.met_rows(people, people, list(identity.WEIGHTS)), 6).collect()
+    assert len(got) == len(scored) and {(r["id_a"], r["id_b"]): (r["score"], r["conflicts"], r["decision"]) for r in got} == scored
+    counts = {}
+    for _, _, d in scored.values():
+        counts[d] = counts.get(d, 0) + 1
+    assert {r["decision"]: r["pairs"] for r in identity.decision_counts(people).collect()} == counts
+    for least in (0.2, 0.5, 0.8):
+        kept = identity.scored_above(people, least, 6).collect()
+        assert {(r["id_a"], r["id_b"]): r["score"] for r in kept} == {k: v[0] for k, v in scored.items() if v[0] > least} and len(kept) == len({(r["id_a"], r["id_b"]) for r in kept})
+
+
+def test_ranking_makes_no_pair_of_a_hot_block_that_cannot_reach_it(spark):
+    from wardlight.operators import identity
+
+    rows = spark.range(20_000).selectExpr("id AS patient_id", "CAST(id AS string) AS ssn4", "CAST(id AS string) AS mrn", "'2001-01-01' AS dob", "'lee' AS last_name", "'ana' AS first_name", "'01' AS zip").localCheckpoint()
+    keys, made = [], identity.met_rows
+    identity.met_rows = lambda a, b, columns=(), k=identity.KEYS: keys.extend(k) or made(a, b, columns, k)
+    try:
+        assert identity.scored_above(rows, 0.5).count() == 0
+        assert keys == [["ssn4"], ["mrn"]]
+        counts = {r["decision"]: r["pairs"] for r in identity.decision_counts(rows).collect()}
+    finally:
+        identity.met_rows = made
+    assert counts == {"BLOCKED": 20_000 * 19_999 // 2} and ["dob", "l3"] not in keys

@@ -670,18 +670,18 @@ d AS (SELECT id_a, id_b, conflicts, blocked, round(CASE WHEN conflicts >= 2 THEN
 @query(f"{_MPI} SELECT id_a, id_b, score, conflicts, decision FROM m", "patients")
 def mpi_score(spark, sf_dir):
     p = fx.patients(spark, sf_dir)
-    return identity.score_rows(identity.met_rows(p, p, list(identity.WEIGHTS))).select("id_a", "id_b", F.round("score", 6).alias("score"), "conflicts", "decision")
+    return identity.score_rows(identity.met_rows(p, p, list(identity.WEIGHTS)), 6)
 
 
 @query(f"{_MPI} SELECT decision, count(*) AS pairs FROM m GROUP BY decision", "patients")
 def mpi_stats(spark, sf_dir):
-    return mpi_score(spark, sf_dir).groupBy("decision").agg(F.count(F.lit(1)).alias("pairs"))
+    return identity.decision_counts(fx.patients(spark, sf_dir))
 
 
 @query()
 def name_similarity(spark, sf_dir):
     p = fx.patients(spark, sf_dir)
-    return identity.named_pairs(p, p, Workspace(spark, "names")).select("id_a", "id_b", F.round("similarity", 4).alias("similarity"))
+    return identity.named_pairs(p, p, Workspace(spark, "names"), 4)
 
 
 # ---- monitoring ------------------------------------------------------------------------------------------------

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.functions import privacy, rules
-from wardlight.operators import agents, fhir, governance, outputs, registry
-from wardlight.plans.catalog import _ALLOWED, _MPI, _REQUESTS, AS_OF, SALT, _case, access_requests, mpi_score, query
+from wardlight.operators import agents, fhir, governance, identity, outputs, registry
+from wardlight.plans.catalog import _ALLOWED, _MPI, _REQUESTS, AS_OF, SALT, _case, access_requests, query
 from wardlight.sources import fixtures as fx
 from wardlight.sources import hl7
 
@@ -313,7 +313,7 @@ def mpi_index_statistics(spark, sf_dir):
 
 @query(f"{_MPI}, r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) AS rank FROM m WHERE score > 0.5) SELECT id_a, id_b, score, decision, rank::INT AS rank FROM r", "patients")
 def mpi_ranked(spark, sf_dir):
-    return registry.ranked_matches(mpi_score(spark, sf_dir)).select("id_a", "id_b", "score", "decision", "rank")
+    return registry.ranked_matches(identity.scored_above(fx.patients(spark, sf_dir), 0.50, 6)).select("id_a", "id_b", "score", "decision", "rank")
 
 
 @query("""r AS (SELECT patient_id, parameter, time, min(seq) AS seq FROM vitals GROUP BY ALL) SELECT patient_id, parameter, time, seq FROM r WHERE (patient_id, parameter, time) NOT IN (SELECT patient_id, parameter, time FROM vitals WHERE seq % 3 = 0)""", "vitals")
