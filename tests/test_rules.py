@@ -266,3 +266,15 @@ def test_ranking_makes_no_pair_of_a_hot_block_that_cannot_reach_it(spark):
     finally:
         identity.met_rows = made
     assert counts == {"BLOCKED": 20_000 * 19_999 // 2} and ["dob", "l3"] not in keys
+
+
+def test_a_fused_mean_of_just_a_level_has_that_level(spark):
+    """Findings of severities below and above a level that weigh the same: no order of the rows makes the mean less than the level."""
+    from wardlight.operators import agents
+
+    rows = []
+    for p in range(400):
+        n, (low, high, source) = 2 + p % 5, [("mild", "severe", "nlp"), ("moderate", "critical", "vitals"), ("mild", "severe", "labs")][p % 3]
+        rows += [(p, source, s, (1 + (p * 7 + i * 11) % 60) / 64, False) for i in range(n) for s in (low, high)]
+    got = agents.fusion_risk(spark.createDataFrame(rows, "patient_id long, source string, severity string, confidence double, negated boolean").repartition(5)).collect()
+    assert {(r["patient_id"] % 3, r["level"]) for r in got} == {(0, "HIGH"), (1, "CRITICAL"), (2, "HIGH")} and len(got) == 400

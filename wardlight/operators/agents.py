@@ -73,16 +73,19 @@ def risk_factors() -> Column:
 
 
 def fusion_risk(findings: DataFrame) -> DataFrame:
-    """findings: patient_id, source, severity, confidence, negated. Weighted severity, level and confidence."""
-    of = lambda values, c: F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), c)
-    w = F.coalesce(of(rules.MODALITY_WEIGHT, F.col("source")), F.lit(0.10)) * F.col("confidence")
+    """findings: patient_id, source, severity, confidence, negated. Weighted severity, level and confidence.
+
+    Sums are decimals (confidences to eighteen places), so a mean of just 1, 2 or 3 meets its level whatever the order of the rows.
+    """
+    of = lambda values, c: F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(str(v)).cast("decimal(3,2)"))]), c)
+    w = F.coalesce(of(rules.MODALITY_WEIGHT, F.col("source")), F.lit("0.10").cast("decimal(3,2)")) * F.col("confidence").cast("decimal(22,18)")
     live = ~F.col("negated")
     agg = findings.groupBy("patient_id").agg(
-        F.sum(F.when(live, w * of(rules.SEVERITY, F.col("severity")))).alias("s"), F.sum(F.when(live, w)).alias("w"), F.countDistinct("source").alias("modalities")
+        F.sum(F.when(live, w * of(rules.SEVERITY, F.col("severity")).cast("decimal(1,0)"))).alias("s"), F.sum(F.when(live, w)).alias("w"), F.countDistinct("source").alias("modalities")
     )
-    mean = F.col("s") / F.col("w")
-    level = F.when(F.coalesce("w", F.lit(0.0)) == 0, "LOW").when(mean >= 3, "CRITICAL").when(mean >= 2, "HIGH").when(mean >= 1, "MEDIUM").otherwise("LOW")
-    conf = F.when(F.coalesce("w", F.lit(0.0)) == 0, 0.5).otherwise(F.least(F.lit(0.95), F.col("w") / F.col("modalities")) * F.col("modalities") / 4.0)
+    none, times = F.coalesce(F.col("w") == 0, F.lit(True)), lambda n: F.col("w") * F.lit(n).cast("decimal(1,0)")
+    level = F.when(none, "LOW").when(F.col("s") >= times(3), "CRITICAL").when(F.col("s") >= times(2), "HIGH").when(F.col("s") >= F.col("w"), "MEDIUM").otherwise("LOW")
+    conf = F.when(none, 0.5).otherwise(F.least(F.lit(0.95), F.col("w").cast("double") / F.col("modalities")) * F.col("modalities") / 4.0)
     return agg.select("patient_id", level.alias("level"), conf.alias("confidence"), "modalities", (4 - F.col("modalities")).alias("missing"))
 
 
