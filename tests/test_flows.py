@@ -189,3 +189,21 @@ def test_sliding_access_counts_seconds(spark):
     assert len(got) == 302 and [got[i] for i in (0, 2, 1, 300, 301)] == [(50, False), (150, True), (100, True), (51, True), (1, False)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") > plan.index("Window")
+
+
+def test_slices_of_few_keys_stay_small(spark):
+    """However many rows come after the last cut, a slice holds about as many as it may, and breakers give the same rows."""
+    from pyspark.sql import functions as F
+
+    from wardlight.streaming import stateful
+
+    k = F.col("id")
+    calls = spark.range(4_000).select(F.lit("a").alias("agent"), (F.lit("2024-02-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k * 10)).alias("at"), k.alias("seq"), (k % 7 < 5).alias("failed"))
+    first = ["2024-02-01 01:00:00"]
+    cuts = stateful.even_cuts(calls, "at", first, 1_000)
+    assert set(first) < set(cuts) and cuts == sorted(cuts) and stateful.even_cuts(calls, "at", first) == first
+    slices = stateful.in_time_order(spark, calls, cuts, "at")
+    sizes = [f.count() for f in slices.frames]
+    assert sum(sizes) == 4_000 and max(sizes) <= 1_050
+    rows = lambda s: sorted((r["seq"], r["refused"], r["open"]) for r in stateful.run(spark, s, stateful.breakers).collect())
+    assert rows(slices) == rows(stateful.in_time_order(spark, calls, first, "at"))

@@ -253,7 +253,8 @@ def agent_calls(spark, sf_dir):
 @query()
 def stream_breakers(spark, sf_dir):
     """Calls that an agent's breaker refuses, as a stream with state; its SQL is that of breaker_scan."""
-    slices = stateful.in_time_order(spark, agent_calls(spark, sf_dir), ["2024-02-01 01:00:00", "2024-02-01 02:00:00"], "at")
+    calls = agent_calls(spark, sf_dir)
+    slices = stateful.in_time_order(spark, calls, stateful.even_cuts(calls, "at", ["2024-02-01 01:00:00", "2024-02-01 02:00:00"]), "at")
     return stateful.run(spark, slices, stateful.breakers).select("agent", "seq", "refused", "open")
 
 

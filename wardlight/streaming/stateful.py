@@ -21,6 +21,8 @@ from wardlight.sources.shared import Workspace
 
 #: Rows that go back to Spark together, groups that patients are dealt to.
 OUT_ROWS, GROUPS = 1 << 17, 2_048
+#: Rows of a slice whose keys are few, so that each holds many of them.
+BATCH_ROWS = 2_000_000
 
 
 def seconds_of(times: pd.Series) -> np.ndarray:
@@ -149,6 +151,18 @@ class Slices:
         self.frames[i].write.parquet(self.work.path(f"in/slice-{i}"))
 
 
+def even_cuts(rows: DataFrame, time: str, cuts: list[str], most: int = BATCH_ROWS) -> list[str]:
+    """The cuts and as many more as leave some ``most`` rows a slice, by approximate percentiles of the time; rows of one time stay together.
+
+    A key whose rows are folded one after the other holds a slice's rows of it at once, so its memory does not grow with the table. Any cuts give the same rows.
+    """
+    n = -(-rows.count() // most)
+    if n < 2:
+        return cuts
+    ends = rows.agg(F.percentile_approx(time, [i / n for i in range(1, n)], 100 * n)).first()[0]
+    return sorted({*cuts, *(str(x) for x in ends or [])})
+
+
 def in_time_order(spark: SparkSession, rows: DataFrame, cuts: list[str], time: str, late: str | None = None) -> Slices:
     """rows between the cuts, slice by slice; rows where ``late`` holds come with the last one."""
     held = F.expr(late) if late else F.lit(False)
