@@ -256,3 +256,26 @@ def test_bundles_and_dataset(spark, tmp_path):
     out = sinks.dataset({"patients": p, "bundles": b, "none": p.limit(0)}, f"file://{tmp_path}/json")
     assert {(r["name"], r["rows"]) for r in out.collect()} == {("patients", 2), ("bundles", 8), ("none", 0)}
     assert spark.read.json(f"file://{tmp_path}/json/bundles").count() == 8
+
+
+def test_baselines_share_states_and_keep_their_keys_apart(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    import numpy as np
+
+    from wardlight.streaming import baselines, stateful
+
+    monkeypatch.setattr(baselines, "GROUPS", 4)
+    rng, start = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(None if p == 7 else p, rng.choice(["heart_rate", "other", None]), start + dt.timedelta(hours=rng.randrange(48)), p % 2**50 * 1_000 + i, float(rng.randrange(50, 120))) for p in [*range(20), 2**60 + 1] for i in range(30)]
+    readings = spark.createDataFrame(rows, "patient_id long, parameter string, time timestamp_ntz, seq long, value double")
+    out = stateful.run(spark, stateful.in_time_order(spark, readings, ["2024-01-02 00:00:00"], "time"), baselines.judged)
+    assert out.count() == len(rows)
+    got = {(r["patient_id"], r["parameter"]): r for r in baselines.latest(out).collect()}
+    want = {}
+    for p, name, _, _, v in rows:
+        want.setdefault((p, name), []).append(v)
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k]["n"] == len(v) and np.allclose([got[k][c] for c in ("mean", "sd", "median")], [np.mean(v), np.std(v), np.median(v)])

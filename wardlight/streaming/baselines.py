@@ -18,7 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wardlight.functions import rules
 
 SIZE = 256
-STATE = "n long, mean double, m2 double, sizes array<int>, items array<double>, turns int"
+#: Groups that keys are dealt to, as a state of its own costs a call a key and micro-batch.
+GROUPS = 1_024
+STATE = "known array<boolean>, patients array<long>, parameters array<string>, n array<long>, mean array<double>, m2 array<double>, turns array<int>, levels array<int>, sizes array<int>, items array<double>"
 OUT = "patient_id long, parameter string, seq long, value double, n_before long, z double, severity string, n long, mean double, sd double, p10 double, median double, p90 double"
 
 
@@ -69,30 +71,50 @@ def judged(readings: DataFrame, least: int = 10) -> DataFrame:
     """Each reading (patient_id, parameter, seq, value) of a stream with n_before, z and severity against the baseline of earlier batches (the population's below ``least`` readings), and the baseline after its batch.
 
     Readings outside the engine's limits of their parameter, and those of parameters without such limits that have no value, are left out.
+    Keys share states; each keeps a baseline of its own.
     """
     population = dict(rules.POPULATION)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(frames))  # one patient and parameter of one micro-batch
-        x = batch["value"].to_numpy(float)
-        n, mean, m2, sketch = 0, 0.0, 0.0, Sketch()
-        if held.exists:
-            n, mean, m2, sizes, items, turns = held.get
-            sketch = Sketch(np.split(np.array(items, float), np.cumsum(sizes)[:-1]), turns)
+    def after(parameter: str | None, x: np.ndarray, held: tuple | None) -> tuple[tuple, dict]:
+        """The baseline (n, mean, m2, sketch) with the values of one key of one micro-batch, and what is said of these."""
+        n, mean, m2, sketch = held or (0, 0.0, 0.0, Sketch())
         sd = np.sqrt(m2 / n) if n else 0.0
-        usual, spread = population.get(key[1], (np.nan, np.nan))[:2]
+        usual, spread = population.get(parameter, (np.nan, np.nan))[:2]
         z = np.abs(x - (mean if n >= least else usual)) / (sd if n >= least and sd > 0 else spread)
-        severity = np.select([z >= 4, z >= 3, z >= 2.5, z >= 2], ["critical", "severe", "moderate", "mild"], "usual")
         before, more, delta = n, len(x), x.mean() - mean
         n += more
         mean += delta * more / n
         m2 += ((x - x.mean()) ** 2).sum() + delta**2 * before * more / n
         sketch.add(x)
-        held.update((n, mean, m2, [len(v) for v in sketch.levels], np.concatenate(sketch.levels).tolist(), sketch.turns))
         p10, median, p90 = sketch.quantiles([0.1, 0.5, 0.9])
-        yield pd.DataFrame({"patient_id": key[0], "parameter": key[1], "seq": batch["seq"], "value": x, "n_before": before, "z": z, "severity": severity, "n": n, "mean": mean, "sd": np.sqrt(m2 / n), "p10": p10, "median": median, "p90": p90})
+        return (n, float(mean), float(m2), sketch), {"n_before": before, "z": z, "n": n, "mean": mean, "sd": np.sqrt(m2 / n), "p10": p10, "median": median, "p90": p90}
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([f.drop(columns="dealt") for f in frames], ignore_index=True)  # one group of keys of one micro-batch
+        state = {}
+        if held.exists:
+            *keys, ns, means, m2s, turns, levels, sizes, items = held.get
+            parts = iter(np.split(np.array(items, float), np.cumsum(sizes)[:-1]))
+            for *key, n, mean, m2, turn, deep in zip(*keys, ns, means, m2s, turns, levels):
+                state[tuple(key)] = n, mean, m2, Sketch([next(parts) for _ in range(deep)], turn)
+        values, said = batch["value"].to_numpy(float), {c: np.zeros(len(batch)) for c in ("n_before", "z", "n", "mean", "sd", "p10", "median", "p90")}
+        for (known, patient, parameter), at in batch.groupby(["known", "patient_id", "parameter"], sort=False, dropna=False).indices.items():
+            key = bool(known), int(patient), parameter if isinstance(parameter, str) else None
+            state[key], found = after(key[2], values[at], state.get(key))
+            for c, v in found.items():
+                said[c][at] = v
+        sketches = [v[3] for v in state.values()]
+        held.update((
+            *([k[i] for k in state] for i in range(3)), *([v[i] for v in state.values()] for i in range(3)), [x.turns for x in sketches], [len(x.levels) for x in sketches],
+            [len(v) for x in sketches for v in x.levels], np.concatenate([v for x in sketches for v in x.levels]).tolist(),
+        ))
+        z = said["z"]
+        severity = np.select([z >= 4, z >= 3, z >= 2.5, z >= 2], ["critical", "severe", "moderate", "mild"], "usual")
+        patients = batch["patient_id"].astype("Int64").where(batch["known"])
+        yield pd.DataFrame({"patient_id": patients, "parameter": batch["parameter"], "seq": batch["seq"], "value": values, "n_before": said["n_before"].astype("int64"), "z": z, "severity": severity, "n": said["n"].astype("int64"), **{c: said[c] for c in ("mean", "sd", "p10", "median", "p90")}})
 
-    return readings.filter("value is not null").select("patient_id", "parameter", "seq", "value").groupBy("patient_id", "parameter").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = readings.filter("value is not null").select(F.pmod(F.xxhash64("patient_id", "parameter"), F.lit(GROUPS)).cast("int").alias("dealt"), F.col("patient_id").isNotNull().alias("known"), F.coalesce("patient_id", F.lit(0)).cast("long").alias("patient_id"), "parameter", "seq", "value")
+    return rows.groupBy("dealt").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def latest(rows: DataFrame) -> DataFrame:
