@@ -657,3 +657,23 @@ def test_long_rows_come_few_at_a_time(spark, tmp_path):
     with scratch.settings(**lm_score.BOUNDED):
         got = scratch.save(table.coalesce(1).mapInArrow(sizes, "n long"), "sizes").collect()
     assert sum(r["n"] for r in got) == 40 and max(r["n"] for r in got) <= 17
+
+
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Rows far beyond what ``train`` would sample are learned from in four shards; other partitions and repeats change nothing."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(20)) + (f" vile{i % 4}" if i % 3 == 0 else ""), "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
+    nets = [toxicity.train_all(d, labels, scratch.Scratch(spark, "tox")) for d in (docs.repartition(2), docs.unionByName(docs.limit(40)).repartition(5))]
+    assert np.array_equal(nets[0][0].emb, nets[1][0].emb) and np.array_equal(nets[0][0].out, nets[1][0].out)
+    scores = nets[0][0].scores(pa.array([t for _, t, _ in rows]))
+    assert ((scores > 0.5) == np.array([i % 3 == 0 for i, *_ in rows])).mean() > 0.95
+    [(lang, threshold)] = nets[0][1].collect()
+    assert lang == "en" and 0 < threshold < 1
+    one, none = toxicity.train_all(docs, labels.filter("toxic = 1"), scratch.Scratch(spark, "tox"))
+    assert np.ptp(one.scores(pa.array(["a b", "vile1"]))) == 0 and none.count() == 0
