@@ -71,3 +71,13 @@ def test_one_automaton(spark):
     rows = spans.find(spark.createDataFrame([(1, "Acute HEART failure, heartless heart"), (2, None)], "document_id long, text string"), terms).collect()
     assert [tuple(r)[1:] for r in rows if r["kind"] == "a"] == [("a", "x", 0, 19, "Acute HEART failure"), ("a", "y", 31, 36, "heart")]
     assert [(r["start"], r["end"]) for r in rows if r["kind"] == "b"] == [(8, 11), (12, 16), (23, 26), (33, 36)]
+
+
+def test_heavy_rows_are_spread_by_their_number(spark, monkeypatch):
+    """The tasks of heavy work grow with the table, so the longest does not; the rows stay the same."""
+    from wardlight.sources import fixtures as fx
+
+    monkeypatch.setattr(fx, "TASK_ROWS", 100)
+    rows = fx.spread(spark.range(2_000, numPartitions=5))
+    assert rows.rdd.getNumPartitions() == 20 and rows.distinct().count() == 2_000
+    assert fx.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

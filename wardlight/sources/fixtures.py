@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that does much for each, about.
+TASK_ROWS = 50_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over at least as many tasks as there are cores, where the table is one small file but what follows is heavy; larger tables stay as they are read."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """rows of a table over at least as many tasks as there are cores, and as many as leave some TASK_ROWS each, where what follows is heavy; rows in more tasks than that stay as they are read."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def pick(values: list, index) -> F.Column:
