@@ -81,3 +81,21 @@ def test_heavy_rows_are_spread_by_their_number(spark, monkeypatch):
     rows = fx.spread(spark.range(2_000, numPartitions=5))
     assert rows.rdd.getNumPartitions() == 20 and rows.distinct().count() == 2_000
     assert fx.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_spans_leave_the_worker_in_parts(spark, monkeypatch):
+    """A worker hands over some spans at a time, however many texts a batch has or spans a text; all spans come, in order."""
+    import pyarrow as pa
+
+    from wardlight.operators import spans
+
+    texts = [None, "", "sepsis " * 50, *["pneumonia and sepsis"] * 100]
+    batch = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    schema = pa.schema({"id": pa.int64(), "word": pa.string()})
+    monkeypatch.setattr(spans, "OUT_ROWS", 16)
+    parts = list(spans._in_parts([batch, batch], lambda i, t: ((i, w) for w in t.split()), schema))
+    assert max(p.num_rows for p in parts) == 16
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == 2 * [(i, w) for i, t in enumerate(texts) for w in (t or "").split()]
+    terms = spans.Terms({"disease": {"sepsis": ["sepsis"]}})
+    rows = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string").coalesce(1)
+    assert spans.find(rows, terms).groupBy("document_id").count().count() == 101 and spans.find(rows, terms).count() == 150

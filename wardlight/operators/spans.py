@@ -8,7 +8,7 @@ their distances, so a document with very many mentions is many small groups.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -19,6 +19,8 @@ from wardlight.functions import rules
 
 #: Characters of a bin of positions; reach of a cue before and after a mention.
 BIN, BEFORE, AFTER = 256, 150, 100
+#: Texts that are Python strings at once, and spans or values that go back to Spark together: they bound what a worker holds besides the batch it reads.
+TEXTS, OUT_ROWS = 32, 4_096
 SPANS = "document_id long, kind string, label string, start int, end int, term string"
 
 
@@ -74,16 +76,34 @@ class Terms:
                     yield kind, label, start, end, text[start:end]
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch], rows_of: Callable[[int, str], Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What rows_of(id, text) gives for each text (null and empty ones give nothing), some rows at a time."""
+    rows: list[tuple] = []
+
+    def handed() -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(schema)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    for b in batches:
+        for first in range(0, b.num_rows, TEXTS):
+            part = b.slice(first, TEXTS)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for row in rows_of(doc, text) if text else ():
+                    rows.append(row)
+                    if len(rows) >= OUT_ROWS:
+                        yield handed()
+    if rows:
+        yield handed()
+
+
 def find(texts: DataFrame, terms: Terms, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """document_id, kind, label, start, end, term of each span; null texts have none. Positions count characters from 0."""
 
     def run(batches):
         terms.build()
-        for b in batches:
-            rows = [(doc, *span) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for span in terms.spans(text)]
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["document_id", "kind", "label", "start", "end", "term"])
+        schema = pa.schema({"document_id": pa.int64(), "kind": pa.string(), "label": pa.string(), "start": pa.int32(), "end": pa.int32(), "term": pa.string()})
+        yield from _in_parts(batches, lambda doc, text: ((doc, *span) for span in terms.spans(text)), schema)
 
     return texts.select(F.col(id_col).cast("long").alias("document_id"), F.col(text_col).alias("text")).mapInArrow(run, SPANS)
 
@@ -151,20 +171,17 @@ def labs(notes: DataFrame) -> DataFrame:
     terms = Terms({"lab": {n: [n] for n in names}}, inside={"lab"})
     rank = {n: i for i, n in enumerate(names)}
 
+    def values(doc: int, text: str) -> Iterator[tuple]:
+        reached = pos = 0
+        for start, _, end in sorted((start, rank[label], end) for _, label, start, end, _ in terms.spans(text)):
+            if start >= reached and (m := tail.match(text, end)):
+                number = m[1].lstrip("<>")
+                yield doc, pos, text[start:end].lower(), float(number) if number else None, m[2], start, m.end()
+                reached, pos = m.end(), pos + 1
+
     def run(batches):
         terms.build()
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                reached = pos = 0
-                found = sorted(((start, rank[label], end) for _, label, start, end, _ in terms.spans(text)) if text else [])
-                for start, _, end in found:
-                    if start >= reached and (m := tail.match(text, end)):
-                        number = m[1].lstrip("<>")
-                        rows.append((doc, pos, text[start:end].lower(), float(number) if number else None, m[2], start, m.end()))
-                        reached, pos = m.end(), pos + 1
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["document_id", "pos", "lab", "value", "unit", "start", "end"])
+        schema = pa.schema({"document_id": pa.int64(), "pos": pa.int32(), "lab": pa.string(), "value": pa.float64(), "unit": pa.string(), "start": pa.int32(), "end": pa.int32()})
+        yield from _in_parts(batches, values, schema)
 
     return notes.select(F.col("document_id").cast("long"), "text").mapInArrow(run, "document_id long, pos int, lab string, value double, unit string, start int, end int")
