@@ -122,3 +122,19 @@ def test_lines_and_message(spark):
     for complaint, head in (("cough", "**Chief Complaint / Reason for Visit**: cough\n\n### "), (None, "### "), ("", "### ")):
         people = spark.createDataFrame([(1, complaint)], "patient_id int, complaint string")
         assert prompts.contexts(people, {}, complaint="complaint").first()["context"].startswith(head)
+
+
+def test_entries_are_dealt_before_they_are_counted(spark, tmp_path):
+    """Tasks that count entries grow with the tables, and none counts what a scan reads before it is dealt."""
+    from wardlight.sources import fixtures as fx
+
+    for name, n in (("events", 30), ("orders", 71)):
+        spark.range(n).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert fx.tasks_for(spark, str(tmp_path), "events", "orders", rows=10) == 11
+    assert fx.tasks_for(spark, str(tmp_path), "events", rows=1_000) == spark.sparkContext.defaultParallelism
+    rows = spark.range(1_000).select(F.when(F.col("id") % 300 < 9, "a").otherwise("b").alias("list"), (F.col("id") % 300).alias("id"))
+    dealt = predicates.by_entry(rows, 7)
+    assert dealt.rdd.getNumPartitions() == 7
+    counted = dealt.groupBy("list", "id").count()
+    assert str(counted._jdf.queryExecution().executedPlan().toString()).count("Exchange") == 1
+    assert sorted({r["count"] for r in counted.collect()}) == [3, 4] and counted.count() == 300

@@ -42,3 +42,8 @@ def open_lists(as_of: Column) -> dict[str, Column]:
 def work_list(name: str, rows: DataFrame, as_of: Column) -> DataFrame:
     """The rows of a table that are on the named list at the given time."""
     return rows.filter(open_lists(as_of)[name])
+
+
+def by_entry(entries: DataFrame, tasks: int) -> DataFrame:
+    """entries (list, id, ..) dealt to tasks by list and id: few repeat within what one task reads, so counting them before they are dealt would hold nearly all of a task's rows."""
+    return entries.repartition(tasks, "list", "id")

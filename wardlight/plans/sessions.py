@@ -61,7 +61,7 @@ def work_lists(spark, sf_dir):
     for name, (rows, key, at) in tables.items():
         one = predicates.work_list(name, rows, now).select(F.lit(name).alias("list"), key.cast("long").alias("id"), at.alias("at"))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("list", "id").agg(F.count(F.lit(1)).alias("entries"), F.min("at").alias("oldest"))
+    return predicates.by_entry(out, fx.tasks_for(spark, sf_dir, "events", "orders", "customer", "lineitem")).groupBy("list", "id").agg(F.count(F.lit(1)).alias("entries"), F.min("at").alias("oldest"))
 
 
 # ---- risk in both variants, sessions -------------------------------------------------------------------------------

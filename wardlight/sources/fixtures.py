@@ -32,6 +32,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
+def tasks_for(spark: SparkSession, sf_dir: str, *tables: str, rows: int = 250_000) -> int:
+    """As many tasks as leave some ``rows`` rows of the tables each, one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-sum(table(spark, sf_dir, t).count() for t in tables) // rows))
+
+
 def pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
