@@ -74,6 +74,8 @@ def medications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patient_id, encounter_id, drug, gfr, allergy."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     allergy = pick(["penicillin", "sulfa", "cephalosporin", "none"], F.col("o_custkey"))
+    n = tasks_for(spark, sf_dir, "lineitem", "orders")  # a task sorts what it joins, so the tasks grow with the rows
+    l, o = l.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
     return l.join(o, l.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("patient_id"), F.col("l_orderkey").alias("encounter_id"), pick(DRUGS, F.col("l_partkey")).alias("drug"), (10 + F.col("l_quantity")).cast("double").alias("gfr"), allergy.alias("allergy")
     )
