@@ -207,3 +207,23 @@ def test_slices_of_few_keys_stay_small(spark):
     assert sum(sizes) == 4_000 and max(sizes) <= 1_050
     rows = lambda s: sorted((r["seq"], r["refused"], r["open"]) for r in stateful.run(spark, s, stateful.breakers).collect())
     assert rows(slices) == rows(stateful.in_time_order(spark, calls, first, "at"))
+
+
+def test_states_lie_in_as_many_tasks_as_the_rows_ask_for(spark, monkeypatch):
+    """Few rows take a task a core, whatever the session's number of partitions, and few groups; more rows take more of both, with the same sessions."""
+    from wardlight.streaming import stateful
+
+    k = F.col("id")
+    readings = spark.range(3_000).select((k % 50).alias("patient_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(k.cast("int") % 7, F.lit(0), F.lit(0), k)).alias("time"), k.alias("seq"))
+    cuts, cores, seen = ["2024-01-04 00:00:00"], spark.sparkContext.defaultParallelism, []
+    rows = lambda s, **on: sorted((r["seq"], r["session_start"], r["n"]) for r in stateful.run(spark, s, lambda x: stateful.sessions(x, **on)).collect())
+    with stateful.settings(spark, spark__sql__shuffle__partitions="32"):
+        few = stateful.in_time_order(spark, readings, cuts, "time")
+        assert (few.tasks, few.groups) == (cores, 16 * cores)
+        stateful.replay(spark, few, lambda x: stateful.sessions(x, groups=few.groups), lambda batch, _: seen.append(batch.select(F.spark_partition_id()).distinct().count()))
+        assert seen == [cores, cores]
+        want = rows(stateful.in_time_order(spark, readings, cuts, "time"))
+        monkeypatch.setattr(stateful, "TASK_ROWS", 200)
+        many = stateful.in_time_order(spark, readings, cuts, "time")
+        assert many.tasks > cores and many.groups == 16 * many.tasks
+        assert rows(many, groups=many.groups) == want and len(want) == 3_000

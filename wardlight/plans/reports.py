@@ -240,7 +240,7 @@ def stream_sliding_access(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     """Sessions of each patient that a day without readings ends, as a stream with state and a time to live."""
     folder = stateful.in_time_order(spark, fx.vitals(spark, sf_dir).select("patient_id", "time", "seq"), _CUTS, "time")
-    return stateful.run(spark, folder, stateful.sessions).select("patient_id", "seq", "session_start", "n")
+    return stateful.run(spark, folder, lambda s: stateful.sessions(s, groups=folder.groups)).select("patient_id", "seq", "session_start", "n")
 
 
 def agent_calls(spark, sf_dir):

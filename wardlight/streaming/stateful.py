@@ -8,6 +8,7 @@ that is not seen for the stated time loses its state.
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,15 +24,17 @@ from wardlight.sources.shared import Workspace
 OUT_ROWS, GROUPS = 1 << 17, 2_048
 #: Rows of a slice whose keys are few, so that each holds many of them.
 BATCH_ROWS = 2_000_000
+#: Rows of a slice that a task folds, groups of a task. Each task and each group costs a micro-batch its time (a store of states to load and commit, a call), however few rows it has.
+TASK_ROWS, TASK_GROUPS = 500_000, 16
 
 
 def seconds_of(times: pd.Series) -> np.ndarray:
     return times.to_numpy("datetime64[s]").astype("int64")
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows with the group that many keys share (``dealt``; keys of null have their own), as a state a key costs a call a key and micro-batch."""
-    return rows.withColumn("dealt", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("int")).withColumn(key, F.coalesce(key, F.lit(0)))
+def dealt(rows: DataFrame, key: str, groups: int | None = None) -> DataFrame:
+    """rows with the group that many keys share (``dealt``; keys of null have their own), as a state a key costs a call a key and micro-batch. A stream keeps its number of groups (GROUPS if not given)."""
+    return rows.withColumn("dealt", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups or GROUPS))).cast("int")).withColumn(key, F.coalesce(key, F.lit(0)))
 
 
 def _folded(rows: DataFrame, key: str, time: str, delay: str, idle_ms: int, state: str, out: str, fold: Callable[[object, tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]) -> DataFrame:
@@ -71,7 +74,7 @@ def sliding_counts(accesses: DataFrame, seconds: int = 3600, limit: int = 50, de
     return _folded(accesses, "actor_id", "at", delay, 2_000 * seconds, "times array<long>, counts array<long>", "actor_id long, seq long, in_window long, breach boolean", fold)
 
 
-def sessions(readings: DataFrame, idle_hours: int = 24, delay: str = "1 hour") -> DataFrame:
+def sessions(readings: DataFrame, idle_hours: int = 24, delay: str = "1 hour", groups: int | None = None) -> DataFrame:
     """readings (patient_id, time, seq): the session each belongs to, by its first second, and its number in it. A session ends after idle_hours without a reading.
 
     Patients share states; one that is idle for so long leaves the state of its group.
@@ -107,7 +110,7 @@ def sessions(readings: DataFrame, idle_hours: int = 24, delay: str = "1 hour") -
         return tuple(x[order].tolist() for x in now), made
 
     state = "ids array<long>, starts array<long>, lasts array<long>, counts array<long>"
-    return _folded(dealt(readings, "patient_id"), "dealt", "time", delay, idle * 1_000, state, "patient_id long, seq long, session_start long, n long", fold)
+    return _folded(dealt(readings, "patient_id", groups), "dealt", "time", delay, idle * 1_000, state, "patient_id long, seq long, session_start long, n long", fold)
 
 
 def breaker(failures: list[int], open_since: int, at: int, failed: bool, threshold: int = 3, window: int = 300, reset: int = 600) -> tuple[list[int], int, bool]:
@@ -144,6 +147,16 @@ class Slices:
     def __init__(self, work: Workspace, frames: list[DataFrame]):
         self.work, self.frames, self.schema = work, frames, frames[0].schema
 
+    @functools.cached_property
+    def tasks(self) -> int:
+        """As many tasks as leave some TASK_ROWS rows of the largest slice each, one a core at least."""
+        return max(self.work.spark.sparkContext.defaultParallelism, -(-max(f.count() for f in self.frames) // TASK_ROWS))
+
+    @property
+    def groups(self) -> int:
+        """Groups to deal keys to: their rows in a slice do not grow with the table, and neither do the groups of a task."""
+        return TASK_GROUPS * self.tasks
+
     def source(self, spark: SparkSession) -> DataFrame:
         return spark.readStream.schema(self.schema).parquet(self.work.path("in") + "/slice-*")
 
@@ -193,8 +206,9 @@ def settings(spark: SparkSession, **on: str):
 def replay(spark: SparkSession, slices: Slices, transform: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], mode: str = "append", end: bool = False, **on: str) -> DataFrame:
     """Runs a stream over the slices as they arrive: it ends after each and goes on from its checkpoint with the next. Returns the stream's frame, for its schema.
 
-    end: timers that are due by the last watermark fire too.
+    end: timers that are due by the last watermark fire too. The states lie in as many tasks as the slices ask for, if ``on`` does not say it.
     """
+    on = on if "spark__sql__shuffle__partitions" in on else on | {"spark__sql__shuffle__partitions": str(slices.tasks)}
     for i in range(len(slices.frames)):
         slices.arrive(i)
         final = end and i == len(slices.frames) - 1
